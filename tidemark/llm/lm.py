@@ -67,13 +67,14 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 # --- quantised counts --------------------------------------------------------------------------------------------
 
-#: Code to count: zero to 64 exactly, then in equal ratios up to 2**40.
-LEVELS = np.concatenate((np.arange(65.0), 64.0 * 2.0 ** (np.arange(1, 192) * 34 / 191)))
+#: Code (two bytes) to count: zero to 4096 exactly, then in equal ratios (0.04 per cent) up to 2**44.
+_EXACT = 4096
+LEVELS = np.concatenate((np.arange(_EXACT + 1.0), _EXACT * 2.0 ** (np.arange(1, 65536 - _EXACT) * 32 / (65535 - _EXACT))))
 _EDGES = (LEVELS[1:] + LEVELS[:-1]) / 2
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_EDGES, counts, "right").astype(np.uint8)
+    return np.searchsorted(_EDGES, counts, "right").astype(np.uint16)
 
 
 # --- Elias-Fano --------------------------------------------------------------------------------------------------
@@ -184,7 +185,7 @@ class Trie:
     def pair_codes(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Code of each (context index, successor hash), zero where the pair is unknown."""
         at = self.next.find((context.astype(np.uint64) << np.uint64(BITS)) | successor)
-        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint8)
+        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint16)
 
 
 # --- blocks ------------------------------------------------------------------------------------------------------
@@ -289,25 +290,32 @@ class Plan:
         home = (_mix(self.words) % modulus).astype(np.int64)
         self.home = home
         pair_shard = home[self.u]
-        often = np.isin(self.words, common)[self.u]
+        is_common = np.isin(self.words, common)
+        often = is_common[self.u]
         part = _mix(self.words[self.w[often]] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARTS)
-        pair_shard[often] = (_mix(self.words[self.u[often]] + part * np.uint64(0xD6E8FEB86659FD93)) % modulus).astype(np.int64)
+        dealt = lambda u, part: (_mix(self.words[u] + part * np.uint64(0xD6E8FEB86659FD93)) % modulus).astype(np.int64)
+        pair_shard[often] = dealt(self.u[often], part)
+        # every shard that may hold successors of a common word is asked how many
+        every = np.repeat(np.flatnonzero(is_common), PARTS)
+        shard_of = dealt(every, np.tile(np.arange(PARTS, dtype=np.uint64), len(every) // PARTS))
+        both = np.unique(np.stack((shard_of, every)), axis=1)
+        self.also, self.also_cuts = both[1], np.searchsorted(both[0], np.arange(shards + 1))
         self.pair_order = np.lexsort((self.words[self.w] & _MASK, self.u, pair_shard))
         self.pair_cuts = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
         self.word_order = np.argsort(home, kind="stable")
         self.word_cuts = np.searchsorted(home[self.word_order], np.arange(shards + 1))
 
-    def ask(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For shard s: words at home there; contexts of the pairs there (index of a word) and where their pairs begin; pairs."""
+    def ask(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For shard s: words at home there; contexts there (words by index) and how many pairs each has; the pairs."""
         own = self.word_order[self.word_cuts[s] : self.word_cuts[s + 1]]
         pairs = self.pair_order[self.pair_cuts[s] : self.pair_cuts[s + 1]]
         u = self.u[pairs]
-        starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, dtype=np.int64)
-        return own, u[starts], np.diff(np.append(starts, len(u))), pairs, starts
+        contexts = np.union1d(u, self.also[self.also_cuts[s] : self.also_cuts[s + 1]]).astype(np.int64)
+        return own, contexts, np.searchsorted(u, contexts, "right") - np.searchsorted(u, contexts, "left"), pairs
 
     def message(self, s: int) -> bytes | None:
-        own, contexts, spread, pairs, _ = self.ask(s)
-        if not len(own) and not len(pairs):
+        own, contexts, spread, pairs = self.ask(s)
+        if not len(own) and not len(contexts):
             return None
         follow = self.words[self.w[pairs]] & _MASK
         return pack(
@@ -354,9 +362,9 @@ def _answer(messages: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]],
 def _scores(plan: Plan, answers: dict[int, bytes], shards: int, n_all: int, v_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n_known, base_score, score of a block's documents."""
     n = len(plan.words)
-    count, spread, code = np.zeros(n), np.zeros(n), np.zeros(len(plan.u), dtype=np.uint8)
+    count, spread, code = np.zeros(n), np.zeros(n), np.zeros(len(plan.u), dtype=np.uint16)
     for s, answer in answers.items():
-        own, contexts, _, pairs, _ = plan.ask(s)
+        own, contexts, _, pairs = plan.ask(s)
         c, t, q = unpack(answer)
         count[own] = c
         np.add.at(spread, contexts, t)

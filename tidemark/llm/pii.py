@@ -100,7 +100,7 @@ def _guarded(text: Column, guard: Column, spans: Column, kind: str) -> Column:
 def base_spans(text: Column) -> Column:
     """The base rules' spans (a, b, m, kind), by start, then kind."""
     n_digits = lambda m: F.length(F.regexp_replace(m, "[^0-9]", ""))
-    octets = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+    octets = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
     found = (
         _guarded(text, text.contains("@"), places(text, EMAIL), "email"),
         _guarded(text, text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(places(text, IP), lambda s: octets(s["m"])), "ip"),
