@@ -87,7 +87,7 @@ def contradictions(claims: DataFrame, subject: str, predicate: str, value: str,
     Values are gathered as sets per subject and predicate, so no pair of claims is joined."""
     per = claims.groupBy(subject, predicate).agg(F.collect_set(value).alias("__v"))
     found = F.filter(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs)), lambda p: F.array_contains("__v", p["a"]) & F.array_contains("__v", p["b"]))
-    return per.select(subject, predicate, F.explode(found).alias("p")).select(subject, predicate, F.col("p.a").alias("first"), F.col("p.b").alias("second"))
+    return per.select(subject, predicate, F.explode(found).alias("__p")).select(subject, predicate, F.col("__p.a").alias("first"), F.col("__p.b").alias("second"))
 
 
 def best_per(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
