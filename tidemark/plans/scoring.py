@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import similarity as sim
 from .registry import Tables, query
 
 #: Features of each event, from its reports.
@@ -123,11 +124,9 @@ def knn_l1(t: Tables) -> DataFrame:
     """Three nearest analogues of each target by weighted L1 distance: a stated target set against the whole library."""
     e = [F.element_at("embedding", i + 1).cast("double") for i in range(6)]
     v = t.embeddings.select("vec_id", "label", F.array(*e).alias("e"))
-    q = F.broadcast(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe")))
-    dist = F.round(sum(F.abs(F.col("qe")[i] - F.col("e")[i]) * w for i, w in enumerate(_W)), 9)
-    pairs = v.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", "label", dist.alias("dist"))
-    by = Window.partitionBy("query").orderBy("dist", "vec_id")
-    return pairs.withColumn("r", F.row_number().over(by)).where("r <= 3").drop("r")
+    targets = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
+    out = sim.nearest(targets, v, "query", "vec_id", F.round(sim.weighted_l1(F.col("qe"), F.col("e"), _W), 9), 3)
+    return out.select("query", "vec_id", "label", "dist")
 
 
 @query(F_SQL + ", s AS (SELECT event_key, cap, round(CASE cap WHEN 'geospatial' THEN greatest(0.2, authority * reliability) WHEN 'prediction' THEN least(1.0, crowd / 400) * reliability WHEN 'graph' THEN CASE WHEN reliability < 0.5 THEN 0.25 ELSE 1 END * least(1.0, roads / 40.0) ELSE least(1.0, routes / 10.0) END, 6) AS score FROM f, (VALUES ('geospatial'), ('prediction'), ('graph'), ('similarity')) c(cap)) SELECT event_key, cap, score, row_number() OVER (PARTITION BY event_key ORDER BY score DESC, cap) AS rank FROM s WHERE score >= 0.05 QUALIFY rank <= 2", obs=True)
