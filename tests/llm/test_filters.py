@@ -109,5 +109,7 @@ def test_extra_columns_with_clashing_names(docs):
     odd = docs.withColumns({"hits": F.lit("mine"), "n_words": F.lit("x"), "items": F.lit(1), "kept": F.lit("no")})
     bench = docs.sparkSession.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contamination(odd, bench).count() == len(rows())
+    left = decontaminate.drop_contaminated(odd, bench)
+    assert left.schema == odd.schema and {r.hits for r in left.collect()} == {"mine"}
     assert quality.score_quality(odd, ["doc_id"]).count() == len(rows())
     assert quality.keep_good(odd).schema == odd.schema

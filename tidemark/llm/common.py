@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at once inside a task.
@@ -74,11 +74,23 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], s
     return df.mapInArrow(run, schema)
 
 
-def raw(column: str = "text") -> F.Column:
+def raw(column: str = "text") -> Column:
     """The UTF-8 bytes of a text; null stays null."""
     return F.col(column).cast("binary")
 
 
-def crc_mod(n: int, column: str = "doc_id") -> F.Column:
+def crc_mod(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def with_row_key(rows: DataFrame, text_hash: Column, *names: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with plain, never-null key columns for ``names`` and the text's hash, and the keys' names.
+
+    Joins and windows on the same plain columns share one exchange; struct keys whose fields differ in nullability are
+    cast by the join and would be dealt a second time."""
+    keys = {"__h": F.coalesce(text_hash, F.lit(0))}
+    for i, n in enumerate(names):
+        empty = "" if dict(rows.dtypes)[n] == "string" else 0
+        keys |= {f"__k{i}": F.coalesce(F.col(n), F.lit(empty)), f"__z{i}": F.col(n).isNull()}
+    return rows.withColumns(keys), list(keys)

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, map_slices, slices
@@ -122,16 +122,18 @@ def blocks(benchmark: DataFrame, n: int):
         yield benchmark.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part])
 
 
+#: Columns that a scan adds: words, merged word spans [a, b) of occurring windows, items with such windows.
+N_WORDS, HITS, ITEMS = "__n_words", "__hits", "__items"
+
+
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``hits`` (merged word spans [start, end) of occurring windows), ``items`` and ``n_words``.
+    """``docs`` with the columns N_WORDS, HITS and ITEMS.
 
     Each block of the benchmark passes over all documents; between blocks the rows are written to the shared folder, so
     a task holds one block's windows at a time.  Null texts have no words; an empty benchmark hits nothing; a null
     item_id counts as the item ``null``; repeated rows each get their own result.
     """
-    base = docs.drop("n_words", "hits", "items").withColumns(
-        {"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<struct<a:int,b:int>>"), "items": F.array().cast("array<string>")}
-    )
+    base = docs.withColumns({N_WORDS: F.lit(0).cast("long"), HITS: F.array().cast("array<struct<a:int,b:int>>"), ITEMS: F.array().cast("array<string>")})
     n = count_blocks(benchmark)
     for block in blocks(benchmark, n):
         base = _pass(base, block) if n == 1 else keep(_pass(base, block))
@@ -144,7 +146,7 @@ def _pass(docs: DataFrame, block) -> DataFrame:
         for part in slices(batches):
             n_words, hits, items = [], [], []
             texts = part.column("text").cast(pa.binary()).to_pylist()
-            for text, old, named in zip(texts, part.column("hits").to_pylist(), part.column("items").to_pylist()):
+            for text, old, named in zip(texts, part.column(HITS).to_pylist(), part.column(ITEMS).to_pylist()):
                 words = words_of(text)
                 spans, found = held.scan(words)
                 spans += [(h["a"], h["b"]) for h in old]
@@ -157,15 +159,20 @@ def _pass(docs: DataFrame, block) -> DataFrame:
                 n_words.append(len(words))
                 hits.append([{"a": a, "b": b} for a, b in merged])
                 items.append(sorted(found | set(named)))
-            new = {"n_words": n_words, "hits": hits, "items": items}
+            new = {N_WORDS: n_words, HITS: hits, ITEMS: items}
             arrays = [pa.array(new[f.name], type=f.type) if f.name in new else part.column(f.name) for f in part.schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def verdict(hit: str = "n_hit") -> F.Column:
-    return (F.col(hit) > 0) & (F.lit(SHARE) * F.col(hit) >= F.col("n_words"))
+def n_hit() -> Column:
+    """Words inside the spans."""
+    return F.aggregate(HITS, F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"])
+
+
+def verdict(hit: Column, words: Column) -> Column:
+    return (hit > 0) & (hit * SHARE >= words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,19 +201,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = map_slices(narrow, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
     else:
         found = scan_benchmark(docs.select("doc_id", "text"), benchmark).select(
-            "doc_id", "n_words",
-            F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"]).alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            "doc_id", F.col(N_WORDS).alias("n_words"), n_hit().alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256")
         )
-    return found.withColumn("contaminated", verdict())
+    return found.withColumn("contaminated", verdict(F.col("n_hit"), F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without its contaminated documents, columns unchanged (one pass, no shuffle)."""
-    scanned = scan_benchmark(docs.select(*docs.columns), benchmark)
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"])
-    return scanned.withColumn("n_hit", hit).where(~verdict()).select(*docs.columns)
+    return scan_benchmark(docs, benchmark).where(~verdict(n_hit(), F.col(N_WORDS))).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            texts = [cut(t, h) if h else t for t, h in zip(part.column("text").to_pylist(), part.column("hits").to_pylist())]
+            texts = [cut(t, h) if h else t for t, h in zip(part.column("text").to_pylist(), part.column(HITS).to_pylist())]
             keep_ = [pa.array(texts, type=part.schema.field("text").type) if n == "text" else part.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(keep_, names=names)
 

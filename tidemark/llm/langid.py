@@ -7,17 +7,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_slices
+from .common import crc_mod, keep, map_slices
 
 #: Hash buckets of the character n-grams of 1 to 3 letters.
 DIMS = 1 << 13
 #: Labelled documents the model is fitted on, in all and of one language, chosen by a hash of the id.
 MOST_FIT_DOCS = 12_000
 MOST_FIT_PER_LANG = 3_000
-#: Characters of a document that the fit reads (predictions read whole texts).
+#: Centroids of a language, and rounds of clustering.
 CENTROIDS = 4
 ROUNDS = 8
 #: A text is rejected if its cosine to the nearest centroid is below this share of the least cosine seen in fitting
@@ -125,16 +125,10 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(4) != 2))
     draw = (F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30))
-    per = rows.groupBy("lang").count().withColumn("langs", F.count(F.lit(1)).over(_whole()))
+    per = rows.groupBy("lang").count().withColumn("langs", F.count(F.lit(1)).over(Window.partitionBy()))
     quota = F.least(F.lit(MOST_FIT_PER_LANG), F.lit(MOST_FIT_DOCS) / F.col("langs"))
     share = per.select("lang", (quota / F.col("count")).alias("share"))
-    return rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    return rows.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -145,9 +139,7 @@ def fit(docs: DataFrame) -> Model:
         rows = [(lang, c) for lang, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if (c := counts(t)) is not None]
         return {"lang": [r[0] for r in rows], "v": [zlib.compress(r[1].astype(np.uint32).tobytes(), 1) for r in rows]}
 
-    from .common import keep
-
-    vectors = keep(map_slices(sample, vectorise, "lang string, v binary").coalesce(16))
+    vectors = keep(map_slices(sample, vectorise, "lang string, v binary"))
 
     def frequencies(batches):
         n, df = 0, np.zeros(DIMS, dtype=np.int64)
@@ -157,7 +149,7 @@ def fit(docs: DataFrame) -> Model:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], type=pa.binary())], names=["n", "df"])
 
-    partial = vectors.select("v").mapInArrow(frequencies, "n long, df binary").collect()  # one row of 64 KB a partition, 16 at most
+    partial = vectors.select("v").coalesce(16).mapInArrow(frequencies, "n long, df binary").collect()  # one row of 64 KB a partition, 16 at most
     n = sum(r["n"] for r in partial)
     df = sum((np.frombuffer(r["df"], dtype=np.int64) for r in partial), np.zeros(DIMS, dtype=np.int64))
     idf = (np.log((1 + n) / (1 + df)) + 1.0).astype(np.float32)

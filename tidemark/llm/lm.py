@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, keep, slices
 
 #: Tokens of a block (a longer document is a block of its own) and, on average, tokens answered by one shard.
-BLOCK_TOKENS = 1_500_000
-SHARD_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 LEAST_SHARDS = 24
 #: Absolute discount.
 DISCOUNT = 0.75
@@ -421,7 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), answer_schema)], schema=answer_schema)
 
     asked = blocks.select("block", "data").mapInArrow(ask, "shard int, block long, data binary")
-    answers = keep(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "shard int, block long, data binary, known long"))
+    answers = keep(asked.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(answer, "shard int, block long, data binary, known long"))
     vocabulary = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
 
     from pyspark.sql.pandas.types import to_arrow_schema

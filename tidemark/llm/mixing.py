@@ -4,26 +4,30 @@ A source's target over its size is the expected number of copies of each of its
 outright; the fraction is an inclusion probability.  The cube method walks the probabilities through the null space
 of two balance constraints (number of documents, number of tokens) until they are zero or one: three open documents
 always have a direction that keeps both totals, so a flight over a bucket leaves at most two documents open.  The open
-documents of all buckets are dealt into fewer buckets and fly again, and the last two of a source land on the corner
-that is nearest to its token total.
+documents of all buckets are dealt into fewer buckets and fly again.  Long documents stay open longest, so a source's
+last flight keeps some documents back; these and the last two open ones land together near the source's token total.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_slices
+from .common import keep, map_slices, with_row_key
 
 #: Weights dealt to the sources in code point order, null last, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source is repeated more often than this.
 MOST_COPIES = 3.0
+#: Documents of a source that are kept from its last flight for the landing.
+LANDING = 60
+#: Documents that a bucket keeps open for the next level, beside the two that a flight leaves open.
+PASSED_ON = 10
 #: Documents of one flight's bucket, on average.
 BUCKET_DOCS = 4_000
 EPS = 1e-9
@@ -100,33 +104,45 @@ def _fly(open_: list, decide) -> None:
 
 
 def _land(open_: list, decide) -> None:
-    """The last open units of a source go to the corner nearest to their expected tokens, then documents."""
-    n, tokens, docs = len(open_), sum(u[0] * u[1] for u in open_), sum(u[0] for u in open_)
-    corners = [[(c >> k) & 1 for k in range(n)] for c in range(1 << n)]
-    best = min(corners, key=lambda c: (abs(sum(b * u[1] for b, u in zip(c, open_)) - tokens), abs(sum(c) - docs), c))
-    for b, u in zip(best, open_):
-        decide(u[2], float(b))
+    """The last open units of a source: a random corner, moved by single flips and swaps while the tokens get nearer."""
+    take = [_draw("land", u[3]) < u[0] for u in open_]
+    sizes = [u[1] for u in open_]
+    off = sum(s for s, t in zip(sizes, take) if t) - sum(u[0] * u[1] for u in open_)
+    while True:
+        gain = [(-s if t else s) for s, t in zip(sizes, take)]
+        moves = [(abs(off + g), (i,)) for i, g in enumerate(gain)]
+        moves += [(abs(off + gain[i] + gain[j]), (i, j)) for i in range(len(gain)) for j in range(i) if take[i] != take[j]]
+        best = min(moves, default=(abs(off), ()))
+        if best[0] >= abs(off) - EPS:
+            break
+        for i in best[1]:
+            off += gain[i]
+            take[i] = not take[i]
+    for u, t in zip(open_, take):
+        decide(u[2], float(t))
+    open_.clear()
 
 
-def _flights(units: DataFrame, land: bool) -> DataFrame:
+def _flights(units: DataFrame) -> DataFrame:
     """One flight over each (source, bucket) of ``units``, which stand together and in order inside a partition.
 
-    Streams with three open units at a time, so a large group needs no memory."""
+    Streams with three open units at a time (and LANDING held ones), so a large group needs no memory."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = units.schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, open_ = None, []
+        group, land, open_, held = None, False, [], deque()
         late: list[tuple] = []  # units of earlier batches that are decided or left in this one
 
         def close(decide) -> None:
+            open_.extend(held)
+            held.clear()
             if land:
                 _land(open_, decide)
-            else:
-                for u in open_:
-                    decide(u[2], u[0])
+            for u in open_:
+                decide(u[2], u[0])
             open_.clear()
 
         def write(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +161,14 @@ def _flights(units: DataFrame, land: bool) -> DataFrame:
             for row in rows:
                 if (mine := (row[where["source"]], row[where["bucket"]])) != group:
                     close(decide)
-                    group = mine
+                    group, land = mine, row[where["land"]]
                 p = row[where["p"]]
                 if p <= EPS or p >= 1 - EPS:
                     decide(row, 1.0 if p > 0.5 else 0.0)
                     continue
-                open_.append([p, float(row[where["size"]]), row, (row[where["doc_id"]], row[where["text_hash"]])])
+                held.append([p, float(row[where["size"]]), row, (row[where["doc_id"]], row[where["text_hash"]])])
+                if len(held) > (LANDING if land else PASSED_ON):
+                    open_.append(held.popleft())
                 while len(open_) > 2:
                     _fly(open_, decide)
             yield from write(out)
@@ -168,23 +186,21 @@ def sample(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """
     mix = F.xxhash64(F.lit("cube"), "doc_id", "text_hash", "size")
     units = sized.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    units = units.withColumns({"whole": F.floor("copies").cast("long"), "p": F.col("copies") - F.floor("copies"), "bucket": F.lit(0).cast("long")})
+    units = units.withColumns({"whole": F.floor("copies").cast("long"), "p": F.col("copies") - F.floor("copies"), "bucket": F.lit(0).cast("long"), "land": F.lit(False)})
     most = sources.agg(F.max("docs")).first()[0] or 0
     done: list[DataFrame] = []
     docs, level = F.col("docs"), 0
     while True:
         dealt = F.ceil(docs / BUCKET_DOCS)
-        units = units.withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), mix), F.greatest(dealt, F.lit(1))).cast("long"))
-        last = most <= BUCKET_DOCS
-        units = units.withColumn("__mix", mix).repartition("source", "bucket").sortWithinPartitions("source", "bucket", "__mix", "doc_id", "size", "text_hash").drop("__mix")
-        flown = keep(_flights(units, last))
-        if last:
+        units = units.withColumns({"bucket": F.pmod(F.xxhash64(F.lit(level), mix), F.greatest(dealt, F.lit(1))).cast("long"), "land": dealt <= 1, "__mix": mix})
+        dealt_out = units.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "__mix", "doc_id", "size", "text_hash").drop("__mix")
+        flown = keep(_flights(dealt_out))
+        if most <= BUCKET_DOCS:  # every source has landed
             done.append(flown)
             break
         done.append(flown.where(F.col("p").isin(0.0, 1.0)))
         units = flown.where(~F.col("p").isin(0.0, 1.0))
-        docs = F.ceil(docs / BUCKET_DOCS) * 2
-        most, level = -(-most // BUCKET_DOCS) * 2, level + 1
+        docs, most, level = dealt * (PASSED_ON + 2), -(-most // BUCKET_DOCS) * (PASSED_ON + 2), level + 1
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
@@ -203,16 +219,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of ``docs``."""
-    drawn = mix(docs, weights).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__copies"))
-    drawn = drawn.where("__copies > 0").select(F.struct("doc_id", "text_hash", "source").alias("__k"), "__copies")
-    keyed = docs.withColumn("__k", F.struct("doc_id", F.xxhash64("text").alias("text_hash"), "source"))
-    first = Window.partitionBy("__k").orderBy("__k")
+    drawn, keys = with_row_key(mix(docs, weights), F.col("text_hash"), "doc_id", "source")
+    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    keyed, _ = with_row_key(docs, F.xxhash64("text"), "doc_id", "source")
+    same = Window.partitionBy(*keys)
+    # equal rows share their copies; the remainder goes to the first of them
+    each = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
     return (
-        keyed.join(drawn, "__k")
-        .withColumn("__i", F.row_number().over(first))
-        .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__k")))
-        # equal rows share their copies; the remainder goes to the first of them
-        .withColumn("__mine", F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__n"), 1).otherwise(0))
-        .withColumn("__c", F.explode(F.array_repeat(F.lit(0), F.col("__mine").cast("int"))))
+        keyed.join(drawn, keys)
+        .withColumns({"__i": F.row_number().over(same.orderBy("__h")), "__n": F.count(F.lit(1)).over(same)})
+        .withColumn("__c", F.explode(F.array_repeat(F.lit(0), each.cast("int"))))
         .select(*docs.columns)
     )

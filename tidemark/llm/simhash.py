@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_slices, raw
+from .common import keep, map_slices, raw, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -116,7 +116,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs)
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    chosen = groups.groupBy("component").agg(F.min(who).alias("__k")).select("__k")
-    keyed = docs.withColumn("__k", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash")))
-    once = Window.partitionBy("__k").orderBy("__k")
-    return keyed.join(chosen, "__k", "left_semi").withColumn("__i", F.row_number().over(once)).where("__i = 1").select(*docs.columns)
+    chosen, keys = with_row_key(groups.groupBy("component").agg(F.min(who).alias("w")).select("w.*"), F.col("text_hash"), "doc_id")
+    keyed, _ = with_row_key(docs, F.xxhash64("text"), "doc_id")
+    once = Window.partitionBy(*keys).orderBy("__h")
+    return keyed.join(chosen.select(*keys), keys, "left_semi").withColumn("__i", F.row_number().over(once)).where("__i = 1").select(*docs.columns)

@@ -218,8 +218,11 @@ def _all_scores(words: list[bytes], table: np.ndarray, bias: float, step: int =
     return out
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Fits the machine on documents with labels 0 and 1; without both labels every score is the label's share."""
+def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> Model:
+    """Fits the machine on documents with labels 0 and 1; without both labels every score is the label's share.
+
+    ``prior`` is the share of label 1 among all labelled rows, where the documents are a sample that evens out the
+    labels; the logistic layer's intercept is moved from the sample's odds to these."""
     labels = labels.astype(int)
     share = float(labels.mean()) if len(labels) else 0.0
     flat = Model(np.zeros(SLOTS, dtype=np.float32), 0.0, np.append(np.zeros(TOP), np.log((share + 1e-3) / (1 - share + 1e-3))))
@@ -276,18 +279,22 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         table, bias = (turned @ beta).astype(np.float32), float(w[-1])
         current = _all_scores(words, table, bias)
     x = np.array([top_scores(word_scores(t, table, bias)) for t in texts])
-    return Model(table, bias, _logistic(x, labels))
+    layer = _logistic(x, labels)
+    if prior is not None:
+        layer[-1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    return Model(table, bias, layer)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most about MOST_FIT_DOCS labelled documents that are not held out, half of each label if there are.
+    """(text, toxic, known) of at most about MOST_FIT_DOCS labelled documents that are not held out, half of each label if there are.
 
-    Ids are chosen by a hash over the narrow label table; only the chosen documents' texts are gathered."""
+    ``known`` is how many labelled rows have the row's label.  Ids are chosen by a hash over the narrow label table;
+    only the chosen documents' texts are gathered."""
     known = labels.select("doc_id", F.col("toxic").alias("__toxic")).where(F.col("__toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(5) != 0)).dropDuplicates(["doc_id"])
-    per = known.groupBy("__toxic").count().select("__toxic", F.least(F.lit(1.0), F.lit(MOST_FIT_DOCS / 2.0) / F.col("count")).alias("share"))
+    per = known.groupBy("__toxic").count().select("__toxic", F.col("count").alias("__known"), F.least(F.lit(1.0), F.lit(MOST_FIT_DOCS / 2.0) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(per), "__toxic").where(draw < F.col("share")).select(F.col("doc_id").alias("__id"), "__toxic")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("__toxic").alias("toxic"))
+    chosen = known.join(F.broadcast(per), "__toxic").where(draw < F.col("share")).select(F.col("doc_id").alias("__id"), "__toxic", "__known")
+    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("__toxic").alias("toxic"), F.col("__known").alias("known"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -295,7 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["toxic", "text"])
-        m = train(group["text"].tolist(), group["toxic"].to_numpy())
+        known = group.groupby("toxic")["known"].first()
+        prior = known.get(1, 0) / known.sum() if len(known) == 2 else None
+        m = train(group["text"].tolist(), group["toxic"].to_numpy(), prior)
         return pd.DataFrame({"t": [m.table.tobytes()], "bias": [m.bias], "layer": [m.layer.astype(np.float64).tobytes()]})
 
     rows = keep(training_rows(docs, labels)).groupBy().applyInPandas(run, "t binary, bias double, layer binary").collect()
