@@ -37,10 +37,9 @@ def bfs_propagate(t: Tables) -> DataFrame:
     return out.select("node", "weight", F.round(gr.hop_score(F.col("weight"), F.col("hops")), 6).alias("score"))
 
 
-@query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes WHERE node < 25 UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst < 25) SELECT node, (SELECT min(w.node) FROM w WHERE w.origin = nodes.node) AS component FROM nodes WHERE node < 25")
+@query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT node, (SELECT min(w.node) FROM w WHERE w.origin = nodes.node) AS component FROM nodes")
 def components(t: Tables) -> DataFrame:
-    near = edges(t).where("src < 25 AND dst < 25")
-    return gr.components(nodes(t).where("node < 25"), near)
+    return gr.components(nodes(t), edges(t))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst NOT IN (5, 13)) SELECT count(*) AS reachable FROM w")
@@ -50,9 +49,9 @@ def reachability(t: Tables) -> DataFrame:
     return gr.shortest_paths(free, seed(t, 0)).agg(F.count(F.lit(1)).alias("reachable"))
 
 
-@query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE e.dst < 20 AND NOT list_contains(w.path, e.dst)) SELECT node, min(weight) AS weight FROM w GROUP BY node")
+@query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)) SELECT node, min(weight) AS weight FROM w GROUP BY node")
 def shortest_path(t: Tables) -> DataFrame:
-    return gr.shortest_paths(edges(t).where("src < 20 AND dst < 20"), seed(t, 2))
+    return gr.shortest_paths(edges(t), seed(t, 2))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight UNION SELECT e.dst, w.weight + e.weight FROM w JOIN e ON e.src = w.node WHERE w.weight + e.weight <= 5) SELECT node, min(weight) AS minutes FROM w GROUP BY node")
@@ -60,15 +59,15 @@ def isochrone(t: Tables) -> DataFrame:
     return gr.shortest_paths(edges(t), seed(t, 2), limit=5.0).select("node", F.col("weight").alias("minutes"))
 
 
-@query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE e.dst < 20 AND NOT list_contains(w.path, e.dst)) SELECT min(weight) AS nominal, min(weight) FILTER (NOT list_contains(path, 4)) AS around, min(weight) FILTER (NOT list_contains(path, 4)) - min(weight) AS extra FROM w WHERE node = 6")
+@query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)) SELECT min(weight) AS nominal, min(weight) FILTER (NOT list_contains(path, 4)) AS around, min(weight) FILTER (NOT list_contains(path, 4)) - min(weight) AS extra FROM w WHERE node = 6")
 def detour(t: Tables) -> DataFrame:
     """Extra weight of the way round a blocked node."""
-    return gr.detour(edges(t).where("src < 20 AND dst < 20"), seed(t, 2), 6, seed(t, 4))
+    return gr.detour(edges(t), seed(t, 2), 6, seed(t, 4))
 
 
-@query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes WHERE node < 25 AND node NOT IN (3, 8) UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst < 25 AND e.dst NOT IN (3, 8)), s AS (SELECT origin, count(*) AS n FROM w GROUP BY origin) SELECT round(max(n) / (SELECT count(*) FROM nodes WHERE node < 25), 6) AS ratio FROM s")
+@query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes WHERE node NOT IN (3, 8) UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst NOT IN (3, 8)), s AS (SELECT origin, count(*) AS n FROM w GROUP BY origin) SELECT round(max(n) / (SELECT count(*) FROM nodes), 6) AS ratio FROM s")
 def connectivity_ratio(t: Tables) -> DataFrame:
-    out = gr.connectivity(nodes(t).where("node < 25"), edges(t).where("src < 25 AND dst < 25"), seed(t, 3, 8))
+    out = gr.connectivity(nodes(t), edges(t), seed(t, 3, 8))
     return out.select(F.round("ratio", 6).alias("ratio"))
 
 

@@ -45,7 +45,7 @@ def nearest_neighbour(t: Tables) -> DataFrame:
 
 #: Events to resolve against: one a day and key, at its first report.
 EVENTS_SQL = ", ev AS (SELECT event_key * 100 + us // 86400000000 % 100 AS event_id, min(us) AS us, arg_min(lon, us) AS lon, arg_min(lat, us) AS lat, arg_min(kind, us) AS kind FROM obs GROUP BY event_key, us // 86400000000)"
-PAIRS_SQL = EVENTS_SQL + f""", pairs AS (SELECT o.observation_id, o.kind, e.kind AS ekind, e.event_id, abs(o.us - e.us) AS gap_us, {haversine_sql('o.lon', 'o.lat', 'e.lon', 'e.lat')} AS dist_m FROM obs o JOIN ev e ON abs(o.us - e.us) <= 10800000000 WHERE o.observation_id % 3 = 0), near AS (SELECT * FROM pairs WHERE dist_m <= 2500)"""
+PAIRS_SQL = EVENTS_SQL + f""", pairs AS (SELECT o.observation_id, o.kind, e.kind AS ekind, e.event_id, abs(o.us - e.us) AS gap_us, {haversine_sql('o.lon', 'o.lat', 'e.lon', 'e.lat')} AS dist_m FROM obs o JOIN ev e ON abs(o.us - e.us) <= 10800000000), near AS (SELECT * FROM pairs WHERE dist_m <= 2500)"""
 
 
 def day_events(t: Tables) -> DataFrame:
@@ -55,7 +55,7 @@ def day_events(t: Tables) -> DataFrame:
 
 
 def near_pairs(t: Tables) -> DataFrame:
-    o = t.obs.where("observation_id % 3 = 0").select("observation_id", "us", "lon", "lat", "kind")
+    o = t.obs.select("observation_id", "us", "lon", "lat", "kind")
     return sp.candidates(o, day_events(t), 10_800_000_000, 2500.0)
 
 
@@ -127,11 +127,11 @@ def impact_merge(t: Tables) -> DataFrame:
     return both.select("event_key", "k", F.coalesce("rv", "iv").alias("severity"), F.when(F.col("rv").isNotNull(), "reported").otherwise("inferred").alias("truth"), (F.coalesce("rn", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("evidence"))
 
 
-@query(PLACES_SQL + f""", i AS (SELECT event_key, avg(lon) AS lon, avg(lat) AS lat, least(1.0, max(value) / 400) AS severity FROM (SELECT * FROM obs WHERE observation_id < 2000) GROUP BY event_key), d AS (SELECT place_id, event_key, severity, {haversine_sql('i.lon', 'i.lat', 'p.lon', 'p.lat')} AS d FROM places p, i)
+@query(PLACES_SQL + f""", i AS (SELECT event_key, avg(lon) AS lon, avg(lat) AS lat, least(1.0, max(value) / 400) AS severity FROM obs GROUP BY event_key), d AS (SELECT place_id, event_key, severity, {haversine_sql('i.lon', 'i.lat', 'p.lon', 'p.lat')} AS d FROM places p, i)
 SELECT place_id, count(*) AS events, round(max(least(1.0, (1 - d / 10000) * (0.5 * severity + 0.3))), 5) AS exposure, round(min(d), 1) AS nearest_m FROM d WHERE d <= 10000 GROUP BY place_id""", obs=True)
 def exposure_score(t: Tables) -> DataFrame:
     """Exposure of places to event centres within 10 km, by proximity and severity."""
-    i = t.obs.where("observation_id < 2000").groupBy("event_key").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.least(F.lit(1.0), F.max("value") / 400).alias("severity"))
+    i = t.obs.groupBy("event_key").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.least(F.lit(1.0), F.max("value") / 400).alias("severity"))
     near = sp.within_distance(places(t).select("place_id", "lon", "lat"), i, 10_000.0)
     score = F.least(F.lit(1.0), (1 - F.col("dist_m") / 10000) * (F.col("severity") * 0.5 + 0.3))
     return near.groupBy("place_id").agg(F.count(F.lit(1)).alias("events"), F.round(F.max(score), 5).alias("exposure"), F.round(F.min("dist_m"), 1).alias("nearest_m"))

@@ -77,11 +77,11 @@ def user_exposure_change(t: Tables) -> DataFrame:
     return a.select("source_id", change.alias("change"), F.round(F.coalesce(c, F.lit(0.0)) - F.coalesce(p, F.lit(0.0)), 4).alias("moved"))
 
 
-@query(""", s AS (SELECT event_key, k, us, observation_id, kind, CASE WHEN value >= 200 THEN 3 WHEN value >= 80 THEN 2 ELSE 1 END AS sev FROM obs WHERE k % 10 = 0), l AS (SELECT event_key, k, max(us) FILTER (kind = 'signup') AS resolved_us FROM s GROUP BY ALL)
+@query(""", s AS (SELECT event_key, k, us, observation_id, kind, CASE WHEN value >= 200 THEN 3 WHEN value >= 80 THEN 2 ELSE 1 END AS sev FROM obs), l AS (SELECT event_key, k, max(us) FILTER (kind = 'signup') AS resolved_us FROM s GROUP BY ALL)
 SELECT s.event_key, s.k, count(*) AS evidence, coalesce(max(CASE WHEN l.resolved_us IS NULL OR s.us > l.resolved_us THEN sev END), 1)::INTEGER AS severity, bool_or(l.resolved_us IS NOT NULL AND l.resolved_us >= s.us) AS touched FROM s JOIN l USING (event_key, k) GROUP BY ALL""", obs=True)
 def affected_infrastructure(t: Tables) -> DataFrame:
     """Severity of each affected thing from its reports after the last resolution; a resolved thing stays, at the lowest."""
-    s = t.obs.where("k % 10 = 0").withColumn("sev", F.when(F.col("value") >= 200, 3).when(F.col("value") >= 80, 2).otherwise(1))
+    s = t.obs.withColumn("sev", F.when(F.col("value") >= 200, 3).when(F.col("value") >= 80, 2).otherwise(1))
     last = F.max(F.when(F.col("kind") == "signup", F.col("us"))).over(Window.partitionBy("event_key", "k"))
     rows = s.withColumn("resolved_us", last)
     counts = rows["resolved_us"].isNull() | (F.col("us") > F.col("resolved_us"))
@@ -98,11 +98,11 @@ def situation_trajectory(t: Tables) -> DataFrame:
     return g.select("event_key", label.alias("trajectory"), "agencies", "domains")
 
 
-@query(f""", p AS (SELECT observation_id, us, lon, lat FROM obs WHERE kind = 'error' AND source_id < 12), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
+@query(f""", p AS (SELECT observation_id, us, lon, lat FROM obs WHERE kind = 'error'), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
 SELECT count(*) AS points, (SELECT count(*) FROM e WHERE x < y) AS links FROM p""", obs=True)
 def cluster_links(t: Tables) -> DataFrame:
     """Links of the density graph over which unresolved observations cluster."""
-    p = t.obs.where("kind = 'error' AND source_id < 12").select("observation_id", "lon", "lat")
+    p = t.obs.where("kind = 'error'").select("observation_id", "lon", "lat")
     pairs = sp.within_distance(p, p.withColumnRenamed("observation_id", "other"), 400.0).where("observation_id < other")
     return p.agg(F.count(F.lit(1)).alias("points")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("links")))
 
@@ -110,7 +110,7 @@ def cluster_links(t: Tables) -> DataFrame:
 @query()
 def unresolved_clusters(t: Tables) -> DataFrame:
     """Density clusters (components of the graph of near points), cut where a cluster is silent for two hours."""
-    p = t.obs.where("kind = 'error' AND source_id < 12").select("observation_id", "us", "lon", "lat")
+    p = t.obs.where("kind = 'error'").select("observation_id", "us", "lon", "lat")
     pairs = sp.within_distance(p.select("observation_id", "lon", "lat"), p.select(F.col("observation_id").alias("other"), "lon", "lat"), 400.0)
     edges = pairs.where("observation_id < other").select(F.col("observation_id").alias("src"), F.col("other").alias("dst"))
     found = gr.components(p.select(F.col("observation_id").alias("node")), edges)
@@ -143,7 +143,7 @@ def dominant_label(t: Tables) -> DataFrame:
     return m.groupBy("event_key").agg(F.max_by("kind", F.col("n") * 1000 + F.ascii("kind")).alias("label"))
 
 
-@query("SELECT consumer, max(us) AS us, count(*) AS n FROM (SELECT kind AS consumer, us FROM obs WHERE observation_id % 2 = 0) GROUP BY consumer".join((" ", "")), obs=True)
+@query("SELECT consumer, max(us) AS us, count(*) AS n FROM (SELECT kind AS consumer, us FROM obs) GROUP BY consumer".join((" ", "")), obs=True)
 def consumer_offsets(t: Tables) -> DataFrame:
     """Where each consumer stands."""
-    return t.obs.where("observation_id % 2 = 0").groupBy(F.col("kind").alias("consumer")).agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("n"))
+    return t.obs.groupBy(F.col("kind").alias("consumer")).agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("n"))

@@ -76,12 +76,12 @@ def traffic_anomaly(t: Tables) -> DataFrame:
     return rows.select("observation_id", "period", r6(ratio, "ratio"), tx.ladder(ratio, [(0.9, "normal"), (0.75, "minor"), (0.6, "moderate"), (0.4, "severe")], "gridlock").alias("band"))
 
 
-@query(", l AS (SELECT event_key, sum(ln((0.3 + k / 200.0) / (1 - 0.3 - k / 200.0))) AS s FROM obs WHERE observation_id % 10 = 0 GROUP BY event_key) SELECT event_key, round(greatest(0.01, least(0.99, 1 / (1 + exp(-(ln(0.2 / 0.8) + s))))), 6) AS p FROM l", obs=True)
+@query(", l AS (SELECT event_key, us // 86400000000 AS day, sum(ln((0.3 + k / 200.0) / (1 - 0.3 - k / 200.0))) AS s FROM obs GROUP BY ALL) SELECT event_key, day, round(greatest(0.01, least(0.99, 1 / (1 + exp(-(ln(0.2 / 0.8) + s))))), 6) AS p FROM l", obs=True)
 def bayes_fusion(t: Tables) -> DataFrame:
-    """Log-odds fusion of independent reports on a prior of 0.2."""
+    """Log-odds fusion of the independent reports of an event and day on a prior of 0.2."""
     q = F.col("k") / 200.0 + 0.3
-    s = t.obs.where("observation_id % 10 = 0").groupBy("event_key").agg(F.sum(F.log(q / (1 - F.lit(0.3) - F.col("k") / 200.0))).alias("s"))
-    return s.select("event_key", r6(tx.clamp(tx.sigmoid(F.col("s") + F.log(F.lit(0.2) / 0.8)), 0.01, 0.99), "p"))
+    s = t.obs.groupBy("event_key", F.floor(F.col("us") / 86_400_000_000).cast("long").alias("day")).agg(F.sum(F.log(q / (1 - F.lit(0.3) - F.col("k") / 200.0))).alias("s"))
+    return s.select("event_key", "day", r6(tx.clamp(tx.sigmoid(F.col("s") + F.log(F.lit(0.2) / 0.8)), 0.01, 0.99), "p"))
 
 
 @query(" SELECT source_id, round((7.0 + count(*) FILTER (kind <> 'error')) / (10.0 + count(*)), 6) AS reliability FROM obs GROUP BY source_id", obs=True)
@@ -119,12 +119,12 @@ def notification_gates(t: Tables) -> DataFrame:
 _W = (0.25, 0.15, 0.25, 0.15, 0.10, 0.10)
 
 
-@query("WITH v AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id AS query, v.vec_id, v.label, round(" + " + ".join(f"{w} * abs(q.e[{i + 1}] - v.e[{i + 1}])" for i, w in enumerate(_W)) + ", 9) AS dist FROM q, v WHERE v.vec_id <> q.vec_id) SELECT query, vec_id, label, dist FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) <= 3")
+@query("WITH v AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query, v.vec_id, v.label, round(" + " + ".join(f"{w} * abs(q.e[{i + 1}] - v.e[{i + 1}])" for i, w in enumerate(_W)) + ", 9) AS dist FROM q, v WHERE v.vec_id <> q.vec_id) SELECT query, vec_id, label, dist FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) <= 3")
 def knn_l1(t: Tables) -> DataFrame:
     """Three nearest analogues of each target by weighted L1 distance: a stated target set against the whole library."""
     e = [F.element_at("embedding", i + 1).cast("double") for i in range(6)]
     v = t.embeddings.select("vec_id", "label", F.array(*e).alias("e"))
-    targets = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
+    targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
     out = sim.nearest(targets, v, "query", "vec_id", F.round(sim.weighted_l1(F.col("qe"), F.col("e"), _W), 9), 3)
     return out.select("query", "vec_id", "label", "dist")
 
