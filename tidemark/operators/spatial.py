@@ -8,43 +8,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .graph import kept
 
 
 def _around(row: Column) -> Column:
     return F.array(row - 1, row, row + 1)
 
 
-def within_distance(left: DataFrame, right: DataFrame, radius_m: float, most_lat: float = 60.0) -> DataFrame:
+class _Cells:
+    """Cells of a radius on the sphere: bands of latitude, each cut into its own number of columns round the globe.
+
+    A point and any point at most the radius away lie in the same or adjacent bands, and within each band's grid in the
+    same or adjacent columns, the last column next to the first."""
+
+    def __init__(self, radius_m: float):
+        angle = min(radius_m / geo.EARTH_M, math.pi) * (1 + 1e-9) + 1e-12
+        self.step, self.half_chord = math.degrees(angle), math.sin(min(angle, math.pi) / 2)
+
+    def band(self, lat: Column) -> Column:
+        return F.floor(lat / self.step).cast("long")
+
+    def columns(self, band: Column) -> Column:
+        """How many columns a band has: each as wide as the radius where the band and its neighbours are nearest to a pole."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * self.step)
+        half = F.lit(self.half_chord) / F.cos(F.radians(far))
+        many = F.floor(F.lit(360.0) / (F.degrees(F.asin(half)) * 2 * (1 + 1e-9))).cast("long")
+        return F.when((far < 90.0) & (half < 1.0), F.greatest(F.lit(1), many)).otherwise(F.lit(1)).cast("long")
+
+    def column(self, lon: Column, band: Column) -> Column:
+        n = self.columns(band)
+        return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("long"), n - 1)
+
+    def own(self, rows: DataFrame, lon: str, lat: str) -> DataFrame:
+        """Adds the cell (__y, __x) of each row."""
+        rows = rows.withColumn("__y", self.band(F.col(lat)))
+        return rows.withColumn("__x", self.column(F.col(lon), F.col("__y")))
+
+    def copied(self, rows: DataFrame, lon: str, lat: str) -> DataFrame:
+        """Each row once for its own and every adjacent cell."""
+        rows = rows.withColumn("__y", F.explode(_around(self.band(F.col(lat)))))
+        near = F.transform(_around(self.column(F.col(lon), F.col("__y"))), lambda x: F.pmod(x, self.columns(F.col("__y"))))
+        return rows.withColumn("__x", F.explode(F.array_distinct(near)))
+
+
+def within_distance(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of rows with columns lon, lat (renamed lon_r, lat_r on the right) at most ``radius_m`` apart, with dist_m.
 
-    Both sides are put into cells of the radius; the right side is copied to the nine cells around it, so the join is
-    an equi-join and no pair is met twice.  Longitude cells are sized for ``most_lat``: nearer to a pole they would have
-    to be wider.
+    Both sides are put into cells of the radius; the right side is copied to the cells around it, so the join is an
+    equi-join and no pair is met twice.  Holds near the poles and across 180 degrees.
     """
-    step = radius_m / geo.DEGREE_M
-    wide = step / math.cos(math.radians(most_lat))
-    row = lambda lat: F.floor(lat / step).cast("long")
-    col = lambda lon: F.floor(lon / wide).cast("long")
-    a = left.withColumns({"__y": row(F.col("lat")), "__x": col(F.col("lon"))})
-    b = right.withColumnsRenamed({"lon": "lon_r", "lat": "lat_r"})
-    b = b.withColumn("__y", F.explode(_around(row(F.col("lat_r"))))).withColumn("__x", F.explode(_around(col(F.col("lon_r")))))
+    cells = _Cells(radius_m)
+    a = cells.own(left, "lon", "lat")
+    b = cells.copied(right.withColumnsRenamed({"lon": "lon_r", "lat": "lat_r"}), "lon_r", "lat_r")
     dist = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("lon_r"), F.col("lat_r"))
     return a.join(b, ["__y", "__x"]).drop("__y", "__x").withColumn("dist_m", dist).where(F.col("dist_m") <= radius_m)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_m: float, most_doublings: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_m: float) -> DataFrame:
     """(key, right_key, dist_m): the nearest right row of each left row; ties go to the smaller key.
 
-    Looks within ``radius_m`` and doubles it for the rows that found none, so cells stay small where neighbours are
-    close; a row beyond the last radius gets none."""
+    Looks within ``radius_m`` and doubles it for the rows that found none, up to half the globe's girth, so cells stay
+    small where neighbours are close; only a row without coordinates, or an empty right side, gets none."""
     order = F.struct("dist_m", right_key)
     pick = lambda pairs: pairs.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col(f"m.{right_key}"), F.col("m.dist_m"))
-    found, open_ = [], left
-    for _ in range(most_doublings):
+    found, open_ = [], left.where("lon IS NOT NULL AND lat IS NOT NULL")
+    while True:
         got = pick(within_distance(open_, right, radius_m))
         found.append(got)
-        open_ = open_.join(got.select(key), key, "left_anti")
-        if open_.isEmpty():
+        open_ = kept(open_.join(got.select(key), key, "left_anti"))
+        if radius_m >= math.pi * geo.EARTH_M or open_.isEmpty():
             break
         radius_m *= 2
     out = found[0]
@@ -57,13 +89,11 @@ def candidates(observations: DataFrame, events: DataFrame, margin_us: int, radiu
     """Observation-event pairs near in time and place: time buckets of the margin and cells of the radius joined as one key.
 
     Both need us, lon, lat; the events' come back as us_e, lon_e, lat_e, with dist_m and gap_us."""
-    step = radius_m / geo.DEGREE_M
-    wide = step / math.cos(math.radians(60.0))
-    at = lambda c, size: F.floor(c / size).cast("long")
-    o = observations.withColumns({"__t": at(F.col("us"), margin_us), "__y": at(F.col("lat"), step), "__x": at(F.col("lon"), wide)})
+    cells = _Cells(radius_m)
+    bucket = lambda c: F.floor(c / margin_us).cast("long")
+    o = cells.own(observations.withColumn("__t", bucket(F.col("us"))), "lon", "lat")
     e = events.withColumnsRenamed({"us": "us_e", "lon": "lon_e", "lat": "lat_e"})
-    for name, cell in (("__t", at(F.col("us_e"), margin_us)), ("__y", at(F.col("lat_e"), step)), ("__x", at(F.col("lon_e"), wide))):
-        e = e.withColumn(name, F.explode(_around(cell)))
+    e = cells.copied(e.withColumn("__t", F.explode(_around(bucket(F.col("us_e"))))), "lon_e", "lat_e")
     gap, dist = F.abs(F.col("us") - F.col("us_e")), geo.haversine_m(F.col("lon"), F.col("lat"), F.col("lon_e"), F.col("lat_e"))
     pairs = o.join(e, ["__t", "__y", "__x"]).drop("__t", "__y", "__x").withColumns({"gap_us": gap, "dist_m": dist})
     return pairs.where((F.col("gap_us") <= margin_us) & (F.col("dist_m") <= radius_m))

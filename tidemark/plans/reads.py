@@ -9,6 +9,9 @@ from ..operators import delta, graph as gr, ledger as op, models as md, ordered
 from .ledger import STATES, states
 from .registry import Tables, haversine_sql, query
 
+#: The reference's radius of unresolved clusters in metres.
+CLUSTER_M = 1500.0
+
 VERSIONS_SQL = """, v AS (SELECT event_key, us // 86400000000 AS version, count(*) AS n, CASE WHEN count(*) >= 8 THEN 'active' WHEN count(*) >= 4 THEN 'quiescent' ELSE 'closed' END AS status,
  max(kind) AS label, count(DISTINCT kind) / 5.0 AS authority, max(value) AS amount, bool_or(kind = 'error' AND k >= 90) AS official FROM obs GROUP BY ALL)"""
 
@@ -101,20 +104,39 @@ def situation_trajectory(t: Tables) -> DataFrame:
 @query(f""", p AS (SELECT observation_id, us, lon, lat FROM obs WHERE kind = 'error'), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
 SELECT count(*) AS points, (SELECT count(*) FROM e WHERE x < y) AS links FROM p""", obs=True)
 def cluster_links(t: Tables) -> DataFrame:
-    """Links of the density graph over which unresolved observations cluster."""
-    p = t.obs.where("kind = 'error'").select("observation_id", "lon", "lat")
-    pairs = sp.within_distance(p, p.withColumnRenamed("observation_id", "other"), 400.0).where("observation_id < other")
-    return p.agg(F.count(F.lit(1)).alias("points")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("links")))
+    """Links of the density graph over which unresolved observations cluster, at the 400 m of its SQL."""
+    return _links(t.obs.where("kind = 'error'"), 400.0)
+
+
+@query(f""", p AS (SELECT observation_id, lon, lat FROM obs WHERE kind = 'error'), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1500)
+SELECT count(*) AS points, (SELECT count(*) FROM e WHERE x < y) AS links FROM p""", obs=True)
+def density_links(t: Tables) -> DataFrame:
+    """The same at the reference's radius, over which ``unresolved_clusters`` are built."""
+    return _links(t.obs.where("kind = 'error'"), CLUSTER_M)
+
+
+def _links(rows: DataFrame, radius_m: float) -> DataFrame:
+    """Counts of rows and of their links, counted by pairs of distinct coordinates, so no pair of rows is made."""
+    at = rows.groupBy("lon", "lat").agg(F.min("observation_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    placed = at.where("lon IS NOT NULL AND lat IS NOT NULL")
+    pairs = sp.within_distance(placed, placed.withColumnsRenamed({"node": "other", "n": "m"}), radius_m).where("node < other")
+    between, inside = pairs.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("b")), placed.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("i"))
+    return rows.agg(F.count(F.lit(1)).alias("points")).crossJoin(between).crossJoin(inside).select("points", (F.col("b") + F.col("i")).alias("links"))
 
 
 @query()
 def unresolved_clusters(t: Tables) -> DataFrame:
     """Density clusters (components of the graph of near points), cut where a cluster is silent for two hours."""
-    p = t.obs.where("kind = 'error'").select("observation_id", "us", "lon", "lat")
-    pairs = sp.within_distance(p.select("observation_id", "lon", "lat"), p.select(F.col("observation_id").alias("other"), "lon", "lat"), 400.0)
-    edges = pairs.where("observation_id < other").select(F.col("observation_id").alias("src"), F.col("other").alias("dst"))
-    found = gr.components(p.select(F.col("observation_id").alias("node")), edges)
-    rows = p.join(found.withColumnRenamed("node", "observation_id"), "observation_id")
+    return density_clusters(t.obs.where("kind = 'error'").select("observation_id", "us", "lon", "lat"))
+
+
+def density_clusters(p: DataFrame) -> DataFrame:
+    """(observation_id, component, session): rows at one coordinate are one node; a row without coordinates stays alone."""
+    at = p.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("lon", "lat").agg(F.min("observation_id").alias("node"))
+    pairs = sp.within_distance(at, at.withColumnRenamed("node", "other"), CLUSTER_M)
+    edges = pairs.where("node < other").select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    named = at.join(gr.components(at.select("node"), edges), "node").select("lon", "lat", "component")
+    rows = p.join(named, ["lon", "lat"], "left").withColumn("component", F.coalesce("component", "observation_id"))
     return od.sessions(rows, ["component"], "us", "observation_id", 7_200_000_000).select("observation_id", "component", "session")
 
 
