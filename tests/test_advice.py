@@ -34,3 +34,17 @@ def test_clusters_at_full_radius(spark):
     rows = [(1, 0, 0.0, 0.0), (2, 1, 0.0, 0.01), (3, 2, 0.0, 0.01), (4, 3, 0.0, 0.02), (5, 4, 5.0, 0.0), (6, 5, None, None)]
     got = density_clusters(spark.createDataFrame(rows, "observation_id long, us long, lon double, lat double"))
     assert {r.observation_id: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+def test_training_grid(spark):
+    from tidemark.operators import ordered as od
+
+    minute, rows = 60_000_000, [(1, 0), (1, 4), (1, 15), (1, 15), (1, 29), (1, 61), (2, 7), (3, 0), (3, 60 * 24 * 45)]
+    horizons = {f"next_{h}": h * minute for h in (5, 15, 30, 60)}
+    got = od.grid_counts(spark.createDataFrame([(k, m * minute) for k, m in rows], "k long, us long"), "k", "us", 15 * minute, horizons).collect()
+    want = []
+    for k in (1, 2, 3):
+        times = [m for key, m in rows if key == k]
+        for at in range(min(times), max(times) + 1, 15):
+            want.append((k, at * minute, sum(m <= at for m in times), *(sum(at < m <= at + h for m in times) for h in (5, 15, 30, 60))))
+    assert sorted(map(tuple, got)) == want

@@ -33,6 +33,25 @@ def lifecycle(silence_s: Column, threshold_s: Column, n: Column, resolved: Colum
     )
 
 
+def grid_counts(rows: DataFrame, key: str, time_us: str, step_us: int, horizons: dict[str, int], bucket_us: int = 900_000_000) -> DataFrame:
+    """(key, at, known, *horizons): a grid of ``step_us`` over each key's span, the rows up to each point and within each horizon after it.
+
+    Markers at a point and at its horizons are counted among the rows by running sums, within buckets of time and over
+    the buckets' totals, so no row meets another and a hot key's rows are spread over its buckets."""
+    rows = rows.select(key, F.col(time_us).alias("__t")).where(F.col(key).isNotNull() & F.col("__t").isNotNull())
+    span = rows.groupBy(key).agg(F.min("__t").alias("a"), F.max("__t").alias("b"))
+    grid = span.select(key, F.explode(F.sequence("a", "b", F.lit(step_us))).alias("at"))
+    offsets = F.array(*(F.lit(h).cast("long") for h in (0, *horizons.values())))
+    marks = grid.select(key, "at", F.explode(offsets).alias("h")).select(key, (F.col("at") + F.col("h")).alias("__t"), "at", "h", F.lit(0).alias("n"))
+    both = marks.unionByName(rows.withColumn("n", F.lit(1)), allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket_us).cast("long"))
+    totals = both.groupBy(key, "__b").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("n").over(Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumn("c", inside).where("at IS NOT NULL").join(totals.select(key, "__b", before.alias("before")), [key, "__b"]).withColumn("c", F.col("c") + F.col("before"))
+    at = lambda h: F.max(F.when(F.col("h") == h, F.col("c")))
+    return counted.groupBy(key, "at").agg(at(0).alias("known"), *((at(h) - at(0)).alias(name) for name, h in horizons.items()))
+
+
 def sessions(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, gap_us: int) -> DataFrame:
     """Adds session: it rises when a key is silent for longer than the gap."""
     by = Window.partitionBy(*keys).orderBy(time_us, tie)

@@ -96,12 +96,15 @@ def pit_outcomes(t: Tables) -> DataFrame:
 @query(""", e AS (SELECT source_id, min(us) AS a, max(us) AS b FROM obs GROUP BY source_id), g AS (SELECT source_id, a + i * 86400000000 AS at FROM e, range(0, 40) r(i) WHERE a + i * 86400000000 <= b)
 SELECT g.source_id, g.at, count(*) FILTER (o.us <= g.at) AS known, count(*) FILTER (o.us > g.at AND o.us <= g.at + 3600000000) AS next_hour FROM g JOIN obs o USING (source_id) GROUP BY ALL""", obs=True)
 def pit_grid(t: Tables) -> DataFrame:
-    """A daily sample grid over each source's span, with counts known at the time and in the hour after it."""
-    rows = t.obs.select("source_id", "us")
-    e = rows.groupBy("source_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
-    grid = e.select("source_id", F.explode(F.expr("sequence(a, b, 86400000000)")).alias("at"))
-    joined = grid.join(rows, "source_id")
-    return joined.groupBy("source_id", "at").agg(F.count_if(F.col("us") <= F.col("at")).alias("known"), F.count_if((F.col("us") > F.col("at")) & (F.col("us") <= F.col("at") + 3_600_000_000)).alias("next_hour"))
+    """A daily sample grid over each source's span, with counts known at the time and in the hour after it (its SQL's grid)."""
+    return od.grid_counts(t.obs.select("source_id", "us"), "source_id", "us", 86_400_000_000, {"next_hour": 3_600_000_000})
+
+
+@query(""", e AS (SELECT source_id, min(us) AS a, max(us) AS b FROM obs GROUP BY source_id), g AS (SELECT source_id, unnest(range(a, b + 1, 900000000)) AS at FROM e)
+SELECT g.source_id, g.at, count(*) FILTER (o.us <= g.at) AS known, """ + ", ".join(f"count(*) FILTER (o.us > g.at AND o.us <= g.at + {h * 60_000_000}) AS next_{h}" for h in (5, 15, 30, 60)) + " FROM g JOIN obs o USING (source_id) GROUP BY ALL", obs=True)
+def pit_grid_15m(t: Tables) -> DataFrame:
+    """The reference's training grid: every 15 minutes to each source's end, with outcomes at 5, 15, 30 and 60 minutes."""
+    return od.grid_counts(t.obs.select("source_id", "us"), "source_id", "us", 900_000_000, {f"next_{h}": h * 60_000_000 for h in (5, 15, 30, 60)})
 
 
 @query(""", s AS (SELECT source_id, us // 86400000000 AS day, CASE WHEN count(*) >= 4 THEN 'active' WHEN count(*) >= 2 THEN 'quiescent' ELSE 'closed' END AS status FROM obs GROUP BY ALL), l AS (SELECT *, lag(status) OVER (PARTITION BY source_id ORDER BY day) AS before FROM s)
