@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import spatial as sp
@@ -48,3 +52,44 @@ def test_training_grid(spark):
         for at in range(min(times), max(times) + 1, 15):
             want.append((k, at * minute, sum(m <= at for m in times), *(sum(at < m <= at + h for m in times) for h in (5, 15, 30, 60))))
     assert sorted(map(tuple, got)) == want
+
+
+def test_long_road(spark):
+    from tidemark.operators import graph as gr
+
+    road = gr.both_ways(spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight")))
+    got = gr.shortest_paths(road.coalesce(1), spark.range(1).select(F.col("id").alias("node")))
+    assert {r.node: r.weight for r in got.collect()} == {n: float(n) for n in range(71)}
+
+
+def test_unsettled_components_raise(spark):
+    from tidemark.operators import graph as gr
+
+    road = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    with pytest.raises(RuntimeError):
+        gr.components(spark.range(21).select(F.col("id").alias("node")), road, most_rounds=1)
+
+
+def test_whole_graph(spark, sf_dir):
+    from tidemark.plans import catalogue, graphs
+    from tidemark.plans.registry import Tables
+
+    t = Tables(spark, sf_dir)
+    nations, suppliers, customers = (d.collect() for d in (t.nation, t.supplier, t.customer))
+    near = defaultdict(list)
+    for src, dst, w in [
+        *((n.n_nationkey, (n.n_nationkey + 1) % 25, 1.0 + n.n_nationkey % 3) for n in nations), *((n.n_nationkey, (n.n_nationkey * 7 + 3) % 25, 2.5) for n in nations if n.n_nationkey % 5 == 0),
+        *((1000 + s.s_suppkey, s.s_nationkey, 0.5 + s.s_suppkey % 4) for s in suppliers), *((graphs.CUSTOMER + c.c_custkey, c.c_nationkey, 0.5 + c.c_custkey % 4) for c in customers),
+    ]:
+        near[src].append((dst, w)), near[dst].append((src, w))
+    best, heap = {}, [(0.0, 2)]
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in best:
+            best[n] = d
+            for m, w in near[n]:
+                heapq.heappush(heap, (d + w, m))
+    run = lambda name: catalogue.queries()[name](spark, sf_dir).collect()
+    assert {r.node: r.weight for r in run("shortest_path_whole")} == best
+    assert {r["class"]: r.n for r in run("graph_stats_whole")} == {"nation": 25, "supplier": len(suppliers), "customer": len(customers)}
+    assert len(best) == 25 + len(suppliers) + len(customers)

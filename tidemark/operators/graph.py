@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -45,12 +46,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, depth: int, most_weight: float
     return reached.groupBy("node").agg(F.min("weight").alias("weight"), F.min_by("hops", "weight").alias("hops"))
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, most_rounds: int = 64, limit: float | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, limit: float | None = None) -> DataFrame:
     """(node, weight): least weight from the seeds by relaxation until nothing gets cheaper, within ``limit`` if given.
 
-    One table a round: the least weight of each node with the round that found it; only that round's nodes go on."""
+    One table a round: the least weight of each node with the round that found it; only that round's nodes go on.
+    Weights must not be negative, else it might never end."""
+    if not edges.where("weight < 0").isEmpty():
+        raise ValueError("shortest_paths needs weights of zero or more")
     state = seeds.select("node", F.lit(0.0).alias("weight"), F.lit(0).alias("round"))
-    for r in range(1, most_rounds + 1):
+    for r in itertools.count(1):
         frontier = state.where(F.col("round") == r - 1)
         steps = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), (frontier["weight"] + edges["weight"]).alias("weight"), F.lit(r).alias("round"))
         if limit is not None:
@@ -77,6 +81,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> Dat
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return nodes.select("node").join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

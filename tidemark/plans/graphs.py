@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from .registry import Tables, query
 
-#: Nations 0-24 in a ring with chords, suppliers 1000+ hang on their nation, customers 100000+ on theirs.
+#: The SQL's graph: nations 0-19 in a ring with chords, suppliers 1000+ hang on their nation; its statements list all paths.
 EDGES_SQL = """WITH RECURSIVE e1 AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 20 AS dst, 1.0 + n_nationkey % 3 AS weight FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, (n_nationkey * 7 + 3) % 20, 2.5 FROM nation WHERE n_nationkey < 20 AND n_nationkey % 5 = 0
  UNION ALL SELECT 1000 + s_suppkey, s_nationkey, 0.5 + s_suppkey % 4 FROM supplier), e AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst, weight::DOUBLE AS weight FROM e1 UNION ALL SELECT dst, src, weight FROM e1)"""
 NODES_SQL = ", nodes AS (SELECT n_nationkey::BIGINT AS node FROM nation UNION ALL SELECT 1000 + s_suppkey FROM supplier)"
 
 
-def edges(t: Tables) -> DataFrame:
-    n = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("n"))
-    ring = n.select(F.col("n").alias("src"), ((F.col("n") + 1) % 20).alias("dst"), (F.col("n") % 3 + 1.0).alias("weight"))
-    chords = n.where("n % 5 = 0").select(F.col("n").alias("src"), ((F.col("n") * 7 + 3) % 20).alias("dst"), F.lit(2.5).alias("weight"))
+#: The whole graph has all nations in the ring and hangs customers on theirs, with ids above any supplier's.
+CUSTOMER = 10**12
+
+
+def edges(t: Tables, whole: bool = False) -> DataFrame:
+    size = 25 if whole else 20
+    n = t.nation.where(F.col("n_nationkey") < size).select(F.col("n_nationkey").cast("long").alias("n"))
+    ring = n.select(F.col("n").alias("src"), ((F.col("n") + 1) % size).alias("dst"), (F.col("n") % 3 + 1.0).alias("weight"))
+    chords = n.where("n % 5 = 0").select(F.col("n").alias("src"), ((F.col("n") * 7 + 3) % size).alias("dst"), F.lit(2.5).alias("weight"))
     hang = t.supplier.select((F.col("s_suppkey") + 1000).alias("src"), F.col("s_nationkey").cast("long").alias("dst"), (F.col("s_suppkey") % 4 + 0.5).alias("weight"))
+    if whole:
+        hang = hang.unionByName(t.customer.select((F.col("c_custkey") + CUSTOMER).alias("src"), F.col("c_nationkey").cast("long").alias("dst"), (F.col("c_custkey") % 4 + 0.5).alias("weight")))
     return gr.both_ways(ring.unionByName(chords).unionByName(hang))
 
 
-def nodes(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_nationkey").cast("long").alias("node")).unionByName(t.supplier.select((F.col("s_suppkey") + 1000).alias("node")))
+def nodes(t: Tables, whole: bool = False) -> DataFrame:
+    found = t.nation.select(F.col("n_nationkey").cast("long").alias("node")).unionByName(t.supplier.select((F.col("s_suppkey") + 1000).alias("node")))
+    return found.unionByName(t.customer.select((F.col("c_custkey") + CUSTOMER).alias("node"))) if whole else found
 
 
 def seed(t: Tables, *ids: int) -> DataFrame:
@@ -31,49 +41,61 @@ def seed(t: Tables, *ids: int) -> DataFrame:
 
 
 @query(EDGES_SQL + ", w AS (SELECT 1003::BIGINT AS node, 0.0::DOUBLE AS weight, 0 AS hops UNION ALL SELECT e.dst, w.weight + e.weight, w.hops + 1 FROM w JOIN e ON e.src = w.node WHERE w.hops < 3 AND w.weight + e.weight <= 6) SELECT node, min(weight) AS weight, round(greatest(0.05, CASE WHEN arg_min(hops, weight) <= 1 THEN 0.7 WHEN arg_min(hops, weight) = 2 THEN 0.45 ELSE 0.25 END * greatest(0.3, 1 - min(weight) / 8)), 6) AS score FROM w GROUP BY node")
-def bfs_propagate(t: Tables) -> DataFrame:
+def bfs_propagate(t: Tables, whole: bool = False) -> DataFrame:
     """Nodes within three hops and weight six of a seed, with the propagated severity."""
-    out = gr.propagate(edges(t), seed(t, 1003), 3, 6.0)
+    out = gr.propagate(edges(t, whole), seed(t, 1003), 3, 6.0)
     return out.select("node", "weight", F.round(gr.hop_score(F.col("weight"), F.col("hops")), 6).alias("score"))
 
 
 @query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT node, (SELECT min(w.node) FROM w WHERE w.origin = nodes.node) AS component FROM nodes")
-def components(t: Tables) -> DataFrame:
-    return gr.components(nodes(t), edges(t))
+def components(t: Tables, whole: bool = False) -> DataFrame:
+    return gr.components(nodes(t, whole), edges(t, whole))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst NOT IN (5, 13)) SELECT count(*) AS reachable FROM w")
-def reachability(t: Tables) -> DataFrame:
+def reachability(t: Tables, whole: bool = False) -> DataFrame:
     """Size of the part that a node reaches with two nodes blocked."""
-    free = edges(t).where(~F.col("dst").isin(5, 13) & ~F.col("src").isin(5, 13))
+    free = edges(t, whole).where(~F.col("dst").isin(5, 13) & ~F.col("src").isin(5, 13))
     return gr.shortest_paths(free, seed(t, 0)).agg(F.count(F.lit(1)).alias("reachable"))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)) SELECT node, min(weight) AS weight FROM w GROUP BY node")
-def shortest_path(t: Tables) -> DataFrame:
-    return gr.shortest_paths(edges(t), seed(t, 2))
+def shortest_path(t: Tables, whole: bool = False) -> DataFrame:
+    return gr.shortest_paths(edges(t, whole), seed(t, 2))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight UNION SELECT e.dst, w.weight + e.weight FROM w JOIN e ON e.src = w.node WHERE w.weight + e.weight <= 5) SELECT node, min(weight) AS minutes FROM w GROUP BY node")
-def isochrone(t: Tables) -> DataFrame:
-    return gr.shortest_paths(edges(t), seed(t, 2), limit=5.0).select("node", F.col("weight").alias("minutes"))
+def isochrone(t: Tables, whole: bool = False) -> DataFrame:
+    return gr.shortest_paths(edges(t, whole), seed(t, 2), limit=5.0).select("node", F.col("weight").alias("minutes"))
 
 
 @query(EDGES_SQL + ", w AS (SELECT 2::BIGINT AS node, 0.0::DOUBLE AS weight, [2::BIGINT] AS path UNION ALL SELECT e.dst, w.weight + e.weight, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst)) SELECT min(weight) AS nominal, min(weight) FILTER (NOT list_contains(path, 4)) AS around, min(weight) FILTER (NOT list_contains(path, 4)) - min(weight) AS extra FROM w WHERE node = 6")
-def detour(t: Tables) -> DataFrame:
+def detour(t: Tables, whole: bool = False) -> DataFrame:
     """Extra weight of the way round a blocked node."""
-    return gr.detour(edges(t), seed(t, 2), 6, seed(t, 4))
+    return gr.detour(edges(t, whole), seed(t, 2), 6, seed(t, 4))
 
 
 @query(EDGES_SQL + NODES_SQL + ", w AS (SELECT node AS origin, node FROM nodes WHERE node NOT IN (3, 8) UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node WHERE e.dst NOT IN (3, 8)), s AS (SELECT origin, count(*) AS n FROM w GROUP BY origin) SELECT round(max(n) / (SELECT count(*) FROM nodes), 6) AS ratio FROM s")
-def connectivity_ratio(t: Tables) -> DataFrame:
-    out = gr.connectivity(nodes(t), edges(t), seed(t, 3, 8))
+def connectivity_ratio(t: Tables, whole: bool = False) -> DataFrame:
+    out = gr.connectivity(nodes(t, whole), edges(t, whole), seed(t, 3, 8))
     return out.select(F.round("ratio", 6).alias("ratio"))
 
 
 @query("SELECT CASE WHEN node < 25 THEN 'nation' ELSE 'supplier' END AS class, count(*) AS n FROM nodes GROUP BY ALL".join((EDGES_SQL + NODES_SQL + " ", "")))
-def graph_stats(t: Tables) -> DataFrame:
-    return nodes(t).groupBy(F.when(F.col("node") < 25, "nation").otherwise("supplier").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+def graph_stats(t: Tables, whole: bool = False) -> DataFrame:
+    return nodes(t, whole).groupBy(F.when(F.col("node") < 25, "nation").when(F.col("node") >= CUSTOMER, "customer").otherwise("supplier").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _over_whole(plan: Callable) -> None:
+    def whole(t: Tables) -> DataFrame:
+        return plan(t, whole=True)
+
+    whole.__name__, whole.__doc__ = f"{plan.__name__}_whole", f"``{plan.__name__}`` over the whole graph (no SQL form: listing all paths does not end)."
+    query()(whole)
+
+
+for _plan in (bfs_propagate, components, reachability, shortest_path, isochrone, detour, connectivity_ratio, graph_stats):
+    _over_whole(_plan)
 
 
 @query()
