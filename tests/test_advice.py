@@ -93,3 +93,16 @@ def test_whole_graph(spark, sf_dir):
     assert {r.node: r.weight for r in run("shortest_path_whole")} == best
     assert {r["class"]: r.n for r in run("graph_stats_whole")} == {"nation": 25, "supplier": len(suppliers), "customer": len(customers)}
     assert len(best) == 25 + len(suppliers) + len(customers)
+
+
+def test_polygon_edges_and_late_reports(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    # user_id sets lon = -122.335 + (u - 100) / 1000, event_id sets lat = 47.608 + (e - 100) / 1000
+    row = lambda event, user, ts: (event, user, "view", 1.0, '{"k": 1}', ts)
+    rows = [row(72, 75, "2024-01-01 00:00:00"), row(92, 125, "2024-01-02 00:00:00"), row(73, 74, "2024-01-03 00:00:00"), row(100, 125, "2024-01-04 00:00:00"), row(80, 80, "2024-03-01 00:00:00")]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts string")
+    made.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.observation_id for r in run("polygon_covers")) == [72, 80, 92]
+    assert {r.event_key for r in run("movement")} == {25, 24, 30}  # 30 has a report of March alone

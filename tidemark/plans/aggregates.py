@@ -45,10 +45,10 @@ SELECT event_key, round(dist, 2) AS distance_m, round(dist / (minutes * 60), 6)
 def movement(t: Tables) -> DataFrame:
     """First and last place of each event by time: distance, speed, whether it moves."""
     place, order = F.struct("lon", "lat"), F.struct("us", "observation_id")
-    e = t.obs.where("us < 1706659200000000").groupBy("event_key").agg(F.min("us").alias("u1"), F.max("us").alias("u2"), F.min_by(place, order).alias("a"), F.max_by(place, order).alias("b"))
+    e = t.obs.groupBy("event_key").agg(F.min("us").alias("u1"), F.max("us").alias("u2"), F.min_by(place, order).alias("a"), F.max_by(place, order).alias("b"))
     minutes, dist = (F.col("u2") - F.col("u1")) / 6e7, geo.haversine_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))
     return e.select(
-        "event_key", F.round(dist, 2).alias("distance_m"), F.round(dist / (minutes * 60), 6).alias("speed"),
+        "event_key", F.round(dist, 2).alias("distance_m"), F.round(F.try_divide(dist, minutes * 60), 6).alias("speed"),
         ((minutes >= 0.5) & (dist > F.greatest(F.lit(50.0), minutes * 10))).alias("moving"), F.round(F.least(F.lit(0.9), F.lit(0.4) + F.least(F.lit(1.0), dist / 1500) * 0.5), 4).alias("confidence"),
     )
 
