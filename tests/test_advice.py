@@ -106,3 +106,21 @@ def test_polygon_edges_and_late_reports(spark, tmp_path):
     run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
     assert sorted(r.observation_id for r in run("polygon_covers")) == [72, 80, 92]
     assert {r.event_key for r in run("movement")} == {25, 24, 30}  # 30 has a report of March alone
+
+
+def test_greedy_clusters_against_brute_force(spark):
+    from tidemark.operators import graph as gr
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(3)), float(t), float(x), float(y)) for i, (t, x, y) in enumerate(zip(rng.uniform(0, 400_000, 900), rng.uniform(-0.04, 0.04, 900), rng.uniform(59.97, 60.03, 900)))]
+    want = {}
+    for region in range(3):
+        seeds = []
+        for k, _, at, x, y in sorted((r for r in rows if r[1] == region), key=lambda r: (r[2], r[0])):
+            hit = next((s for s, st, sx, sy in seeds if at - st <= 14400 and np.hypot((x - sx) * 111320.0 * np.cos(np.radians(sy)), (y - sy) * 111320.0) <= 1800), None)
+            want[k] = k if hit is None else hit
+            if hit is None:
+                seeds.append((k, at, x, y))
+    got = gr.greedy_clusters(spark.createDataFrame(rows, "k long, r int, at double, lon double, lat double"), "r", "at", "lon", "lat", "k", 1800.0, 14400.0)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no region is one frame
+    assert {r.k: r.seed for r in got.collect()} == want

@@ -110,29 +110,58 @@ def hop_score(weight, hops):
 def greedy_clusters(events: DataFrame, region: str, time_s: str, lon: str, lat: str, key: str, radius_m: float, window_s: float) -> DataFrame:
     """(key, seed): time-ordered seed clustering of each region; an event joins the first seed in reach or opens one.
 
-    The result depends on the order, so a region is one task; regions are small by construction (a city's open events).
-    """
-    import numpy as np
-    import pandas as pd
-
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time_s, key])
-        seeds: list[tuple] = []
-        out = []
-        for k, at, x, y in zip(group[key], group[time_s], group[lon], group[lat]):
-            for s, st, sx, sy in seeds:
-                d = np.hypot((x - sx) * 111320.0 * np.cos(np.radians(sy)), (y - sy) * 111320.0)
-                if abs(at - st) <= window_s and d <= radius_m:
-                    out.append((k, s))
-                    break
-            else:
-                seeds.append((k, at, x, y))
-                out.append((k, k))
-        return pd.DataFrame(out, columns=[key, "seed"])
-
-    return events.select(region, key, time_s, lon, lat).groupBy(region).applyInPandas(run, f"{key} {kinds[key]}, seed {kinds[key]}")
+    A region is cut at silences longer than the window, over which no seed reaches; each piece streams through a sorted
+    partition, where only the seeds still in the window are held, in cells of the radius."""
+    import math
+    from collections import OrderedDict, defaultdict, deque
+
+    import pyarrow as pa
+
+    by = Window.partitionBy(region).orderBy(time_s, key)
+    rows = events.select(region, key, time_s, lon, lat).withColumn("__cut", F.when(F.col(time_s) - F.lag(time_s).over(by) > window_s, 1).otherwise(0))
+    rows = rows.withColumn("__piece", F.sum("__cut").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
+    rows = rows.repartition(region, "__piece").sortWithinPartitions(region, "__piece", time_s, key)
+    kind = events.schema[key].dataType.simpleString()
+    step = radius_m / 111320.0 * (1 + 1e-9)
+
+    def column(x: float, band: int) -> int:
+        """Columns are as wide as the radius where the band is nearest to a pole."""
+        far = max(abs(band), abs(band + 1)) * step
+        return math.floor(x * math.cos(math.radians(far)) / step) if far < 89.9 else 0
+
+    def run(batches):
+        now, live, cells, opened = None, deque(), defaultdict(OrderedDict), 0
+        for batch in batches:
+            seeds = []
+            for g, k, at, x, y, piece in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (g, piece) != now:
+                    now, opened = (g, piece), 0
+                    live.clear(), cells.clear()
+                if any(v is None or v != v for v in (at, x, y)):
+                    seeds.append(k)
+                    continue
+                while live and at - live[0][0] > window_s:
+                    _, cell, n = live.popleft()
+                    cells[cell].pop(n)
+                    if not cells[cell]:
+                        del cells[cell]
+                row = math.floor(y / step)
+                best = None
+                for r in (row - 1, row, row + 1):
+                    c = column(x, r)
+                    for cell in ((r, c - 1), (r, c), (r, c + 1)):
+                        for n, (s, sx, sy) in cells.get(cell, {}).items():
+                            if (best is None or n < best[0]) and math.hypot((x - sx) * 111320.0 * math.cos(math.radians(sy)), (y - sy) * 111320.0) <= radius_m:
+                                best = n, s
+                if best is None:
+                    cell, opened, best = (row, column(x, row)), opened + 1, (opened, k)
+                    cells[cell][best[0]] = (k, x, y)
+                    live.append((at, cell, best[0]))
+                seeds.append(best[1])
+            of = batch.schema.field(1).type
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(seeds, of)], names=[key, "seed"])
+
+    return rows.mapInArrow(run, f"{key} {kind}, seed {kind}")
 
 
 def top_routes(paths: DataFrame, origin: str, n: int) -> DataFrame:
