@@ -124,3 +124,17 @@ def test_greedy_clusters_against_brute_force(spark):
     got = gr.greedy_clusters(spark.createDataFrame(rows, "k long, r int, at double, lon double, lat double"), "r", "at", "lon", "lat", "k", 1800.0, 14400.0)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no region is one frame
     assert {r.k: r.seed for r in got.collect()} == want
+
+
+def test_streams_keep_order_over_chunks(spark, tmp_path):
+    from tidemark.streaming import ledger_stream as ls
+
+    n = 25_000  # more than two of Spark's chunks, of one key, newest first; ties on the time go by id
+    rows = spark.range(n).select(F.col("id"), F.lit("x").alias("k"), ((n - 1 - F.col("id")) / 100).cast("long").alias("at")).withColumn("v", F.col("at").cast("string"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = lambda: ls.read_files(spark, f"{tmp_path}/in/*", "id long, k string, at long, v string")
+    out = ls.drain(ls.versions(stream(), "k", "v", "at", "id"), "v", f"{tmp_path}/c1", f"{tmp_path}/o1")
+    assert {int(r.v): r.version for r in out.collect()} == {i: i + 1 for i in range(n // 100)}
+    apart = stream().select("id", "k", F.col("at").cast("double").alias("at"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    out = ls.drain(ls.resolve(apart, "k", "id", "at", "lon", "lat", 10.0, 5.0), "r", f"{tmp_path}/c2", f"{tmp_path}/o2")
+    assert {r.event_id for r in out.collect()} == {n - 100}  # the least id of the first instant

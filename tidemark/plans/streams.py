@@ -47,7 +47,7 @@ def stream_dedupe(t: Tables) -> DataFrame:
 @query("WITH f AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, count(*) AS versions FROM f WHERE b IS NULL OR b <> event_type GROUP BY user_id")
 def stream_versions(t: Tables) -> DataFrame:
     """Change capture by keyed state: how often each record's fingerprint changed."""
-    out = _drained(t, ls.versions(events(t), "user_id", "event_type", "ts"))
+    out = _drained(t, ls.versions(events(t), "user_id", "event_type", "ts", "event_id"))
     return out.groupBy("user_id").agg(F.max("version").alias("versions"))
 
 

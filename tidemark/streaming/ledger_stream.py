@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,22 +36,68 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, by: list[str])
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
-def versions(stream: DataFrame, key: str, fingerprint: str, time: str) -> DataFrame:
-    """(key, fingerprint, version): a row whenever a record's fingerprint changes; the state is the last one seen."""
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str], columns: list[str]) -> Iterator[tuple]:
+    """All of a key's rows of a micro-batch in order, as tuples of ``columns``, which start with ``order``.
+
+    Spark hands them over in chunks that are not in order.  A lone chunk is sorted; more are sorted runs in a temporary
+    file, merged piece by piece, so memory holds a chunk and a piece of each run."""
+    sort = lambda chunk: chunk.sort_values(order, kind="stable")[columns].itertuples(index=False, name=None)
+    first = next(batches, None)
+    if first is None:
+        return
+    second = next(batches, None)
+    if second is None:
+        yield from sort(first)
+        return
+    with tempfile.TemporaryFile() as file:
+        ends: list[tuple[int, int]] = []
+
+        def spill(chunk: pd.DataFrame) -> None:
+            start, rows = file.tell(), list(sort(chunk))
+            for i in range(0, len(rows), 256):
+                pickle.dump(rows[i : i + 256], file)
+            ends.append((start, file.tell()))
+
+        def read(at: int, end: int) -> Iterator[tuple]:
+            while at < end:
+                file.seek(at)
+                piece = pickle.load(file)
+                at = file.tell()
+                yield from piece
+
+        for chunk in (first, second):
+            spill(chunk)
+        del first, second, chunk
+        for chunk in batches:
+            spill(chunk)
+        yield from heapq.merge(*(read(*span) for span in ends), key=lambda row: row[: len(order)])
+
+
+#: Rows of a key that a state function returns at once.
+PIECE = 10_000
+
+
+def versions(stream: DataFrame, key: str, fingerprint: str, time: str, tie: str | None = None) -> DataFrame:
+    """(key, fingerprint, version): a row whenever a record's fingerprint changes; the state is the last one seen.
+
+    Rows of a micro-batch are taken by ``time``, then ``tie``; a row that comes in a later micro-batch counts as later."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    order = [time] if tie is None else [time, tie]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, version = state.get if state.exists else (None, 0)
         out = []
-        for batch in batches:
-            for value in batch.sort_values(time)[fingerprint]:
-                if value != last:
-                    last, version = value, version + 1
-                    out.append((k[0], value, version))
+        for row in _in_order(batches, order, [*order, fingerprint]):
+            if row[-1] != last:
+                last, version = row[-1], version + 1
+                out.append((k[0], last, version))
+                if len(out) == PIECE:
+                    yield pd.DataFrame(out, columns=[key, fingerprint, "version"])
+                    out = []
         state.update((last, version))
         yield pd.DataFrame(out, columns=[key, fingerprint, "version"])
 
-    return stream.select(key, fingerprint, time).groupBy(key).applyInPandasWithState(
+    return stream.select(*dict.fromkeys([key, fingerprint, *order])).groupBy(key).applyInPandasWithState(
         step, f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}, version long", f"last {kinds[fingerprint]}, version long", "append", GroupStateTimeout.NoTimeout
     )
 
@@ -64,19 +113,26 @@ def resolve(stream: DataFrame, cell: str, key: str, time_s: str, lon: str, lat:
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, times, xs, ys = map(list, state.get) if state.exists else ([], [], [], [])
         out = []
-        for batch in batches:
-            for o, at, x, y in batch.sort_values([time_s, key])[[key, time_s, lon, lat]].itertuples(index=False):
-                best = None
-                for i in range(len(ids)):
-                    d = float(np.hypot((x - xs[i]) * 111320.0 * np.cos(np.radians(y)), (y - ys[i]) * 111320.0))
-                    if abs(at - times[i]) <= margin_s and d <= radius_m and (best is None or d < best[0]):
-                        best = (d, i)
-                if best is None:
-                    ids.append(int(o)), times.append(float(at)), xs.append(float(x)), ys.append(float(y))
-                    out.append((o, o))
-                else:
-                    times[best[1]] = max(times[best[1]], float(at))
-                    out.append((o, ids[best[1]]))
+        held = 64
+        for at, o, x, y in _in_order(batches, [time_s, key], [time_s, key, lon, lat]):
+            if len(ids) > held:  # what is twice the margin behind a row in order is out of reach of all after it
+                near = [i for i in range(len(ids)) if at - times[i] <= 2 * margin_s]
+                ids, times, xs, ys = ([c[i] for i in near] for c in (ids, times, xs, ys))
+                held = max(64, 2 * len(ids))
+            best = None
+            for i in range(len(ids)):
+                d = float(np.hypot((x - xs[i]) * 111320.0 * np.cos(np.radians(y)), (y - ys[i]) * 111320.0))
+                if abs(at - times[i]) <= margin_s and d <= radius_m and (best is None or d < best[0]):
+                    best = (d, i)
+            if best is None:
+                ids.append(int(o)), times.append(float(at)), xs.append(float(x)), ys.append(float(y))
+                out.append((o, o))
+            else:
+                times[best[1]] = max(times[best[1]], float(at))
+                out.append((o, ids[best[1]]))
+            if len(out) == PIECE:
+                yield pd.DataFrame(out, columns=[key, "event_id"])
+                out = []
         newest = max(times, default=0.0)
         live = [i for i in range(len(ids)) if newest - times[i] <= 2 * margin_s]
         state.update(tuple([c[i] for i in live] for c in (ids, times, xs, ys)))
