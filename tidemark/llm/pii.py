@@ -26,15 +26,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Generators of candidates: name, kind, pattern, cheap guard that a text must pass before the pattern runs.
+#: Generators of candidates: name, kind, pattern, cheap guard that a text must pass before the pattern runs; a guard holds
+#: wherever its pattern does.
 GENERATORS = (
-    ("email_spelt", "email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64}+(?:@|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)[a-z0-9-]{1,63}+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]{2,63}+)++", r"(?i)[\[(\s]dot[\])\s]"),
-    ("ip_six", "ip", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}(?![0-9a-z:])", r"(?i)[0-9a-f]:[0-9a-f]{0,4}:"),
+    ("email_spelt", "email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64}+(?:@|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)[a-z0-9-]{1,63}+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]{2,63}+)++", r"(?i)(?:@|[\[(]\s?at\s?[\])]\s?|\sat\s)[a-z0-9-]{1,63}+(?:\.|\s?[\[(]\s?dot|\sdot\s)"),
+    ("ip_six", "ip", r"(?i)(?<![0-9a-z:])(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}(?![0-9a-z:])", r"(?i):[0-9a-f]{0,4}:"),
+    ("ip_six_short", "ip", r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?(?![0-9a-z:])", r"::"),
     ("card_dotted", "card", r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])", r"[0-9]{4}[._/][0-9]{4}[._/]"),
     ("phone_local", "phone", r"(?<![0-9+.-])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])", r"[0-9]\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3}"),
     ("id_dashed", "id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("id_account", "id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
-    ("secret_long", "secret", r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,40}[0-9])[A-Za-z0-9_/+=-]{20,}+", r"[A-Za-z0-9_/+=-]{20}"),
+    ("secret_long", "secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", r"[A-Za-z0-9_/+=-]{20}"),
 )
 #: Characters before and after a candidate that the context features read.
 CONTEXT = 24
@@ -53,6 +55,8 @@ _FEATURES = {
     "switches": lambda m, b, a: F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "0"), "[A-Za-z]+", "a"), "[^0a]", "")),
     "at": lambda m, b, a: m.rlike(r"(?i)@|\bat\b").cast("int"),
     "dots": lambda m, b, a: m.rlike(r"(?i)[\[(\s]dot[\])\s]").cast("int"),
+    "bracketed": lambda m, b, a: m.rlike(r"(?i)[\[(]\s?at\s?[\])]").cast("int"),
+    "cases": lambda m, b, a: F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[a-z]+", "a"), "[A-Z]+", "A"), "[^aA]", "")),
     "luhn": lambda m, b, a: luhn(m).cast("int"),
     "hex": lambda m, b, a: m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int"),
     "date": lambda m, b, a: m.rlike(r"(?:19|20)[0-9]{2}[./\x20-](?:0[1-9]|1[0-2])|^[0-9]{1,2}:[0-9]{2}:").cast("int"),
@@ -135,8 +139,11 @@ def training_rows(spark: SparkSession) -> DataFrame:
     plain = ["of the ", "and then ", "Une de la ", "wird mit ", "", "on "]
     forms: list[tuple[str, int, Column, list[str], list[str]]] = [
         ("email", 1, F.concat(word("w"), pick("a1", " (at) ", "[at]", " at ", "(at)"), host("h"), pick("d1", " dot ", "(dot)", "[dot]", " (dot) "), pick("t", "com", "org", "net", "de")), [*plain, "mail: ", "contact ", "write to "], [" now", "", ". The"]),
+        ("email", 1, F.concat(word("w"), pick("a2", " (at) ", "[at]", " [at] ", "(at)"), host("h"), F.lit("."), pick("t", "com", "org", "net", "de")), [*plain, "mail: ", "contact ", "write to "], [" now", "", ". The"]),
         ("email", 0, F.concat(pick("w0", "look", "we met", "stop", "ends"), F.lit(" at "), pick("h0", "home", "noon", "the", "a"), pick("d0", ".Then", ".and", ".We")), plain, [" and", " dot "]),
         ("ip", 1, F.concat_ws(":", *(F.substring(md, 1 + 4 * k, 4) for k in range(8))), [*plain, "host ", "from ", "address "], [" to", "", ","]),
+        ("ip", 1, pick("s6", F.concat(F.lit("fe80::"), num(1, "s1")), F.concat(F.lit("2001:db8:"), num(2, "s2"), F.lit("::")), F.lit("2001:db8::"), F.concat(F.lit("2001:db8::"), F.substring(md, 1, 4), F.lit(":"), num(2, "s3")), F.concat(F.lit("fd"), num(2, "s4"), F.lit("::"), F.substring(md, 5, 4))), [*plain, "host ", "from ", "address "], [" to", "", ","]),
+        ("ip", 0, pick("n6", "::", "a::b", "::add", "dead::", "c::f", "bad::face"), [*plain, "call ", "use "], [" to", "", "("]),
         ("ip", 0, F.concat_ws(":", num(2, "h"), num(2, "m"), num(2, "s"), num(2, "f")), [*plain, "time ", "date "], [" to", ""]),
         ("card", 1, _valid_card(F.concat(F.lit("4"), num(14, "c")), pick("cs", ".", "_", "/")), [*plain, "card ", "visa ", "pay with "], ["", " and", "."]),
         ("card", 0, _joined(pick("cs", ".", "_", "/"), num(4, "1"), num(4, "2"), num(4, "3"), num(4, "4")), [*plain, "part ", "serial ", "ref "], ["", " and"]),
@@ -145,6 +152,8 @@ def training_rows(spark: SparkSession) -> DataFrame:
         ("id", 1, pick("if", F.concat_ws("-", num(3, "i1"), num(2, "i2"), num(4, "i3")), F.concat(pick("cc", "DE", "FR", "ES", "GB"), num(2, "k"), num(18, "b"))), [*plain, "ssn ", "iban ", "account ", "social security "], ["", " and", "."]),
         ("id", 0, pick("if", F.concat_ws("-", num(3, "i1"), num(2, "i2"), num(4, "i3")), F.concat(pick("cc", "AB", "XY", "QZ", "TK"), num(2, "k"), num(12, "b"))), ["order ", "part ", "serial ", "ref ", "invoice #", "isbn "], ["", " and"]),
         ("secret", 1, pick("sf", sha, md, b64, F.upper(sha), F.concat(F.lit("sk_"), F.substring(b64, 1, 24))), [*plain, 'token = "', "api_key: ", 'secret="', "Bearer ", "password = '"], ['" the', "'", "", ' ";', " and"]),
+        ("secret", 1, pick("sl", F.translate(b64, "0123456789", "QxZvKjWqYp"), F.translate(F.concat(b64, F.substring(b64, 3, 16)), "0123456789", "KqYpQxZvJw"), F.concat(F.translate(F.concat(b64, b64), "0123456789", "QxZvKjWqYp"), num(2, "sd"))), [*plain, 'token = "', "api_key: ", 'secret="', "Bearer ", "password = '"], ['" the', "'", "", ' ";', " and"]),
+        ("secret", 0, pick("sn", "Oneaverylongwordthatruns", "the_long_name_of_a_field", "path/to/some/file/here/too", "--------------------------", "==========================", "AbstractFactoryBeanOfBeans", "averyveryverylongcompoundword", "state-of-the-art-machines", "THE_LONG_NAME_OF_A_CONSTANT", "Path/To/Some/File/Here/Too"), [*plain, "http://www.example.com/", "version ", "ref "], ["", " and", "."]),
         ("secret", 0, pick("sf", F.concat(F.lit("the_long_name_of_a_field_"), num(1, "x")), F.concat(F.lit("path/to/some/file/here-"), num(2, "x")), F.concat(F.lit("-" * 18), num(2, "y")), F.concat(F.lit("averyverylongcompoundword"), num(1, "x")), F.concat(num(10, "y"), num(10, "z"))), [*plain, "http://www.example.com/", "version ", "ref "], ["", " and", "."]),
     ]
     parts = []
