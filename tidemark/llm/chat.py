@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON text.  The sorted nested field paths of a record, with their kinds, are hashed; the hash selects a
-declarative mapping (where the turns are, which field is the role, which the text), so records of different layouts
+A record is JSON text.  The sorted nested field paths of a record are hashed, those of a list's elements by element, so
+that an element with other fields than its neighbours' changes the hash; the hash selects a declarative mapping (where the turns are, which field is the role, which the text), so records of different layouts
 become the same canonical turns without probing field by field.  Turns are rendered into one marked-up text whose
 control strings are escaped reversibly, with the loss mask as spans over the assistant's texts.
 """
@@ -33,23 +33,21 @@ class Layout(NamedTuple):
 
 
 def paths_of(value: object, at: str = "$") -> set[str]:
-    """Nested field paths with kinds; the elements of a list share one path; a null field is a field."""
+    """Nested field paths, objects and lists marked as such.  Scalars of any kind, null among them, are alike; a list has
+    one path for each different shape among its elements, named by the shape's own hash."""
     if isinstance(value, dict):
         out = {f"{at}:object"}
         for k, v in value.items():
             out |= paths_of(v, f"{at}.{k}")
         return out
     if isinstance(value, list):
-        out = {f"{at}:list"}
-        for v in value:
-            out |= paths_of(v, f"{at}[]")
-        return out
+        return {f"{at}:list", *(f"{at}[{schema_fingerprint(v)}]" for v in value)}
     return {at}
 
 
 def schema_fingerprint(value: object) -> str:
     """Hex hash of the sorted field paths of a record."""
-    return hashlib.blake2b("\n".join(sorted(paths_of(value))).encode(), digest_size=8).hexdigest()
+    return hashlib.blake2b("\n".join(sorted(paths_of(value))).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def registry(examples: list[tuple[object, Layout]]) -> dict[str, Layout]:
@@ -81,6 +79,8 @@ LAYOUTS = registry(
         ({"question": "", "answer": ""}, _ANSWER),
     ]
 )
+#: Halves of surrogate pairs, which JSON can escape but UTF-8 can't hold, become replacement characters.
+_HALVES = re.compile("[\ud800-\udfff]")
 #: Names that other layouts give to the canonical roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -90,7 +90,7 @@ def turns_of(record: object, layouts: dict[str, Layout] = LAYOUTS) -> tuple[str
     layout = layouts.get(schema_fingerprint(record))
     if layout is None:
         return None, []
-    say = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    say = lambda v: "" if v is None else _HALVES.sub("\ufffd", v) if isinstance(v, str) else json.dumps(v)
     if layout.fixed:
         return layout.name, [(role, "\n\n".join(t for f in fields if (t := say(record[f])))) for role, fields in layout.fixed]
     rows = [record] if layout.turns is None else record[layout.turns]
@@ -142,8 +142,8 @@ def format_records(records: DataFrame, key: str, order: str | None = None, recor
     """(key, seq, layout, role, markup, loss_start, loss_end), one row a turn, from JSON records.
 
     A conversation's formatted text is its markups in the order of ``order`` and seq, so a conversation of any length
-    needs no row that holds all of it.  A record of an unknown layout, null or broken JSON gives one row with a null
-    layout and no markup.  Null texts and roles are empty texts.
+    needs no row that holds all of it.  A record of an unknown layout, null, broken or too deeply nested JSON gives one
+    row with a null layout and no markup.  Null texts and roles are empty texts; other scalars are written as JSON.
     """
     kinds = {f.name: f.dataType.simpleString() for f in records.schema}
     cols = [key] + ([order] if order else [])
@@ -159,7 +159,7 @@ def format_records(records: DataFrame, key: str, order: str | None = None, recor
             for *ids, body in zip(*(part.column(c).to_pylist() for c in cols), part.column(record).to_pylist()):
                 try:
                     layout, turns = turns_of(json.loads(body)) if body is not None else (None, [])
-                except ValueError:
+                except (ValueError, RecursionError):
                     layout, turns = None, []
                 if not turns:
                     rows.append((*ids, 0, layout, None, None, 0, 0))
