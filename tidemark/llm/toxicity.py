@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, keep, map_slices
@@ -23,12 +23,14 @@ from .common import crc_mod, keep, map_slices
 ORDER = 3
 GAP = 3
 DECAY = 0.55
-#: Slots of the subsequence table.
-SLOTS = 1 << 16
+#: Slots of the subsequence table: one for each three letter classes of six bits.
+SLOTS = 1 << 18
 LANDMARKS = 320
 ROUNDS = 5
-#: Labelled documents the machine is fitted on, in all, and with each label; chosen by a hash of the id.
+#: Labelled documents that the machine is fitted on, and bytes of their texts, in all; half of each for each label.
+#: Chosen by a hash of the id.
 MOST_FIT_DOCS = 5_000
+MOST_FIT_BYTES = 64 << 20
 #: Negative words of one round.
 NEGATIVES = 9_000
 #: Highest word scores of a document that the logistic layer reads.
@@ -91,7 +93,7 @@ def _norm(length: np.ndarray) -> np.ndarray:
 def _slots(codes: np.ndarray, a: int, b: int) -> np.ndarray:
     c = codes.astype(np.uint32)
     n = len(c) - a - b
-    return ((c[:n] << 12 | c[a : a + n] << 6 | c[a + b :]) * np.uint32(2654435761)) >> np.uint32(16)
+    return c[:n] << 12 | c[a : a + n] << 6 | c[a + b :]
 
 
 def subsequences(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,18 +186,31 @@ def _words_of(texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
     return list(index), rows
 
 
-def _dense(words: list[bytes]) -> np.ndarray:
-    """Feature rows of a few words."""
-    out = np.zeros((len(words), SLOTS), dtype=np.float32)
-    codes, starts = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([0, *map(len, words[:-1])])
-    word, slot, weight = subsequences(codes, starts)
-    np.add.at(out, (word, slot), weight)
-    return out
+class Landmarks:
+    """The landmark words' features over the slots that they have: ``rows[column[slot]]`` holds a slot's weight in each."""
+
+    def __init__(self, words: list[bytes]):
+        codes, starts = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([0, *map(len, words[:-1])])
+        word, slot, weight = subsequences(codes, starts)
+        self.slots, place = np.unique(slot, return_inverse=True)
+        self.rows = np.zeros((len(self.slots) + 1, len(words)), dtype=np.float32)  # the last row is every other slot's
+        np.add.at(self.rows, (place, word), weight)
+        self.column = np.full(SLOTS, len(self.slots), dtype=np.int32)
+        self.column[self.slots] = np.arange(len(self.slots))
+
+    def gram(self) -> np.ndarray:
+        return (self.rows.T @ self.rows).astype(np.float64)
 
+    def folded(self, beta: np.ndarray) -> np.ndarray:
+        """The machine's weight of every slot, given the landmarks' weights."""
+        table = np.zeros(SLOTS, dtype=np.float32)
+        table[self.slots] = self.rows[:-1] @ beta
+        return table
 
-def _kernel(words: list[bytes], landmarks: np.ndarray, step: int = 2000) -> np.ndarray:
+
+def kernel(words: list[bytes], landmarks: Landmarks, step: int = 2000) -> np.ndarray:
     """Kernel of many words with the landmarks."""
-    out = np.zeros((len(words), landmarks.shape[1]), dtype=np.float32)
+    out = np.zeros((len(words), landmarks.rows.shape[1]), dtype=np.float32)
     for at in range(0, len(words), step):
         part = words[at : at + step]
         codes, starts = np.frombuffer(b"".join(part), dtype=np.uint8), np.cumsum([0, *map(len, part[:-1])])
@@ -204,7 +219,7 @@ def _kernel(words: list[bytes], landmarks: np.ndarray, step: int = 2000) -> np.n
         word, slot, weight = word[order], slot[order], weight[order].astype(np.float32)
         if len(word):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            out[at + word[first]] = np.add.reduceat(landmarks[slot] * weight[:, None], first, axis=0)
+            out[at + word[first]] = np.add.reduceat(landmarks.rows[landmarks.column[slot]] * weight[:, None], first, axis=0)
     return out
 
 
@@ -242,16 +257,23 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> M
     usual = np.flatnonzero(df[0] > 0)
     often = usual[np.argsort(-df[0][usual], kind="stable")[: LANDMARKS // 4]]
     landmark_ids = np.unique(np.concatenate((ranked[: LANDMARKS // 2], often, rng.choice(usual, min(len(usual), LANDMARKS // 4), replace=False) if len(usual) else usual)))
-    dense = _dense([words[k] for k in landmark_ids])
-    lmm = (dense @ dense.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(lmm)
+    landmarks = Landmarks([words[k] for k in landmark_ids])
+    values, vectors = np.linalg.eigh(landmarks.gram())
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström map: kernel row times this
-    turned = np.ascontiguousarray(dense.T)
     toxic_rows = [r for r, y in zip(rows, labels) if y == 1 and len(r)]
     clean_rows = [r for r, y in zip(rows, labels) if y == 0 and len(r)]
     current = evidence.astype(float)
     bias, table = 0.0, np.zeros(SLOTS, dtype=np.float32)
+    mapped, mapped_row = np.zeros((0, root.shape[1])), np.full(n, -1)  # words come back in later rounds
+
+    def in_span(ids: np.ndarray) -> np.ndarray:
+        nonlocal mapped
+        fresh = ids[mapped_row[ids] < 0]
+        mapped_row[fresh] = len(mapped) + np.arange(len(fresh))
+        mapped = np.concatenate((mapped, kernel([words[j] for j in fresh], landmarks) @ root))
+        return mapped[mapped_row[ids]]
+
     for k in range(ROUNDS):
         # witnesses: each toxic document's words that speak most for it and are rare elsewhere
         rare = odds > np.log(4)
@@ -273,10 +295,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> M
         ids = np.concatenate((positive, negative))
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         weight = np.concatenate((np.minimum(times, 20) / max(1, times.sum()), (1 + np.log1p(df[0][negative])) / max(1.0, (1 + np.log1p(df[0][negative])).sum()))) * len(ids) / 20
-        z = _kernel([words[j] for j in ids], turned) @ root
-        w = _svm(z, y, weight)
-        beta = root @ w[:-1]
-        table, bias = (turned @ beta).astype(np.float32), float(w[-1])
+        w = _svm(in_span(ids), y, weight)
+        table, bias = landmarks.folded(root @ w[:-1]), float(w[-1])
         current = _all_scores(words, table, bias)
     x = np.array([top_scores(word_scores(t, table, bias)) for t in texts])
     layer = _logistic(x, labels)
@@ -286,15 +306,22 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> M
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, known) of at most about MOST_FIT_DOCS labelled documents that are not held out, half of each label if there are.
-
-    ``known`` is how many labelled rows have the row's label.  Ids are chosen by a hash over the narrow label table;
-    only the chosen documents' texts are gathered."""
-    known = labels.select("doc_id", F.col("toxic").alias("__toxic")).where(F.col("__toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(5) != 0)).dropDuplicates(["doc_id"])
-    per = known.groupBy("__toxic").count().select("__toxic", F.col("count").alias("__known"), F.least(F.lit(1.0), F.lit(MOST_FIT_DOCS / 2.0) / F.col("count")).alias("share"))
+    """(text, toxic, known) of at most about MOST_FIT_DOCS labelled documents of at most MOST_FIT_BYTES in all that are not
+    held out, half of each label if there are.
+
+    An id with both labels is toxic; a repeated id is one document, with its least text.  ``known`` is how many labelled
+    ids have the row's label.  Ids are chosen by a hash over the narrow label table; only the chosen documents' texts are
+    gathered, and of these the first in the hash's order that fit."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    per = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("known")).withColumn("share", F.least(F.lit(1.0), F.lit(MOST_FIT_DOCS / 2.0) / F.col("known")))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(per), "__toxic").where(draw < F.col("share")).select(F.col("doc_id").alias("__id"), "__toxic", "__known")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("__toxic").alias("toxic"), F.col("__known").alias("known"))
+    chosen = known.join(F.broadcast(per), "toxic").where(draw < F.col("share")).select("doc_id", "toxic", "known")  # two labels, so MOST_FIT_DOCS rows or so
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = keep(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "known").agg(F.min("text").alias("text")))
+    sizes = found.select("doc_id", "toxic", F.octet_length("text").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(draw, "doc_id"))
+    fits = sizes.withColumn("upto", upto).where(F.col("upto") <= MOST_FIT_BYTES // 2).select("doc_id")
+    return found.join(F.broadcast(fits), "doc_id", "left_semi").select("text", "toxic", "known")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
