@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where the session has none."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where a local session has none.
+
+    On a cluster a folder of the driver's machine would lose rows unseen, so a session without one is refused there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         jsc = spark.sparkContext._jsc.sc()
         held = jsc.getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             held = jsc.getCheckpointDir()
         named = held.get()
@@ -84,13 +88,29 @@ def crc_mod(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def with_row_key(rows: DataFrame, text_hash: Column, *names: str) -> tuple[DataFrame, list[str]]:
-    """``rows`` with plain, never-null key columns for ``names`` and the text's hash, and the keys' names.
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added where a table already has them (letter case aside)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def key_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names of the key columns of ``with_row_key`` that ``docs`` does not have: the hash, then two for each name."""
+    return free_names(docs.columns, "__h", *(f"__{kind}{i}" for i in range(len(names)) for kind in "kz"))
+
+
+def with_row_key(rows: DataFrame, text_hash: Column, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``rows`` with plain, never-null key columns ``keys`` (see ``key_names``) for the text's hash and ``names``.
 
     Joins and windows on the same plain columns share one exchange; struct keys whose fields differ in nullability are
     cast by the join and would be dealt a second time."""
-    keys = {"__h": F.coalesce(text_hash, F.lit(0))}
-    for i, n in enumerate(names):
+    made = [F.coalesce(text_hash, F.lit(0))]
+    for n in names:
         empty = "" if dict(rows.dtypes)[n] == "string" else 0
-        keys |= {f"__k{i}": F.coalesce(F.col(n), F.lit(empty)), f"__z{i}": F.col(n).isNull()}
-    return rows.withColumns(keys), list(keys)
+        made += [F.coalesce(F.col(n), F.lit(empty)), F.col(n).isNull()]
+    return rows.withColumns(dict(zip(keys, made)))

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_slices, slices
+from .common import free_names, keep, key_names, map_slices, slices, with_row_key
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
 #: A document is contaminated if hit words times this reach its words.
 SHARE = 20
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned block by block.
+#: Bytes of benchmark text in one broadcast block; a larger benchmark is scanned block by block.  An item longer than a
+#: block is a block of its own.
 BLOCK_BYTES = 16 << 20
 
 #: Lower-cases A-Z and turns every ASCII character but letters and digits into a space; other characters stay.
@@ -32,10 +33,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of a block of items: word ids, and for each window length sorted hashes with their places.
+    """The windows of a block of items: word ids, and for each window length sorted hashes of its different windows.
 
-    A window takes 16 bytes beside the items' word ids; a hash only nominates, the word ids are compared.
-    """
+    A different window is held once, by its first place, with the list of the items that have it: 16 bytes beside the
+    items' word ids.  A hash only nominates, the word ids are compared."""
 
     def __init__(self, items: list[tuple[object, bytes | None]]):
         self.ids: dict[bytes, int] = {}
@@ -51,12 +52,17 @@ class WindowSet:
         self.flat = np.array(flat, dtype=np.uint64)
         self.tables = {}
         for width, parts in starts.items():
-            at = np.concatenate(parts).astype(np.int64)
+            at, owner = np.concatenate(parts).astype(np.int64), np.concatenate(owners[width])
             hashes = self._roll([self.flat[at + k] for k in range(width)])
             order = np.argsort(hashes, kind="stable")
+            at, owner, hashes = at[order], owner[order], hashes[order]
+            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            for k in range(width):
+                new[1:] |= self.flat[at[1:] + k] != self.flat[at[:-1] + k]
+            first = np.flatnonzero(new)
             bloom = np.zeros(1 << _BLOOM_BITS, dtype=bool)
             bloom[self._slot(hashes)] = True
-            self.tables[width] = (bloom, hashes[order], at[order], np.concatenate(owners[width])[order])
+            self.tables[width] = (bloom, hashes[first], at[first], np.append(first, len(at)), owner)
 
     @staticmethod
     def _roll(columns) -> np.ndarray:
@@ -70,14 +76,14 @@ class WindowSet:
         return (hashes >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Occurring windows as (first word, end word) and the items that have them."""
+        """The words inside occurring windows as merged spans (first word, end word), and the items that have the windows."""
         get = self.ids.get
         own = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        spans, items = [], set()
         if not own.any():
-            return spans, items
+            return [], set()
+        spans, items = [], set()
         unknown = np.concatenate(([0], np.cumsum(own == 0)))
-        for width, (bloom, hashes, places, owners) in self.tables.items():
+        for width, (bloom, hashes, places, cuts, owner) in self.tables.items():
             n = len(words) - width + 1
             if n < 1:
                 continue
@@ -88,15 +94,28 @@ class WindowSet:
             likely = bloom[self._slot(rolled)]
             at, rolled = at[likely], rolled[likely]
             low, high = np.searchsorted(hashes, rolled, "left"), np.searchsorted(hashes, rolled, "right")
-            for k, lo, hi in zip(at.tolist(), low.tolist(), high.tolist()):
-                mine, hit = own[k : k + width], False
-                for j in range(lo, hi):
-                    if np.array_equal(mine, self.flat[places[j] : places[j] + width]):
-                        hit = True
-                        items.add(self.items[owners[j]])
-                if hit:
-                    spans.append((k, k + width))
-        return spans, items
+            while len(at := at[low < high]):  # one turn, unless different windows share a hash
+                low, high = low[low < high], high[low < high]
+                same = np.ones(len(at), dtype=bool)
+                for k in range(width):
+                    same &= own[at + k] == self.flat[places[low] + k]
+                spans.append(np.stack((at[same], at[same] + width)))
+                for window in np.unique(low[same]).tolist():
+                    items.update(self.items[k] for k in np.unique(owner[cuts[window] : cuts[window + 1]]).tolist())
+                low, at = low[~same] + 1, at[~same]
+                high = high[~same]
+        return merged(np.concatenate(spans, axis=1).T if spans else []), items
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans (a, b) without overlaps, touching ones joined, in order."""
+    spans = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
+    if not len(spans):
+        return []
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    end = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > end[:-1])))
+    return list(zip(spans[first, 0].tolist(), end[np.append(first[1:], len(spans)) - 1].tolist()))
 
 
 _held: list = [None, None]
@@ -122,53 +141,58 @@ def blocks(benchmark: DataFrame, n: int):
         yield benchmark.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part])
 
 
-#: Columns that a scan adds: words, merged word spans [a, b) of occurring windows, items with such windows.
-N_WORDS, HITS, ITEMS = "__n_words", "__hits", "__items"
+#: What a scan finds in a document: words, merged word spans [a, b) of occurring windows, items with such windows.
+FOUND = "struct<n_words:bigint,hits:array<struct<a:int,b:int>>,items:array<string>>"
+_ONE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the columns N_WORDS, HITS and ITEMS.
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, found: str = "found") -> DataFrame:
+    """``docs`` with one more column ``found`` of type FOUND (a column of that name is replaced, all others are kept).
 
-    Each block of the benchmark passes over all documents; between blocks the rows are written to the shared folder, so
-    a task holds one block's windows at a time.  Null texts have no words; an empty benchmark hits nothing; a null
-    item_id counts as the item ``null``; repeated rows each get their own result.
+    A benchmark of one block takes one pass.  Of a larger one each block passes over ids and texts alone and leaves the
+    rows that it hits, without their texts, in the shared folder; one join brings all blocks' spans to the documents, so
+    neither the number of blocks nor a block's windows multiply what is written.  Null texts have no words; an empty
+    benchmark hits nothing; a null item_id counts as the item ``null``; repeated rows each get the same result.
     """
-    base = docs.withColumns({N_WORDS: F.lit(0).cast("long"), HITS: F.array().cast("array<struct<a:int,b:int>>"), ITEMS: F.array().cast("array<string>")})
     n = count_blocks(benchmark)
+    if n == 1:
+        base = docs.withColumn(found, F.lit(None).cast(FOUND))
+        return _pass(base, next(blocks(benchmark, 1)), found)
+    keys = key_names(docs, "doc_id")
+    narrow = with_row_key(docs.select("doc_id", "text"), F.xxhash64("text"), ["doc_id"], keys).select(*keys, "text", F.lit(None).cast(FOUND).alias("f"))
+    every = None
     for block in blocks(benchmark, n):
-        base = _pass(base, block) if n == 1 else keep(_pass(base, block))
-    return base
-
-
-def _pass(docs: DataFrame, block) -> DataFrame:
+        hit = keep(_pass(narrow, block, "f").where(F.size("f.hits") > 0).select(*keys, "f.hits", "f.items").dropDuplicates(keys))
+        every = hit if every is None else every.unionByName(hit)
+    merge = F.udf(lambda parts: [{"a": a, "b": b} for a, b in merged([(h["a"], h["b"]) for h in parts])], "array<struct<a:int,b:int>>")
+    per = every.groupBy(*keys).agg(merge(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits, items = free_names([*docs.columns, *keys], "__hits", "__items")
+    per = per.withColumnsRenamed({"hits": hits, "items": items})
+    words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(_ONE_WORD))).cast("long")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    value = F.struct(words.alias("n_words"), none(F.col(hits), "array<struct<a:int,b:int>>").alias("hits"), none(F.col(items), "array<string>").alias("items"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != found]
+    return with_row_key(docs, F.xxhash64("text"), ["doc_id"], keys).join(per, keys, "left").select(*columns, value.alias(found))
+
+
+def _pass(docs: DataFrame, block, found: str) -> DataFrame:
     def run(batches):
         held = _windows(block)
         for part in slices(batches):
-            n_words, hits, items = [], [], []
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            for text, old, named in zip(texts, part.column(HITS).to_pylist(), part.column(ITEMS).to_pylist()):
+            values = []
+            for text in part.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(text)
-                spans, found = held.scan(words)
-                spans += [(h["a"], h["b"]) for h in old]
-                merged: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                n_words.append(len(words))
-                hits.append([{"a": a, "b": b} for a, b in merged])
-                items.append(sorted(found | set(named)))
-            new = {N_WORDS: n_words, HITS: hits, ITEMS: items}
-            arrays = [pa.array(new[f.name], type=f.type) if f.name in new else part.column(f.name) for f in part.schema]
+                spans, items = held.scan(words)
+                values.append({"n_words": len(words), "hits": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+            arrays = [pa.array(values, type=f.type) if f.name == found else part.column(f.name) for f in part.schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def n_hit() -> Column:
+def n_hit(found: Column) -> Column:
     """Words inside the spans."""
-    return F.aggregate(HITS, F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"])
+    return F.aggregate(found["hits"], F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"])
 
 
 def verdict(hit: Column, words: Column) -> Column:
@@ -186,12 +210,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for text in part.column("t").to_pylist():
                 words = words_of(text)
                 spans, found = held.scan(words)
-                cover, end = 0, 0
-                for a, b in sorted(spans):
-                    cover += max(0, b - max(a, end))
-                    end = max(end, b)
                 out["n_words"].append(len(words))
-                out["n_hit"].append(cover)
+                out["n_hit"].append(sum(b - a for a, b in spans))
                 out["n_items"].append(len(found))
                 out["items_sha256"].append(hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
             return {"doc_id": part.column("doc_id")} | out
@@ -200,33 +220,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         narrow = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
         found = map_slices(narrow, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
     else:
+        f = F.col("found")
         found = scan_benchmark(docs.select("doc_id", "text"), benchmark).select(
-            "doc_id", F.col(N_WORDS).alias("n_words"), n_hit().alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256")
+            "doc_id", f["n_words"].alias("n_words"), n_hit(f).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256")
         )
     return found.withColumn("contaminated", verdict(F.col("n_hit"), F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its contaminated documents, columns unchanged (one pass, no shuffle)."""
-    return scan_benchmark(docs, benchmark).where(~verdict(n_hit(), F.col(N_WORDS))).select(*docs.columns)
+    """``docs`` without its contaminated documents, columns unchanged (one pass, no shuffle, for one block)."""
+    (name,) = free_names(docs.columns, "__found")
+    found = F.col(name)
+    return scan_benchmark(docs, benchmark, name).where(~verdict(n_hit(found), found["n_words"])).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit span of words cut out of the text (from the first word's start to the last one's end)."""
-    scanned = scan_benchmark(docs, benchmark)
+    (name,) = free_names(docs.columns, "__found")
+    scanned = scan_benchmark(docs, benchmark, name)
     names = docs.columns
 
     def cut(text: str, spans: list[dict]) -> str:
         import regex
 
-        places = [m.span() for m in regex.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
-        for h in reversed(spans):
-            text = text[: places[h["a"]][0]] + text[places[h["b"] - 1][1] :]
-        return text
+        places = [m.span() for m in regex.finditer(_ONE_WORD, text)]
+        kept, at = [], 0
+        for h in spans:
+            kept.append(text[at : places[h["a"]][0]])
+            at = places[h["b"] - 1][1]
+        return "".join([*kept, text[at:]])
 
     def run(batches):
         for part in slices(batches):
-            texts = [cut(t, h) if h else t for t, h in zip(part.column("text").to_pylist(), part.column(HITS).to_pylist())]
+            texts = [cut(t, f["hits"]) if f["hits"] else t for t, f in zip(part.column("text").to_pylist(), part.column(name).to_pylist())]
             keep_ = [pa.array(texts, type=part.schema.field("text").type) if n == "text" else part.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(keep_, names=names)
 

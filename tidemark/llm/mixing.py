@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_slices, with_row_key
+from .common import free_names, keep, key_names, map_slices, with_row_key
 
 #: Weights dealt to the sources in code point order, null last, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -104,21 +104,27 @@ def _fly(open_: list, decide) -> None:
 
 
 def _land(open_: list, decide) -> None:
-    """The last open units of a source: a random corner, moved by single flips and swaps while the tokens get nearer."""
-    take = [_draw("land", u[3]) < u[0] for u in open_]
-    sizes = [u[1] for u in open_]
-    off = sum(s for s, t in zip(sizes, take) if t) - sum(u[0] * u[1] for u in open_)
-    while True:
-        gain = [(-s if t else s) for s, t in zip(sizes, take)]
-        moves = [(abs(off + g), (i,)) for i, g in enumerate(gain)]
-        moves += [(abs(off + gain[i] + gain[j]), (i, j)) for i in range(len(gain)) for j in range(i) if take[i] != take[j]]
-        best = min(moves, default=(abs(off), ()))
-        if best[0] >= abs(off) - EPS:
-            break
-        for i in best[1]:
-            off += gain[i]
-            take[i] = not take[i]
-    for u, t in zip(open_, take):
+    """The last open units of a source, both totals balanced: as many are taken as their probabilities add up to, one
+    fewer or more at most, the likeliest by a random draw first, then swapped while the tokens get nearer."""
+    sizes, wanted = [u[1] for u in open_], sum(u[0] * u[1] for u in open_)
+    order = sorted(range(len(open_)), key=lambda i: (_draw("land", open_[i][3]) - open_[i][0], i))
+    expected = sum(u[0] for u in open_)
+    tries = []
+    for many in sorted({int(expected + EPS), min(len(open_), int(expected + 1 - EPS))}):
+        take = [False] * len(open_)
+        for i in order[:many]:
+            take[i] = True
+        off = sum(s for s, t in zip(sizes, take) if t) - wanted
+        while True:
+            swaps = [(abs(off - sizes[i] + sizes[j]), i, j) for i, t in enumerate(take) if t for j, u in enumerate(take) if not u]
+            best = min(swaps, default=(abs(off), 0, 0))
+            if best[0] >= abs(off) - EPS:
+                break
+            _, i, j = best
+            off += sizes[j] - sizes[i]
+            take[i], take[j] = False, True
+        tries.append((abs(off), many, take))
+    for u, t in zip(open_, min(tries)[2]):
         decide(u[2], float(t))
     open_.clear()
 
@@ -219,15 +225,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of ``docs``."""
-    drawn, keys = with_row_key(mix(docs, weights), F.col("text_hash"), "doc_id", "source")
-    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    keyed, _ = with_row_key(docs, F.xxhash64("text"), "doc_id", "source")
+    named = ["doc_id", "source"]
+    keys = key_names(docs, *named)
+    copies, place, n, each = free_names([*docs.columns, *keys], "__copies", "__i", "__n", "__c")
+    drawn = with_row_key(mix(docs, weights), F.col("text_hash"), named, keys).groupBy(*keys).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    keyed = with_row_key(docs, F.xxhash64("text"), named, keys)
     same = Window.partitionBy(*keys)
     # equal rows share their copies; the remainder goes to the first of them
-    each = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__i") <= F.col("__copies") % F.col("__n"), 1).otherwise(0)
+    times = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(place) <= F.col(copies) % F.col(n), 1).otherwise(0)
     return (
         keyed.join(drawn, keys)
-        .withColumns({"__i": F.row_number().over(same.orderBy("__h")), "__n": F.count(F.lit(1)).over(same)})
-        .withColumn("__c", F.explode(F.array_repeat(F.lit(0), each.cast("int"))))
+        .withColumns({place: F.row_number().over(same.orderBy(keys[0])), n: F.count(F.lit(1)).over(same)})
+        .withColumn(each, F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
         .select(*docs.columns)
     )

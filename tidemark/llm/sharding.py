@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: Shards of the registered query, all of weight one.
 SHARDS = 8
 #: Rows that one numbering group holds on average; groups are (shard, hash bucket).
@@ -35,7 +37,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, g
     * slot numbers a shard's rows gaplessly from 0.  Rows are numbered inside (shard, hash bucket) groups of about
       ``ROWS_PER_GROUP`` rows, and a group starts where the rows of the groups before it end; no task sees a whole shard.
       A bucket hashes id and text, so neither one id nor one group of copies fills a group.
-    * An empty table gives no rows.  Columns of ``docs`` that bear an output's name are replaced.
+    * An empty table gives no rows.  Columns of ``docs`` that bear an output's name are replaced; all others are kept
+      as they are, whatever their names.
     """
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -51,18 +54,15 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, g
     n = docs.select("doc_id").count()
     buckets = max(LEAST_BUCKETS, -(-n // (ROWS_PER_GROUP * len(weights))))
     bucket = F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id"), text), F.lit(buckets))
-    counted = docs.select(rendezvous(F.col("doc_id"), weights).alias("shard"), bucket.alias("__b"))
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        counted.groupBy("shard", "__b")
-        .count()
-        .select("shard", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    )
-    inside = Window.partitionBy("shard", "__b").orderBy("doc_id", "text_crc32", "size")
+    b, at, start = free_names([*docs.columns, *new], "__b", "__n", "__start")
+    counted = docs.select(rendezvous(F.col("doc_id"), weights).alias("shard"), bucket.alias(b))
+    before = Window.partitionBy("shard").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.groupBy("shard", b).agg(F.count(F.lit(1)).alias("n")).select("shard", b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", b).orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.withColumn("__b", bucket)
-        .withColumn("__n", F.row_number().over(inside))
-        .join(starts, ["shard", "__b"])
-        .withColumn("slot", (F.col("__start") + F.col("__n") - 1).cast("long"))
+        rows.withColumn(b, bucket)
+        .withColumn(at, F.row_number().over(inside))
+        .join(starts, ["shard", b])
+        .withColumn("slot", (F.col(start) + F.col(at) - 1).cast("long"))
         .select(*docs.drop(*new).columns, *new)
     )

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_slices, raw, with_row_key
+from .common import free_names, keep, key_names, map_slices, raw, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -22,6 +22,8 @@ MOST_BITS = 3
 SEGMENT = 32
 #: Rounds of component hooking; each joins labels along the links and halves paths, so rounds grow with the logarithm.
 MOST_ROUNDS = 60
+#: A fingerprint of at least this share of all rows is hot; its component reaches its rows by broadcast (1 / HOT at most).
+HOT = 1 / 4096
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -102,11 +104,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts share fingerprint zero.  Repeated rows share a fingerprint; an empty table gives no rows.
     """
     marked = keep(with_fingerprint(docs))
-    prints = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints))
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
-    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+    prints = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(prints.select("fp")))
+    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("component"))
+    named = keep(placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "n", "component", "component_id"))
+    # rows of a hot fingerprint, such as that of all empty texts, stay where they are; the others meet theirs by key
+    hot = named.where(F.col("n") >= HOT * marked.count())
+    usual = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named, "fp")
+    return usual.unionByName(marked.join(F.broadcast(hot), "fp")).select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -116,7 +121,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs)
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    chosen, keys = with_row_key(groups.groupBy("component").agg(F.min(who).alias("w")).select("w.*"), F.col("text_hash"), "doc_id")
-    keyed, _ = with_row_key(docs, F.xxhash64("text"), "doc_id")
-    once = Window.partitionBy(*keys).orderBy("__h")
-    return keyed.join(chosen.select(*keys), keys, "left_semi").withColumn("__i", F.row_number().over(once)).where("__i = 1").select(*docs.columns)
+    keys = key_names(docs, "doc_id")
+    (i,) = free_names([*docs.columns, *keys], "__i")
+    chosen = with_row_key(groups.groupBy("component").agg(F.min(who).alias("w")).select("w.*"), F.col("text_hash"), ["doc_id"], keys)
+    keyed = with_row_key(docs, F.xxhash64("text"), ["doc_id"], keys)
+    once = Window.partitionBy(*keys).orderBy(keys[0])
+    return keyed.join(chosen.select(*keys), keys, "left_semi").withColumn(i, F.row_number().over(once)).where(F.col(i) == 1).select(*docs.columns)
