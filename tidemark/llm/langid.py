@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, keep, map_slices
@@ -17,6 +17,8 @@ DIMS = 1 << 13
 #: Labelled documents the model is fitted on, in all and of one language, chosen by a hash of the id.
 MOST_FIT_DOCS = 12_000
 MOST_FIT_PER_LANG = 3_000
+#: Languages up to which their shares of the sample are broadcast (one narrow row each); beyond, they meet by shuffle.
+MOST_BROADCAST_LANGS = 10_000
 #: Centroids of a language, and rounds of clustering.
 CENTROIDS = 4
 ROUNDS = 8
@@ -120,15 +122,15 @@ def fit_lang(idf: np.ndarray, lang: str, rows: list[np.ndarray]) -> tuple[np.nda
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of at most MOST_FIT_PER_LANG documents of a language and about MOST_FIT_DOCS in all.
 
-    Chosen by a hash of the id and text; ids and languages are counted first, so texts are read once and only the
-    chosen ones leave the scan.
+    Chosen by a hash of the id and text (rows equal in both are chosen together).  Languages are counted first and their
+    shares broadcast, so the choice is made in the scan and only chosen texts leave it.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(4) != 2))
-    draw = (F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30))
-    per = rows.groupBy("lang").count().withColumn("langs", F.count(F.lit(1)).over(Window.partitionBy()))
-    quota = F.least(F.lit(MOST_FIT_PER_LANG), F.lit(MOST_FIT_DOCS) / F.col("langs"))
-    share = per.select("lang", (quota / F.col("count")).alias("share"))
-    return rows.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(4) != 2))
+    draw = (F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30))
+    per = keep(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = per.count()
+    share = per.select("lang", (F.lit(min(MOST_FIT_PER_LANG, MOST_FIT_DOCS / max(1, langs))) / F.col("n")).alias("share"))
+    return rows.join(F.broadcast(share) if langs <= MOST_BROADCAST_LANGS else share, "lang").where(draw < F.col("share")).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model:
