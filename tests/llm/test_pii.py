@@ -148,3 +148,41 @@ def test_guards_hold_where_patterns_do(spark):
     rows = spark.createDataFrame(texts, "i long, t string")
     bad = rows.select(*(F.count_if(F.col("t").rlike(p) & ~F.col("t").rlike(g)).alias(n) for n, _, p, g in pii.GENERATORS)).first().asDict()
     assert not any(bad.values()), bad
+
+
+def test_many_spans_take_time_in_proportion(spark, booster):
+    """Thirty thousand addresses, cards inside one long run of letters, and spelt addresses: all in seconds."""
+    import time
+
+    mails = " ".join(f"u{i}@ex{i % 7}.org" for i in range(30_000))
+    cards = "token = '" + "_".join(["4111_1111_1111_1111"] * 10_000) + "'"
+    spelt = ", ".join(f"u{i} (at) ex{i % 7} (dot) org" for i in range(10_000))
+    frame = spark.createDataFrame([(1, mails), (2, cards), (3, spelt)], "doc_id long, text string").repartition(3)
+    started = time.time()
+    got = {r.doc_id: r for r in pii.find(frame, booster).select("doc_id", F.size("base").alias("base"), F.size("added").alias("added")).collect()}
+    assert time.time() - started < 60
+    assert got[1].base == 30_000 and got[1].added == 0 and got[3].added == 10_000
+    red = pii.redact(frame.where("doc_id = 3"), booster).first().text
+    assert red == ", ".join(["[EMAIL]"] * 10_000)
+
+
+def test_cut_and_unbeaten_against_brute_force(spark):
+    random.seed(4)
+    texts = ["", "a", "äß😀" * 700, "".join(chr(random.randint(97, 400)) for _ in range(150_000))]
+    spots = [(i, a, min(len(t), a + random.choice((0, 1, 30, 1023, 1024, 1025, 5000)))) for i, t in enumerate(texts) for a in [0, len(t), *(random.randint(0, len(t)) for _ in range(20))]]
+    frame = spark.createDataFrame([(texts[i], a, b) for i, a, b in spots], "t string, a int, b int")
+    got = frame.select(pii.let(pii.text_pieces(F.col("t")), lambda p: pii.cut(p, F.col("a"), F.col("b"))).alias("c")).collect()
+    assert [r.c for r in got] == [texts[i][a:b] for i, a, b in spots]
+    for total in (False, True):
+        spans = []
+        for lane in range(5):
+            at = 0
+            while at < 6000:
+                a = at + random.randint(0, 30)
+                at = a + random.choice((1, 2, 9, 400))
+                spans.append((a, at, "", "k", lane, float(random.randint(0, 6))))
+        rank = (lambda s: (s[5], s[0], s[1], s[4])) if total else (lambda s: s[5])
+        want = sorted(s for s in spans if not any(t[0] < s[1] and s[0] < t[1] and rank(t) < rank(s) for t in spans))
+        random.shuffle(spans)
+        row = spark.createDataFrame([(spans,)], "s array<struct<a:int,b:int,m:string,kind:string,lane:int,rank:double>>")
+        assert [tuple(s)[:6] for s in row.select(pii.unbeaten(F.col("s"), 5, total).alias("u")).first().u] == want

@@ -8,6 +8,7 @@ DataFrame expressions make (no document's data), and are applied as CASE express
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -38,6 +39,8 @@ GENERATORS = (
     ("id_account", "id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     ("secret_long", "secret", r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+", r"[A-Za-z0-9_/+=-]{20}"),
 )
+#: Lanes of the base rules; the generators' follow.
+BASE_RULES = 4
 #: Characters before and after a candidate that the context features read.
 CONTEXT = 24
 #: Rows made for each generator, half of them look-alikes; a fifth is held back to calibrate.
@@ -77,46 +80,111 @@ def luhn(number: Column) -> Column:
     return (F.size(digits) > 0) & (F.aggregate(doubled, F.lit(0), lambda s, d: s + d) % 10 == 0)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once however often ``then`` reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
+#: Elements of a piece of a walked array; code points of a piece of a cut text.
+STRIDE = 256
+PIECE = 1024
+_SPAN = "a:int,b:int,m:string,kind:string,lane:int"
+
+
+def _pieces(items: Column) -> Column:
+    """An array in pieces of STRIDE elements."""
+    each = lambda all_: F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / STRIDE).cast("int")), lambda k: F.slice(all_, k * STRIDE + 1, STRIDE))
+    return let(items, lambda all_: F.when(F.size(all_) > 0, each(all_)).otherwise(F.array(all_)))
+
+
+def walk(items: Column, state: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]], end: Callable[[Column], Column] | None = None) -> Column:
+    """What a walk over ``items`` puts out, an array of type ``out``: ``step(state, item)`` gives the next state and the
+    array it puts out, ``end`` what the last state puts out.
+
+    Appending to an array copies it, so the walk appends within pieces, and pieces as wholes to one another: what is
+    copied grows with the items, not with their square."""
+
+    def inside(acc: Column, item: Column) -> Column:
+        after, more = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def over(acc: Column, piece: Column) -> Column:
+        zero = F.struct(acc["state"].alias("state"), F.array().cast(out).alias("out"))
+        # not by ``let``, which copies what it gives: that would be all of ``out`` for each piece
+        return F.aggregate(piece, zero, inside, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out"))
+    return F.aggregate(_pieces(items), zero, over, lambda r: F.concat(F.flatten(r["out"]), end(r["state"])) if end else F.flatten(r["out"]))
+
+
 def places(text: Column, pattern: str) -> Column:
     """All matches, leftmost and non-overlapping, as structs (a, b, m): start and end in code points, matched text.
 
     What the pattern splits off between the matches gives the starts."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,m:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(hits.alias("m"), gaps.alias("gap")), lambda p: p["m"].isNotNull())
+    sized = F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("g"), F.length(p["m"]).alias("n"), p["m"].alias("m")))
+    span = lambda a, p: F.array(F.struct(a.alias("a"), (a + p["n"]).alias("b"), p["m"].alias("m")))
+    return walk(sized, F.lit(0), "array<struct<a:int,b:int,m:string>>", lambda at, p: (at + p["g"] + p["n"], span(at + p["g"], p)))
 
-    def step(acc: Column, pair: Column) -> Column:
-        a = acc["at"] + F.length(pair["gap"])
-        b = (a + F.length(pair["m"])).cast("int")
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.cast("int").alias("a"), b.alias("b"), pair["m"].alias("m")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(hits.alias("m"), gaps.alias("gap")), lambda p: p["m"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def text_pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, by way of larger ones, so that no piece is sought from the text's start."""
+    many = lambda t, n: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), ((F.length(t) - 1) / n).cast("int")), lambda k: F.substring(t, k * n + 1, n))).otherwise(F.array(t))
+    return F.flatten(F.transform(many(text, 64 * PIECE), lambda t: many(t, PIECE)))
+
+
+def cut(pieces: Column, a: Column, b: Column) -> Column:
+    """The code points from a to b, or to the end of the text that the pieces make up."""
+    first, last = (a / PIECE).cast("int"), ((b - 1) / PIECE).cast("int")
+    part = lambda k, at, n: F.coalesce(F.substring(F.get(pieces, k), at + 1, n), F.lit(""))
+    apart = F.concat(part(first, a - first * PIECE, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), part(last, F.lit(0), b - last * PIECE))
+    return F.when(b <= a, "").when(first == last, part(first, a - first * PIECE, b - a)).otherwise(apart)
+
 
+def unbeaten(spans: Column, lanes: int, total: bool) -> Column:
+    """The ``spans`` (a, b, m, kind, lane, rank) that no overlapping span of lesser rank beats, sorted; with ``total`` equal
+    ranks go by start, end and lane.
 
+    Spans of one lane do not overlap, so one walk by start that holds each lane's last span meets all overlapping pairs."""
+    held, names = f"struct<{_SPAN},rank:double,beaten:boolean>", ("a", "b", "m", "kind", "lane", "rank")
+    order = lambda s: F.struct(s["rank"], s["a"], s["b"], s["lane"])
+    beats = lambda s, t: (order(s) < order(t)) if total else (s["rank"] < t["rank"])
+    marked = lambda s, beaten: F.struct(*(s[n].alias(n) for n in names), beaten.alias("beaten"))
+    free = lambda spans: F.filter(spans, lambda s: s.isNotNull() & ~s["beaten"])
 
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        meets = lambda t: t.isNotNull() & (t["b"] > s["a"])
+        mine = F.exists(state, lambda t: meets(t) & beats(t, s))
+        after = F.transform(state, lambda t, k: F.when(k == s["lane"], marked(s, mine)).when(meets(t) & beats(s, t), marked(t, F.lit(True))).otherwise(t))
+        return after, free(F.array(F.get(state, s["lane"])))
 
-def _guarded(text: Column, guard: Column, spans: Column, kind: str) -> Column:
-    """``spans`` with their kind where the guard holds, else none, so most texts skip the pattern."""
-    full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), F.lit(kind).alias("kind")))
-    return F.when(guard, full).otherwise(F.array().cast("array<struct<a:int,b:int,m:string,kind:string>>"))
+    start = F.array_repeat(F.lit(None).cast(held), lanes)
+    return F.array_sort(walk(F.array_sort(spans), start, f"array<{held}>", step, free))
+
+
+def _guarded(text: Column, guard: Column, spans: Column, kind: str, lane: int) -> Column:
+    """``spans`` with their kind and lane where the guard holds, else none, so most texts skip the pattern."""
+    full = F.transform(spans, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), F.lit(kind).alias("kind"), F.lit(lane).alias("lane")))
+    return F.when(guard, full).otherwise(F.array().cast(f"array<struct<{_SPAN}>>"))
 
 
 def base_spans(text: Column) -> Column:
-    """The base rules' spans (a, b, m, kind), by start, then kind."""
+    """The base rules' spans (a, b, m, kind, lane); a lane is a rule."""
     n_digits = lambda m: F.length(F.regexp_replace(m, "[^0-9]", ""))
     octets = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
     found = (
-        _guarded(text, text.contains("@"), places(text, EMAIL), "email"),
-        _guarded(text, text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(places(text, IP), lambda s: octets(s["m"])), "ip"),
-        _guarded(text, text.rlike(CARD), F.filter(places(text, CARD), lambda s: luhn(s["m"])), "card"),
-        _guarded(text, text.rlike(r"\+[0-9]"), F.filter(places(text, PHONE), lambda s: n_digits(s["m"]).between(10, 15)), "phone"),
+        _guarded(text, text.contains("@"), places(text, EMAIL), "email", 0),
+        _guarded(text, text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(places(text, IP), lambda s: octets(s["m"])), "ip", 1),
+        _guarded(text, text.rlike(CARD), F.filter(places(text, CARD), lambda s: luhn(s["m"])), "card", 2),
+        _guarded(text, text.rlike(r"\+[0-9]"), F.filter(places(text, PHONE), lambda s: n_digits(s["m"]).between(10, 15)), "phone", 3),
     )
     return F.concat(*found)
 
 
 def candidates(text: Column) -> Column:
-    """All generators' spans (a, b, m, kind)."""
-    return F.concat(*(_guarded(text, text.rlike(guard), places(text, pattern), kind) for _, kind, pattern, guard in GENERATORS))
+    """All generators' spans (a, b, m, kind, lane); a lane is a generator."""
+    return F.concat(*(_guarded(text, text.rlike(guard), places(text, pattern), kind, BASE_RULES + k) for k, (_, kind, pattern, guard) in enumerate(GENERATORS)))
 
 
 def features(span: Column, before: Column, after: Column, kind: Column) -> dict[str, Column]:
@@ -220,28 +288,32 @@ def fit(spark: SparkSession) -> Booster:
 
 
 def find(docs: DataFrame, booster: Booster) -> DataFrame:
-    """``docs``' doc_id with the arrays ``base`` and ``added`` of structs (a, b, m, kind); added have p, too.
+    """``docs``' doc_id with the text and the arrays ``base`` and ``added`` of structs (a, b, m, kind, lane); added have a
+    rank (minus the probability) and beaten (false), too.
 
-    Of added spans that overlap one another the likelier stays (then the earlier); one that overlaps a base span goes.
-    Null texts are empty; texts of any length are scanned whole; repeated rows are scanned alike.
+    An added span overlaps no base span and no likelier added one (of equally likely ones the earlier, then the shorter
+    stays), whether or not that one stays itself.  Null texts are empty; texts of any length and with any number of spans
+    are scanned whole, in time that grows with both; repeated rows are scanned alike.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text"))
-    spans = found.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("cand"))
-    apart = lambda s, t: (s["b"] <= t["a"]) | (t["b"] <= s["a"])
+    spans = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("cand"))
+    names = ("a", "b", "m", "kind", "lane")
+    ranked = lambda array, rank: F.transform(array, lambda s: F.struct(*(s[n].alias(n) for n in names), rank(s).alias("rank")))
+    limit = lambda kind: reduce(lambda rest, kv: F.when(kind == kv[0], kv[1]).otherwise(rest), booster.thresholds.items(), F.lit(1.0))
+    lanes = BASE_RULES + len(GENERATORS)
+    both = F.concat(ranked(F.col("base"), lambda s: F.lit(0.0)), ranked(F.col("cand"), lambda s: F.lit(1.0)))
+    apart = F.filter(unbeaten(both, lanes, total=False), lambda s: s["lane"] >= BASE_RULES)
 
-    def scored(s: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(s["a"] + 1 - CONTEXT, F.lit(1)), F.least(s["a"], F.lit(CONTEXT)))
-        after = F.substring(F.col("text"), s["b"] + 1, F.lit(CONTEXT))
-        p = booster.score(features(s["m"], before, after, s["kind"]))
-        return F.struct((-p).alias("np"), s["a"].alias("a"), s["b"].alias("b"), s["m"].alias("m"), s["kind"].alias("kind"))
+    def scored(fresh: Column) -> Column:
+        def rank(pieces: Column, s: Column) -> Column:
+            before, after = cut(pieces, F.greatest(s["a"] - CONTEXT, F.lit(0)), s["a"]), cut(pieces, s["b"], s["b"] + CONTEXT)
+            return -booster.score(features(s["m"], before, after, s["kind"]))
 
-    limit = lambda kind: reduce(lambda rest, kv: F.when(kind == kv[0], kv[1]).otherwise(rest), booster.thresholds.items(), F.lit(1.0))
-    fresh = F.filter("cand", lambda s: F.forall("base", lambda t: apart(s, t)))
-    judged = F.array_sort(F.filter(F.transform(fresh, scored), lambda s: -s["np"] >= limit(s["kind"])))
-    none = F.array().cast("array<struct<np:double,a:int,b:int,m:string,kind:string>>")
-    chosen = F.aggregate(judged, none, lambda out, s: F.when(F.forall(out, lambda t: apart(s, t)), F.concat(out, F.array(s))).otherwise(out))
-    return spans.select("doc_id", "text", "base", F.when(F.size("cand") > 0, chosen).otherwise(none).alias("added"))
+        judged = let(text_pieces(F.col("text")), lambda pieces: ranked(fresh, lambda s: rank(pieces, s)))
+        return F.when(F.size(fresh) > 0, unbeaten(F.filter(judged, lambda s: -s["rank"] >= limit(s["kind"])), lanes, total=True)).otherwise(none)
+
+    none = F.array().cast(f"array<struct<{_SPAN},rank:double,beaten:boolean>>")
+    return spans.select("doc_id", "text", "base", F.when(F.size("cand") > 0, let(apart, scored)).otherwise(none).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -268,11 +340,10 @@ def redact(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     found = find(docs, booster)
     slim = lambda c: F.transform(c, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["kind"].alias("kind")))
     spans = F.array_sort(F.concat(slim(F.col("base")), slim(F.col("added"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["a"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["a"] >= acc["at"], F.struct(s["b"].alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["b"]).alias("at"), acc["out"].alias("out")))
+    def clean(pieces: Column) -> Column:
+        label = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        step = lambda at, s: (F.greatest(at, s["b"]), F.when(s["a"] >= at, F.array(cut(pieces, at, s["a"]), label(s))).otherwise(F.array().cast("array<string>")))
+        return F.array_join(walk(spans, F.lit(0), "array<string>", step, lambda at: F.array(cut(pieces, at, F.size(pieces) * PIECE))), "")
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", clean.alias("text"))
+    return found.select("doc_id", let(text_pieces(F.col("text")), clean).alias("text"))
