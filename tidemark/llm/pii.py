@@ -307,7 +307,8 @@ def find(docs: DataFrame, booster: Booster) -> DataFrame:
     def scored(fresh: Column) -> Column:
         def rank(pieces: Column, s: Column) -> Column:
             before, after = cut(pieces, F.greatest(s["a"] - CONTEXT, F.lit(0)), s["a"]), cut(pieces, s["b"], s["b"] + CONTEXT)
-            return -booster.score(features(s["m"], before, after, s["kind"]))
+            around = F.struct(before.alias("before"), after.alias("after"))
+            return -let(around, lambda c: booster.score(features(s["m"], c["before"], c["after"], s["kind"])))
 
         judged = let(text_pieces(F.col("text")), lambda pieces: ranked(fresh, lambda s: rank(pieces, s)))
         return F.when(F.size(fresh) > 0, unbeaten(F.filter(judged, lambda s: -s["rank"] >= limit(s["kind"])), lanes, total=True)).otherwise(none)
