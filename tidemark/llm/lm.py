@@ -2,20 +2,25 @@
 
 Documents become blocks: a dictionary of word hashes and the token stream in dictionary ids, packed.  Each block sends
 every shard the words and word pairs that belong there, once, with its training counts.  A shard builds a trie of two
-levels: sorted words with monotone pointers to their successors, and the successors with quantised counts, all in
-Elias-Fano code in memory-mapped files; a pair is looked up by successor search among its context's successors.  The
-answers go back to the blocks, which sum them up for their documents.  Nothing that grows with the corpus is held by
-the driver or broadcast, and one word's successors are dealt over many shards when the word is common.
+levels and answers from it; the answers go back to the blocks, which sum them up for their documents.
 
-Model: p(w | u) = max(c(uw) - D, 0) / c(u) + D * T(u) / c(u) * base(w), absolute discounting D, with T(u) the number of
-different successors of u and base(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); p(w | u) = base(w) where c(u) is zero.
+A trie's levels are flat arrays in one file of the shared folder, memory-mapped to be asked: the sorted words, monotone
+pointers to each word's successors, the successors as numbers relative to their context (all three in Elias-Fano code),
+and quantised smoothed probabilities beside them.  A pair is looked up by its context's pointers, which bound the
+successor search.  Nothing that grows with the corpus is held by the driver or broadcast, and one word's successors are
+dealt over many shards when the word is common.
+
+Model: p(w | u) = f(w | u) + b(u) * base(w), with the discounted f = max(c(uw) - D, 0) / c(u) and the back-off weight
+b(u) = D * T(u) / c(u) quantised when the trie is built, T(u) the number of different successors of u, and
+base(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)); p(w | u) = base(w) where c(u) is zero.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep, slices
+from .common import crc_mod, keep, shared_dir, slices
 
 #: Tokens of a block (a longer document is a block of its own) and, on average, tokens answered by one shard.
 BLOCK_TOKENS = 1_000_000
@@ -65,16 +70,22 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-# --- quantised counts --------------------------------------------------------------------------------------------
+# --- quantised probabilities -------------------------------------------------------------------------------------
+
+#: Codes have 22 bits: zero, then equal ratios (one in 126,000) from 2**-48 to one.  With 16 bits the rounding of a pair
+#: that a long text repeats adds up to a visible share of its score.
+_TOP, _OCTAVES = (1 << 22) - 1, 48
+
 
-#: Code (two bytes) to count: zero to 4096 exactly, then in equal ratios (0.04 per cent) up to 2**44.
-_EXACT = 4096
-LEVELS = np.concatenate((np.arange(_EXACT + 1.0), _EXACT * 2.0 ** (np.arange(1, 65536 - _EXACT) * 32 / (65535 - _EXACT))))
-_EDGES = (LEVELS[1:] + LEVELS[:-1]) / 2
+def quantise(p: np.ndarray) -> np.ndarray:
+    """The nearest level's code of probabilities; only zero itself becomes zero."""
+    code = np.rint(np.log2(np.maximum(p, 1e-300)) * ((_TOP - 1) / _OCTAVES)) + _TOP
+    return np.where(p > 0, np.clip(code, 1, _TOP), 0).astype(np.uint32)
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_EDGES, counts, "right").astype(np.uint16)
+def level(code: np.ndarray) -> np.ndarray:
+    """The probability of each code."""
+    return np.where(code > 0, np.exp2((code.astype(np.float64) - _TOP) * (_OCTAVES / (_TOP - 1))), 0.0)
 
 
 # --- Elias-Fano --------------------------------------------------------------------------------------------------
@@ -111,14 +122,13 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         return cls(low, high, zeros, n, width, top)
 
-    def mapped(self, folder: str, name: str) -> EliasFano:
-        """The same sequence over memory-mapped files."""
-        out = []
-        for part, a in (("low", self.low), ("high", self.high), ("zeros", self.zeros)):
-            path = os.path.join(folder, f"{name}.{part}")
-            a.tofile(path)
-            out.append(np.memmap(path, dtype=a.dtype, mode="r"))
-        return EliasFano(*out, self.n, self.width, self.top)
+    def parts(self) -> list[np.ndarray]:
+        return [np.array([self.n, self.width, self.top], dtype=np.int64), self.low, self.high, self.zeros]
+
+    @classmethod
+    def over(cls, parts: list[np.ndarray]) -> EliasFano:
+        head, *arrays = parts
+        return cls(*arrays, *(int(x) for x in head))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -137,8 +147,9 @@ class EliasFano:
         inside = (np.cumsum(1 - bits.astype(np.int8), axis=1, dtype=np.int8) <= left[:, None]).sum(axis=1)
         return word * 64 + inside
 
-    def find(self, keys: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """Index of each key, -1 where it is missing: successor search inside the key's high part."""
+    def find(self, keys: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None, step: int = 1 << 16) -> np.ndarray:
+        """Index of each key in its range from start to stop (all by default), -1 where it is missing: successor search in
+        what the range and the key's high part have in common."""
         out = np.full(len(keys), -1, dtype=np.int64)
         for at in range(0, len(keys) if self.n else 0, step):
             part = keys[at : at + step].astype(np.uint64)
@@ -147,6 +158,8 @@ class EliasFano:
             part, high = part[there], high[there]
             hi = self._zero(high) - high
             lo = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - (high - 1), 0)
+            if start is not None:
+                lo, hi = np.maximum(lo, start[at + there]), np.minimum(hi, stop[at + there])
             want, end = part & np.uint64((1 << self.width) - 1), hi.copy()
             open_ = np.flatnonzero(lo < hi)
             while len(open_):
@@ -160,41 +173,81 @@ class EliasFano:
             out[at + there[got]] = lo[got]
         return out
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at the indices (ascending scan of the high bits)."""
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little"))[: self.n]
-        return ((ones[i] - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
+    def get(self, i: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Values at the indices: the i-th one of the high bits, by the directory and one word of bits."""
+        ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        out = np.zeros(len(i), dtype=np.uint64)
+        for at in range(0, len(i), step):
+            k = np.asarray(i[at : at + step], dtype=np.int64)
+            word = np.searchsorted(ones, k, "right") - 1
+            bits = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
+            inside = (np.cumsum(bits, axis=1, dtype=np.uint8) <= (k - ones[word])[:, None]).sum(axis=1)
+            out[at : at + step] = ((word * 64 + inside - k).astype(np.uint64) << np.uint64(self.width)) | self._low(k)
+        return out
 
 
 class Trie:
-    """Words, pointers to their successors, successors in their context, all Elias-Fano; counts beside them."""
+    """Contexts, pointers to their successors, successors relative to their context, and the quantised probabilities."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, context: np.ndarray, successor: np.ndarray, pairs: np.ndarray, folder: str):
-        """``words`` sorted and distinct; ``context`` (index of a word) and ``successor`` sorted together."""
-        self.words = EliasFano.build(words).mapped(folder, "words")
-        self.counts = counts
-        # context-relative: a successor's value is its hash behind the index of its context
-        self.next = EliasFano.build((context.astype(np.uint64) << np.uint64(BITS)) | successor).mapped(folder, "next")
-        self.codes = quantise(pairs)
-        self.pointers = EliasFano.build(np.concatenate(([0], np.cumsum(np.bincount(context, minlength=len(words)))))).mapped(folder, "pointers")
+    def __init__(self, words: EliasFano, vocabulary: EliasFano, pointers: EliasFano, following: EliasFano, counts: np.ndarray, back: np.ndarray, probabilities: np.ndarray):
+        self.words, self.vocabulary, self.pointers, self.following = words, vocabulary, pointers, following
+        self.counts, self.back, self.probabilities = counts, back, probabilities
 
-    def successors(self) -> np.ndarray:
-        """How many different successors each word has: differences of the pointers."""
-        return np.diff(self.pointers.get(np.arange(self.pointers.n)).astype(np.int64))
+    @classmethod
+    def build(cls, words: np.ndarray, counts: np.ndarray, context: np.ndarray, successor: np.ndarray, pairs: np.ndarray) -> Trie:
+        """``words`` (hashes) sorted and distinct with their counts; ``context`` (index of a word) and ``successor`` (hash)
+        sorted together and distinct, with the counts of the pairs, at least one each."""
+        vocabulary, number = np.unique(successor, return_inverse=True)
+        many = np.bincount(context, minlength=len(words))
+        safe = np.maximum(counts, 1)
+        return cls(
+            EliasFano.build(words), EliasFano.build(vocabulary), EliasFano.build(np.concatenate(([0], np.cumsum(many)))), EliasFano.build(context.astype(np.uint64) * np.uint64(max(1, len(vocabulary))) + number.astype(np.uint64)),
+            counts.astype(np.uint64), quantise(DISCOUNT * many / safe), quantise(np.maximum(pairs - DISCOUNT, 0.0) / safe[context]),
+        )
+
+    def write(self, path: str) -> None:
+        """All levels in one file; the name appears when it is whole."""
+        levels = [*self.words.parts(), *self.vocabulary.parts(), *self.pointers.parts(), *self.following.parts(), self.counts, self.back, self.probabilities]
+        head = np.array([len(levels), *(x for a in levels for x in (ord(a.dtype.kind) << 8 | a.dtype.itemsize, len(a)))], dtype=np.int64)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as file:
+            for a in (head, *levels):
+                file.write(np.ascontiguousarray(a).tobytes())
+                file.write(bytes(-file.tell() % 8))
+        os.replace(part, path)
+
+    @classmethod
+    def open(cls, path: str) -> Trie:
+        """The trie over the memory-mapped file."""
+        file = np.memmap(path, dtype=np.uint8, mode="r")
+        n = int(file[:8].view(np.int64)[0])
+        head, at, levels = file[8 : 8 + 16 * n].view(np.int64), 8 + 16 * n, []
+        for k in range(n):
+            kind, size, length = chr(head[2 * k] >> 8), int(head[2 * k] & 255), int(head[2 * k + 1])
+            levels.append(file[at : at + size * length].view(f"<{kind}{size}"))
+            at += -(-size * length // 8) * 8
+        return cls(*(EliasFano.over(levels[k : k + 4]) for k in (0, 4, 8, 12)), *levels[16:])
+
+    def successors(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of each context (index) start and stop."""
+        return self.pointers.get(context).astype(np.int64), self.pointers.get(context + 1).astype(np.int64)
 
     def pair_codes(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each (context index, successor hash), zero where the pair is unknown."""
-        at = self.next.find((context.astype(np.uint64) << np.uint64(BITS)) | successor)
-        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint16)
+        """Code of f for each (context index, successor hash), zero where the pair is unknown."""
+        number = self.vocabulary.find(successor)
+        start, stop = self.successors(context)
+        key = context.astype(np.uint64) * np.uint64(max(1, self.vocabulary.n)) + np.maximum(number, 0).astype(np.uint64)
+        at = self.following.find(key, start, np.where(number >= 0, stop, start))
+        return np.where(at >= 0, self.probabilities[np.maximum(at, 0)] if len(self.probabilities) else 0, 0).astype(np.uint32)
 
 
 # --- blocks ------------------------------------------------------------------------------------------------------
 
-BLOCK = "block long, kind int, data binary, doc_id array<{id}>, held array<boolean>, tokens long, train long, common binary"
+BLOCK = "block long, words binary, data binary, doc_id array<{id}>, tokens long, train long, train_docs long, common binary"
 
 
 def _tokenise(docs: DataFrame) -> DataFrame:
-    """One row a block: packed dictionary hashes, token ids, document lengths and training flags."""
+    """One row a block: its dictionary (hashes, training counts), its token ids, document lengths and training flags, packed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = BLOCK.format(id=kind)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -225,9 +278,9 @@ def _tokenise(docs: DataFrame) -> DataFrame:
             often = np.flatnonzero(seen >= COMMON * max(1, len(stream)))
             low = (stream & np.uint32(0xFFFF)).astype(np.uint16)
             high = (stream >> np.uint32(16)).astype(np.uint16)
-            data = pack(hashes, low, high, sizes, flags.astype(np.uint8))
-            train = int(sizes[~flags].sum())
-            row = (number, 0, data, list(doc_ids), list(held), len(stream), train, pack(hashes[often], seen[often].astype(np.uint64)))
+            trained = np.bincount(stream[np.repeat(~flags, sizes)], minlength=len(hashes)).astype(np.uint32)
+            data = pack(low, high, sizes, flags.astype(np.uint8))
+            row = (number, pack(hashes, trained), data, list(doc_ids), len(stream), int(trained.sum()), int((~flags).sum()), pack(hashes[often], seen[often].astype(np.uint64)))
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         for part in slices(batches):
@@ -260,18 +313,30 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(29))
 
 
+class Common:
+    """The common contexts, which are the start and the words of at least the share COMMON of all tokens: sorted hashes,
+    training counts and, once the tries are built, numbers of different successors."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts, self.spread = words, counts, np.zeros(len(words))
+
+    def index(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each hash, -1 where it is not common."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+
 class Plan:
     """What a block asks the shards, in an order that is found again when the answers come."""
 
-    def __init__(self, data: bytes, shards: int, common: np.ndarray):
-        hashes, low, high, sizes, held = unpack(data)
+    def __init__(self, dictionary: bytes, data: bytes, shards: int, common: Common):
+        hashes, trained = unpack(dictionary)
+        low, high, sizes, held = unpack(data)
         self.stream = low.astype(np.int64) | (high.astype(np.int64) << 16)
         self.sizes, self.held = sizes.astype(np.int64), held.astype(bool)
-        self.words = np.append(hashes, _START_HASH)
+        self.words, self.trained = np.append(hashes, _START_HASH), np.append(trained, np.count_nonzero(~self.held)).astype(np.uint32)
         n = len(self.words)
         train = np.repeat(~self.held, self.sizes)
-        self.word_train = np.bincount(self.stream[train], minlength=n)
-        self.word_train[n - 1] = np.count_nonzero(~self.held)
         # context of each token: the word before it, or the start
         context = np.concatenate(([n - 1], self.stream[:-1]))
         context[np.cumsum(self.sizes)[:-1]] = n - 1
@@ -288,92 +353,101 @@ class Plan:
         # home shards of words; pairs go home with their context, or by both words where the context is common
         modulus = np.uint64(shards)
         home = (_mix(self.words) % modulus).astype(np.int64)
-        self.home = home
+        self.common_of = common.index(self.words)
+        self.often = self.common_of[self.u] >= 0
         pair_shard = home[self.u]
-        is_common = np.isin(self.words, common)
-        often = is_common[self.u]
-        part = _mix(self.words[self.w[often]] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARTS)
-        dealt = lambda u, part: (_mix(self.words[u] + part * np.uint64(0xD6E8FEB86659FD93)) % modulus).astype(np.int64)
-        pair_shard[often] = dealt(self.u[often], part)
-        # every shard that may hold successors of a common word is asked how many
-        every = np.repeat(np.flatnonzero(is_common), PARTS)
-        shard_of = dealt(every, np.tile(np.arange(PARTS, dtype=np.uint64), len(every) // PARTS))
-        both = np.unique(np.stack((shard_of, every)), axis=1)
-        self.also, self.also_cuts = both[1], np.searchsorted(both[0], np.arange(shards + 1))
-        self.pair_order = np.lexsort((self.words[self.w] & _MASK, self.u, pair_shard))
-        self.pair_cuts = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
+        part = _mix(self.words[self.w[self.often]] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARTS)
+        pair_shard[self.often] = (_mix(self.words[self.u[self.often]] + part * np.uint64(0xD6E8FEB86659FD93)) % modulus).astype(np.int64)
         self.word_order = np.argsort(home, kind="stable")
         self.word_cuts = np.searchsorted(home[self.word_order], np.arange(shards + 1))
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[self.word_order] = np.arange(n)
+        # a shard's pairs: those of its own words in their order, then those of common contexts
+        self.pair_order = np.lexsort((self.words[self.w] & _MASK, self.place[self.u], self.often, pair_shard))
+        self.pair_cuts = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
 
-    def ask(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For shard s: words at home there; contexts there (words by index) and how many pairs each has; the pairs."""
-        own = self.word_order[self.word_cuts[s] : self.word_cuts[s + 1]]
-        pairs = self.pair_order[self.pair_cuts[s] : self.pair_cuts[s + 1]]
-        u = self.u[pairs]
-        contexts = np.union1d(u, self.also[self.also_cuts[s] : self.also_cuts[s + 1]]).astype(np.int64)
-        return own, contexts, np.searchsorted(u, contexts, "right") - np.searchsorted(u, contexts, "left"), pairs
+    def ask(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """For shard s: the words at home there, and the pairs."""
+        return self.word_order[self.word_cuts[s] : self.word_cuts[s + 1]], self.pair_order[self.pair_cuts[s] : self.pair_cuts[s + 1]]
 
     def message(self, s: int) -> bytes | None:
-        own, contexts, spread, pairs = self.ask(s)
-        if not len(own) and not len(contexts):
+        """Own words with training counts and numbers of pairs; common contexts (index) with numbers of pairs; the pairs'
+        successors (hash) and training counts."""
+        own, pairs = self.ask(s)
+        if not len(own) and not len(pairs):
             return None
+        usual = pairs[~self.often[pairs]]
+        spread = np.bincount(self.place[self.u[usual]] - self.word_cuts[s], minlength=len(own))
+        extra, many = np.unique(self.place[self.u[pairs[len(usual) :]]], return_counts=True)
         follow = self.words[self.w[pairs]] & _MASK
         return pack(
-            self.words[own], self.word_train[own].astype(np.uint32), self.words[contexts], spread.astype(np.uint32),
+            self.words[own], self.trained[own], spread.astype(np.uint32), self.common_of[self.word_order[extra]].astype(np.uint16), many.astype(np.uint32),
             (follow & np.uint64(0xFFFFFFFF)).astype(np.uint32), (follow >> np.uint64(32)).astype(np.uint8), self.pair_train[pairs].astype(np.uint32),
         )
 
 
-def _answer(messages: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], int]:
-    """A shard's work: its trie from all blocks' training counts, then every block's answers; and its distinct words.
+def _answer(messages: list[tuple[int, bytes]], common: Common, path: str) -> tuple[list[tuple[int, bytes]], np.ndarray, int]:
+    """A shard's work: its trie, in the file ``path``, from all blocks' training counts, then every block's answers; the
+    common contexts' numbers of successors there, and its number of known words.
 
-    An answer holds the words' counts, the contexts' successor numbers, and the pairs' codes, in the order asked."""
+    An answer holds its words' counts and back-off codes and its pairs' codes, in the order asked."""
     every = [unpack(m) for _, m in messages]
-    asked = np.concatenate([m[0] for m in every] + [m[2] for m in every])
-    words = np.unique(asked)
+    # contexts of the shard: the common ones by index, then its own words
+    own = np.unique(np.concatenate([m[0] for m in every]))
+    c = len(common.words)
+    words, back = np.unique(np.concatenate((common.words, own)), return_inverse=True)
+    common_at, own_at = back[:c], back[c:]
     counts = np.zeros(len(words), dtype=np.int64)
-    keys, amounts = [], []
-    for own, trained, contexts, spread, low, high, pairs in every:
-        np.add.at(counts, np.searchsorted(words, own), trained.astype(np.int64))
-        some = pairs > 0
-        u = np.repeat(np.searchsorted(words, contexts), spread).astype(np.uint64)
-        keys.append(((u << np.uint64(BITS)) | (high.astype(np.uint64) << np.uint64(32)) | low)[some])
-        amounts.append(pairs[some].astype(np.int64))
-    key, amount = np.concatenate(keys), np.concatenate(amounts)
+    contexts, follow, amounts = [], [], []
+    for hashes, trained, spread, extra, many, low, high, pairs in every:
+        at = own_at[np.searchsorted(own, hashes)]
+        np.add.at(counts, at, trained.astype(np.int64))
+        contexts.append(np.concatenate((np.repeat(at, spread), np.repeat(common_at[extra], many))))
+        follow.append((high.astype(np.uint64) << np.uint64(32)) | low)
+        amounts.append(pairs.astype(np.int64))
+    mine = np.zeros(len(words), dtype=bool)
+    mine[own_at] = True
+    known = int(np.count_nonzero(counts[mine & (words != _START_HASH)]))
+    exact = counts.copy()
+    exact[common_at] = common.counts  # a common context's count is that of all shards
+    key = (np.concatenate(contexts).astype(np.uint64) << np.uint64(BITS)) | np.concatenate(follow)
+    amount = np.concatenate(amounts)
+    lengths = [len(f) for f in follow]
+    del contexts, follow, amounts
     order = np.argsort(key, kind="stable")
-    key, amount = key[order], amount[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
-    total, key = np.add.reduceat(amount, first) if len(first) else amount, key[first]
-    del keys, amounts, order, amount
-    out = []
-    with tempfile.TemporaryDirectory(prefix="trie") as folder:
-        trie = Trie(words, counts, (key >> np.uint64(BITS)).astype(np.int64), key & _MASK, total, folder)
-        spread_of = trie.successors()
-        for (block, _), (own, _, contexts, spread, low, high, _) in zip(messages, every):
-            at, inside = trie.words.find(own), trie.words.find(contexts)
-            follow = (high.astype(np.uint64) << np.uint64(32)) | low
-            codes = trie.pair_codes(np.repeat(inside, spread), follow)
-            out.append((block, pack(trie.counts[at].astype(np.uint64), spread_of[inside].astype(np.uint32), codes)))
-        del trie
-    known = int(np.count_nonzero(counts)) - int(_START_HASH in words[counts > 0])
-    return out, known
-
-
-def _scores(plan: Plan, answers: dict[int, bytes], shards: int, n_all: int, v_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ranked = key[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, dtype=bool)
+    asked, total = ranked[new], np.add.reduceat(amount[order], np.flatnonzero(new)) if len(ranked) else amount
+    place = np.empty(len(key), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    del key, amount, order, ranked, new
+    some = total > 0
+    Trie.build(words, exact, (asked[some] >> np.uint64(BITS)).astype(np.int64), asked[some] & _MASK, total[some]).write(path)
+    trie = Trie.open(path)
+    codes = trie.pair_codes((asked >> np.uint64(BITS)).astype(np.int64), asked & _MASK)[place]
+    start, stop = trie.successors(common_at)
+    out, at = [], 0
+    for (block, _), (hashes, *_), n in zip(messages, every, lengths):
+        found = trie.words.find(hashes)
+        n_word = trie.counts[found]
+        out.append((block, pack(n_word.astype(np.uint32 if not len(n_word) or int(n_word.max()) < 1 << 32 else np.uint64), trie.back[found], codes[at : at + n])))
+        at += n
+    return out, stop - start, known
+
+
+def _scores(plan: Plan, answers: dict[int, bytes], common: Common, n_all: int, v_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n_known, base_score, score of a block's documents."""
     n = len(plan.words)
-    count, spread, code = np.zeros(n), np.zeros(n), np.zeros(len(plan.u), dtype=np.uint16)
+    count, back, code = np.zeros(n), np.zeros(n, dtype=np.uint32), np.zeros(len(plan.u), dtype=np.uint32)
     for s, answer in answers.items():
-        own, contexts, _, pairs = plan.ask(s)
-        c, t, q = unpack(answer)
-        count[own] = c
-        np.add.at(spread, contexts, t)
-        code[pairs] = q
+        own, pairs = plan.ask(s)
+        count[own], back[own], code[pairs] = unpack(answer)
+    often = plan.common_of >= 0
+    shared = quantise(DISCOUNT * common.spread / np.maximum(common.counts, 1))
+    back[often] = shared[plan.common_of[often]]
     base = (count + 0.5) / (n_all + 0.5 * (v_all + 1))
-    context = count[plan.u]
-    safe = np.maximum(context, 1.0)
-    found = np.minimum(np.maximum(LEVELS[code] - DISCOUNT, 0.0) / safe, 1.0)
-    p = np.where(context > 0, found + DISCOUNT * spread[plan.u] / safe * base[plan.w], base[plan.w])
+    p = level(code) + level(back)[plan.u] * base[plan.w]
+    p = np.where(count[plan.u] > 0, p, base[plan.w])
     starts = np.concatenate(([0], np.cumsum(plan.sizes)[:-1]))
     return (
         np.add.reduceat((count[plan.stream] > 0).astype(np.int64), starts),
@@ -382,6 +456,36 @@ def _scores(plan: Plan, answers: dict[int, bytes], shards: int, n_all: int, v_al
     )
 
 
+def common_contexts(blocks: DataFrame, tokens: int, train_docs: int) -> Common:
+    """The common contexts with their exact training counts: candidates from the blocks that have them often, then one
+    pass over the dictionaries; 1 / COMMON rows at most come to the driver, twice."""
+    schema = "word long, n long"
+
+    def rows(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    def often(batches):
+        for part in slices(batches):
+            pairs = [unpack(d) for d in part.column("common").to_pylist()]
+            yield rows(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
+
+    # a word of a share of all tokens has it in some block
+    found = blocks.select("common").mapInArrow(often, schema).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * tokens).select("word").collect()
+    words = np.sort(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+
+    def counted(batches):
+        for part in slices(batches):
+            for data in part.column("words").to_pylist():
+                hashes, trained = unpack(data)
+                these = np.isin(hashes, words)
+                yield rows(hashes[these], trained[these])
+
+    exact = {r[0]: r[1] for r in blocks.select("words").mapInArrow(counted, schema).groupBy("word").agg(F.sum("n").alias("n")).collect()} if len(words) else {}
+    words = np.sort(np.append(words, _START_HASH))
+    counts = [train_docs if w == _START_HASH else exact.get(int(w.view(np.int64)), 0) for w in words]
+    return Common(words, np.array(counts, dtype=np.int64))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -389,26 +493,22 @@ def score(docs: DataFrame) -> DataFrame:
     end.  A document of any length is scored whole.  Repeated rows each count and are each scored; an empty table gives
     no rows; without training rows every probability is the base's.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = keep(_tokenise(docs))
-    tokens, train = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    nothing = F.lit(0).cast("long")
+    tokens, train, train_docs = blocks.agg(*(F.coalesce(F.sum(c), nothing) for c in ("tokens", "train", "train_docs"))).first()
     shards = max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS))
-
-    def often(batches):
-        for part in slices(batches):
-            pairs = [unpack(d) for d in part.column("common").to_pylist()]
-            word, n = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    # a word of a share of all tokens has it in some block; at most 1 / COMMON words pass
-    found = blocks.select("common").mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * tokens).select("word").collect()
-    common = spark.sparkContext.broadcast(np.array([r[0] for r in found], dtype=np.int64).view(np.uint64))
+    folder = _model_folder(shared_dir(spark))
+    common = spark.sparkContext.broadcast(common_contexts(blocks, tokens, train_docs))
 
     def ask(batches):
         for part in batches:
-            for block, data in zip(part.column("block").to_pylist(), part.column("data").to_pylist()):
-                plan = Plan(data, shards, common.value)
+            for block, words, data in zip(*(part.column(c).to_pylist() for c in ("block", "words", "data"))):
+                plan = Plan(words, data, shards, common.value)
                 sent = [(s, m) for s in range(shards) if (m := plan.message(s)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sent], type=pa.int32()), pa.array([block] * len(sent), type=pa.int64()), pa.array([m for _, m in sent], type=pa.binary())], names=["shard", "block", "data"])
 
@@ -416,16 +516,26 @@ def score(docs: DataFrame) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out, known = _answer(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())))
-        rows = [(shard, -1, None, known), *((shard, b, d, 0) for b, d in out)]
+        out, spread, known = _answer(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())), common.value, f"{folder}/{shard}.trie")
+        rows = [(shard, -1, pack(spread.astype(np.int64)), known), *((shard, b, d, 0) for b, d in out)]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), answer_schema)], schema=answer_schema)
 
-    asked = blocks.select("block", "data").mapInArrow(ask, "shard int, block long, data binary")
+    asked = blocks.select("block", "words", "data").mapInArrow(ask, "shard int, block long, data binary")
     answers = keep(asked.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(answer, "shard int, block long, data binary, known long"))
-    vocabulary = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    def spreads(batches):
+        total = np.zeros(len(common.value.words), dtype=np.int64)
+        for part in batches:
+            for data in part.column("data").to_pylist():
+                total += unpack(data)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "n"])
+
+    own = answers.where("block = -1")
+    vocabulary = own.agg(F.coalesce(F.sum("known"), nothing)).first()[0]
+    final = Common(common.value.words, common.value.counts)
+    for r in own.select("data").mapInArrow(spreads, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row for each common context
+        final.spread[r["k"]] = r["n"]
+    shared = spark.sparkContext.broadcast(final)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
@@ -433,12 +543,22 @@ def score(docs: DataFrame) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         shard, data = table.column("shard").to_pylist(), table.column("data").to_pylist()
         at = shard.index(-1)
-        plan = Plan(data[at], shards, common.value)
-        known, base, own = _scores(plan, {s: d for s, d in zip(shard, data) if s >= 0}, shards, train, vocabulary)
-        ids = table.column("doc_id").to_pylist()[at]
+        plan = Plan(table.column("words")[at].as_py(), data[at], shards, shared.value)
+        known, base, own = _scores(plan, {s: d for s, d in zip(shard, data) if s >= 0}, shared.value, train, vocabulary)
+        ids = table.column("doc_id")[at].as_py()
         cols = [ids, plan.held, plan.sizes, known, [train] * len(ids), base, own]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    whole = blocks.select("block", F.lit(-1).alias("shard"), "data", "doc_id")
-    back = answers.where("block >= 0").select("block", "shard", "data", F.lit(None).cast(f"array<{kind}>").alias("doc_id"))
+    whole = blocks.select("block", F.lit(-1).alias("shard"), "words", "data", "doc_id")
+    back = answers.where("block >= 0").select("block", "shard", F.lit(None).cast("binary").alias("words"), "data", F.lit(None).cast(f"array<{kind}>").alias("doc_id"))
     return whole.unionByName(back).groupBy("block").applyInArrow(total, schema)
+
+
+def _model_folder(root: str) -> str:
+    """A new folder for the tries under the shared folder, which tasks must see as a file system to map files from it."""
+    root = re.sub("^file:/+", "/", root)
+    if "://" in root:
+        raise ValueError(f"the tries are memory-mapped, so spark.checkpoint.dir must be mounted as a file system: {root}")
+    path = f"{root}/tries-{uuid.uuid4().hex}"
+    os.makedirs(path, exist_ok=True)
+    return path
