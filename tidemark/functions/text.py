@@ -38,6 +38,7 @@ def canonical_url(url: Column) -> Column:
 ROADS = (
     (r"(^|[^a-z0-9_])(?:interstate *|i-?)(5|90|405)(?![a-z0-9_])", "$1i_$2"),
     (r"(^|[^a-z0-9_])(?:state *route *|sr-?|wa-?)(99|520|522|167|16|2)(?![a-z0-9_])", "$1sr_$2"),
+    (r"(^|[^a-z0-9_])(?:u\.?s\.? *route *|us-?)(2|101)(?![a-z0-9_])", "$1us_$2"),
     (r"(^|[^a-z0-9_])exit *#? *([0-9]+[a-z]?)(?![a-z0-9_])", "$1exit_$2"),
     (r"(^|[^a-z0-9_])milepost *#? *([0-9]+)(?![a-z0-9_])", "$1mp_$2"),
 )
@@ -125,8 +126,9 @@ def feed_time(value: Column) -> Column:
 
 
 def deterministic_id(prefix: str, *parts: Column) -> Column:
-    """Prefix and 20 hex digits of the sha256 of the parts."""
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts)), 256), 1, 20))
+    """Prefix and 20 hex digits of the sha256 of the parts as a JSON list, in which different parts never read alike."""
+    said = F.to_json(F.array(*(p.cast("string") for p in parts)), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(said, 256), 1, 20))
 
 
 def record_fingerprint(source: Column, fields: dict[str, Column], transient: tuple[str, ...] = ("fetched_at", "views", "ads")) -> Column:

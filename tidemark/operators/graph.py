@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 def kept(df: DataFrame) -> DataFrame:
     """The frontier written to the shared checkpoint folder and read back, so an iteration's lineage stays short."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own(spark)
-    path = f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or _own(spark)).rstrip("/")
 
 
 def _own(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return jsc.getCheckpointDir().get()
 
@@ -66,6 +72,23 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, limit: float | None = Non
     return state.select("node", "weight")
 
 
+def routes(edges: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFrame:
+    """(goal, node, back): the nodes of a cheapest way from the seeds to each goal, counted back from the goal.
+
+    Each reached node points to the least of its neighbours on a cheapest way; the goals then follow the pointers, one
+    join a hop, all goals at once.  Unreachable goals have no rows.  Weights must be above zero."""
+    reached = kept(shortest_paths(edges, seeds))
+    near = reached.select(F.col("node").alias("src"), F.col("weight").alias("from"))
+    ahead = reached.select(F.col("node").alias("dst"), F.col("weight").alias("to"))
+    on_way = edges.join(near, "src").join(ahead, "dst").where((F.col("weight") > 0) & (F.col("from") + F.col("weight") == F.col("to")))
+    parent = kept(on_way.groupBy("dst").agg(F.min("src").alias("parent")))
+    at = kept(goals.join(reached, "node", "left_semi").select(F.col("node").alias("goal"), "node", F.lit(0).cast("long").alias("back")))
+    out = at
+    while not (at := kept(at.join(parent, at["node"] == parent["dst"]).select("goal", F.col("parent").alias("node"), (F.col("back") + 1).alias("back")))).isEmpty():
+        out = out.unionByName(at)
+    return out
+
+
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component): the least node of each component, by alternating hooks of larger and smaller neighbours."""
     now = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())

@@ -59,6 +59,15 @@ def sessions(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, gap_u
     return rows.withColumn("__opens", opens).withColumn("session", F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
 
 
+def after_closure(rows: DataFrame, key: str, time_us: str, tie: str, silence_us: int, closes: Column) -> DataFrame:
+    """The rows that follow a closed event, with outcome: ``reopened`` after silence alone, ``new`` where the row before the
+    silence closed the event for good."""
+    by = Window.partitionBy(key).orderBy(time_us, tie)
+    seen = rows.select(key, time_us, tie, closes.alias("closes"))
+    seen = seen.select("*", (F.col(time_us) - F.lag(time_us).over(by)).alias("silence"), F.lag("closes").over(by).alias("closed"))
+    return seen.where(F.col("silence") > silence_us).withColumn("outcome", F.when(F.col("closed"), "new").otherwise("reopened"))
+
+
 def trend(early: Column, late: Column) -> tuple[Column, Column]:
     """Label and strength of the ratio of late to early counts."""
     ratio = F.when(early > 0, late / early).when(late > 0, 2.0).otherwise(1.0)

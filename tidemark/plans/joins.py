@@ -19,11 +19,10 @@ def places(t: Tables) -> DataFrame:
     )
 
 
-@query(f" SELECT observation_id, round({haversine_sql('lon', 'lat', '-122.335', '47.608')}, 3) AS dist_m, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS bearing FROM (SELECT *, degrees(atan2(sin(radians(lon + 122.335)) * cos(radians(lat)), cos(radians(47.608)) * sin(radians(lat)) - sin(radians(47.608)) * cos(radians(lat)) * cos(radians(lon + 122.335)))) AS d FROM obs WHERE lat <> 47.608)", obs=True)
+@query(f" SELECT observation_id, round({haversine_sql('lon', 'lat', '-122.335', '47.608')}, 3) AS dist_m, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 4) AS bearing FROM (SELECT *, degrees(atan2(sin(radians(lon + 122.335)) * cos(radians(lat)), cos(radians(47.608)) * sin(radians(lat)) - sin(radians(47.608)) * cos(radians(lat)) * cos(radians(lon + 122.335)))) AS d FROM obs)", obs=True)
 def haversine_pairs(t: Tables) -> DataFrame:
     here = (F.lit(-122.335), F.lit(47.608))
-    rows = t.obs.where("lat <> 47.608")
-    return rows.select("observation_id", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), *here), 3).alias("dist_m"), F.round(geo.bearing_deg(*here, F.col("lon"), F.col("lat")), 4).alias("bearing"))
+    return t.obs.select("observation_id", F.round(geo.haversine_m(F.col("lon"), F.col("lat"), *here), 3).alias("dist_m"), F.round(geo.bearing_deg(*here, F.col("lon"), F.col("lat")), 4).alias("bearing"))
 
 
 @query(" SELECT CAST(floor(lat * 111320.0 / 750) AS BIGINT) || ':' || CAST(floor(lon * 111320.0 * cos(radians(lat)) / 750) AS BIGINT) AS cell, count(*) AS n FROM obs GROUP BY ALL", obs=True)
@@ -31,15 +30,15 @@ def geo_cell(t: Tables) -> DataFrame:
     return t.obs.groupBy(geo.geo_cell(F.col("lon"), F.col("lat")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(PLACES_SQL + f", pairs AS (SELECT place_id, observation_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o WHERE o.kind = 'error') SELECT place_id, count(*) AS n, round(min(d), 3) AS nearest_m FROM pairs WHERE d <= 1200 GROUP BY place_id", obs=True)
+@query(PLACES_SQL + f", pairs AS (SELECT place_id, observation_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o) SELECT place_id, count(*) AS n, round(min(d), 3) AS nearest_m FROM pairs WHERE d <= 1200 GROUP BY place_id", obs=True)
 def within_radius_join(t: Tables) -> DataFrame:
-    pairs = sp.within_distance(places(t).select("place_id", "lon", "lat"), t.obs.where("kind = 'error'").select("observation_id", "lon", "lat"), 1200.0)
+    pairs = sp.within_distance(places(t).select("place_id", "lon", "lat"), t.obs.select("observation_id", "lon", "lat"), 1200.0)
     return pairs.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("dist_m"), 3).alias("nearest_m"))
 
 
-@query(PLACES_SQL + f", pairs AS (SELECT observation_id, place_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o WHERE o.kind = 'signup') SELECT observation_id, place_id, round(d, 3) AS dist_m FROM pairs QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY d, place_id) = 1", obs=True)
+@query(PLACES_SQL + f", pairs AS (SELECT observation_id, place_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o) SELECT observation_id, place_id, round(d, 3) AS dist_m FROM pairs QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY d, place_id) = 1", obs=True)
 def nearest_neighbour(t: Tables) -> DataFrame:
-    got = sp.nearest(t.obs.where("kind = 'signup'").select("observation_id", "lon", "lat"), places(t).select("place_id", "lon", "lat"), "observation_id", "place_id", 1500.0)
+    got = sp.nearest(t.obs.select("observation_id", "lon", "lat"), places(t).select("place_id", "lon", "lat"), "observation_id", "place_id", 1500.0)
     return got.select("observation_id", "place_id", F.round("dist_m", 3).alias("dist_m"))
 
 

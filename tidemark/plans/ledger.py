@@ -132,7 +132,7 @@ def source_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("with_text"))
 
 
-@query(""" SELECT source_id, 'obs_' || substr(sha256(source_id || '|' || k || '|' || us), 1, 20) AS id, substr(sha256('k=' || k || '&kind=' || kind), 1, 24) AS fingerprint, observation_id FROM obs""", obs=True)
+@query(""" SELECT source_id, 'obs_' || substr(sha256('["' || source_id || '","' || k || '","' || us || '"]'), 1, 20) AS id, substr(sha256('k=' || k || '&kind=' || kind), 1, 24) AS fingerprint, observation_id FROM obs""", obs=True)
 def stamped_ids(t: Tables) -> DataFrame:
     fp = tx.record_fingerprint(F.col("source_id"), {"kind": F.col("kind"), "k": F.col("k"), "views": F.lit(1)})
     return t.obs.select("source_id", tx.deterministic_id("obs", F.col("source_id"), F.col("k"), F.col("us")).alias("id"), fp.alias("fingerprint"), "observation_id")

@@ -158,11 +158,11 @@ def observed_forecasts(t: Tables) -> DataFrame:
     return f.select("event_key", "domain", "share", F.explode(h).alias("h")).select("event_key", "domain", "h.horizon", F.round(F.col("share") * F.col("h.s"), 6).alias("p"))
 
 
-@query(""", m AS (SELECT event_key, kind, count(*) AS n FROM obs GROUP BY ALL) SELECT event_key, arg_max(kind, n * 1000 + ascii(kind)) AS label FROM m WHERE kind <> 'view' GROUP BY event_key""", obs=True)
+@query(""", m AS (SELECT event_key, kind, count(*) AS n FROM obs GROUP BY ALL) SELECT event_key, kind AS label FROM m WHERE kind <> 'view' QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY n DESC, kind DESC) = 1""", obs=True)
 def dominant_label(t: Tables) -> DataFrame:
-    """The most frequent label of each event, the unknown one aside."""
+    """The most frequent label of each event, the unknown one aside; of equally frequent ones the last by name."""
     m = t.obs.where("kind <> 'view'").groupBy("event_key", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return m.groupBy("event_key").agg(F.max_by("kind", F.col("n") * 1000 + F.ascii("kind")).alias("label"))
+    return m.groupBy("event_key").agg(F.max(F.struct("n", "kind"))["kind"].alias("label"))
 
 
 @query("SELECT consumer, max(us) AS us, count(*) AS n FROM (SELECT kind AS consumer, us FROM obs) GROUP BY consumer".join((" ", "")), obs=True)

@@ -7,15 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import _own
+from ..operators.graph import shared
 from ..streaming import ledger_stream as ls
 from .registry import Tables, query
 
 
 def _folder(t: Tables) -> str:
-    spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own(spark)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(t: Tables) -> DataFrame:
