@@ -118,7 +118,7 @@ def test_trie_is_asked_through_its_mapped_file(tmp_path):
     start, stop = trie.successors(np.arange(len(words)))
     assert (stop - start).tolist() == np.bincount(context.astype(np.int64), minlength=len(words)).tolist()
     f = lm.level(trie.pair_codes(context.astype(np.int64), successor))
-    assert f == pytest.approx((amount - lm.DISCOUNT) / counts[context.astype(np.int64)], rel=5e-6)
+    assert f == pytest.approx((amount - lm.DISCOUNT) / counts[context.astype(np.int64)], rel=1e-5)
     others = [(c, w) for c in range(len(words)) for w in (7, 2**39 + 1) if (c, w) not in set(pairs)]
     assert not trie.pair_codes(*(np.array([o[k] for o in others]) for k in (0, 1))).any()
 
@@ -153,7 +153,7 @@ def test_lm_brute_force(docs, empty, monkeypatch, block):
     got, want = sorted(map(tuple, got), key=key), sorted(brute_lm([(d, t) for d, t, *_ in rows()]), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
-    assert all(abs(g[6] - w[6]) <= 2e-6 * w[2] + 1e-6 for g, w in zip(got, want))  # a code's rounding for each token
+    assert all(abs(g[6] - w[6]) <= 4e-6 * w[2] + 1e-6 for g, w in zip(got, want))  # a code's rounding for each token
     assert lm.score(empty).count() == 0
 
 
@@ -162,7 +162,7 @@ def test_lm_common_words_are_dealt_over_shards(docs, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
     got = sorted((r.n_tokens, r.base_score, r.score) for r in lm.score(docs).collect())
     want = sorted((r[2], r[5], r[6]) for r in brute_lm([(d, t) for d, t, *_ in rows()]))
-    assert all(abs(g[2] - w[2]) <= 2e-6 * w[0] + 1e-6 for g, w in zip(got, want))
+    assert all(abs(g[2] - w[2]) <= 4e-6 * w[0] + 1e-6 for g, w in zip(got, want))
 
 
 def test_lm_beats_its_base_on_held_out(spark):

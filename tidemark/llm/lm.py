@@ -83,6 +83,22 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(code, 1, _TOP), 0).astype(np.uint32)
 
 
+def in_steps(x: np.ndarray) -> np.ndarray:
+    """The nearest number of levels by which a code rises when its probability is multiplied by ``x``."""
+    return np.rint(np.log2(x) * ((_TOP - 1) / _OCTAVES)).astype(np.int64)
+
+
+def relative(code: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """Codes as one plus their distance from the code of ``share`` / count, zero staying zero: the small whole numbers
+    behind the probabilities, which travel well."""
+    return np.where(code > 0, code.astype(np.int64) - quantise(share / np.maximum(counts, 1)) + 1, 0).astype(np.uint32)
+
+
+def absolute(code: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """The inverse of ``relative``."""
+    return np.where(code > 0, code.astype(np.int64) + quantise(share / np.maximum(counts, 1)) - 1, 0)
+
+
 def level(code: np.ndarray) -> np.ndarray:
     """The probability of each code."""
     return np.where(code > 0, np.exp2((code.astype(np.float64) - _TOP) * (_OCTAVES / (_TOP - 1))), 0.0)
@@ -200,9 +216,13 @@ class Trie:
         vocabulary, number = np.unique(successor, return_inverse=True)
         many = np.bincount(context, minlength=len(words))
         safe = np.maximum(counts, 1)
+        # numerators and counts are rounded apart, so that a code is its context's code and a distance that many pairs share
+        one, least = quantise((1 - DISCOUNT) / safe).astype(np.int64), quantise(DISCOUNT / safe).astype(np.int64)
+        found = np.minimum(one[context] + in_steps((pairs - DISCOUNT) / (1 - DISCOUNT)), _TOP)
+        back = np.where(many > 0, np.minimum(least + in_steps(np.maximum(many, 1)), _TOP), 0)
         return cls(
             EliasFano.build(words), EliasFano.build(vocabulary), EliasFano.build(np.concatenate(([0], np.cumsum(many)))), EliasFano.build(context.astype(np.uint64) * np.uint64(max(1, len(vocabulary))) + number.astype(np.uint64)),
-            counts.astype(np.uint64), quantise(DISCOUNT * many / safe), quantise(np.maximum(pairs - DISCOUNT, 0.0) / safe[context]),
+            counts.astype(np.uint64), back.astype(np.uint32), found.astype(np.uint32),
         )
 
     def write(self, path: str) -> None:
@@ -390,7 +410,7 @@ def _answer(messages: list[tuple[int, bytes]], common: Common, path: str) -> tup
     """A shard's work: its trie, in the file ``path``, from all blocks' training counts, then every block's answers; the
     common contexts' numbers of successors there, and its number of known words.
 
-    An answer holds its words' counts and back-off codes and its pairs' codes, in the order asked."""
+    An answer holds its words' counts and back-off codes and its pairs' codes, relative to the counts, in the order asked."""
     every = [unpack(m) for _, m in messages]
     # contexts of the shard: the common ones by index, then its own words
     own = np.unique(np.concatenate([m[0] for m in every]))
@@ -424,13 +444,14 @@ def _answer(messages: list[tuple[int, bytes]], common: Common, path: str) -> tup
     some = total > 0
     Trie.build(words, exact, (asked[some] >> np.uint64(BITS)).astype(np.int64), asked[some] & _MASK, total[some]).write(path)
     trie = Trie.open(path)
-    codes = trie.pair_codes((asked >> np.uint64(BITS)).astype(np.int64), asked & _MASK)[place]
+    of = (asked >> np.uint64(BITS)).astype(np.int64)
+    codes = relative(trie.pair_codes(of, asked & _MASK), trie.counts[of], 1 - DISCOUNT)[place]
     start, stop = trie.successors(common_at)
     out, at = [], 0
     for (block, _), (hashes, *_), n in zip(messages, every, lengths):
         found = trie.words.find(hashes)
         n_word = trie.counts[found]
-        out.append((block, pack(n_word.astype(np.uint32 if not len(n_word) or int(n_word.max()) < 1 << 32 else np.uint64), trie.back[found], codes[at : at + n])))
+        out.append((block, pack(n_word.astype(np.uint32 if not len(n_word) or int(n_word.max()) < 1 << 32 else np.uint64), relative(trie.back[found], n_word, DISCOUNT), codes[at : at + n])))
         at += n
     return out, stop - start, known
 
@@ -443,7 +464,8 @@ def _scores(plan: Plan, answers: dict[int, bytes], common: Common, n_all: int, v
         own, pairs = plan.ask(s)
         count[own], back[own], code[pairs] = unpack(answer)
     often = plan.common_of >= 0
-    shared = quantise(DISCOUNT * common.spread / np.maximum(common.counts, 1))
+    code, back = absolute(code, count[plan.u], 1 - DISCOUNT), absolute(back, count, DISCOUNT)
+    shared = np.where(common.spread > 0, quantise(DISCOUNT / np.maximum(common.counts, 1)) + in_steps(np.maximum(common.spread, 1)), 0)
     back[often] = shared[plan.common_of[often]]
     base = (count + 0.5) / (n_all + 0.5 * (v_all + 1))
     p = level(code) + level(back)[plan.u] * base[plan.w]
