@@ -29,7 +29,7 @@ def test_deltas(spark):
     s = [("e", 1, "active", "fire", 0.5, 10.0, False), ("e", 2, "active", "fire", 0.5, 10.2, False), ("e", 3, "closed", "fire", 0.7, 30.0, True), ("e", 4, "closed", "fire", 0.7, 30.0, False)]
     table = spark.createDataFrame(s, "k string, v int, status string, label string, authority double, amount double, official boolean")
     got = {(r.v, r.change): r.magnitude for r in delta.compare(table, "k", "v").collect()}
-    assert got == {(1, "created"): 1.0, (3, "status"): 1.0, (3, "confidence"): 0.2, (3, "scale"): 1.0, (3, "guidance_issued"): 1.0, (4, "guidance_lapsed"): 0.6}
+    assert got == {(1, "created"): 1.0, (3, "status"): 1.0, (3, "confidence"): 0.2, (3, "scale"): 1.0, (3, "guidance_issued"): 1.0, (4, "guidance_lapsed"): 0.5}
     assert delta.compare(table.limit(0), "k", "v").count() == 0
 
 

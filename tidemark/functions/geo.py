@@ -104,3 +104,17 @@ def distance_to_geometry_m(lon: pd.Series, lat: pd.Series, geometry: pd.Series)
             seen[g] = (_rings(g), bool(g) and "Polygon" in g)
         out.append(_distance(x, y, *seen[g]))
     return pd.Series(out, dtype=float)
+
+
+def segments_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two segments (lon1, lat1, lon2, lat2) have a point in common, ends and overlaps included."""
+
+    def side(s: dict[str, Column], x: Column, y: Column) -> Column:
+        return F.signum((s["lon2"] - s["lon1"]) * (y - s["lat1"]) - (s["lat2"] - s["lat1"]) * (x - s["lon1"]))
+
+    def boxes(c: str) -> Column:
+        low, high = (lambda s: F.least(s[f"{c}1"], s[f"{c}2"])), (lambda s: F.greatest(s[f"{c}1"], s[f"{c}2"]))
+        return F.greatest(low(a), low(b)) <= F.least(high(a), high(b))
+
+    apart = lambda s, o: side(s, o["lon1"], o["lat1"]) * side(s, o["lon2"], o["lat2"])
+    return boxes("lon") & boxes("lat") & (apart(b, a) <= 0) & (apart(a, b) <= 0)

@@ -151,3 +151,30 @@ def ladder(value: Column, steps: list[tuple[float, str]], otherwise: str) -> Col
     for least, label in reversed(steps):
         out = F.when(value >= least, label).otherwise(out)
     return out
+
+
+# fixed values: names and codes of the United States
+US_NAMES = ("united states", "united states of america", "usa", "us", "u.s.", "u.s.a.", "united states of north america")
+US_CODES = ("840", "750")
+
+
+def cell_key(value: Column) -> Column:
+    """A cell's text for look-ups: trimmed, lower case, without the ``.0`` that spreadsheets add."""
+    return F.regexp_replace(F.trim(F.lower(F.coalesce(value, F.lit("")))), r"\.0$", "")
+
+
+def is_united_states(*values: Column) -> Column:
+    """Whether one of the cells names the United States."""
+    return reduce(lambda a, b: a | b, (cell_key(v).isin(*US_NAMES, *US_CODES) for v in values))
+
+
+def affected_routes(text: Column) -> Column:
+    """Route numbers after "affected routes", up to the first prose, 24 at most; null if there are none."""
+    listed = F.regexp_extract(text, r"(?i)affected\s+routes?\s*:?\s*([0-9, C\-\r\n]+)", 1)
+    found = F.regexp_extract_all(listed, F.lit(r"(\d+[A-Z]*(?:\s*-\s*\d+[A-Z]*)?)"), 1)
+    return F.when(F.size(found) > 0, F.slice(found, 1, 24))
+
+
+def checked_reading(value: Column, flag: Column) -> Column:
+    """A measured value, null where its quality flag says anything but verified, corrected or nothing."""
+    return F.when(flag.isNull() | flag.isin("V", "C"), value)

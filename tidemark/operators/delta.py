@@ -32,7 +32,7 @@ def compare(states: DataFrame, key: str, version: str) -> DataFrame:
             _row(old & (F.abs(c("authority") - p("authority")) >= CONFIDENCE_GAP), "confidence", F.round(p("authority"), 4), F.round(c("authority"), 4), F.abs(c("authority") - p("authority"))),
             _row(old & (ratio > RATIO_NOISE), "scale", F.round(p("amount"), 4), F.round(c("amount"), 4), ratio),
             _row(old & c("official") & ~p("official"), "guidance_issued", p("official"), c("official"), F.lit(1.0)),
-            _row(old & ~c("official") & p("official"), "guidance_lapsed", p("official"), c("official"), F.lit(0.6)),
+            _row(old & ~c("official") & p("official"), "guidance_lapsed", p("official"), c("official"), F.lit(0.5)),
         )
     )
     return s.select(key, version, F.explode(found).alias("d")).select(key, version, "d.*").where(F.col("magnitude") >= MATERIAL_FLOOR)

@@ -142,3 +142,23 @@ def contradictions(claims: DataFrame, subject: str, predicate: str, value: str,
 def best_per(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key (a window group limit)."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def meeting(left: DataFrame, right: DataFrame, left_id: str, right_id: str, step: float = 0.01) -> DataFrame:
+    """(left_id, right_id) for each pair of segments (id, lon1, lat1, lon2, lat2) that have a point in common.
+
+    Segments are copied to the cells of ``step`` degrees that their box covers and joined by cell; a pair is tested only in
+    the cell of the least corner that both boxes share, so it comes once.  Choose ``step`` about the usual length, since a
+    segment's copies grow with the square of its length in steps.  A segment with a null has no pairs."""
+    names = ("lon1", "lat1", "lon2", "lat2")
+    low = lambda s, c: F.floor(F.least(F.col(f"{s}{c}1"), F.col(f"{s}{c}2")) / step)
+    high = lambda s, c: F.floor(F.greatest(F.col(f"{s}{c}1"), F.col(f"{s}{c}2")) / step)
+
+    def dealt(rows: DataFrame, key: str, s: str) -> DataFrame:
+        shown = rows.select(F.col(key).alias(f"{s}id"), *(F.col(n).alias(f"{s}{n}") for n in names)).dropna(subset=[f"{s}{n}" for n in names])
+        return shown.withColumn("cx", F.explode(F.sequence(low(s, "lon"), high(s, "lon")))).withColumn("cy", F.explode(F.sequence(low(s, "lat"), high(s, "lat"))))
+
+    pairs = dealt(left, left_id, "l_").join(dealt(right, right_id, "r_"), ["cx", "cy"])
+    once = (F.col("cx") == F.greatest(low("l_", "lon"), low("r_", "lon"))) & (F.col("cy") == F.greatest(low("l_", "lat"), low("r_", "lat")))
+    a, b = ({n: F.col(f"{s}{n}") for n in names} for s in ("l_", "r_"))
+    return pairs.where(once & geo.segments_meet(a, b)).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id))

@@ -27,7 +27,7 @@ def day_versions(t: Tables) -> DataFrame:
 @query(VERSIONS_SQL + """, l AS (SELECT *, lag(status) OVER w AS ps, lag(label) OVER w AS pl, lag(authority) OVER w AS pa, lag(amount) OVER w AS pm, lag(official) OVER w AS po, row_number() OVER w = 1 AS f FROM v WINDOW w AS (PARTITION BY event_key ORDER BY version)),
 d AS (SELECT event_key, version, 'created' AS change, 1.0 AS m FROM l WHERE f UNION ALL SELECT event_key, version, 'status', CASE WHEN status = 'closed' THEN 1.0 ELSE 0.55 END FROM l WHERE NOT f AND status <> ps UNION ALL SELECT event_key, version, 'classification', 0.5 FROM l WHERE NOT f AND label <> pl
 UNION ALL SELECT event_key, version, 'confidence', abs(authority - pa) FROM l WHERE NOT f AND abs(authority - pa) >= 0.08 UNION ALL SELECT event_key, version, 'scale', abs(amount - pm) / greatest(abs(pm), 1e-9) FROM l WHERE NOT f AND abs(amount - pm) / greatest(abs(pm), 1e-9) > 0.05
-UNION ALL SELECT event_key, version, 'guidance_issued', 1.0 FROM l WHERE NOT f AND official AND NOT po UNION ALL SELECT event_key, version, 'guidance_lapsed', 0.6 FROM l WHERE NOT f AND po AND NOT official)
+UNION ALL SELECT event_key, version, 'guidance_issued', 1.0 FROM l WHERE NOT f AND official AND NOT po UNION ALL SELECT event_key, version, 'guidance_lapsed', 0.5 FROM l WHERE NOT f AND po AND NOT official)
 SELECT event_key, version, change, round(CAST(least(1.0, m) AS DOUBLE), 6) AS magnitude FROM d WHERE round(CAST(least(1.0, m) AS DOUBLE), 6) >= 0.12""", obs=True)
 def state_deltas(t: Tables) -> DataFrame:
     """Changes of each event from day to day."""
