@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, text as tx
-from tidemark.operators import graph as gr
+from tidemark.operators import delta, graph as gr
 from tidemark.operators import ledger, measures as ms, ordered as od, spatial as sp
 
 
@@ -140,3 +141,33 @@ def test_greedy_clusters(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (2, 0, 60.0, 0.001, 0.0), (3, 0, 90.0, 1.0, 0.0), (4, 0, 99999.0, 0.0, 0.0)], "k long, r long, at double, lon double, lat double")
     got = {r.k: r.seed for r in gr.greedy_clusters(rows, "r", "at", "lon", "lat", "k", 1800.0, 14400.0).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_small_ring_keeps_its_area(spark):
+    side = 1e-4
+    corners = [(-122.3, 47.6), (-122.3 + side, 47.6), (-122.3 + side, 47.6 + side), (-122.3, 47.6 + side)]
+    row = spark.createDataFrame([(corners,)], "ring array<struct<lon:double,lat:double>>").select(geo.area_m2(F.col("ring")).alias("a")).first()
+    lat = sum(y for _, y in corners) / 4
+    assert row.a == pytest.approx((corners[1][0] - corners[0][0]) * (corners[2][1] - corners[1][1]) * 111320.0**2 * math.cos(math.radians(lat)), rel=1e-6)
+
+
+def test_capped_weights_against_rows(spark):
+    rows = [("a", 1.0, 90), ("a", 2.0, 3), ("a", 2.0, 4), ("b", 5.0, 7), ("c", 1.0, 5), ("c", 2.0, 5), ("d", 3.0, 50), ("d", 3.0, 2), ("d", 4.0, 9)]
+    got = {(r.g, r.v): r.w for r in ms.capped_weights(spark.createDataFrame(rows, "g string, v double, w long"), ["g"], "v", "w").collect()}
+    want: dict = {}
+    for g, v, w in rows:
+        rest = sum(x for h, _, x in rows if h == g) - w
+        want[g, v] = want.get((g, v), 0) + min(w, max(1, rest))
+    assert got == want
+
+
+def test_geometry_and_heading_of_versions(spark):
+    states = spark.createDataFrame([("e", 1, 0.0, 0.0, 0.0), ("e", 2, 0.0, 0.0, 100.0), ("e", 3, 1.0, 0.0, 100.0), ("e", 4, 1.0, 0.0, 101.0), ("f", 1, None, None, None), ("f", 2, 0.0, 0.0, 0.0)], "k string, v int, lon double, lat double, area double")
+    got = sorted(tuple(r) for r in delta.geometry(states, "k", "v").collect())
+    assert got == [("e", 2, "event_footprint_expanded", 0.4), ("e", 3, "event_geometry_displaced", 0.6)]
+    nowhere = F.lit(None).cast("double")
+    assert one(spark, geo.haversine_m(nowhere, F.lit(1.0), F.lit(2.0), F.lit(1.0)).alias("d")).d is None
+    assert one(spark, delta.displacement(nowhere, nowhere, F.lit(1.0), F.lit(1.0)).alias("d")).d == 0.0
+    moves = spark.createDataFrame([(1, False, None), (2, True, 350.0), (3, True, 10.0), (4, True, 50.0), (5, True, 50.0), (6, False, None)], "v int, moving boolean, direction double").withColumn("k", F.lit(1))
+    got = [tuple(r)[1:] for r in delta.heading(moves, "k", "v").orderBy("v").collect()]
+    assert got == [(2, "movement_started", 0.7), (3, "movement_started", 0.7), (4, "event_direction_changed", 0.7), (6, "movement_stopped", 0.35)]

@@ -16,9 +16,9 @@ DEGREE_M = 111320.0
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; null for a missing coordinate."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_M)
+    return F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a))) * (2 * EARTH_M)
 
 
 def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -53,6 +53,8 @@ def bbox_overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def area_m2(ring: Column) -> Column:
     """Shoelace area of a ring of (lon, lat) structs in local metres."""
     lat0 = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
+    start = F.get(ring, F.lit(0))  # sums from the first corner, else small rings drown in their coordinates
+    ring = F.transform(ring, lambda p: F.struct((p["lon"] - start["lon"]).alias("lon"), (p["lat"] - start["lat"]).alias("lat")))
     turned = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     cross = F.zip_with(ring, turned, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2 * DEGREE_M * DEGREE_M * F.cos(F.radians(lat0))

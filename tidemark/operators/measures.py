@@ -20,6 +20,18 @@ def weighted_median(rows: DataFrame, keys: Sequence[str], value: str, weight: st
     return first.select(*keys, F.when(tie & F.col("m.__next").isNotNull(), (F.col("m.v") + F.col("m.__next")) / 2).otherwise(F.col("m.v")).alias("weighted_median"))
 
 
+def capped_weights(rows: DataFrame, keys: Sequence[str], value: str, weight: str, least: int = 1) -> DataFrame:
+    """(keys, value, weight): whole-number weights summed by value, no single row outweighing the rest of its key together.
+
+    At most one row of a key can hold more than half the weight, so the largest row of each value is all that is kept of
+    the rows; a row alone weighs ``least``."""
+    per = rows.groupBy(*keys, value).agg(F.sum(weight).alias("__w"), F.max(weight).alias("__top"))
+    total = F.sum("__w").over(Window.partitionBy(*keys))
+    over = per.withColumn("__rest", total - F.col("__top"))
+    capped = F.when(F.col("__top") > F.col("__rest"), F.col("__w") - F.col("__top") + F.greatest(F.lit(least), F.col("__rest"))).otherwise(F.col("__w"))
+    return over.select(*keys, value, capped.alias(weight))
+
+
 def upper_median(values: Column) -> Column:
     """The element at n // 2 of the sorted array; null for an empty one."""
     ordered = F.array_sort(values)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, claims, graphs, guarded, joins, ledger, ordered, reads, scoring, streams, texts  # noqa: F401  (they register their queries)
+from . import aggregates, claims, detected, graphs, guarded, joins, ledger, ordered, reads, scoring, streams, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 
