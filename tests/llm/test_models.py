@@ -55,6 +55,69 @@ def test_language_rejects_other_scripts(spark):
     assert [p for p, _ in model.predict(["漢字仮名交じり文は日本語の文章である" * 20, "12345 !!! ...", None])] == ["und"] * 3
 
 
+def test_language_with_all_length_classes():
+    """A language whose sample holds a text of every length class: limits keep their type through the table."""
+    words = "river stone garden window morning letter bridge winter market silver".split()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 3, 10, 40, 200) for _ in range(4)] + ["ab", "to"]
+    rows = [langid.counts(t) for t in texts]
+    assert {langid.length_class(int(r.sum())) for r in rows} == set(range(len(langid.LENGTHS) + 1))
+    c, least = langid.fit_lang(np.ones(langid.DIMS, dtype=np.float32), "en", rows)
+    assert least.dtype == np.float64 and np.frombuffer(least.tobytes(), dtype=np.float64).tolist() == least.tolist()
+
+
+def test_language_at_the_largest_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = langid.identify(docs).groupBy("held_out").count().collect()
+    assert sum(r["count"] for r in got) == docs.count()
+
+
+def brute_language(texts, idf, centroids, langs, limits):
+    """Grams counted one by one with the same hash, TF-IDF, cosine and rejection by their definitions."""
+    m = (1 << 64) - 1
+    k1, k2, k3, m2, m3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+    out = []
+    for t in texts:
+        low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t or ""]
+        padded = [0, *(0 if c == " " else ord(c) for c in " ".join("".join(low).split())), 0]
+        if len(padded) == 2:
+            out.append(("und", 0.0))
+            continue
+        grams = Counter()
+        for i, a in enumerate(padded):
+            one = a * k1 & m
+            if a:
+                grams[one >> 51] += 1
+            if i + 1 < len(padded):
+                two = (one ^ (padded[i + 1] * k2 & m)) * m2 & m
+                grams[two >> 51] += 1
+                if i + 2 < len(padded):
+                    grams[((two ^ (padded[i + 2] * k3 & m)) * m3 & m) >> 51] += 1
+        v = {g: math.log1p(n) * float(idf[g]) for g, n in grams.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosine = [sum(x * float(c[g]) for g, x in v.items()) / norm for c in centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        out.append((langs[best] if cosine[best] >= limits[langid.length_class(sum(grams.values()))] else "und", cosine[best]))
+    return out
+
+
+def test_language_by_definition(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.collect()][:60] + ["", None, "...", "a", "Ünïcödé ß 漢字", "I\u0130x ǅ", "漢字仮名交じり文" * 9]
+    got, want = model.predict(texts), brute_language(texts, model.idf, model.centroids, model.langs, model.limits)
+    for t, g, w in zip(texts, got, want):
+        assert g[1] == pytest.approx(min(1.0, max(0.0, w[1])), abs=2e-5), t
+        assert g[0] == w[0] or abs(w[1] - model.limits[langid.length_class(int(langid.counts(t).sum()))]) < 1e-4, t
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "!", "a", "ab", "idiot you", "you", "fine day", "good sky", "a b c", "x" * 40, "漢字", "idiot idiot", "... !"]), st.integers(0, 1)), max_size=12), st.sampled_from([None, 0.01, 0.5]))
+def test_toxicity_trains_on_any_small_table(rows, prior):
+    model = toxicity.train([t for t, _ in rows], np.array([y for _, y in rows]), prior)
+    assert all(0 <= model.score(t) <= 1 for t in ("", None, "idiot", "fine", "a", "漢字"))
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     few = docs.join(labels.select("doc_id"), "doc_id")

@@ -23,6 +23,15 @@ def test_helper_names_of_the_input_are_kept(spark, docs, monkeypatch):
     assert mine(left) and left.columns == odd.columns
 
 
+def test_quality_beside_columns_of_its_own_names(docs):
+    odd = docs.withColumns({n: F.lit(f"mine {n}") for n in ("__t", "__T_", "ratio", "Kept")})
+    got = quality.score_quality(odd, ["doc_id", "__t", "__T_", "ratio", "Kept"])
+    assert got.columns[:3] == ["doc_id", "__t", "__T_"] and [c.lower() for c in got.columns].count("kept") == 1
+    assert {(r["__t"], r["__T_"]) for r in got.collect()} == {("mine __t", "mine __T_")}
+    plain = quality.score_quality(docs, ["doc_id"])
+    assert Counter(map(tuple, got.select(plain.columns).collect())) == Counter(map(tuple, plain.collect()))
+
+
 def test_capitals_are_words_of_a_removed_span(spark):
     text = "Before it: " + P.upper() + ". After"
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -56,7 +56,7 @@ def counts(text: str | None) -> np.ndarray | None:
     # one gap between words, one at each end
     leave = solid.copy()
     leave[1:] |= solid[:-1]
-    a = np.concatenate(([np.uint32(0)], codes[leave], [np.uint32(0)])).astype(np.uint64)
+    a = np.concatenate(([np.uint32(0)], codes[leave], np.zeros(int(solid[-1]), np.uint32))).astype(np.uint64)
     one = a * np.uint64(0x9E3779B97F4A7C15)
     two = (one[:-1] ^ (a[1:] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
     three = (two[:-1] ^ (a[2:] * np.uint64(0x165667B19E3779F9))) * np.uint64(0xA0761D6478BD642F)
@@ -116,7 +116,8 @@ def fit_lang(idf: np.ndarray, lang: str, rows: list[np.ndarray]) -> tuple[np.nda
     x = model.vectors(rows)
     c = _cluster(x, CENTROIDS)
     cosine, size = (x @ c.T).max(axis=1), np.array([length_class(int(r.sum())) for r in rows])
-    return c, np.array([cosine[size == k].min() if (size == k).any() else 2.0 for k in range(len(LENGTHS) + 1)])
+    least = [cosine[size == k].min() if (size == k).any() else 2.0 for k in range(len(LENGTHS) + 1)]
+    return c, np.array(least, dtype=np.float64)  # read back as float64, whatever the cosines are
 
 
 def training_sample(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, raw
+from .common import free_names, map_slices, raw
 
 #: zstandard level and chunk length in bytes; a last chunk shorter than LEAST_CHUNK is not judged.
 LEVEL = 3
@@ -110,21 +110,23 @@ def measure(text: bytes | None) -> tuple:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, ratio, share, fine and not failed
 
 
-def _columns(part: pa.RecordBatch) -> dict[str, list]:
-    rows = [measure(t) for t in part.column("__t").to_pylist()]
-    return dict(zip(_NAMES, map(list, zip(*rows)))) | {n: part.column(n) for n in part.schema.names if n != "__t"}
-
-
 def score_quality(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The MEASURES of every row of ``docs`` beside its columns ``carry``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A null or empty text has no words and fails the base rule; each row is judged
     alone, so repeated rows and ties are judged alike; an empty table gives no rows; columns of ``docs`` beyond
-    ``carry`` are not read.
+    ``carry`` are not read, and a column of ``carry`` that bears a measure's name (letter case aside) gives way to it.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    narrow = docs.select(*(F.col(f"`{c}`") for c in carry), raw().alias("__t"))
-    return map_slices(narrow, _columns, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), MEASURES]))
+    carry = [c for c in carry if c.lower() not in _NAMES]
+    (t,) = free_names([*carry, *_NAMES], "__t")
+
+    def columns(part: pa.RecordBatch) -> dict[str, list]:
+        rows = [measure(text) for text in part.column(t).to_pylist()]
+        return dict(zip(_NAMES, map(list, zip(*rows)))) | {n: part.column(n) for n in carry}
+
+    narrow = docs.select(*(F.col(f"`{c}`") for c in carry), raw().alias(t))
+    return map_slices(narrow, columns, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), MEASURES]))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -283,12 +283,15 @@ def train(texts: list[str], labels: np.ndarray, prior: float | None = None) -> M
             if len(r):
                 top = r[np.argsort(-(current[r] + (0 if k == 0 else 0.02 * evidence[r])), kind="stable")[:2]]
                 picked.append(top if k == 0 else top[(current[top] > -0.3) | (np.arange(len(top)) == 0)])
-        positive, times = np.unique(np.concatenate(picked), return_counts=True) if picked else (ranked[:50], np.ones(50))
+        if picked:
+            positive, times = np.unique(np.concatenate(picked), return_counts=True)
+        else:  # no word speaks for its document: the likeliest stand in
+            positive, times = ranked[:50], np.ones(len(ranked[:50]))
         if k == 0:
             strong = df[1][positive] >= 3
             if strong.sum() >= 20:
                 positive, times = positive[strong], times[strong]
-        hard = np.unique(np.array([r[np.argmax(np.where(df[0][r] > 0, current[r], -9))] for r in clean_rows]))
+        hard = np.unique(np.array([r[np.argmax(np.where(df[0][r] > 0, current[r], -9))] for r in clean_rows], dtype=np.int64))
         others = usual[~np.isin(usual, positive)]
         draw = rng.choice(others, min(len(others), NEGATIVES - min(len(hard), NEGATIVES // 2)), replace=False)
         negative = np.setdiff1d(np.unique(np.concatenate((hard, draw))), positive)
