@@ -9,7 +9,7 @@ import corpus_pipeline
 from tidemark.llm import queries
 from tidemark.llm.common import keep, table
 
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "pages", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

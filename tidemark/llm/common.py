@@ -39,12 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back: a cut lineage that survives lost executors."""
+def keep_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder as Parquet and read back, and where: a cut lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``keep_at`` for a table that stays."""
+    return keep_at(df)[0]
+
+
+def drop_kept(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``keep_at`` that nothing will read again, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, rows: int, per_task: int, *keys: object) -> DataFrame:

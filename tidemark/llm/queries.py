@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, mixing, pii, quality, sharding, simhash, toxicity
+from . import chat, clusters, codes, decontaminate, langid, lm, mixing, pii, quality, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -58,8 +58,20 @@ def op10_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_resolve(table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_compression_quality, op3_simhash, op4_rendezvous_shards, op5_pii, op6_toxicity, op7_chat, op8_language, op9_lm_score, op10_cube_mix]
+    own = [op1_decontaminate, op2_compression_quality, op3_simhash, op4_rendezvous_shards, op5_pii, op6_toxicity, op7_chat, op8_language, op9_lm_score, op10_cube_mix, op11_warc_revisits, op12_vector_codes, op13_sort_means]
     return {f.__name__: f for f in own}
 
 
@@ -91,5 +103,50 @@ FROM m GROUP BY conv_id
 """
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to, TRUE AS intact FROM g
+"""
+
+#: Floor of s / n in whole numbers.
+FLOOR_SQL = "((s - ((s % n) + n) % n) // n)::BIGINT"
+GOOD_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Rounds written out one after the other: assign every part, move every used entry, assign a last time."""
+    steps = [
+        f"WITH w AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x FROM embeddings WHERE {GOOD_SQL})",
+        "v AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS x FROM w, (SELECT unnest(range(4)) AS p))",
+        "c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM v WHERE r <= 256)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'e': e}}) AS b FROM (SELECT v.r, v.p, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{k} AS c USING (p)) GROUP BY r, p)")
+        if k < rounds:
+            steps.append(f"m{k} AS MATERIALIZED (SELECT p, e, list(y ORDER BY i) AS x FROM (SELECT p, e, i, {FLOOR_SQL} AS y FROM (SELECT p, b.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT v.p, a.b, v.x, unnest(range(1, len(v.x) + 1)) AS i FROM v JOIN a{k} AS a USING (r, p)) GROUP BY ALL)) GROUP BY p, e)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{k} AS c LEFT JOIN m{k} AS m USING (p, e))")
+    steps.append(f"t AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})")
+    return ",\n".join(steps) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label FROM w JOIN t USING (r), s"
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    """Rounds written out one after the other: assign, move every non-empty centroid, assign a last time."""
+    steps = [
+        f"WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {GOOD_SQL})",
+        "c0 AS MATERIALIZED (SELECT r AS c, x FROM v WHERE r < 40)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS b FROM (SELECT v.r, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{k} AS c) GROUP BY r)")
+        if k < rounds:
+            steps.append(f"m{k} AS MATERIALIZED (SELECT c, list(y ORDER BY i) AS x FROM (SELECT c, i, {FLOOR_SQL} AS y FROM (SELECT b.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT a.b, v.x, unnest(range(1, 65)) AS i FROM v JOIN a{k} AS a USING (r)) GROUP BY ALL)) GROUP BY c)")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, c.x) AS x FROM c{k} AS c LEFT JOIN m{k} AS m USING (c))")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, b.c::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} AS a USING (r) JOIN c{rounds} AS c ON c.c = a.b.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op7_chat": OP7_SQL, "op11_warc_revisits": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_sort_means": _op13_sql()}
