@@ -50,11 +50,12 @@ def test_dedupe(spark, tmp_path):
     assert sorted(r.id for r in out.collect()) == [1, 2]
 
 
-def test_resolver(spark, tmp_path):
-    drop(spark, tmp_path / "in", "a", [(1, "c", "", "2024-01-01 00:00:00"), (2, "c", "", "2024-01-01 00:30:00"), (3, "d", "", "2024-01-01 00:30:00"), (4, "c", "", "2024-01-02 00:00:00")])
-    rows = source(spark, tmp_path / "in").withColumn("at", F.unix_micros("ts") / 1e6)
-    out = run(ls.resolve(rows, "k", "id", "at", "lon", "lat", 10800.0, 2500.0), tmp_path)
-    assert {r.id: r.event_id for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+def test_versions_are_forgotten(spark, tmp_path):
+    drop(spark, tmp_path / "in", "a", [(1, "x", "p", "2024-01-01 00:00:00"), (2, "y", "p", "2024-01-01 00:00:00"), (3, "x", "p", "2024-01-01 05:00:00")])
+    made = lambda: ls.versions(source(spark, tmp_path / "in"), "k", "v", "ts", forget="2 hours")
+    assert sorted((r.k, r.version) for r in run(made(), tmp_path).collect()) == [("x", 1), ("x", 1), ("y", 1)]
+    drop(spark, tmp_path / "in", "b", [(4, "y", "p", "2024-01-01 06:00:00"), (5, "x", "q", "2024-01-01 05:30:00")])
+    assert sorted((r.k, r.v, r.version) for r in run(made(), tmp_path).collect()) == [("x", "p", 1), ("x", "p", 1), ("x", "q", 2), ("y", "p", 1), ("y", "p", 1)]
 
 
 def test_fan_out(spark, tmp_path):

@@ -7,9 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators.graph import shared
 from ..streaming import ledger_stream as ls
-from .registry import Tables, query
+from ..streaming import timers as tm
+from . import claims  # noqa: F401  (its statement is used here)
+from .registry import ORACLES, OBS_SQL, Tables, query
+
+DAY = 86_400_000_000
 
 
 def _folder(t: Tables) -> str:
@@ -49,10 +54,37 @@ def stream_versions(t: Tables) -> DataFrame:
     return out.groupBy("user_id").agg(F.max("version").alias("versions"))
 
 
+def _timed(t: Tables, rows: DataFrame, make) -> DataFrame:
+    """Rows written to a folder and streamed through an operator with timers."""
+    folder = _folder(t)
+    rows.write.parquet(f"{folder}/in")
+    with tm.timed_state(t.spark):
+        return ls.drain(make(ls.read_files(t.spark, f"{folder}/in", rows.schema)), "q" + uuid.uuid4().hex, f"{folder}/checkpoint", f"{folder}/out")
+
+
 @query()
 def stream_resolver(t: Tables) -> DataFrame:
-    """Observations resolved to events by keyed state (order-dependent; no SQL form)."""
-    rows = events(t).where("event_type = 'error'").select(
-        (F.col("user_id") % 50).alias("cell"), "event_id", F.unix_micros("ts").cast("double").alias("us"), (F.col("user_id") * 0.001).alias("lon"), (F.col("event_id") % 200 * 0.001 + 47.0).alias("lat")
-    ).withColumn("at", F.col("us") / 1e6).withColumnRenamed("event_id", "observation_id")
-    return _drained(t, ls.resolve(rows, "cell", "observation_id", "at", "lon", "lat", 10800.0, 2500.0))
+    """Observations resolved to the events of their cell by keyed state; events close by timer, reopen and leave the state
+    (order-dependent; no SQL form)."""
+    rows = t.obs.select(geo.geo_cell(F.col("lon"), F.col("lat")).alias("cell"), "observation_id", "us", "lon", "lat", (F.col("k") >= 95).alias("final"))
+    return _timed(t, rows, lambda s: tm.resolve(s, "cell", 3_600_000_000, 10_800_000_000, 500.0, "1 hour")).where("observation_id IS NOT NULL")
+
+
+@query(ORACLES["reopened_events"])
+def stream_reopened(t: Tables) -> DataFrame:
+    """Reports after an event closed, from keyed state with timers: the same as ``reopened_events`` over the whole table."""
+    rows = t.obs.select("source_id", "observation_id", "us", "lon", "lat", (F.col("k") >= 95).alias("final"))
+    out = _timed(t, rows, lambda s: tm.resolve(s, "source_id", DAY, 400 * DAY, None, "1 hour"))
+    return out.where("outcome IN ('reopened', 'new')").select("observation_id", "source_id", "outcome")
+
+
+@query(f""", p AS (SELECT event_key, k, us // {DAY} * {DAY} AS us, max({{'us': us, 'o': observation_id, 'kind': kind}}).kind AS fp FROM obs GROUP BY ALL),
+w AS (SELECT *, lag(us) OVER q AS old, lag(fp) OVER q AS oldfp, lead(us) OVER q AS next FROM p WINDOW q AS (PARTITION BY event_key, k ORDER BY us)),
+v AS (SELECT *, 1 + sum(CASE WHEN oldfp <> fp THEN 1 ELSE 0 END) OVER (PARTITION BY event_key, k ORDER BY us) AS version FROM w)
+SELECT event_key, k, CASE WHEN old IS NULL THEN 'created' WHEN us - old > {3 * DAY} THEN 'returned' ELSE 'revised' END AS change, version::BIGINT AS version, us FROM v WHERE old IS NULL OR us - old > {3 * DAY} OR oldfp <> fp
+UNION ALL SELECT event_key, k, 'ended', version::BIGINT, us + {3 * DAY} FROM v WHERE coalesce(next, (SELECT max(us) FROM p)) - us > {3 * DAY}""", obs=True)
+def stream_tombstones(t: Tables) -> DataFrame:
+    """Daily polls of records: versions, ends after three missed polls (by timer where nothing follows) and returns."""
+    last = F.max(F.struct("us", "observation_id", "kind")).alias("m")
+    polls = t.obs.groupBy("event_key", "k", (F.floor(F.col("us") / DAY) * DAY).alias("day")).agg(last).select("event_key", "k", F.col("day").alias("us"), F.col("m.kind").alias("fingerprint"))
+    return _timed(t, polls, lambda s: tm.presence(s, ["event_key", "k"], 3 * DAY, 400 * DAY, "1 hour"))

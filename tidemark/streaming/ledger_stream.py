@@ -1,4 +1,4 @@
-"""Structured Streaming: change capture, windows, disappearance, resolver state, topic fan-out."""
+"""Structured Streaming: change capture, windows, topic fan-out; ``timers`` holds the operators whose state ends by timer."""
 
 from __future__ import annotations
 
@@ -77,69 +77,42 @@ def _in_order(batches: Iterator[pd.DataFrame], order: list[str], columns: list[s
 PIECE = 10_000
 
 
-def versions(stream: DataFrame, key: str, fingerprint: str, time: str, tie: str | None = None) -> DataFrame:
+def versions(stream: DataFrame, key: str, fingerprint: str, time: str, tie: str | None = None, forget: str | None = None) -> DataFrame:
     """(key, fingerprint, version): a row whenever a record's fingerprint changes; the state is the last one seen.
 
-    Rows of a micro-batch are taken by ``time``, then ``tie``; a row that comes in a later micro-batch counts as later."""
+    Rows of a micro-batch are taken by ``time``, then ``tie``; a row that comes in a later micro-batch counts as later.  With
+    ``forget`` (a duration; ``time`` must be a timestamp) a record that was not seen for so long leaves the state and starts
+    again at version one; without it every key stays."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     order = [time] if tie is None else [time, tie]
+    forget_ms = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, version = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, version, seen = state.get if state.exists else (None, 0, None)
         out = []
         for row in _in_order(batches, order, [*order, fingerprint]):
+            at = int(pd.Timestamp(row[0]).value // 1_000_000) if forget_ms is not None else None
+            if forget_ms is not None and seen is not None and at - seen > forget_ms:  # settled by time, not by when a timer runs
+                last, version = None, 0
+            seen = at
             if row[-1] != last:
                 last, version = row[-1], version + 1
                 out.append((k[0], last, version))
                 if len(out) == PIECE:
                     yield pd.DataFrame(out, columns=[key, fingerprint, "version"])
                     out = []
-        state.update((last, version))
+        state.update((last, version, seen))
+        if forget_ms is not None:
+            state.setTimeoutTimestamp(max(seen + forget_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[key, fingerprint, "version"])
 
-    return stream.select(*dict.fromkeys([key, fingerprint, *order])).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}, version long", f"last {kinds[fingerprint]}, version long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def resolve(stream: DataFrame, cell: str, key: str, time_s: str, lon: str, lat: str, margin_s: float, radius_m: float) -> DataFrame:
-    """(key, event_id): each observation joins the nearest open event of its cell in reach, or opens one under its own id.
-
-    The state of a cell is its open events; those older than twice the margin are dropped, so it stays small."""
-    import numpy as np
-
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times, xs, ys = map(list, state.get) if state.exists else ([], [], [], [])
-        out = []
-        held = 64
-        for at, o, x, y in _in_order(batches, [time_s, key], [time_s, key, lon, lat]):
-            if len(ids) > held:  # what is twice the margin behind a row in order is out of reach of all after it
-                near = [i for i in range(len(ids)) if at - times[i] <= 2 * margin_s]
-                ids, times, xs, ys = ([c[i] for i in near] for c in (ids, times, xs, ys))
-                held = max(64, 2 * len(ids))
-            best = None
-            for i in range(len(ids)):
-                d = float(np.hypot((x - xs[i]) * 111320.0 * np.cos(np.radians(y)), (y - ys[i]) * 111320.0))
-                if abs(at - times[i]) <= margin_s and d <= radius_m and (best is None or d < best[0]):
-                    best = (d, i)
-            if best is None:
-                ids.append(int(o)), times.append(float(at)), xs.append(float(x)), ys.append(float(y))
-                out.append((o, o))
-            else:
-                times[best[1]] = max(times[best[1]], float(at))
-                out.append((o, ids[best[1]]))
-            if len(out) == PIECE:
-                yield pd.DataFrame(out, columns=[key, "event_id"])
-                out = []
-        newest = max(times, default=0.0)
-        live = [i for i in range(len(ids)) if newest - times[i] <= 2 * margin_s]
-        state.update(tuple([c[i] for i in live] for c in (ids, times, xs, ys)))
-        yield pd.DataFrame(out, columns=[key, "event_id"])
-
-    return stream.select(cell, key, time_s, lon, lat).groupBy(cell).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, event_id {kinds[key]}", "ids array<long>, times array<double>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout
+    rows = stream if forget is None else stream.withWatermark(time, forget)
+    kind = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout
+    return rows.select(*dict.fromkeys([key, fingerprint, *order])).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kinds[key]}, {fingerprint} {kinds[fingerprint]}, version long", f"last {kinds[fingerprint]}, version long, seen long", "append", kind
     )
 
 
