@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import feedback as fb
 from ..operators import measures as ms
 from ..operators import ordered as od
 from .registry import Tables, query
@@ -124,6 +125,29 @@ def rate_limit_window(t: Tables) -> DataFrame:
     return rows.select("observation_id", (F.col("us") - F.max("us").over(key.rangeBetween(-7_200_000_000, -1))).alias("since_us"), (F.count(F.lit(1)).over(key.rangeBetween(-86_400_000_000, -1)) < 5).alias("allowed"))
 
 
+_ALERT_WINDOWS = (3, 86_400_000_000, 3 * 86_400_000_000, 7 * 86_400_000_000)
+
+
+@query(""", c AS (SELECT observation_id, source_id, us, k // 10 AS ev, kind || k AS key, CASE kind WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS rank, k >= 95 AS official, row_number() OVER (PARTITION BY source_id ORDER BY us, observation_id) AS i FROM obs)
+, steps AS (WITH RECURSIVE r AS (SELECT source_id, 0::BIGINT AS i, NULL::BIGINT AS observation_id, '' AS decision, [{'us': 0::BIGINT, 'ev': 0::BIGINT, 'key': '', 'rank': 0}][1:0] AS sent FROM (SELECT DISTINCT source_id FROM c)
+ UNION ALL SELECT source_id, i, observation_id, decision, CASE WHEN decision IN ('sent', 'official_bypass') THEN list_append(sent, {'us': us, 'ev': ev, 'key': key, 'rank': rank}) ELSE sent END FROM (
+  SELECT c.source_id, c.i, c.observation_id, c.us, c.ev, c.key, c.rank, r.sent,
+   CASE WHEN len(list_filter(r.sent, lambda x: x.key = c.key AND x.us >= c.us - 604800000000)) > 0 THEN 'duplicate_dedupe_key'
+    WHEN c.official THEN 'official_bypass'
+    WHEN coalesce(list_filter(r.sent, lambda x: x.ev = c.ev AND x.us >= c.us - 259200000000)[-1].rank >= c.rank, false) THEN 'equivalent_recent_alert'
+    WHEN len(list_filter(r.sent, lambda x: x.us >= c.us - 86400000000)) >= 3 THEN 'rate_limited' ELSE 'sent' END AS decision
+  FROM r JOIN c ON c.source_id = r.source_id AND c.i = r.i + 1)) SELECT * FROM r)
+SELECT observation_id, source_id, decision FROM steps WHERE i > 0""", obs=True)
+def rate_limit_feedback(t: Tables) -> DataFrame:
+    """Alerts refused as duplicates, as repeats that are not more urgent, or beyond three a day, where only sent alerts count."""
+    rank = F.when(F.col("kind") == "error", 3).when(F.col("kind") == "purchase", 2).when(F.col("kind") == "signup", 1).otherwise(0)
+    rows = t.obs.select(
+        F.col("observation_id").alias("alert_id"), F.col("source_id").alias("user_id"), "us", F.floor(F.col("k") / 10).alias("event_id"), F.concat("kind", "k").alias("dedupe_key"),
+        rank.alias("urgency"), (F.col("k") >= 95).alias("official"),
+    )
+    return fb.sent_alerts(rows, *_ALERT_WINDOWS).withColumnsRenamed({"alert_id": "observation_id", "user_id": "source_id"})
+
+
 @query()
 def regime_change_points(t: Tables) -> DataFrame:
     """Change points of each source's daily totals (optimal segmentation; no SQL form)."""
