@@ -36,11 +36,11 @@ def canonical_url(url: Column) -> Column:
 
 # fixed values: road names and their canonical spelling
 ROADS = (
-    (r"(^|[^a-z0-9_])(?:interstate *|i-?)(5|90|405)(?![a-z0-9_])", "$1i_$2"),
-    (r"(^|[^a-z0-9_])(?:state *route *|sr-?|wa-?)(99|520|522|167|16|2)(?![a-z0-9_])", "$1sr_$2"),
-    (r"(^|[^a-z0-9_])(?:u\.?s\.? *route *|us-?)(2|101)(?![a-z0-9_])", "$1us_$2"),
-    (r"(^|[^a-z0-9_])exit *#? *([0-9]+[a-z]?)(?![a-z0-9_])", "$1exit_$2"),
-    (r"(^|[^a-z0-9_])milepost *#? *([0-9]+)(?![a-z0-9_])", "$1mp_$2"),
+    (r"(^|[^a-z0-9_])(?:interstate\s*|i-?)(5|90|405)(?![a-z0-9_])", "$1i_$2"),
+    (r"(^|[^a-z0-9_])(?:state\s*route\s*|sr-?|wa-?)(99|520|522|167|16|2)(?![a-z0-9_])", "$1sr_$2"),
+    (r"(^|[^a-z0-9_])(?:u\.?s\.?\s*route\s*|us-?)(2|101)(?![a-z0-9_])", "$1us_$2"),
+    (r"(^|[^a-z0-9_])exit\s*#?\s*([0-9]+[a-z]?)(?![a-z0-9_])", "$1exit_$2"),
+    (r"(^|[^a-z0-9_])milepost\s*#?\s*([0-9]+)(?![a-z0-9_])", "$1mp_$2"),
 )
 # fixed values: words that say the same
 SYNONYMS = {
@@ -51,6 +51,10 @@ SYNONYMS = {
 STOPWORDS = (
     "the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for", "is", "are", "was", "were", "has", "have", "with", "by", "from", "as", "it",
     "this", "that", "these", "those", "be", "been", "being", "not", "all", "reported", "reports", "reporting", "update", "updates", "updated",
+    "assistance", "rendered", "directed", "patrol", "activity", "checks", "prevention", "priority", "call", "calls", "handling", "officer", "officers",
+    "police", "response", "dispatch", "dispatched", "investigation", "investigating", "incident", "incidents", "premise", "service", "unit", "units", "scene",
+    "unable", "locate", "complainant", "problem", "solving", "project", "seattle", "washington", "department", "issued", "alert", "alerts",
+    "article", "news", "story", "stories", "media", "block", "ave", "st",
 )
 
 

@@ -9,22 +9,26 @@ REGISTRY = "model_id string, task string, mode string, trained boolean, version
 
 
 def listing(registry: DataFrame) -> DataFrame:
-    """Models by task, the champion first."""
-    return registry.orderBy("task", F.col("mode") != "champion", "model_id")
+    """The registry with each model's place in its task, the champion first, then by id."""
+    first = Window.partitionBy("task").orderBy(F.col("mode") != "champion", "model_id")
+    return registry.withColumn("place", F.row_number().over(first).cast("long"))
 
 
-def promote(registry: DataFrame, model_id: str, mode: str) -> DataFrame:
-    """The registry with the model in its new mode; an untrained model stays, and the old champion of its task steps back."""
-    mine = (F.col("model_id") == model_id) & F.col("trained")
-    task = registry.where(mine).select(F.col("task").alias("__task")).distinct()
-    marked = registry.join(F.broadcast(task), registry["task"] == F.col("__task"), "left")
-    stepped = F.when(mine, F.lit(mode)).when(F.col("__task").isNotNull() & (F.lit(mode) == "champion") & (F.col("mode") == "champion"), "challenger").otherwise(F.col("mode"))
-    return marked.withColumn("mode", stepped).drop("__task")
+def promote(registry: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The registry with each model of ``wanted`` (model_id, mode; one champion a task at most) in its new mode.
+
+    An untrained model stays what it is; where a task gets a champion, the old one becomes a challenger."""
+    taken = registry.where("trained").select("model_id", "task").join(wanted.withColumnRenamed("mode", "__new"), "model_id")
+    champions = taken.where("__new = 'champion'").select("task", F.col("model_id").alias("__champion"))
+    both = registry.join(taken.select("model_id", "__new"), "model_id", "left").join(champions, "task", "left")
+    mode = F.when(F.col("__new").isNotNull(), F.col("__new")).when(F.col("__champion").isNotNull() & (F.col("mode") == "champion"), "challenger").otherwise(F.col("mode"))
+    return both.select("model_id", "task", mode.alias("mode"), "trained", "version")
 
 
 def outputs(registry: DataFrame, scored: DataFrame) -> DataFrame:
-    """(task, key, p, model_id, mode): predictions of registered models; an untrained one answers ``model_required`` with no number."""
-    rows = scored.join(F.broadcast(registry), "model_id")
+    """(task, key, p, model_id, mode, status): predictions of registered models; an untrained one answers ``model_required`` with
+    no number."""
+    rows = scored.join(registry, "model_id")
     return rows.select("task", "key", F.when(F.col("trained"), F.col("p")).alias("p"), "model_id", "mode", F.when(F.col("trained"), "ok").otherwise("model_required").alias("status"))
 
 

@@ -196,8 +196,9 @@ def _on(piece: Column, x: Column, y: Column) -> Column:
     return ex * ex + ey * ey <= EDGE * EDGE
 
 
-def _in_cell(x: Column, y: Column, pieces: Column, ref_in: Column, cx: Column, cy: Column, step: float) -> Column:
-    """Whether a point of a boundary cell is in the area: on a piece, or on the reference point's side of those between."""
+def _in_cell(x: Column, y: Column, pieces: Column, ref_in: Column, cx: Column, cy: Column, step: float, outline: bool = True) -> Column:
+    """Whether a point of a boundary cell is in the area: on a piece (as ``outline`` says), or on the reference point's side of
+    those between."""
     rx, ry = (cx + REFERENCE[0]) * step, (cy + REFERENCE[1]) * step
 
     def crosses(p: Column) -> Column:
@@ -206,7 +207,7 @@ def _in_cell(x: Column, y: Column, pieces: Column, ref_in: Column, cx: Column, c
         return (a != b) & (c != d)
 
     odd = F.size(F.filter(pieces, crosses)) % 2 == 1
-    return F.exists(pieces, lambda p: _on(p, x, y)) | (odd != ref_in)
+    return F.when(F.exists(pieces, lambda p: _on(p, x, y)), outline).otherwise(odd != ref_in)
 
 
 def _levels(covered: DataFrame) -> list[int]:
@@ -219,12 +220,13 @@ def _cells(x: Column, y: Column, levels: list[int], step: float) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).alias("level"), at(x, step * 2**k).alias("cx"), at(y, step * 2**k).alias("cy")) for k in sorted({0, *levels}))))
 
 
-def points_in(points: DataFrame, point: str, areas: DataFrame, key: str, step: float) -> DataFrame:
-    """(point, key) for each point (lon, lat) in an area of a cover or on its outline; holes are outside, their edges inside."""
+def points_in(points: DataFrame, point: str, areas: DataFrame, key: str, step: float, outline: bool = True) -> DataFrame:
+    """(point, key) for each point (lon, lat) in an area of a cover or, with ``outline``, on its outline; holes are outside, their
+    edges on the outline."""
     at = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(point, "lon", "lat", _cells(F.col("lon"), F.col("lat"), _levels(areas), step).alias("__c"))
     dealt = at.select(point, "lon", "lat", "__c.*")
     pairs = dealt.join(areas.where("area"), ["level", "cx", "cy"])
-    return pairs.where(F.col("inner") | _in_cell(F.col("lon"), F.col("lat"), F.col("pieces"), F.col("ref_in"), F.col("cx"), F.col("cy"), step)).select(point, key)
+    return pairs.where(F.col("inner") | _in_cell(F.col("lon"), F.col("lat"), F.col("pieces"), F.col("ref_in"), F.col("cx"), F.col("cy"), step, outline)).select(point, key)
 
 
 def _cross(a: Column, b: Column) -> Column:

@@ -98,18 +98,6 @@ def route_paths(t: Tables) -> DataFrame:
     return gr.routes(edges(t), seed(t, 2), nodes(t).where("node < 25"))
 
 
-@query(PLACES_SQL + """, r AS (SELECT place_id, CAST(-122.335 AS DOUBLE) - lon AS bx, CAST(47.608 AS DOUBLE) - lat AS by_, lon AS x0, lat AS y0 FROM places), e AS (SELECT event_key, avg(lon) AS lon, avg(lat) AS lat FROM obs GROUP BY event_key),
-m AS (SELECT place_id, event_key, bx * 111320.0 * cos(radians(lat)) AS ax, by_ * 111320.0 AS ay, (lon - x0) * 111320.0 * cos(radians(lat)) AS px, (lat - y0) * 111320.0 AS py FROM r, e),
-n AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN ax * ax + ay * ay > 0 THEN (px * ax + py * ay) / (ax * ax + ay * ay) ELSE 0.0 END)) AS s FROM m), f AS (SELECT place_id, event_key, sqrt(power(px - s * ax, 2) + power(py - s * ay, 2)) AS dist FROM n)
-SELECT place_id, count(*) AS events, round(min(dist), 2) AS nearest_m FROM f WHERE dist <= 100 GROUP BY place_id""", obs=True)
-def route_exposure(t: Tables) -> DataFrame:
-    """Events within 100 m of each place's way to the centre."""
-    ways = places(t).select("place_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lit(-122.335).alias("lon2"), F.lit(47.608).alias("lat2"))
-    centres = t.obs.groupBy("event_key").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
-    near = sp.along(ways, centres, "place_id", "event_key", 100.0)
-    return near.groupBy("place_id").agg(F.count(F.lit(1)).alias("events"), F.round(F.min("dist_m"), 2).alias("nearest_m"))
-
-
 def _file(t: Tables) -> str:
     return f"{gr.shared(t.spark)}/feed-{uuid.uuid4().hex}"
 

@@ -74,32 +74,38 @@ def recency_median(t: Tables) -> DataFrame:
     return ms.weighted_median(ms.capped_weights(rows, keys, "value", "w"), keys, "value", "w").withColumn("weighted_median", F.round("weighted_median", 4))
 
 
-#: The fixture's registry: model, task, mode, trained, version.
-MODELS = (("base-v1", "classification", "champion", True, 1), ("wide-v2", "classification", "shadow", True, 2), ("deep-v1", "spread", "champion", False, 1), ("rank-v1", "ranking", "shadow", True, 1), ("rank-v3", "ranking", "champion", True, 3))
-_MODELS_SQL = "WITH m(model_id, task, mode, trained, version) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {e})" for a, b, c, d, e in MODELS) + ")"
+#: The registry: a model for each type and brand of parts, trained if it has three parts at least; the first trained brand of a
+#: type is its champion, of the others those with an odd version (their greatest size) are challengers.
+_MODELS_SQL = """WITH g AS (SELECT p_type || '/' || p_brand AS model_id, p_type AS task, count(*) >= 3 AS trained, max(p_size)::INTEGER AS version FROM part GROUP BY p_type, p_brand),
+m AS (SELECT model_id, task, CASE WHEN trained AND model_id = min(model_id) FILTER (trained) OVER (PARTITION BY task) THEN 'champion' WHEN version % 2 = 1 THEN 'challenger' ELSE 'shadow' END AS mode, trained, version FROM g)"""
 
 
 def models(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(MODELS), md.REGISTRY)
+    g = t.part.groupBy(F.concat_ws("/", "p_type", "p_brand").alias("model_id"), F.col("p_type").alias("task")).agg((F.count(F.lit(1)) >= 3).alias("trained"), F.max("p_size").cast("int").alias("version"))
+    first = g.where("trained").groupBy("task").agg(F.min("model_id").alias("first"))
+    mode = F.when(F.col("model_id") == F.col("first"), "champion").when(F.col("version") % 2 == 1, "challenger").otherwise("shadow")
+    return g.join(first, "task", "left").select("model_id", "task", mode.alias("mode"), "trained", "version")
 
 
-@query(_MODELS_SQL + " SELECT model_id, task, mode, trained, CAST(version AS INTEGER) AS version FROM m")
+@query(_MODELS_SQL + " SELECT model_id, task, mode, trained, version, row_number() OVER (PARTITION BY task ORDER BY mode <> 'champion', model_id) AS place FROM m")
 def model_listing(t: Tables) -> DataFrame:
     """Registered models by task, champions first."""
     return md.listing(models(t))
 
 
-@query(_MODELS_SQL + " SELECT model_id, task, CASE WHEN model_id = 'wide-v2' THEN 'champion' WHEN task = 'classification' AND mode = 'champion' THEN 'challenger' ELSE mode END AS mode, trained, CAST(version AS INTEGER) AS version FROM m")
+@query(_MODELS_SQL + """, w AS (SELECT task, model_id FROM m QUALIFY row_number() OVER (PARTITION BY task ORDER BY version DESC, model_id) = 1), new AS (SELECT w.task, w.model_id FROM w JOIN m USING (model_id) WHERE m.trained)
+SELECT m.model_id, m.task, CASE WHEN new.model_id = m.model_id THEN 'champion' WHEN new.model_id IS NOT NULL AND mode = 'champion' THEN 'challenger' ELSE mode END AS mode, trained, version FROM m LEFT JOIN new USING (task)""")
 def model_promoted(t: Tables) -> DataFrame:
-    """The registry after a promotion, and after one of an untrained model, which is refused."""
-    return md.promote(md.promote(models(t), "wide-v2", "champion"), "deep-v1", "challenger")
+    """The registry after each task's newest model was put forward as champion; untrained ones are refused."""
+    m = models(t)
+    newest = m.groupBy("task").agg(F.min(F.struct(-F.col("version"), "model_id")).alias("n")).select(F.col("n.model_id").alias("model_id"), F.lit("champion").alias("mode"))
+    return md.promote(m, newest)
 
 
-@query(_MODELS_SQL + ", s AS (SELECT doc_id AS key, m.model_id, least(1.0, n_chars / CASE WHEN m.version = 1 THEN 5000.0 ELSE 9000.0 END) AS p FROM documents, m) SELECT task, key, CASE WHEN trained THEN round(CAST(p AS DOUBLE), 6) END AS p, model_id, mode, CASE WHEN trained THEN 'ok' ELSE 'model_required' END AS status FROM s JOIN m USING (model_id)")
+@query(_MODELS_SQL + ", s AS (SELECT p_partkey AS key, p_type || '/' || p_brand AS model_id, least(1.0, p_retailprice / 2000.0) AS p FROM part) SELECT task, key, CASE WHEN trained THEN round(CAST(p AS DOUBLE), 6) END AS p, model_id, mode, CASE WHEN trained THEN 'ok' ELSE 'model_required' END AS status FROM s JOIN m USING (model_id)")
 def model_outputs(t: Tables) -> DataFrame:
-    """Every model's answer for every document; an untrained one says that it needs training."""
-    each = F.explode(F.array(*(F.struct(F.lit(m[0]).alias("model_id"), F.least(F.lit(1.0), F.col("n_chars") / (5000.0 if m[4] == 1 else 9000.0)).alias("p")) for m in MODELS)))
-    scored = t.documents.select(F.col("doc_id").alias("key"), each.alias("m")).select("key", "m.model_id", F.round("m.p", 6).alias("p"))
+    """Each model's answers for its parts; an untrained one says that it needs training."""
+    scored = t.part.select(F.col("p_partkey").alias("key"), F.concat_ws("/", "p_type", "p_brand").alias("model_id"), F.round(F.least(F.lit(1.0), F.col("p_retailprice") / 2000.0), 6).alias("p"))
     return md.outputs(models(t), scored)
 
 

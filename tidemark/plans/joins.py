@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import shapes as sh
 from ..operators import spatial as sp
 from .registry import Tables, haversine_sql, query
 
@@ -118,11 +119,11 @@ def material_feed(t: Tables) -> DataFrame:
     return per.where(m >= 0.12).select("event_key", "verb", "n", "peak", F.round(m, 6).alias("magnitude"))
 
 
-@query(""", r AS (SELECT event_key, k, max(value) AS v, count(*) AS n FROM obs WHERE kind = 'error' GROUP BY ALL), i AS (SELECT event_key, k, max(value) AS v, count(*) AS n FROM obs WHERE kind = 'view' GROUP BY ALL)
+@query(""", r AS (SELECT event_key, k, max(value) AS v, count(*) AS n FROM obs WHERE kind = 'error' GROUP BY ALL), i AS (SELECT event_key, k, max(value) AS v, count(*) AS n FROM obs WHERE kind <> 'error' GROUP BY ALL)
 SELECT event_key, k, coalesce(r.v, i.v) AS severity, CASE WHEN r.v IS NOT NULL THEN 'reported' ELSE 'inferred' END AS truth, coalesce(r.n, 0) + coalesce(i.n, 0) AS evidence FROM r FULL JOIN i USING (event_key, k)""", obs=True)
 def impact_merge(t: Tables) -> DataFrame:
-    side = lambda kind, v, n: t.obs.where(F.col("kind") == kind).groupBy("event_key", "k").agg(F.max("value").alias(v), F.count(F.lit(1)).alias(n))
-    both = side("error", "rv", "rn").join(side("view", "iv", "n"), ["event_key", "k"], "full_outer")
+    side = lambda which, v, n: t.obs.where(which).groupBy("event_key", "k").agg(F.max("value").alias(v), F.count(F.lit(1)).alias(n))
+    both = side(F.col("kind") == "error", "rv", "rn").join(side(F.col("kind") != "error", "iv", "n"), ["event_key", "k"], "full_outer")
     return both.select("event_key", "k", F.coalesce("rv", "iv").alias("severity"), F.when(F.col("rv").isNotNull(), "reported").otherwise("inferred").alias("truth"), (F.coalesce("rn", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("evidence"))
 
 
@@ -155,21 +156,24 @@ def evidence_sets(t: Tables) -> DataFrame:
 AREA = '{"type":"Polygon","coordinates":[[[-122.36,47.58],[-122.31,47.58],[-122.31,47.60],[-122.34,47.60],[-122.34,47.64],[-122.36,47.64],[-122.36,47.58]]]}'
 
 
-@query(" SELECT observation_id FROM obs WHERE (lon > -122.3599 AND lon < -122.3101 AND lat > 47.5801 AND lat < 47.5999) OR (lon > -122.3599 AND lon < -122.3401 AND lat > 47.5801 AND lat < 47.6399)", obs=True)
-def polygon_contains(t: Tables) -> DataFrame:
-    """Observations well inside a polygon, off its edges as its SQL says; ``polygon_covers`` has the edges too."""
-    return polygon_covers(t).where(_inner()).select("observation_id")
+_IN_L = """(lon {o} -122.36 {p} 1e-6 AND lon {c} -122.31 {m} 1e-6 AND lat {o} 47.58 {p} 1e-6 AND lat {c} 47.60 {m} 1e-6) OR (lon {o} -122.36 {p} 1e-6 AND lon {c} -122.34 {m} 1e-6 AND lat {o} 47.58 {p} 1e-6 AND lat {c} 47.64 {m} 1e-6)"""
+#: Cells of the area's cover, in degrees.
+_AREA_STEP = 0.01
+
 
+def _in_area(t: Tables, edge: bool) -> DataFrame:
+    area = t.region.limit(1).select(F.lit(1).alias("area_id"), F.lit(AREA).alias("geometry"))
+    cover = sh.cover(area, "area_id", "geometry", _AREA_STEP)
+    return sh.points_in(t.obs.select("observation_id", "lon", "lat"), "observation_id", cover, "area_id", _AREA_STEP, edge).select("observation_id")
 
-def _inner():
-    """The SQL of ``polygon_contains`` leaves out points within some 10 m of an edge."""
-    low = F.col("lon").between(-122.3599, -122.3101) & F.col("lat").between(47.5801, 47.5999)
-    return low | (F.col("lon").between(-122.3599, -122.3401) & F.col("lat").between(47.5801, 47.6399))
+
+@query(" SELECT observation_id FROM obs WHERE " + _IN_L.format(o=">", c="<", p="+", m="-"), obs=True)
+def polygon_contains(t: Tables) -> DataFrame:
+    """Observations inside a polygon, off its edge."""
+    return _in_area(t, False)
 
 
-@query(""" SELECT observation_id, lon, lat FROM obs WHERE (lon BETWEEN -122.36 - 1e-6 AND -122.31 + 1e-6 AND lat BETWEEN 47.58 - 1e-6 AND 47.60 + 1e-6)
- OR (lon BETWEEN -122.36 - 1e-6 AND -122.34 + 1e-6 AND lat BETWEEN 47.58 - 1e-6 AND 47.64 + 1e-6)""", obs=True)
+@query(" SELECT observation_id FROM obs WHERE " + _IN_L.format(o=">=", c="<=", p="-", m="+"), obs=True)
 def polygon_covers(t: Tables) -> DataFrame:
-    """Observations in a polygon or on its edge (0.1 m, for rounding): a wider box first, then the exact test in batches."""
-    box = F.col("lon").between(-122.361, -122.309) & F.col("lat").between(47.579, 47.641)
-    return t.obs.where(box).where(geo.distance_to_geometry_m(F.col("lon"), F.col("lat"), F.lit(AREA)) <= 0.1).select("observation_id", "lon", "lat")
+    """Observations in a polygon or on its edge."""
+    return _in_area(t, True)

@@ -33,9 +33,9 @@ def latest_per_source(t: Tables) -> DataFrame:
     return op.latest(t.obs.select("source_id", "observation_id", "kind", "value", "us"), ["source_id"], ["us", "observation_id"]).drop("us")
 
 
-@query(STATES + ", p AS (SELECT observation_id, source_id, us FROM obs WHERE kind = 'purchase') SELECT p.observation_id, p.source_id, p.us, s.state_us, s.version, s.total FROM p ASOF LEFT JOIN states s ON p.source_id = s.source_id AND p.us >= s.state_us", obs=True)
+@query(STATES + ", p AS (SELECT observation_id, source_id, us FROM obs) SELECT p.observation_id, p.source_id, p.us, s.state_us, s.version, s.total FROM p ASOF LEFT JOIN states s ON p.source_id = s.source_id AND p.us >= s.state_us", obs=True)
 def asof_state(t: Tables) -> DataFrame:
-    probes = t.obs.where("kind = 'purchase'").select("observation_id", "source_id", "us")
+    probes = t.obs.select("observation_id", "source_id", "us")
     return op.as_of(probes, states(t), "source_id", "us", "state_us", ["version", "total"])
 
 
@@ -62,10 +62,10 @@ def missing_records_anti(t: Tables) -> DataFrame:
     return op.missed_polls(active, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 2)
 
 
-@query("SELECT c.c_custkey, c.c_mktsegment, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 0 GROUP BY ALL ORDER BY n_orders DESC, c_custkey LIMIT 100")
+@query("SELECT c.c_custkey, c.c_mktsegment, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL ORDER BY n_orders DESC, c_custkey LIMIT 100")
 def event_obs_count(t: Tables) -> DataFrame:
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n"))
-    rows = t.customer.where("c_acctbal > 0").select("c_custkey", "c_mktsegment").join(n, "c_custkey", "left")
+    rows = t.customer.select("c_custkey", "c_mktsegment").join(n, "c_custkey", "left")
     return rows.select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n_orders")).orderBy(F.desc("n_orders"), "c_custkey").limit(100)
 
 
@@ -76,10 +76,10 @@ def linked_between(t: Tables) -> DataFrame:
     return orders.select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left_semi").select("o_custkey").distinct()
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 5000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def recent_linked(t: Tables) -> DataFrame:
     top = t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
-    names = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    names = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
     return top.join(names, "o_custkey", "left").select("o_orderkey", "o_custkey", "o_totalprice", "c_name")
 
 

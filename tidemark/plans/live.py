@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import spatial as sp
 from ..operators.graph import kept, shared
+from ..sources import snapshots as sn
 from ..streaming import incremental as inc
 from ..streaming import ledger_stream as ls
+from ..streaming import replay as rp
 from .joins import PLACES_SQL, places
 from .registry import Tables, haversine_sql, query
 
@@ -93,3 +95,46 @@ def incremental_users(t: Tables) -> DataFrame:
     e = m.table("exposures").groupBy("event", "place_id").agg(F.max_by(F.struct("score", "band"), "version").alias("e")).select("event", "place_id", "e.*")
     a = m.table("alerts").groupBy("event", "place_id").agg(F.count(F.lit(1)).alias("alerts"), F.min("version").alias("first_alert"))
     return kept(e.join(a, ["event", "place_id"], "left").select("event", "place_id", "score", "band", F.coalesce("alerts", F.lit(0)).alias("alerts"), "first_alert"))
+
+
+@query(" SELECT kind AS topic, observation_id, source_id, us FROM obs QUALIFY row_number() OVER (PARTITION BY kind ORDER BY us DESC, observation_id DESC) <= 2000", obs=True)
+def topic_replay(t: Tables) -> DataFrame:
+    """The last 2,000 messages of each topic, kept by a stream from three batches that came out of order."""
+    root = f"{shared(t.spark)}/topics-{uuid.uuid4().hex}"
+    rows = t.obs.select(F.col("kind").alias("topic"), "observation_id", "source_id", "us")
+    rows.withColumn("arrives", F.col("observation_id") % 3).write.partitionBy("arrives").parquet(f"{root}/staged")
+    log = rp.TopicLog(t.spark, f"{root}/log", rows.schema, "topic", "us", "observation_id")
+    for k in (2, 0, 1):
+        if inc.exists(t.spark, f"{root}/staged/arrives={k}"):
+            inc.move(t.spark, f"{root}/staged/arrives={k}", f"{root}/in/piece{k}")
+            log.run(ls.read_files(t.spark, f"{root}/in", rows.schema, recursiveFileLookup="true")).awaitTermination()
+    return log.replay()
+
+
+#: Files of the snapshot folder; those with an even number are replaced once.
+FILES = 4
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % {FILES} % 2 = 0 THEN round(c_acctbal + 1, 2) ELSE c_acctbal END AS c_acctbal, c_mktsegment, 1 + (c_custkey % {FILES} % 2 = 0)::BIGINT AS reads FROM customer")
+def snapshot_latest(t: Tables) -> DataFrame:
+    """Customers from a folder of exports that are overwritten: the stream reads new files and replaced ones, each again."""
+    root = f"{shared(t.spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment", (F.col("c_custkey") % FILES).alias("file"))
+
+    def export(version: int, changed: DataFrame) -> None:
+        """A folder a file, whose part files keep their names, as a feed's export would."""
+        changed.select(F.to_json(F.struct("c_custkey", "c_acctbal", "c_mktsegment")).alias("value"), "file").write.partitionBy("file").text(f"{root}/v{version}")
+        for k in range(FILES):
+            if inc.exists(t.spark, f"{root}/v{version}/file={k}"):
+                inc.replace_folder(t.spark, f"{root}/v{version}/file={k}", f"{root}/now/file{k}")
+
+    schema = "c_custkey long, c_acctbal double, c_mktsegment string"
+    for version in (1, 2):
+        bumped = rows.where(F.col("file") % 2 == 0).withColumn("c_acctbal", F.round(F.col("c_acctbal") + 1, 2))
+        export(version, rows if version == 1 else bumped)
+        lines = sn.snapshots(t.spark, inc.qualified(t.spark, f"{root}/now")).select("file", "signature", F.from_json("value", schema).alias("r"))
+        seen = lines.withColumn("version", F.lit(version))
+        ls.drain(seen, "q" + uuid.uuid4().hex, f"{root}/checkpoint", f"{root}/out")
+    got = t.spark.read.schema(seen.schema).parquet(f"{root}/out").select("r.*", "version")
+    per = got.groupBy("c_custkey").agg(F.max_by(F.struct("c_acctbal", "c_mktsegment"), "version").alias("m"), F.count(F.lit(1)).alias("reads"))
+    return per.select("c_custkey", "m.*", "reads")

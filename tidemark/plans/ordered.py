@@ -117,11 +117,11 @@ def lifecycle_transitions(t: Tables) -> DataFrame:
     return l.where("before IS NULL OR before <> status").select("source_id", "day", "before", "status")
 
 
-@query(" SELECT observation_id, us - max(us) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND 1 PRECEDING) AS since_us, count(*) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) < 5 AS allowed FROM obs WHERE kind = 'error'", obs=True)
+@query(" SELECT observation_id, us - max(us) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND 1 PRECEDING) AS since_us, count(*) OVER (PARTITION BY source_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) < 5 AS allowed FROM obs", obs=True)
 def rate_limit_window(t: Tables) -> DataFrame:
     """Alerts with the time since the last one in the repeat window, and whether the trailing limit allows them."""
     key = Window.partitionBy("source_id").orderBy("us")
-    rows = t.obs.where("kind = 'error'")
+    rows = t.obs
     return rows.select("observation_id", (F.col("us") - F.max("us").over(key.rangeBetween(-7_200_000_000, -1))).alias("since_us"), (F.count(F.lit(1)).over(key.rangeBetween(-86_400_000_000, -1)) < 5).alias("allowed"))
 
 

@@ -101,18 +101,18 @@ def situation_trajectory(t: Tables) -> DataFrame:
     return g.select("event_key", label.alias("trajectory"), "agencies", "domains")
 
 
-@query(f""", p AS (SELECT observation_id, us, lon, lat FROM obs WHERE kind = 'error'), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
+@query(f""", p AS (SELECT observation_id, us, lon, lat FROM obs), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a JOIN p b ON a.lat BETWEEN b.lat - 0.02 AND b.lat + 0.02 WHERE a.observation_id < b.observation_id AND {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 400)
 SELECT count(*) AS points, (SELECT count(*) FROM e WHERE x < y) AS links FROM p""", obs=True)
 def cluster_links(t: Tables) -> DataFrame:
     """Links of the density graph over which unresolved observations cluster, at the 400 m of its SQL."""
-    return _links(t.obs.where("kind = 'error'"), 400.0)
+    return _links(t.obs, 400.0)
 
 
-@query(f""", p AS (SELECT observation_id, lon, lat FROM obs WHERE kind = 'error'), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a, p b WHERE {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1500)
+@query(f""", p AS (SELECT observation_id, lon, lat FROM obs), e AS (SELECT a.observation_id AS x, b.observation_id AS y FROM p a JOIN p b ON a.lat BETWEEN b.lat - 0.02 AND b.lat + 0.02 WHERE a.observation_id < b.observation_id AND {haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 1500)
 SELECT count(*) AS points, (SELECT count(*) FROM e WHERE x < y) AS links FROM p""", obs=True)
 def density_links(t: Tables) -> DataFrame:
     """The same at the reference's radius, over which ``unresolved_clusters`` are built."""
-    return _links(t.obs.where("kind = 'error'"), CLUSTER_M)
+    return _links(t.obs, CLUSTER_M)
 
 
 def _links(rows: DataFrame, radius_m: float) -> DataFrame:
@@ -127,7 +127,7 @@ def _links(rows: DataFrame, radius_m: float) -> DataFrame:
 @query()
 def unresolved_clusters(t: Tables) -> DataFrame:
     """Density clusters (components of the graph of near points), cut where a cluster is silent for two hours."""
-    return density_clusters(t.obs.where("kind = 'error'").select("observation_id", "us", "lon", "lat"))
+    return density_clusters(t.obs.select("observation_id", "us", "lon", "lat"))
 
 
 def density_clusters(p: DataFrame) -> DataFrame:

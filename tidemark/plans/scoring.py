@@ -11,14 +11,16 @@ from .registry import Tables, query
 
 #: Features of each event, from its reports.
 F_SQL = """, f AS (SELECT event_key, count(*) AS n, max(value) AS crowd, count(DISTINCT source_id) AS sources, count(*) FILTER (kind = 'error') AS roads, count(*) FILTER (kind = 'view' AND k < 10) AS routes,
- least(1.0, count(DISTINCT kind) / 5.0) AS authority, avg(k) / 100 AS reliability, bool_or(k = 99 AND kind = 'error') AS official, max(us) AS last_us FROM obs GROUP BY event_key)"""
+ least(1.0, count(DISTINCT kind) / 5.0) AS authority, avg(k) / 100 AS reliability, bool_or(k = 99 AND kind = 'error') AS official, max(us) AS last_us,
+ CASE WHEN hour(max(event_time)) BETWEEN 7 AND 9 OR hour(max(event_time)) BETWEEN 16 AND 18 THEN 1 ELSE 0 END AS rush, (max(us) - min(us)) / 3.6e9 AS hours, CASE WHEN max(lon) - min(lon) > 0.19 THEN 1 ELSE 0 END AS moving FROM obs GROUP BY event_key)"""
 
 
 def features(t: Tables) -> DataFrame:
-    err = F.col("kind") == "error"
+    err, hour = F.col("kind") == "error", F.hour(F.max("event_time"))
     return t.obs.groupBy("event_key").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("crowd"), F.countDistinct("source_id").alias("sources"), F.count_if(err).alias("roads"), F.count_if((F.col("kind") == "view") & (F.col("k") < 10)).alias("routes"),
         F.least(F.lit(1.0), F.countDistinct("kind") / 5.0).alias("authority"), (F.avg("k") / 100).alias("reliability"), F.bool_or((F.col("k") == 99) & err).alias("official"), F.max("us").alias("last_us"),
+        (hour.between(7, 9) | hour.between(16, 18)).cast("int").alias("rush"), ((F.max("us") - F.min("us")) / 3.6e9).alias("hours"), (F.max("lon") - F.min("lon") > 0.19).cast("int").alias("moving"),
     )
 
 
@@ -26,18 +28,25 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-# fixed values of the impact logit and of the horizons' shares
+# fixed values of the horizons' shares and of the impact's targets
 HORIZONS = ((5, 0.12), (15, 0.42), (30, 0.72), (60, 1.0))
-TARGETS = (("road", 0.0), ("transit", -0.35), ("utility", -2.4), ("facility", -2.0))
+TARGETS = ("road", "transit", "utility", "facility", "route_delay")
 
 
-@query(F_SQL + """, z AS (SELECT event_key, target, -2.6 + 0.9 * least(1.0, crowd / 1000) + 1.4 * CASE WHEN official THEN 1 ELSE 0 END + 0.6 * least(1.0, roads / 4.0) + 0.8 * least(1.0, routes / 3.0) + 0.8 * authority + CASE target WHEN 'road' THEN 0 WHEN 'transit' THEN -0.35 WHEN 'utility' THEN -2.4 ELSE -2.0 END AS x
- FROM f, (VALUES ('road'), ('transit'), ('utility'), ('facility')) v(target)) SELECT event_key, target, horizon, round(CAST(share / (1 + exp(-x)) AS DOUBLE), 6) AS p FROM z, (VALUES (5, 0.12), (15, 0.42), (30, 0.72), (60, 1.0)) h(horizon, share)""", obs=True)
+@query(F_SQL + """, z AS (SELECT *, -2.6 + 0.55 * moving + 0.9 * least(1.0, crowd / 1000) + 0.7 * least(1.0, n / 500.0) + 1.4 * CASE WHEN official THEN 1 ELSE 0 END + 0.6 * least(1.0, roads / 4.0) + 0.8 * least(1.0, routes / 3.0)
+  + 0.35 * least(1.0, hours / 24) + 0.3 * rush + 0.8 * authority + 0.5 * least(1.0, sources / 20.0) - 0.7 * reliability AS x FROM f),
+y AS (SELECT event_key, target, x + CASE target WHEN 'road' THEN 0 WHEN 'transit' THEN -0.35 * routes WHEN 'utility' THEN -2.4 WHEN 'facility' THEN -2.0 ELSE 0.3 * rush END AS x FROM z, (VALUES ('road'), ('transit'), ('utility'), ('facility'), ('route_delay')) v(target))
+SELECT event_key, target, horizon, round(CAST(share / (1 + exp(-x)) AS DOUBLE), 6) AS p FROM y, (VALUES (5, 0.12), (15, 0.42), (30, 0.72), (60, 1.0)) h(horizon, share)""", obs=True)
 def logit_impact(t: Tables) -> DataFrame:
-    """Probability of impact by target and horizon."""
+    """Probability of impact by five targets and four horizons (fixed values: the weights and shifts)."""
     f = features(t)
-    x = F.least(F.lit(1.0), F.col("crowd") / 1000) * 0.9 - 2.6 + F.col("official").cast("int") * 1.4 + F.least(F.lit(1.0), F.col("roads") / 4.0) * 0.6 + F.least(F.lit(1.0), F.col("routes") / 3.0) * 0.8 + F.col("authority") * 0.8
-    targets = F.array(*(F.struct(F.lit(n).alias("target"), F.lit(d).alias("shift")) for n, d in TARGETS))
+    full = lambda c, most: F.least(F.lit(1.0), F.col(c) / most)
+    x = (
+        F.col("moving") * 0.55 - 2.6 + full("crowd", 1000) * 0.9 + full("n", 500.0) * 0.7 + F.col("official").cast("int") * 1.4 + full("roads", 4.0) * 0.6 + full("routes", 3.0) * 0.8
+        + full("hours", 24) * 0.35 + F.col("rush") * 0.3 + F.col("authority") * 0.8 + full("sources", 20.0) * 0.5 - F.col("reliability") * 0.7
+    )
+    shifts = {"road": F.lit(0.0), "transit": F.col("routes") * -0.35, "utility": F.lit(-2.4), "facility": F.lit(-2.0), "route_delay": F.col("rush") * 0.3}
+    targets = F.array(*(F.struct(F.lit(n).alias("target"), shifts[n].cast("double").alias("shift")) for n in TARGETS))
     horizons = F.array(*(F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("share")) for h, s in HORIZONS))
     rows = f.select("event_key", x.alias("x"), F.explode(targets).alias("t")).select("event_key", "x", "t", F.explode(horizons).alias("h"))
     return rows.select("event_key", "t.target", "h.horizon", r6(F.col("h.share") * tx.sigmoid(F.col("x") + F.col("t.shift")), "p"))
@@ -63,7 +72,7 @@ def transit_disruption(t: Tables) -> DataFrame:
 BASELINE = {"weekday_morning": 0.85, "weekday_midday": 0.5, "weekday_evening": 0.9, "weekday_night": 0.45, "weekend_morning": 0.4, "weekend_midday": 0.35, "weekend_evening": 0.5, "weekend_night": 0.3}
 
 
-@query(", h AS (SELECT observation_id, value / 100 AS flow, (CASE WHEN isodow(event_time) >= 6 THEN 'weekend_' ELSE 'weekday_' END) || CASE WHEN hour(event_time) BETWEEN 6 AND 9 THEN 'morning' WHEN hour(event_time) BETWEEN 11 AND 13 THEN 'midday' WHEN hour(event_time) BETWEEN 14 AND 19 THEN 'evening' ELSE 'night' END AS period FROM obs WHERE kind = 'view'), b AS (SELECT *, flow / CASE period " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in BASELINE.items()) + " END AS ratio FROM h) SELECT observation_id, period, round(ratio, 6) AS ratio, CASE WHEN ratio < 0.4 THEN 'gridlock' WHEN ratio < 0.6 THEN 'severe' WHEN ratio < 0.75 THEN 'moderate' WHEN ratio < 0.9 THEN 'minor' ELSE 'normal' END AS band FROM b", obs=True)
+@query(", h AS (SELECT observation_id, value / 100 AS flow, (CASE WHEN isodow(event_time) >= 6 THEN 'weekend_' ELSE 'weekday_' END) || CASE WHEN hour(event_time) BETWEEN 6 AND 9 THEN 'morning' WHEN hour(event_time) BETWEEN 11 AND 13 THEN 'midday' WHEN hour(event_time) BETWEEN 14 AND 19 THEN 'evening' ELSE 'night' END AS period FROM obs), b AS (SELECT *, flow / CASE period " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in BASELINE.items()) + " END AS ratio FROM h) SELECT observation_id, period, round(ratio, 6) AS ratio, CASE WHEN ratio < 0.4 THEN 'gridlock' WHEN ratio < 0.6 THEN 'severe' WHEN ratio < 0.75 THEN 'moderate' WHEN ratio < 0.9 THEN 'minor' ELSE 'normal' END AS band FROM b", obs=True)
 def traffic_anomaly(t: Tables) -> DataFrame:
     """Observed flow against the period's baseline, as a ratio and a band."""
     at = F.col("event_time")
@@ -71,7 +80,7 @@ def traffic_anomaly(t: Tables) -> DataFrame:
     part = F.when(hour.between(6, 9), "morning").when(hour.between(11, 13), "midday").when(hour.between(14, 19), "evening").otherwise("night")
     period = F.concat(F.when(F.weekday(at) >= 5, "weekend_").otherwise("weekday_"), part)
     table = F.create_map(*(F.lit(x) for kv in BASELINE.items() for x in kv))
-    rows = t.obs.where("kind = 'view'").select("observation_id", (F.col("value") / 100).alias("flow"), period.alias("period"))
+    rows = t.obs.select("observation_id", (F.col("value") / 100).alias("flow"), period.alias("period"))
     ratio = F.col("flow") / table[F.col("period")]
     return rows.select("observation_id", "period", r6(ratio, "ratio"), tx.ladder(ratio, [(0.9, "normal"), (0.75, "minor"), (0.6, "moderate"), (0.4, "severe")], "gridlock").alias("band"))
 
@@ -119,10 +128,12 @@ def notification_gates(t: Tables) -> DataFrame:
 _W = (0.25, 0.15, 0.25, 0.15, 0.10, 0.10)
 
 
-@query("WITH v AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query, v.vec_id, v.label, round(" + " + ".join(f"{w} * abs(q.e[{i + 1}] - v.e[{i + 1}])" for i, w in enumerate(_W)) + ", 9) AS dist FROM q, v WHERE v.vec_id <> q.vec_id) SELECT query, vec_id, label, dist FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) <= 3")
+@query("WITH v AS (SELECT vec_id, label, list_transform(range(1, 7), lambda j: list_avg(list_transform(embedding[j:len(embedding):6], lambda x: CAST(x AS DOUBLE)))) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0), d AS (SELECT q.vec_id AS query, v.vec_id, v.label, round(" + " + ".join(f"{w} * abs(q.e[{i + 1}] - v.e[{i + 1}])" for i, w in enumerate(_W)) + ", 9) AS dist FROM q, v WHERE v.vec_id <> q.vec_id) SELECT query, vec_id, label, dist FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) <= 3")
 def knn_l1(t: Tables) -> DataFrame:
-    """Three nearest analogues of each target by weighted L1 distance: a stated target set against the whole library."""
-    e = [F.element_at("embedding", i + 1).cast("double") for i in range(6)]
+    """Three nearest analogues of each target by weighted L1 distance over six features, each the mean of every sixth component:
+    a stated target set against the whole library."""
+    every = [F.filter("embedding", lambda x, i, j=j: i % 6 == j) for j in range(6)]
+    e = [F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(x) for x in every]
     v = t.embeddings.select("vec_id", "label", F.array(*e).alias("e"))
     targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
     out = sim.nearest(targets, v, "query", "vec_id", F.round(sim.weighted_l1(F.col("qe"), F.col("e"), _W), 9), 3)

@@ -99,11 +99,16 @@ def strip_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.strip_html(F.col("html")).alias("body"))
 
 
-_ROAD_SQL = "lower(text)"
-for _pattern, _new in tx.ROADS:
-    _ROAD_SQL = "regexp_replace(" + _ROAD_SQL + ", '" + _pattern.replace("(?![a-z0-9_])", "([^a-z0-9_]|$)") + "', '" + _new.replace("$", "\\") + "\\3', 'g')"
-_SAME = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.SYNONYMS.items()) + " ELSE w END"
-_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+#: The tokens' statement has its own lists, so that a word missing in the library shows.
+_ROAD_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
+ '(^|[^a-z0-9_])(?:interstate\s*|i-?)(5|90|405)([^a-z0-9_]|$)', '\1i_\2\3', 'g'), '(^|[^a-z0-9_])(?:state\s*route\s*|sr-?|wa-?)(99|520|522|167|16|2)([^a-z0-9_]|$)', '\1sr_\2\3', 'g'),
+ '(^|[^a-z0-9_])(?:u\.?s\.?\s*route\s*|us-?)(2|101)([^a-z0-9_]|$)', '\1us_\2\3', 'g'), '(^|[^a-z0-9_])exit\s*#?\s*([0-9]+[a-z]?)([^a-z0-9_]|$)', '\1exit_\2\3', 'g'),
+ '(^|[^a-z0-9_])milepost\s*#?\s*([0-9]+)([^a-z0-9_]|$)', '\1mp_\2\3', 'g')"""
+_SAME = """CASE WHEN w IN ('blocked', 'blockage', 'blocking', 'closed', 'closures', 'shutdown') THEN 'closure' WHEN w IN ('delays', 'congestion', 'slowdown', 'slow', 'stalled') THEN 'delay' ELSE w END"""
+_STOP = """'the', 'a', 'an', 'and', 'or', 'of', 'in', 'on', 'at', 'to', 'for', 'is', 'are', 'was', 'were', 'has', 'have', 'with', 'by', 'from', 'as', 'it', 'this', 'that', 'these', 'those', 'be', 'been', 'being', 'not', 'all',
+ 'reported', 'reports', 'reporting', 'update', 'updates', 'updated', 'assistance', 'rendered', 'directed', 'patrol', 'activity', 'checks', 'prevention', 'priority', 'call', 'calls', 'handling', 'officer', 'officers',
+ 'police', 'response', 'dispatch', 'dispatched', 'investigation', 'investigating', 'incident', 'incidents', 'premise', 'service', 'unit', 'units', 'scene', 'unable', 'locate', 'complainant', 'problem', 'solving', 'project',
+ 'seattle', 'washington', 'department', 'issued', 'alert', 'alerts', 'article', 'news', 'story', 'stories', 'media', 'block', 'ave', 'st'"""
 TOKENS = f""", tok AS (SELECT conv_id, turn, coalesce(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({_ROAD_SQL}, '[a-z0-9_]+'), lambda w: {_SAME}), lambda w: w NOT IN ({_STOP}) AND (length(w) >= 3 OR regexp_matches(w, '^(?:i|sr|us|exit|mp)_'))))), []) AS ts FROM conversations)"""
 
 

@@ -34,6 +34,25 @@ def move(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} could not be moved to {new}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme."""
+    system, place = _files(spark, path)
+    return system.makeQualified(place).toString()
+
+
+def replace_folder(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a folder's part files over those of another one, under names that stay the same."""
+    system, place = _files(spark, old)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    parts = sorted((f.getPath() for f in system.listStatus(place) if f.getPath().getName().startswith("part-")), key=str)
+    system.mkdirs(make(new))
+    for k, part in enumerate(parts):
+        to = make(new, f"export-{k}{part.getName()[part.getName().rindex('.'):]}")
+        system.delete(to, False)
+        if not system.rename(part, to):
+            raise OSError(f"{part} could not be moved to {to}")
+
+
 class Batch:
     """What a sink sees of one batch: the changed states and what earlier sinks of the batch and earlier batches wrote."""
 
