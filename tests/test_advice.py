@@ -126,8 +126,22 @@ def test_greedy_clusters_against_brute_force(spark):
     assert {r.k: r.seed for r in got.collect()} == want
 
 
+def test_a_hot_region_is_split(spark):
+    """One region with most rows falls into pieces that can't reach each other; odd rows are seeds of their own."""
+    from tidemark.operators import graph as gr
+
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, float(rng.uniform(0, 3_000_000)), float(rng.uniform(-2, 2)), float(rng.uniform(-60, -58))) for i in range(4000)]
+    rows += [(9000, 0, None, 1.0, 1.0), (9001, 0, 5.0, float("nan"), 1.0), (9002, None, 5.0, 0.0, 89.99), (9003, None, 6.0, 170.0, 89.99)]
+    frame = spark.createDataFrame(rows, "k long, r int, at double, lon double, lat double")
+    pieces = [r["count"] for r in gr._pieces(frame.where("k < 9000"), "r", "at", "lon", "lat", 1800.0, 14400.0).groupBy("__piece").count().collect()]
+    assert sum(pieces) == 4000 and max(pieces) < 100
+    got = {r.k: r.seed for r in gr.greedy_clusters(frame, "r", "at", "lon", "lat", "k", 1800.0, 14400.0).collect()}
+    assert len(got) == 4004 and got[9000] == 9000 and got[9001] == 9001 and got[9002] == 9002
+
+
 def test_streams_keep_order_over_chunks(spark, tmp_path):
-    from tidemark.streaming import ledger_stream as ls
+    from tidemark.streaming import ledger_stream as ls, timers as tm
 
     n = 25_000  # more than two of Spark's chunks, of one key, newest first; ties on the time go by id
     rows = spark.range(n).select(F.col("id"), F.lit("x").alias("k"), ((n - 1 - F.col("id")) / 100).cast("long").alias("at")).withColumn("v", F.col("at").cast("string"))
@@ -135,6 +149,7 @@ def test_streams_keep_order_over_chunks(spark, tmp_path):
     stream = lambda: ls.read_files(spark, f"{tmp_path}/in/*", "id long, k string, at long, v string")
     out = ls.drain(ls.versions(stream(), "k", "v", "at", "id"), "v", f"{tmp_path}/c1", f"{tmp_path}/o1")
     assert {int(r.v): r.version for r in out.collect()} == {i: i + 1 for i in range(n // 100)}
-    apart = stream().select("id", "k", F.col("at").cast("double").alias("at"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
-    out = ls.drain(ls.resolve(apart, "k", "id", "at", "lon", "lat", 10.0, 5.0), "r", f"{tmp_path}/c2", f"{tmp_path}/o2")
+    apart = stream().select("k", F.col("id").alias("observation_id"), (F.col("at") * 1_000_000 + 10**15).alias("us"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(False).alias("final"))
+    with tm.timed_state(spark):
+        out = ls.drain(tm.resolve(apart, "k", 10_000_000, 20_000_000, 5.0, "1 second"), "r", f"{tmp_path}/c2", f"{tmp_path}/o2")
     assert {r.event_id for r in out.collect()} == {n - 100}  # the least id of the first instant

@@ -130,20 +130,48 @@ def hop_score(weight, hops):
     return F.greatest(F.lit(0.05), base * F.greatest(F.lit(0.3), 1 - weight / 8))
 
 
+def _pieces(events: DataFrame, region: str, time_s: str, lon: str, lat: str, radius_m: float, window_s: float) -> DataFrame:
+    """``events`` with the column __piece: rows in different pieces can't reach each other, not even through others.
+
+    Space and time are cut into cells of the radius and the window; rows in reach of each other are in the same or adjacent
+    occupied cells, so pieces are the components of these.  Only cells are joined, not rows."""
+    step = radius_m / 111320.0 * (1 + 1e-9)
+    far = lambda band: F.greatest(F.abs(band), F.abs(band + 1)) * step
+    width = lambda band: F.when(far(band) < 89.9, F.lit(step) / F.cos(F.radians(far(band)))).otherwise(1000.0)  # noqa: E731  (one column at a pole)
+    band = F.floor(F.col(lat) / step).cast("long")
+    celled = events.withColumns({"__b": band, "__c": F.floor(F.col(lon) / width(band)).cast("long"), "__t": F.floor(F.col(time_s) / window_s).cast("long")})
+    name = F.concat_ws(":", F.coalesce(F.col(region).cast("string"), F.lit("-")), "__b", "__c", "__t")
+    celled = celled.withColumn("__cell", name)
+    cells = kept(celled.select(F.col(region).alias("__g"), "__b", "__c", "__t", "__cell").distinct())
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    near = cells.select("*", around.alias("__n")).select("__g", "__c", F.col("__b").alias("__from"), (F.col("__b") + F.col("__n.i")).alias("__b"), (F.col("__t") + F.col("__n.j")).alias("__t"), F.col("__cell").alias("src"))
+    own, w = width(F.col("__from")), width(F.col("__b"))
+    left = F.col("__c") * own
+    near = near.withColumn("__c", F.explode(F.sequence(F.floor((left - own) / w).cast("long"), F.floor((left + 2 * own) / w).cast("long"))))
+    keys = [F.col("n.__g").eqNullSafe(F.col("o.__g")), *(F.col(f"n.{k}") == F.col(f"o.{k}") for k in ("__b", "__c", "__t"))]
+    links = near.alias("n").join(cells.alias("o"), keys).select("src", F.col("o.__cell").alias("dst")).where("src <> dst")
+    pieces = components(cells.select(F.col("__cell").alias("node")), links).select(F.col("node").alias("__cell"), F.col("component").alias("__piece"))
+    return celled.join(pieces, "__cell").drop("__cell", "__b", "__c", "__t")
+
+
 def greedy_clusters(events: DataFrame, region: str, time_s: str, lon: str, lat: str, key: str, radius_m: float, window_s: float) -> DataFrame:
     """(key, seed): time-ordered seed clustering of each region; an event joins the first seed in reach or opens one.
 
-    A region is cut at silences longer than the window, over which no seed reaches; each piece streams through a sorted
-    partition, where only the seeds still in the window are held, in cells of the radius."""
+    A region falls into pieces that can't reach each other (``_pieces``).  Each streams through a sorted partition, where only
+    the seeds still in the window are held, in cells of the radius; what is dense throughout is one piece, as the order of its
+    seeds demands.  A row without a time or a place is a seed of its own."""
     import math
     from collections import OrderedDict, defaultdict, deque
 
     import pyarrow as pa
 
-    by = Window.partitionBy(region).orderBy(time_s, key)
-    rows = events.select(region, key, time_s, lon, lat).withColumn("__cut", F.when(F.col(time_s) - F.lag(time_s).over(by) > window_s, 1).otherwise(0))
-    rows = rows.withColumn("__piece", F.sum("__cut").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
-    rows = rows.repartition(region, "__piece").sortWithinPartitions(region, "__piece", time_s, key)
+    rows = events.select(region, key, time_s, lon, lat)
+    whole = F.lit(True)
+    for c in (time_s, lon, lat):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    alone = rows.where(~whole).select(key, F.col(key).alias("seed"))
+    rows = _pieces(rows.where(whole), region, time_s, lon, lat, radius_m, window_s).select(region, key, time_s, lon, lat, "__piece")
+    rows = rows.repartition("__piece").sortWithinPartitions("__piece", time_s, key)
     kind = events.schema[key].dataType.simpleString()
     step = radius_m / 111320.0 * (1 + 1e-9)
 
@@ -160,9 +188,6 @@ def greedy_clusters(events: DataFrame, region: str, time_s: str, lon: str, lat:
                 if (g, piece) != now:
                     now, opened = (g, piece), 0
                     live.clear(), cells.clear()
-                if any(v is None or v != v for v in (at, x, y)):
-                    seeds.append(k)
-                    continue
                 while live and at - live[0][0] > window_s:
                     _, cell, n = live.popleft()
                     cells[cell].pop(n)
@@ -184,7 +209,7 @@ def greedy_clusters(events: DataFrame, region: str, time_s: str, lon: str, lat:
             of = batch.schema.field(1).type
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(seeds, of)], names=[key, "seed"])
 
-    return rows.mapInArrow(run, f"{key} {kind}, seed {kind}")
+    return rows.mapInArrow(run, f"{key} {kind}, seed {kind}").unionByName(alone)
 
 
 def top_routes(paths: DataFrame, origin: str, n: int) -> DataFrame:

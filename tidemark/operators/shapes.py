@@ -303,12 +303,13 @@ def near_shapes(left: DataFrame, left_key: str, right: DataFrame, right_key: str
 
 
 def nearest_shapes(left: DataFrame, left_key: str, right: DataFrame, right_key: str, step: float, radius_m: float, most_m: float) -> DataFrame:
-    """(left_key, right_key, dist_m): the nearest right shape of each left one within ``most_m``; ties go to the smaller key.
+    """(left_key, right_key, dist_m): the nearest right shape of each left one within ``most_m``; ties (to a micrometre) go to the
+    smaller key.
 
     Looks within ``radius_m`` first and twice as far again for the shapes that found none, so a shape stops at the first reach
     that holds a partner: a further ring can't be nearer."""
     left = kept(left)
-    order, found, open_ = F.struct("dist_m", right_key), None, left
+    order, found, open_ = F.struct(F.round("dist_m", 6), F.col(right_key), F.col("dist_m")), None, left
     while True:
         near = near_shapes(open_, left_key, right, right_key, step, min(radius_m, most_m))
         got = kept(near.groupBy(left_key).agg(F.min(order).alias("m")).select(left_key, F.col(f"m.{right_key}").alias(right_key), "m.dist_m"))

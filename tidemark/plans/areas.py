@@ -93,7 +93,7 @@ k AS (SELECT i.impact_id, r.place_id, cos(radians((y1 + y2 + 2 * i.lat) / 4)) *
 v AS (SELECT *, (x2 - x1) * kx AS ax, (y2 - y1) * 111320.0 AS ay, (lon - x1) * kx AS px, (lat - y1) * 111320.0 AS py FROM k),
 s AS (SELECT *, greatest(0.0, least(1.0, (px * ax + py * ay) / (ax * ax + ay * ay))) AS s FROM v),
 g AS (SELECT impact_id, place_id, min(CASE WHEN q <= 1 AND q >= {HOLE} THEN 0.0 ELSE sqrt(power(px - s * ax, 2) + power(py - s * ay, 2)) END) AS d FROM s GROUP BY ALL)
-SELECT impact_id, place_id, round(d, 3) AS dist_m FROM g WHERE d <= 5000 QUALIFY row_number() OVER (PARTITION BY impact_id ORDER BY d, place_id) = 1""", obs=True)
+SELECT impact_id, place_id, round(d, 3) AS dist_m FROM g WHERE d <= 5000 QUALIFY row_number() OVER (PARTITION BY impact_id ORDER BY round(d, 6), place_id) = 1""", obs=True)
 def nearest_area(t: Tables) -> DataFrame:
     """The nearest area of each impact within 5 km, 0 m for one inside; found by reaches that double."""
     near = sh.nearest_shapes(sh.cover(impacts(t), "impact_id", "geometry", STEP), "impact_id", sh.cover(areas(t), "place_id", "geometry", STEP), "place_id", STEP, 300.0, 5000.0)

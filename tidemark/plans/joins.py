@@ -162,7 +162,7 @@ _AREA_STEP = 0.01
 
 
 def _in_area(t: Tables, edge: bool) -> DataFrame:
-    area = t.region.limit(1).select(F.lit(1).alias("area_id"), F.lit(AREA).alias("geometry"))
+    area = t.spark.range(1).select(F.col("id").alias("area_id"), F.lit(AREA).alias("geometry"))
     cover = sh.cover(area, "area_id", "geometry", _AREA_STEP)
     return sh.points_in(t.obs.select("observation_id", "lon", "lat"), "observation_id", cover, "area_id", _AREA_STEP, edge).select("observation_id")
 

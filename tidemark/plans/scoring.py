@@ -132,7 +132,7 @@ _W = (0.25, 0.15, 0.25, 0.15, 0.10, 0.10)
 def knn_l1(t: Tables) -> DataFrame:
     """Three nearest analogues of each target by weighted L1 distance over six features, each the mean of every sixth component:
     a stated target set against the whole library."""
-    every = [F.filter("embedding", lambda x, i, j=j: i % 6 == j) for j in range(6)]
+    every = [F.filter("embedding", (lambda j: lambda x, i: i % 6 == j)(j)) for j in range(6)]
     e = [F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(x) for x in every]
     v = t.embeddings.select("vec_id", "label", F.array(*e).alias("e"))
     targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))

@@ -15,7 +15,8 @@ class Feed(NamedTuple):
     """Where a feed's records are and what they mean.
 
     ``kinds`` are the observation types it can emit, the first being the default; ``retype`` gives words that turn the
-    default into another one; ``payload`` maps names to input fields."""
+    default into another one; ``payload`` maps names to input fields.  ``observed`` are the times at which a record was made
+    known, where they differ from its event's; a year beyond ``last_year`` is a publisher's slip for ``slip_year``."""
 
     kinds: tuple[str, ...]
     ids: tuple[str, ...]
@@ -27,6 +28,9 @@ class Feed(NamedTuple):
     shape: str = "json"
     retype: tuple[tuple[str, tuple[str, ...]], ...] = ()
     keep: str | None = None
+    observed: tuple[str, ...] = ()
+    last_year: int | None = None
+    slip_year: int = 2024
 
 
 # fixed values: the fields of each feed, named as the publishers name them
@@ -37,7 +41,7 @@ FEEDS: dict[str, Feed] = {
     "event_permits": Feed(("permit_event",), ("permit_number", "name_of_event"), ("name_of_event",), ("event_start_date", "start_date", "application_date"), ("permit_type", "permit_status", "organization", "attendance", "event_location_neighborhood", "event_end_date"), domain="events"),
     "news": Feed(("news_article", "police_response", "road_closure", "fire_dispatch", "severe_weather"), ("guid", "link"), ("title",), ("pub_date", "published"), ("description", "categories"), "media", "news",
                  retype=(("fire_dispatch", ("fire", "blaze")), ("police_response", ("shooting", "police", "assault", "robbery")), ("road_closure", ("closure", "closed", "crash", "collision")), ("severe_weather", ("storm", "flood", "wind", "snow")))),
-    "street_use": Feed(("road_construction", "road_closure"), ("permit_number",), ("project_name", "project_description"), ("start_date", "issue_date", "created_date", "application_date"), ("permit_type", "street_on", "street_from", "street_to", "end_date"), domain="road", retype=(("road_closure", ("closure", "closed", "block party", "street event")),)),
+    "street_use": Feed(("road_construction", "road_closure"), ("permit_number",), ("project_name", "project_description"), ("start_date",), ("permit_type", "street_on", "street_from", "street_to", "end_date"), domain="road", retype=(("road_closure", ("closure", "closed", "block party", "street event")),), observed=("issue_date", "created_date", "application_date"), last_year=2050),
     "road_alerts": Feed(("traffic_condition", "road_closure"), ("OBJECTID",), ("HeadlineMessage",), ("LastModifiedDate",), ("Road", "RoadDirection", "EventCategoryDescription", "RoadClosedFlag"), domain="road", retype=(("road_closure", ("closed", "closure", "blocked")),)),
     "cameras": Feed(("camera_imagery",), ("Id",), ("Description",), (), ("ImageUrl", "Type"), domain="traffic"),
     "drawbridges": Feed(("bridge_restriction",), ("entityid",), ("entityname",), ("opendatetime",), ("entitytype", "closedatetime", "minutesopen"), domain="road"),
@@ -103,6 +107,9 @@ def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
     get, is_json = rd.getter(rows), "record" in rows.columns
     first = lambda fields: F.coalesce(*(tx.clean(get(f)) for f in fields), F.lit(None).cast("string"))
     headline, at = tx.strip_html(first(feed.headline)), rd.when_of(get, feed.times)
+    if feed.last_year is not None:
+        slip = F.make_timestamp(F.lit(feed.slip_year), F.month(at), F.dayofmonth(at), F.hour(at), F.minute(at), F.second(at).cast("decimal(8,6)"))
+        at = F.when(F.year(at) > feed.last_year, slip).otherwise(at)
     kind = F.lit(feed.kinds[0])
     body = F.concat_ws(" ", headline, *(get(f) for f in ("description",) if f in feed.payload or f in feed.headline))
     for other, words in reversed(feed.retype):
@@ -111,10 +118,14 @@ def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
     place = rd.location(get, is_json)
     shown = rows.select(
         F.lit(name).alias("source_id"), first(feed.ids).alias("source_record_id"), kind.alias("observation_type"), headline.alias("headline"), at.alias("event_time"), place.alias("place"), payload.alias("payload"),
-        F.lit(feed.authority).alias("authority"), F.lit(feed.domain).alias("domain"),
+        F.lit(feed.authority).alias("authority"), F.lit(feed.domain).alias("domain"), rd.when_of(get, feed.observed).alias("__known"),
     )
     content = F.sha2(F.concat_ws("|", "headline", F.to_json("payload")), 256)
-    stamped = shown.withColumn("observed_at", F.coalesce("event_time", ingested_at if ingested_at is not None else F.current_timestamp()))
+    now = ingested_at if ingested_at is not None else F.current_timestamp()
+    known = F.coalesce("event_time", now)
+    if feed.observed:  # an event that is still to come was made known by now
+        known = F.coalesce("__known", F.least(known, now))
+    stamped = shown.withColumn("observed_at", known).drop("__known")
     return stamped.withColumns(
         {
             "observation_id": tx.deterministic_id("obs", F.col("source_id"), F.col("source_record_id"), F.col("observed_at"), content), "content_hash": content,

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pyarrow.fs as pf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -117,13 +118,18 @@ class _WorkbookReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.limit = options["path"], int(options.get("limit", 0))
 
+    def _open(self):
+        """The workbook in whatever file system its path names."""
+        system, path = pf.FileSystem.from_uri(self.path)
+        return zipfile.ZipFile(system.open_input_file(path))
+
     def partitions(self) -> list[InputPartition]:
-        with zipfile.ZipFile(self.path) as book:
+        with self._open() as book:
             return [_Sheet(self.path, n) for n in sorted(book.namelist()) if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)]
 
     def read(self, partition: _Sheet) -> Iterator[tuple]:
         ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-        with zipfile.ZipFile(partition.path) as book:
+        with self._open() as book:
             shared = []
             if "xl/sharedStrings.xml" in book.namelist():
                 for _, el in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
