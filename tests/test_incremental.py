@@ -91,6 +91,36 @@ def test_a_batch_that_failed_before_its_commit(spark, tmp_path):
     assert m.table("history").count() == 3
 
 
+def test_compacted_tables_go_on(spark, tmp_path):
+    m, seen = made(spark, tmp_path / "a"), []
+    for number, rows in enumerate(batches()):
+        seen += rows
+        m.apply(spark.createDataFrame(rows, SCHEMA), number)
+        if number != 2:
+            m.compact()
+            m.compact()  # nothing to do
+            m.apply(spark.createDataFrame(rows, SCHEMA), number)  # nor here
+        assert {r.k: (r.n, r.top) for r in m.states().collect()} == whole(seen)
+        assert sorted((r.k or 0, r.id, r.v) for r in m.table("history").collect()) == sorted((k or 0, i, v) for k, i, v in seen)
+    assert not inc.exists(spark, f"{m.root}/history/batch=0") and not inc.exists(spark, f"{m.root}/folded/upto=0")
+    assert {r.k: r.version for r in m.states().collect()} == {r.k: r.v for r in m.table("states").groupBy("k").agg(F.max("version").alias("v")).collect()}
+    tops = [(r.k, r.top) for r in m.table("tops").collect()]
+    assert len(tops) == len(set(tops))
+
+
+def test_a_fold_without_its_commit_does_not_count(spark, tmp_path, monkeypatch):
+    m = made(spark, tmp_path / "a")
+    rows = [(1, 1, 5), (2, 2, 6)]
+    m.apply(spark.createDataFrame(rows, SCHEMA), 0)
+    monkeypatch.setattr(inc, "remove", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        m.compact()  # fails after its commit: the batches' folders are still there
+    monkeypatch.undo()
+    assert m.table("history").count() == 2 and {r.k: (r.n, r.top) for r in m.states().collect()} == whole(rows)
+    m.apply(spark.createDataFrame([(1, 3, 9)], SCHEMA), 1)
+    assert {r.k: (r.n, r.top, r.version) for r in m.states().collect()} == {1: (2, 9, 2), 2: (1, 6, 1)}
+
+
 def test_only_dirty_buckets_are_read(spark, tmp_path):
     m = made(spark, tmp_path / "a", buckets=64)
     m.apply(spark.createDataFrame([(k, k, k) for k in range(500)], SCHEMA), 0)

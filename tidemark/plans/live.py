@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import spatial as sp
-from ..operators.graph import kept, shared
+from ..operators.graph import shared
 from ..sources import snapshots as sn
 from ..streaming import incremental as inc
 from ..streaming import ledger_stream as ls
@@ -48,6 +48,23 @@ def exposures(t: Tables):
     return make
 
 
+def priorities(b: inc.Batch) -> DataFrame:
+    """How much each exposure matters: the cube root of exposure, status and corroboration."""
+    told = b.changed.select("event", F.least(F.lit(1.0), F.col("sources") / 3.0).alias("authority"), F.when(F.col("status") == "alert", 1.0).when(F.col("status") == "active", 0.6).otherwise(0.3).alias("weight"))
+    rows = b.now("exposures").select("event", "place_id", "version", "score").join(told, "event")
+    return rows.select("event", "place_id", "version", F.round(F.pow(F.col("score") * F.col("weight") * F.col("authority"), 1 / 3), 6).alias("priority"))
+
+
+def items(b: inc.Batch) -> DataFrame:
+    """What is shown to each exposed user, ranked: guidance, the exposure, what changed, the evidence."""
+    told = b.changed.select("event", "status", "sources")
+    rows = b.now("exposures").select("event", "place_id", "version", "score").join(told, "event")
+    item = lambda when, name, p: F.when(when, F.struct(p.cast("double").alias("weight"), F.lit(name).alias("item")))
+    every = F.array_compact(F.array(item(F.col("status") == "alert", "guidance", F.lit(1.0)), item(F.lit(True), "exposure", F.col("score")), item(F.col("version") > 1, "change", F.lit(0.45)), item(F.col("sources") >= 2, "evidence", F.lit(0.2))))
+    ranked = F.posexplode(F.reverse(F.array_sort(every))).alias("rank", "i")
+    return rows.select("event", "place_id", "version", ranked).select("event", "place_id", "version", (F.col("rank") + 1).alias("rank"), "i.item")
+
+
 def alerts(b: inc.Batch) -> DataFrame:
     """An alert for each place, event and band above low that no earlier batch has sent."""
     sent = b.before("alerts").select("event", "place_id", "band")
@@ -61,12 +78,17 @@ def maintained(t: Tables, users: bool) -> inc.Maintained:
     rows = t.obs.select((F.col("event_key") * 1000 + F.floor(F.col("us") / 86_400_000_000) % 1000).alias("event"), "observation_id", "source_id", "us", "kind", "value", "lon", "lat", arrives.alias("arrives"))
     rows.write.partitionBy("arrives").parquet(f"{root}/staged")
     plain = rows.drop("arrives")
-    sinks = [("exposures", "place_id long, version long, score double, band string", exposures(t)), ("alerts", "place_id long, version long, band string", alerts)] if users else []
+    sinks = [
+        ("exposures", "place_id long, version long, score double, band string", exposures(t)), ("priorities", "place_id long, version long, priority double", priorities),
+        ("items", "place_id long, version long, rank int, item string", items), ("alerts", "place_id long, version long, band string", alerts),
+    ] if users else []
     out = inc.Maintained(t.spark, f"{root}/tables", plain.schema, "event", rebuild, ["n", "sources", "first_us", "last_us", "status"], sinks, buckets=8)
     for k in range(ARRIVALS):
         if inc.exists(t.spark, f"{root}/staged/arrives={k}"):
             inc.move(t.spark, f"{root}/staged/arrives={k}", f"{root}/in/piece{k}")
             out.run(ls.read_files(t.spark, f"{root}/in", plain.schema, recursiveFileLookup="true")).awaitTermination()
+            if k == 1:
+                out.compact()  # later pieces go on from the fold
     return out
 
 
@@ -86,15 +108,22 @@ def incremental_deltas(t: Tables) -> DataFrame:
 @query(_LIVE_SQL + PLACES_SQL + f""", e AS (SELECT event, place_id, version, b, round((1 - d / 2000) * (severity * 0.5 + CASE WHEN status = 'alert' THEN 0.5 ELSE 0.2 END), 6) AS score FROM (SELECT v.*, place_id, {haversine_sql('v.lon', 'v.lat', 'p.lon', 'p.lat')} AS d FROM v, places p) WHERE d <= 2000),
 x AS (SELECT *, CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'moderate' ELSE 'low' END AS band FROM e),
 a AS (SELECT event, place_id, band, min(version) AS version FROM x WHERE band <> 'low' GROUP BY ALL),
-l AS (SELECT event, place_id, score, band FROM x QUALIFY row_number() OVER (PARTITION BY event, place_id ORDER BY version DESC) = 1)
-SELECT l.event, l.place_id, l.score, l.band, count(a.band) AS alerts, min(a.version) AS first_alert FROM l LEFT JOIN a ON a.event = l.event AND a.place_id = l.place_id GROUP BY ALL""", obs=True)
+l AS (SELECT event, place_id, version, score, band FROM x QUALIFY row_number() OVER (PARTITION BY event, place_id ORDER BY version DESC) = 1),
+m AS (SELECT l.*, round(power(l.score * CASE v.status WHEN 'alert' THEN 1.0 WHEN 'active' THEN 0.6 ELSE 0.3 END * least(1.0, v.sources / 3.0), 1.0 / 3), 6) AS priority,
+  list_sort(list_filter([CASE WHEN v.status = 'alert' THEN {{'w': 1.0::DOUBLE, 'i': 'guidance'}} END, {{'w': l.score, 'i': 'exposure'}}, CASE WHEN l.version > 1 THEN {{'w': 0.45::DOUBLE, 'i': 'change'}} END, CASE WHEN v.sources >= 2 THEN {{'w': 0.2::DOUBLE, 'i': 'evidence'}} END], lambda q: q IS NOT NULL)) AS s
+  FROM l JOIN v ON v.event = l.event AND v.version = l.version)
+SELECT m.event, m.place_id, m.score, m.band, m.priority, array_to_string(list_transform(list_reverse(m.s), lambda q: q.i), '>') AS items, count(a.band) AS alerts, min(a.version) AS first_alert FROM m LEFT JOIN a ON a.event = m.event AND a.place_id = m.place_id GROUP BY ALL""", obs=True)
 def incremental_users(t: Tables) -> DataFrame:
-    """One micro-batch writes exposures and alerts of all users that its changed events touch, each exactly once; an alert goes
-    out once for each place, event and band, whatever batch finds it."""
+    """One micro-batch writes exposures, priorities, items and alerts of all users that its changed events touch, each exactly
+    once; an alert goes out once for each place, event and band, whatever batch finds it."""
     m = maintained(t, True)
-    e = m.table("exposures").groupBy("event", "place_id").agg(F.max_by(F.struct("score", "band"), "version").alias("e")).select("event", "place_id", "e.*")
+    last = F.max_by(F.struct("version", "score", "band"), "version").alias("e")
+    e = m.table("exposures").groupBy("event", "place_id").agg(last).select("event", "place_id", "e.*")
+    shown = m.table("items").groupBy("event", "place_id", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda i: i["item"]), ">").alias("items"))
     a = m.table("alerts").groupBy("event", "place_id").agg(F.count(F.lit(1)).alias("alerts"), F.min("version").alias("first_alert"))
-    return kept(e.join(a, ["event", "place_id"], "left").select("event", "place_id", "score", "band", F.coalesce("alerts", F.lit(0)).alias("alerts"), "first_alert"))
+    keys = ["event", "place_id", "version"]
+    both = e.join(m.table("priorities").select(*keys, "priority"), keys).join(shown, keys).join(a, ["event", "place_id"], "left")
+    return both.select("event", "place_id", "score", "band", "priority", "items", F.coalesce("alerts", F.lit(0)).alias("alerts"), "first_alert")
 
 
 @query(" SELECT kind AS topic, observation_id, source_id, us FROM obs QUALIFY row_number() OVER (PARTITION BY kind ORDER BY us DESC, observation_id DESC) <= 2000", obs=True)

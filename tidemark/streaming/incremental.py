@@ -2,7 +2,8 @@
 
 Everything a batch writes lies in folders named after it and counts only once the batch's commit is written, which comes
 last.  A batch that is run again after a failure writes the same folders again; one that was committed changes nothing.
-Folders are cut into buckets of the key, so a batch reads back the buckets of its dirty keys alone.
+Folders are cut into buckets of the key, so a batch reads back the buckets of its dirty keys alone.  ``compact`` folds the
+batches' many small folders into one, from which later batches go on.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    system, place = _files(spark, path)
+    system.delete(place, True)
+
+
 def move(spark: SparkSession, old: str, new: str) -> None:
     """Renames a folder, so that all its files arrive at once."""
     system, place = _files(spark, old)
@@ -91,9 +98,11 @@ class Maintained:
         return F.pmod(F.hash(self.key), F.lit(self.buckets))
 
     def read(self, name: str) -> DataFrame:
-        """All rows of a table with the columns bucket and batch, whether committed or not."""
+        """All rows of a table's batches with the columns bucket and batch, whether committed or not."""
+        return self._read(name, f"{self.root}/{name}")
+
+    def _read(self, name: str, path: str) -> DataFrame:
         schema = self.spark.createDataFrame([], self._schemas[name]).schema
-        path = f"{self.root}/{name}"
         full = StructType(list(schema)).add("batch", "integer").add("bucket", "integer")
         return self.spark.read.schema(full).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], full)
 
@@ -103,12 +112,41 @@ class Maintained:
         return self.spark.read.parquet(path).agg(F.max("number")).first()[0] if exists(self.spark, path) else -1
 
     def table(self, name: str) -> DataFrame:
-        """The committed rows of a table, with the batch that wrote each."""
-        return self.read(name).where(F.col("batch") <= self.committed())
+        """The committed rows of a table, with the batch that wrote each (of the history, the compaction that holds it)."""
+        return self._since(name, self.committed()) if name == "history" else self.read(name).where(F.col("batch") <= self.committed())
 
     def states(self) -> DataFrame:
         """The latest version of each key's state."""
-        return self._latest(self.table("states"))
+        return self._latest(self._since("states", self.committed()))
+
+    def _folded(self) -> int:
+        """The last batch that a committed compaction holds; -1 before the first."""
+        path = f"{self.root}/folds"
+        return self.spark.read.parquet(path).agg(F.max("upto")).first()[0] if exists(self.spark, path) else -1
+
+    def _since(self, name: str, upto: int) -> DataFrame:
+        """A table's rows up to a batch: what the last compaction holds of it, and the batches after that."""
+        folded = self._folded()
+        newer = self.read(name).where((F.col("batch") > folded) & (F.col("batch") <= upto))
+        return newer if folded < 0 else self._read(name, f"{self.root}/folded/upto={folded}/{name}").unionByName(newer)
+
+    def compact(self) -> None:
+        """Folds what is committed: the history's rows, and each key's latest state (all versions stay in the table of states).
+
+        The fold counts once its commit is written; only then the history's folders and the fold before it go.  A call that
+        failed is made good by the next one.  Not to be called while a batch is applied."""
+        upto, before = self.committed(), self._folded()
+        if upto <= before:
+            return
+        root = f"{self.root}/folded/upto={upto}"
+        for name, rows in (("history", self._since("history", upto)), ("states", self._latest(self._since("states", upto)))):
+            out = rows.select(*self._columns[name]).withColumn("bucket", self._bucket()).withColumn("batch", F.lit(upto))
+            out.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("batch", "bucket").parquet(f"{root}/{name}")
+        self.spark.createDataFrame([(upto,)], "upto int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/folds/upto_={upto}")
+        for number in range(before + 1, upto + 1):
+            remove(self.spark, f"{self.root}/history/batch={number}")
+        if before >= 0:
+            remove(self.spark, f"{self.root}/folded/upto={before}")
 
     def _latest(self, versions: DataFrame) -> DataFrame:
         columns = self._columns["states"]
@@ -122,7 +160,7 @@ class Maintained:
 
     def history(self, buckets: Sequence[int], upto: int) -> DataFrame:
         """The rows of some buckets that came up to a batch; other buckets' files are not read."""
-        return self.read("history").where((F.col("batch") <= upto) & F.col("bucket").isin(list(buckets)))
+        return self._since("history", upto).where(F.col("bucket").isin(list(buckets)))
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Takes one micro-batch; to be given to ``foreachBatch``."""
@@ -132,7 +170,7 @@ class Maintained:
         dirty = arrived.where(F.col(self.key).isNotNull()).select(self.key).distinct()
         buckets = sorted(r.bucket for r in arrived.select("bucket").distinct().collect())  # at most ``buckets`` rows
         rebuilt = self.rebuild(self.history(buckets, number).join(dirty, self.key, "left_semi").drop("batch", "bucket"))
-        old = self._latest(self.read("states").where((F.col("batch") < number) & F.col("bucket").isin(buckets)).join(dirty, self.key, "left_semi"))
+        old = self._latest(self._since("states", number - 1).where(F.col("bucket").isin(buckets)).join(dirty, self.key, "left_semi"))
         held = old.select(F.col(self.key), F.struct(*(F.col(c) for c in self._columns["states"])).alias("__old"))
         both = rebuilt.join(held, self.key, "left")
         differs = {c: ~F.col(c).eqNullSafe(F.col(f"__old.{c}")) for c in self.compared}
