@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import delta, ledger as op, measures as ms, models as md
+from ..operators import delta, ledger as op, measures as ms, metrics as mt, models as md
 from .reads import VERSIONS_SQL, day_versions
 from .registry import Tables, haversine_sql, query
 from .scoring import F_SQL, features, presentation_items
@@ -133,3 +133,41 @@ def event_metrics(t: Tables) -> DataFrame:
     last = op.latest(day_versions(t), ["event_key"], ["version"]).select("event_key", "version", "status", "label", F.round("authority", 6).alias("authority"), F.col("n").alias("run_reports"))
     whole = features(t).select("event_key", F.col("n").alias("reports"), "sources", "roads", "routes", F.round("reliability", 6).alias("reliability"), "official")
     return last.join(whole, "event_key")
+
+
+_DOMAINS = ("road", "transit", "utility", "facility")
+_PER_HOUR = "round({n} / greatest(0.1, CASE WHEN h > 0 THEN h ELSE 0.5 END), 2)"
+
+
+@query(f""", d AS (SELECT event_key, us // 86400000000 AS day, count(*) AS n, min(us) AS first_us, max(us) AS last_us, sum(lon) AS lon, sum(lat) AS lat, min(lon) AS west, min(lat) AS south, sum(k) AS score,
+  count(*) FILTER (kind = 'error') AS road, count(*) FILTER (kind = 'purchase') AS transit, count(*) FILTER (kind = 'signup') AS utility, count(*) FILTER (kind NOT IN ('error', 'purchase', 'signup')) AS facility,
+  count(*) FILTER (k >= 75) AS immediate, count(*) FILTER (k >= 50 AND k < 75) AS high, count(*) FILTER (k >= 25 AND k < 50) AS moderate, count(*) FILTER (k < 25) AS low, sum(value) AS value, max(value) AS peak,
+  bool_or(kind = 'error') AND bool_or(kind = 'signup') AS disputed, arg_min(observation_id, {{'u': us, 'o': observation_id}}) AS fr, arg_max(observation_id, {{'u': us, 'o': observation_id}}) AS lr FROM obs GROUP BY ALL),
+p AS (SELECT event_key, sum(n) AS n, min(first_us) AS first_us, max(last_us) AS last_us, sum(lon) / sum(n) AS lon, sum(lat) / sum(n) AS lat, min(west) AS west, min(south) AS south, sum(score) AS score, sum(road) AS road, sum(transit) AS transit, sum(utility) AS utility,
+  sum(facility) AS facility, sum(immediate) AS immediate, sum(high) AS high, sum(moderate) AS moderate, sum(low) AS low, sum(value) / sum(n) AS usual, max(peak) AS peak, count(*) AS version, count(*) FILTER (disputed) AS disputed, arg_max(n, day) AS n_now,
+  arg_max(value / n, day) AS speed, arg_max(transit, day) AS transit_now, arg_min(fr, day) AS fr, arg_max(lr, day) AS lr FROM d GROUP BY event_key),
+s AS (SELECT event_key, count(DISTINCT source_id) AS sources FROM obs GROUP BY event_key),
+a AS (SELECT p.*, sources, (last_us - first_us) / 1e6 AS sec, round((last_us - first_us) / 1e6 / 3600, 2) AS h, round(greatest({haversine_sql('lon', 'lat', 'west', 'lat')}, {haversine_sql('lon', 'lat', 'lon', 'south')}), 1) AS radius,
+  round(speed / usual, 4) AS ratio, round(((road > 0)::INT + (transit > 0)::INT + (utility > 0)::INT + (facility > 0)::INT) / 4.0, 4)::DOUBLE AS authority, round(least(1.0, sources / 3.0), 4)::DOUBLE AS corroboration,
+  round(exp(-({NOW_US} - last_us) / 1e6 / 604800), 4) AS freshness, round(score / n / 100, 4) AS model, round(least(1.0, disputed * 0.2), 4)::DOUBLE AS disagreement FROM p JOIN s USING (event_key)),
+b AS (SELECT *, {_PER_HOUR.format(n='n_now')} AS rate, {_PER_HOUR.format(n='((n - n_now) / greatest(1, version - 1))')} AS before,
+  CASE WHEN immediate > 0 THEN 'immediate' WHEN high > 0 THEN 'high' WHEN moderate > 0 THEN 'moderate' ELSE 'low' END AS severest FROM a)
+SELECT event_key, CASE greatest(road, transit, utility, facility) WHEN facility THEN 'facility' WHEN road THEN 'road' WHEN transit THEN 'transit' ELSE 'utility' END AS event_class, round(greatest(road, transit, utility, facility) / n, 4) AS class_confidence,
+ radius AS radius_m, round(radius * radius * pi(), 1) AS footprint_m2, sources::BIGINT AS sources, round(greatest(0.0, 1 - disputed * 0.25), 4)::DOUBLE AS agreement, [road, transit, utility, facility]::BIGINT[] AS by_domain, [immediate, high, moderate, low]::BIGINT[] AS by_severity, severest,
+ round(((immediate + high) * 0.85 + (moderate + low) * 0.55) / n, 4)::DOUBLE AS disruption, ratio AS speed_ratio, CASE WHEN ratio < 0.4 THEN 'gridlock' WHEN ratio < 0.6 THEN 'severe' WHEN ratio < 0.75 THEN 'moderate' WHEN ratio < 0.9 THEN 'minor' ELSE 'normal' END AS congestion,
+ round(transit_now * 1.5, 1)::DOUBLE AS delay_min, CASE WHEN round(transit_now * 1.5, 1) > 15 THEN 'severe' WHEN round(transit_now * 1.5, 1) > 5 THEN 'moderate' ELSE 'minor' END AS magnitude, round(1 - road / n, 4) AS open_share, version, rate,
+ CASE WHEN version = 1 THEN 'steady' WHEN rate > before + 0.5 THEN 'accelerating' WHEN rate < before - 0.5 THEN 'decelerating' ELSE 'steady' END AS trend, round(n / version, 2) AS daily,
+ round(1 / (1 + exp(-(-2.6 + 0.6 * least(1.0, road / 4.0) + 0.8 * authority + 0.9 * least(1.0, peak / 1000)))), 4) AS p_road_60,
+ round(greatest(0.05, least(1.0, 0.30 * authority + 0.25 * corroboration + 0.15 * freshness + 0.20 * model - 0.10 * disagreement)), 4) AS composite,
+ 'v' || (version - 1) || '->v' || version AS transition, n_now * 10 >= n AS material, fr AS first_report, lr AS last_report, n || ' reports from ' || sources || ' sources with ' || severest || ' peak severity' AS summary FROM b""", obs=True)
+def event_analysis(t: Tables) -> DataFrame:
+    """The ten dimensions of each event's analysis, some of each record's fields shown beside each other."""
+    rows = t.obs.select(F.col("event_key").alias("event"), F.col("observation_id").alias("report"), F.col("source_id").alias("source"), "us", "lon", "lat", "kind", F.col("k").alias("score"), "value")
+    a = mt.analysis(rows, NOW_US)
+    listed = lambda m, names: F.array(*(F.col(m)[n] for n in names))
+    return a.select(
+        F.col("event").alias("event_key"), "situation.event_class", F.col("situation.confidence").alias("class_confidence"), "situation.radius_m", "situation.footprint_m2", "situation.sources", "situation.agreement",
+        listed("infrastructure.by_domain", _DOMAINS).alias("by_domain"), listed("infrastructure.by_severity", ("immediate", "high", "moderate", "low")).alias("by_severity"), "infrastructure.severest", "infrastructure.disruption",
+        F.col("traffic.ratio").alias("speed_ratio"), "traffic.congestion", "transit.delay_min", "transit.magnitude", "network.open_share", "temporal.version", "temporal.rate", "temporal.trend", "historical.daily",
+        "prediction.p_road_60", "confidence.composite", "delta.transition", "delta.material", "provenance.first_report", "provenance.last_report", "provenance.summary",
+    )
