@@ -228,6 +228,40 @@ def test_lm_common_words_are_dealt_over_shards(docs, monkeypatch):
     assert all(abs(g[2] - w[2]) <= 4e-6 * w[0] + 1e-6 for g, w in zip(got, want))
 
 
+def test_lm_messages_are_bounded_by_what_a_block_holds():
+    """A block writes to the shards that it has words or pairs for, however many shards there are."""
+    rng = np.random.default_rng(2)
+    hashes = np.unique(rng.integers(1, 2**63, 300).astype(np.uint64))
+    stream = rng.integers(0, len(hashes), 2000).astype(np.uint32)
+    words = lm.pack(hashes, np.bincount(stream, minlength=len(hashes)).astype(np.uint32))
+    data = lm.pack((stream & 0xFFFF).astype(np.uint16), (stream >> 16).astype(np.uint16), np.array([1500, 500], dtype=np.uint32), np.array([0, 1], dtype=np.uint8))
+    common = lm.Common(np.sort(np.append(hashes[:3], lm._START_HASH)), np.array([10, 10, 10, 1]))
+    sent = {n: [lm.Plan(words, data, n, common).message(s) for s in lm.Plan(words, data, n, common).shards.tolist()] for n in (1, 24, 10**7, 10**12)}
+    assert len(sent[1]) == 1 and len(sent[24]) == 24
+    assert all(len(m) <= 301 + 2001 for m in sent.values())
+    assert sum(map(len, sent[10**12])) < 250 * len(sent[10**12])  # short messages carry no frames
+    for n, messages in sent.items():
+        got = Counter()
+        for m in messages:
+            got.update(lm.unpack(m)[0].tolist())
+        assert got == Counter([*hashes.tolist(), int(lm._START_HASH)]), n
+
+
+def test_lm_parts_follow_a_words_tokens(monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)
+    assert lm.Common(np.array([5, 9], dtype=np.uint64), np.array([100, 10**6])).parts.tolist() == [lm.PARTS, 4000]
+
+
+def test_lm_without_a_mounted_folder(docs, monkeypatch):
+    assert lm._model_folder("hdfs://there/x") is None
+    want = sorted((r.n_tokens, r.base_score, r.score) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "_model_folder", lambda root: None)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2000)  # many shards, and common words in many parts
+    monkeypatch.setattr(lm, "COMMON", 1e-4)
+    got = sorted((r.n_tokens, r.base_score, r.score) for r in lm.score(docs).collect())
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) <= 8e-6 * w[0] + 1e-6 for g, w in zip(got, want)) and len(got) == len(want)
+
+
 def test_lm_beats_its_base_on_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = [r for r in lm.score(docs).collect() if r.held_out]

@@ -39,7 +39,8 @@ SHARD_TOKENS = 2_000_000
 LEAST_SHARDS = 24
 #: Absolute discount.
 DISCOUNT = 0.75
-#: A word of at least this share of all tokens is common; its successors go to PARTS shards.
+#: A word of at least this share of all tokens is common; its successors go to PARTS shards at least, and to so many more
+#: that each gets about SHARD_TOKENS / 4 of the word's tokens, so a shard's work does not grow with the corpus.
 COMMON = 1 / 4096
 PARTS = 64
 #: A successor is known in its context by so many bits of its hash.
@@ -52,14 +53,21 @@ _MASK = np.uint64((1 << BITS) - 1)
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
+#: Shorter binaries stay as they are: a frame would cost more than it saves.
+LEAST_COMPRESSED = 256
+_FRAME = b"\x28\xb5\x2f\xfd"  # how a compressed binary starts; others start with a small number of arrays
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed binary."""
+    """Arrays as one binary, compressed unless it is short."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    body = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return body if len(body) < LEAST_COMPRESSED else zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
+    if data.startswith(_FRAME):
+        data = zstandard.ZstdDecompressor().decompress(data)
     n, out = data[0], []
     at = 1 + n * 10
     for k in range(n):
@@ -225,21 +233,31 @@ class Trie:
             counts.astype(np.uint64), back.astype(np.uint32), found.astype(np.uint32),
         )
 
-    def write(self, path: str) -> None:
-        """All levels in one file; the name appears when it is whole."""
+    def image(self) -> bytes:
+        """All levels, one after the other."""
         levels = [*self.words.parts(), *self.vocabulary.parts(), *self.pointers.parts(), *self.following.parts(), self.counts, self.back, self.probabilities]
         head = np.array([len(levels), *(x for a in levels for x in (ord(a.dtype.kind) << 8 | a.dtype.itemsize, len(a)))], dtype=np.int64)
+        pieces = []
+        for a in (head, *levels):
+            data = np.ascontiguousarray(a).tobytes()
+            pieces += [data, bytes(-len(data) % 8)]
+        return b"".join(pieces)
+
+    def write(self, path: str) -> None:
+        """The image in one file; the name appears when it is whole."""
         part = f"{path}.{uuid.uuid4().hex}"
         with open(part, "wb") as file:
-            for a in (head, *levels):
-                file.write(np.ascontiguousarray(a).tobytes())
-                file.write(bytes(-file.tell() % 8))
+            file.write(self.image())
         os.replace(part, path)
 
     @classmethod
     def open(cls, path: str) -> Trie:
         """The trie over the memory-mapped file."""
-        file = np.memmap(path, dtype=np.uint8, mode="r")
+        return cls.over(np.memmap(path, dtype=np.uint8, mode="r"))
+
+    @classmethod
+    def over(cls, file: np.ndarray) -> Trie:
+        """The trie over an image's bytes."""
         n = int(file[:8].view(np.int64)[0])
         head, at, levels = file[8 : 8 + 16 * n].view(np.int64), 8 + 16 * n, []
         for k in range(n):
@@ -339,6 +357,7 @@ class Common:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.words, self.counts, self.spread = words, counts, np.zeros(len(words))
+        self.parts = np.maximum(PARTS, -(-4 * counts // SHARD_TOKENS)).astype(np.uint64)
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each hash, -1 where it is not common."""
@@ -376,28 +395,31 @@ class Plan:
         self.common_of = common.index(self.words)
         self.often = self.common_of[self.u] >= 0
         pair_shard = home[self.u]
-        part = _mix(self.words[self.w[self.often]] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARTS)
+        part = _mix(self.words[self.w[self.often]] ^ np.uint64(0x5851F42D4C957F2D)) % common.parts[self.common_of[self.u[self.often]]]
         pair_shard[self.often] = (_mix(self.words[self.u[self.often]] + part * np.uint64(0xD6E8FEB86659FD93)) % modulus).astype(np.int64)
         self.word_order = np.argsort(home, kind="stable")
-        self.word_cuts = np.searchsorted(home[self.word_order], np.arange(shards + 1))
+        # the shards that the block has anything for: as many as its words and pairs at most, however many there are
+        self.shards = np.unique(np.concatenate((home, pair_shard)))
+        cuts = lambda ranked: (np.searchsorted(ranked, self.shards), np.searchsorted(ranked, self.shards, "right"))
+        self.word_cuts = cuts(home[self.word_order])
         self.place = np.empty(n, dtype=np.int64)
         self.place[self.word_order] = np.arange(n)
         # a shard's pairs: those of its own words in their order, then those of common contexts
         self.pair_order = np.lexsort((self.words[self.w] & _MASK, self.place[self.u], self.often, pair_shard))
-        self.pair_cuts = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
+        self.pair_cuts = cuts(pair_shard[self.pair_order])
 
     def ask(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """For shard s: the words at home there, and the pairs."""
-        return self.word_order[self.word_cuts[s] : self.word_cuts[s + 1]], self.pair_order[self.pair_cuts[s] : self.pair_cuts[s + 1]]
+        """For one of ``shards``: the words at home there, and the pairs."""
+        k = int(np.searchsorted(self.shards, s))
+        return self.word_order[self.word_cuts[0][k] : self.word_cuts[1][k]], self.pair_order[self.pair_cuts[0][k] : self.pair_cuts[1][k]]
 
-    def message(self, s: int) -> bytes | None:
+    def message(self, s: int) -> bytes:
         """Own words with training counts and numbers of pairs; common contexts (index) with numbers of pairs; the pairs'
         successors (hash) and training counts."""
         own, pairs = self.ask(s)
-        if not len(own) and not len(pairs):
-            return None
         usual = pairs[~self.often[pairs]]
-        spread = np.bincount(self.place[self.u[usual]] - self.word_cuts[s], minlength=len(own))
+        first = self.place[own[0]] if len(own) else 0
+        spread = np.bincount(self.place[self.u[usual]] - first, minlength=len(own))
         extra, many = np.unique(self.place[self.u[pairs[len(usual) :]]], return_counts=True)
         follow = self.words[self.w[pairs]] & _MASK
         return pack(
@@ -406,9 +428,9 @@ class Plan:
         )
 
 
-def _answer(messages: list[tuple[int, bytes]], common: Common, path: str) -> tuple[list[tuple[int, bytes]], np.ndarray, int]:
-    """A shard's work: its trie, in the file ``path``, from all blocks' training counts, then every block's answers; the
-    common contexts' numbers of successors there, and its number of known words.
+def _answer(messages: list[tuple[int, bytes]], common: Common, path: str | None) -> tuple[list[tuple[int, bytes]], np.ndarray, int]:
+    """A shard's work: its trie, in the file ``path`` (in memory without one), from all blocks' training counts, then every
+    block's answers; the common contexts' numbers of successors there, and its number of known words.
 
     An answer holds its words' counts and back-off codes and its pairs' codes, relative to the counts, in the order asked."""
     every = [unpack(m) for _, m in messages]
@@ -442,8 +464,12 @@ def _answer(messages: list[tuple[int, bytes]], common: Common, path: str) -> tup
     place[order] = np.cumsum(new) - 1
     del key, amount, order, ranked, new
     some = total > 0
-    Trie.build(words, exact, (asked[some] >> np.uint64(BITS)).astype(np.int64), asked[some] & _MASK, total[some]).write(path)
-    trie = Trie.open(path)
+    trie = Trie.build(words, exact, (asked[some] >> np.uint64(BITS)).astype(np.int64), asked[some] & _MASK, total[some])
+    if path is None:
+        trie = Trie.over(np.frombuffer(trie.image(), dtype=np.uint8))
+    else:
+        trie.write(path)
+        trie = Trie.open(path)
     of = (asked >> np.uint64(BITS)).astype(np.int64)
     codes = relative(trie.pair_codes(of, asked & _MASK), trie.counts[of], 1 - DISCOUNT)[place]
     start, stop = trie.successors(common_at)
@@ -531,14 +557,14 @@ def score(docs: DataFrame) -> DataFrame:
         for part in batches:
             for block, words, data in zip(*(part.column(c).to_pylist() for c in ("block", "words", "data"))):
                 plan = Plan(words, data, shards, common.value)
-                sent = [(s, m) for s in range(shards) if (m := plan.message(s)) is not None]
+                sent = [(s, plan.message(s)) for s in plan.shards.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sent], type=pa.int32()), pa.array([block] * len(sent), type=pa.int64()), pa.array([m for _, m in sent], type=pa.binary())], names=["shard", "block", "data"])
 
     answer_schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("known", pa.int64())])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out, spread, known = _answer(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())), common.value, f"{folder}/{shard}.trie")
+        out, spread, known = _answer(list(zip(table.column("block").to_pylist(), table.column("data").to_pylist())), common.value, folder and f"{folder}/{shard}.trie")
         rows = [(shard, -1, pack(spread.astype(np.int64)), known), *((shard, b, d, 0) for b, d in out)]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), answer_schema)], schema=answer_schema)
 
@@ -576,11 +602,12 @@ def score(docs: DataFrame) -> DataFrame:
     return whole.unionByName(back).groupBy("block").applyInArrow(total, schema)
 
 
-def _model_folder(root: str) -> str:
-    """A new folder for the tries under the shared folder, which tasks must see as a file system to map files from it."""
+def _model_folder(root: str) -> str | None:
+    """A new folder for the tries under the shared folder, from which tasks map them; None where it is not mounted as a file
+    system: a trie is asked only by the task that builds it, which then keeps its image in memory."""
     root = re.sub("^file:/+", "/", root)
     if "://" in root:
-        raise ValueError(f"the tries are memory-mapped, so spark.checkpoint.dir must be mounted as a file system: {root}")
+        return None
     path = f"{root}/tries-{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
     return path
