@@ -182,3 +182,14 @@ def affected_routes(text: Column) -> Column:
 def checked_reading(value: Column, flag: Column) -> Column:
     """A measured value, null where its quality flag says anything but verified, corrected or nothing."""
     return F.when(flag.isNull() | flag.isin("V", "C"), value)
+
+
+# fixed values: the payload fields that name an infrastructure, in order, and the length of a name
+NAMING = ("route_long", "street", "location", "event_name", "area_description", "headline")
+NAME_LENGTH = 120
+
+
+def infrastructure_name(payload: Column, headline: Column) -> Column:
+    """The first payload field that names something, else the headline; null if all are empty."""
+    first = F.coalesce(*(F.when(payload[f] != "", payload[f]) for f in NAMING), F.when(headline != "", headline))
+    return F.substring(first, 1, NAME_LENGTH)

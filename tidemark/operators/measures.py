@@ -73,3 +73,20 @@ def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     """Precision, recall, F1, false-alarm and missed rates, zero where undefined."""
     part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2 * tp, 2 * tp + fp + fn), "false_alarm": part(fp, fp + tn), "missed": part(fn, tp + fn)}
+
+
+def forecast_report(rows: DataFrame, model: str, p: str, y: str, lead: str, bins: int = 10) -> DataFrame:
+    """(model, n, brier, ece, precision, recall, f1, false_alarm, missed, mae, rmse, lead) of forecasts ``p`` of outcomes ``y``.
+
+    Sums by model and bin are combined before they shuffle, and added up by model: the rows are read once.  Rows without a
+    forecast or an outcome do not count; a forecast without a lead time counts for all but the mean lead."""
+    said = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    error = F.col(p) - F.col(y)
+    per = said.groupBy(model, F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("__bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum(error * error).alias("sq"), F.sum(F.abs(error)).alias("sa"), F.sum(lead).alias("sl"), F.count(lead).alias("nl"),
+        *(c.alias(name) for name, c in confusion(F.col(p), F.col(y)).items()),
+    )
+    whole = per.groupBy(model).agg(F.sum(F.abs(F.col("sy") - F.col("sp"))).alias("gap"), *(F.sum(c).alias(c) for c in ("n", "sq", "sa", "sl", "nl", "tp", "fp", "fn", "tn")))
+    n = F.col("n")
+    told = rates(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
+    return whole.select(model, "n", (F.col("sq") / n).alias("brier"), (F.col("gap") / n).alias("ece"), *(c.alias(name) for name, c in told.items()), (F.col("sa") / n).alias("mae"), F.sqrt(F.col("sq") / n).alias("rmse"), F.try_divide("sl", "nl").alias("lead"))

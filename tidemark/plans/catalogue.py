@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, areas, claims, detected, files, given, graphs, guarded, joins, ledger, live, ordered, reads, scoring, streams, texts  # noqa: F401  (they register their queries)
+from . import aggregates, areas, claims, detected, files, given, graphs, guarded, joins, ledger, live, ordered, parts, reads, scoring, streams, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 

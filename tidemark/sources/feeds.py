@@ -150,6 +150,14 @@ def health(polls: DataFrame, now, interval_s: float, stale_after_s: float) -> Da
     return per.select("source_id", state.alias("state"), F.round("error_rate", 6).alias("error_rate"), F.round(age, 3).alias("freshness_s"), "records")
 
 
+def coverage_gaps(states: DataFrame) -> DataFrame:
+    """(gap) ``source:usage`` of each source that is not real time by design, and ``source:state`` of each that is degraded,
+    offline or unknown, of rows (source_id, usage, state)."""
+    piece = lambda when, c: F.when(when, F.concat_ws(":", "source_id", c))
+    both = F.array_compact(F.array(piece(F.col("usage") != "realtime", "usage"), piece(F.col("state").isin("degraded", "offline", "unknown"), "state")))
+    return states.select(F.explode(both).alias("gap"))
+
+
 def series(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Wide change series as rows (keys, name, value), missing markers dropped."""
     return rows.unpivot(keys, columns, "name", "said").withColumn("value", tx.number(F.col("said").cast("string"))).where("value IS NOT NULL").drop("said")
