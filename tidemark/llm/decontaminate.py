@@ -164,8 +164,8 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, found: str = "found")
     for block in blocks(benchmark, n):
         hit = keep(_pass(narrow, block, "f").where(F.size("f.hits") > 0).select(*keys, "f.hits", "f.items").dropDuplicates(keys))
         every = hit if every is None else every.unionByName(hit)
-    merge = F.udf(lambda parts: [{"a": a, "b": b} for a, b in merged([(h["a"], h["b"]) for h in parts])], "array<struct<a:int,b:int>>")
-    per = every.groupBy(*keys).agg(merge(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per = every.groupBy(*keys).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per = per.mapInArrow(_merge_hits, per.schema)
     hits, items = free_names([*docs.columns, *keys], "__hits", "__items")
     per = per.withColumnsRenamed({"hits": hits, "items": items})
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(_ONE_WORD))).cast("long")
@@ -175,6 +175,14 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, found: str = "found")
     return with_row_key(docs, F.xxhash64("text"), ["doc_id"], keys).join(per, keys, "left").select(*columns, value.alias(found))
 
 
+def _merge_hits(batches):
+    """Rows with the spans of all blocks merged; a document's spans are few beside its words."""
+    for part in batches:
+        at = part.schema.get_field_index("hits")
+        whole = [[{"a": a, "b": b} for a, b in merged([(h["a"], h["b"]) for h in hits])] for hits in part.column(at).to_pylist()]
+        yield part.set_column(at, part.schema.field(at), pa.array(whole, type=part.schema.field(at).type))
+
+
 def _pass(docs: DataFrame, block, found: str) -> DataFrame:
     def run(batches):
         held = _windows(block)
