@@ -33,14 +33,19 @@ def geo_cell(t: Tables) -> DataFrame:
 
 @query(PLACES_SQL + f", pairs AS (SELECT place_id, observation_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o) SELECT place_id, count(*) AS n, round(min(d), 3) AS nearest_m FROM pairs WHERE d <= 1200 GROUP BY place_id", obs=True)
 def within_radius_join(t: Tables) -> DataFrame:
-    pairs = sp.within_distance(places(t).select("place_id", "lon", "lat"), t.obs.select("observation_id", "lon", "lat"), 1200.0)
-    return pairs.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("dist_m"), 3).alias("nearest_m"))
+    """Observations near each place, counted by coordinates first, so no pair of a place and an observation is made."""
+    at = t.obs.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sp.within_distance(places(t).select("place_id", "lon", "lat"), at, 1200.0)
+    return pairs.groupBy("place_id").agg(F.sum("n").alias("n"), F.round(F.min("dist_m"), 3).alias("nearest_m"))
 
 
 @query(PLACES_SQL + f", pairs AS (SELECT observation_id, place_id, {haversine_sql('o.lon', 'o.lat', 'p.lon', 'p.lat')} AS d FROM places p, obs o) SELECT observation_id, place_id, round(d, 3) AS dist_m FROM pairs QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY d, place_id) = 1", obs=True)
 def nearest_neighbour(t: Tables) -> DataFrame:
-    got = sp.nearest(t.obs.select("observation_id", "lon", "lat"), places(t).select("place_id", "lon", "lat"), "observation_id", "place_id", 1500.0)
-    return got.select("observation_id", "place_id", F.round("dist_m", 3).alias("dist_m"))
+    """The nearest place of each observation, found once for each coordinate."""
+    at = t.obs.groupBy("lon", "lat").agg(F.min("observation_id").alias("node"))
+    got = sp.nearest(at, places(t).select("place_id", "lon", "lat"), "node", "place_id", 1500.0)
+    found = at.join(got, "node").select("lon", "lat", "place_id", "dist_m")
+    return t.obs.select("observation_id", "lon", "lat").join(found, ["lon", "lat"]).select("observation_id", "place_id", F.round("dist_m", 3).alias("dist_m"))
 
 
 #: Events to resolve against: one a day and key, at its first report.
