@@ -122,3 +122,42 @@ def feed_street_use(t: Tables) -> DataFrame:
     record = F.struct(F.concat(F.lit("p"), "observation_id").alias("permit_number"), said.alias("project_name"), F.date_format(start, ISO).alias("start_date"), F.when(F.col("k") % 2 == 0, "2024-01-01T00:00:00Z").alias("issue_date"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
     t.obs.select(F.to_json(record).alias("value")).write.text(path)
     return _shown(rd.json_lines(t.spark, path), "street_use", F.unix_micros("observed_at").alias("known_us"))
+
+
+#: A word that turns a feed's usual type into another one; the statement has the types themselves.
+WORDS = {"news": "fire", "street_use": "closure", "road_alerts": "closed", "weather_alerts": "shelter", "highway_alerts": "closed", "row_impacts": "closure", "transit_realtime": "late"}
+_FEEDS_SQL = """(VALUES ('police_cad', 'police_response', NULL, TRUE, 'official', 'safety', FALSE), ('police_blotter', 'news_article', NULL, TRUE, 'official', 'news', FALSE), ('fire_dispatch', 'fire_dispatch', NULL, TRUE, 'official', 'safety', FALSE),
+ ('event_permits', 'permit_event', NULL, TRUE, 'official', 'events', FALSE), ('news', 'news_article', 'fire_dispatch', TRUE, 'media', 'news', FALSE), ('street_use', 'road_construction', 'road_closure', TRUE, 'official', 'road', FALSE),
+ ('road_alerts', 'traffic_condition', 'road_closure', TRUE, 'official', 'road', FALSE), ('cameras', 'camera_imagery', NULL, FALSE, 'official', 'traffic', FALSE), ('drawbridges', 'bridge_restriction', NULL, TRUE, 'official', 'road', FALSE),
+ ('mountain_passes', 'traffic_condition', NULL, TRUE, 'official', 'road', TRUE), ('bridge_clearances', 'bridge_restriction', NULL, FALSE, 'official', 'road', FALSE), ('work_zones', 'road_construction', NULL, TRUE, 'official', 'road', FALSE),
+ ('transit_vehicles', 'vehicle_position', NULL, TRUE, 'official', 'transit', FALSE), ('transit_alerts', 'transit_service_alert', NULL, FALSE, 'official', 'transit', FALSE), ('transit_static', 'facility_status', NULL, TRUE, 'official', 'transit', FALSE),
+ ('ferries', 'ferry_status', NULL, TRUE, 'official', 'transit', FALSE), ('weather_alerts', 'severe_weather', 'official_emergency_notice', TRUE, 'official', 'weather', FALSE), ('weather_stations', 'weather_condition', NULL, TRUE, 'official', 'weather', FALSE),
+ ('earthquakes', 'earthquake', NULL, TRUE, 'official', 'hazard', FALSE), ('critical_facilities', 'facility_status', NULL, FALSE, 'official', 'reference', TRUE), ('land_use', 'population_context', NULL, FALSE, 'official', 'reference', TRUE),
+ ('protest_events', 'public_gathering_report', NULL, TRUE, 'media', 'history', FALSE), ('crowd_counts', 'public_gathering_report', NULL, TRUE, 'media', 'history', FALSE), ('count_cubes', 'activity_context', NULL, FALSE, 'media', 'history', TRUE),
+ ('mass_mobilisation', 'public_gathering_report', NULL, FALSE, 'media', 'history', FALSE), ('campaigns', 'public_gathering_report', NULL, TRUE, 'media', 'history', FALSE), ('conflicts', 'violence_event', NULL, TRUE, 'media', 'history', FALSE),
+ ('news_coverage', 'news_article', NULL, TRUE, 'media', 'history', FALSE), ('mobility', 'activity_context', NULL, TRUE, 'media', 'history', FALSE), ('card_spend', 'activity_context', NULL, TRUE, 'media', 'history', FALSE),
+ ('employment', 'activity_context', NULL, TRUE, 'media', 'history', TRUE), ('merchants', 'activity_context', NULL, TRUE, 'media', 'history', TRUE), ('municipal_crime', 'police_response', NULL, TRUE, 'official', 'history', FALSE),
+ ('fatal_shootings', 'violence_event', NULL, TRUE, 'media', 'history', FALSE), ('highway_alerts', 'traffic_condition', 'road_closure', TRUE, 'official', 'road', FALSE), ('row_impacts', 'traffic_condition', 'road_closure', TRUE, 'official', 'road', FALSE),
+ ('transit_realtime', 'transit_service_alert', 'transit_delay', TRUE, 'official', 'transit', FALSE)) f(feed, usual, special, timed, authority, domain, named)"""
+
+
+@query(f""", r AS (SELECT feed AS source_id, CASE WHEN special IS NOT NULL AND k % 3 = 0 THEN special ELSE usual END AS observation_type, authority, domain, CASE WHEN named THEN 'Alpha ' || observation_id ELSE 'x' || observation_id END AS id,
+ CASE WHEN timed THEN {_SECOND} END AS when_us, lon, lat FROM obs, {_FEEDS_SQL})
+SELECT source_id, observation_type, authority, domain, count(*) AS n, count(DISTINCT id) AS ids, min(id) AS first_id, count(when_us) AS timed, min(when_us) AS first_us, max(when_us) AS last_us, round(sum(lon), 3) AS lon, round(sum(lat), 3) AS lat, count(*) AS told FROM r GROUP BY ALL""", obs=True)
+def feeds_projected(t: Tables) -> DataFrame:
+    """Every feed's specification over records with its own fields: types, ids, times, places, payloads and provenance."""
+    every = None
+    for name, feed in feeds.FEEDS.items():
+        word = F.when(F.col("k") % 3 == 0, f" {WORDS[name]}").otherwise("") if name in WORDS else F.lit("")
+        fields = {f: F.concat(F.lit("v"), "k") for f in feed.payload[:1]}
+        fields |= {f: F.date_format("event_time", ISO) for f in feed.times[:1]}
+        fields |= {feed.ids[0]: F.concat(F.lit("x"), "observation_id")}
+        fields |= {feed.headline[0]: F.concat(F.lit("Alpha "), "observation_id", word)}
+        record = F.to_json(F.struct(*(c.alias(f) for f, c in fields.items()), F.col("lat").alias("latitude"), F.col("lon").alias("longitude")))
+        seen = feeds.observations(t.obs.select(record.alias("record")), name, F.lit(NOW).cast("timestamp"))
+        per = seen.groupBy("source_id", "observation_type", "authority", "domain").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("source_record_id").alias("ids"), F.min("source_record_id").alias("first_id"), F.count("event_time").alias("timed"), F.min(F.unix_micros("event_time")).alias("first_us"),
+            F.max(F.unix_micros("event_time")).alias("last_us"), F.round(F.sum("place.lon"), 3).alias("lon"), F.round(F.sum("place.lat"), 3).alias("lat"), F.count(F.col("payload")[feed.payload[0]]).alias("told"),
+        )
+        every = per if every is None else every.unionByName(per)
+    return every
