@@ -40,14 +40,22 @@ def versions(polls: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return polls.withColumn("__changed", changed).withColumn("version", F.sum("__changed").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__changed")
 
 
-def as_of(probes: DataFrame, states: DataFrame, key: str, probe_time: str, state_time: str, payload: Sequence[str]) -> DataFrame:
+def as_of(probes: DataFrame, states: DataFrame, key: str, probe_time: str, state_time: str, payload: Sequence[str], bucket: int = 86_400_000_000) -> DataFrame:
     """Each probe with the payload of the last state of its key at or before its time.
 
-    One union and one window: both sides are sorted once by key and time, states first at equal times."""
-    left = probes.select(key, F.col(probe_time).alias("__t"), F.lit(1).alias("__probe"), F.struct(*probes.columns).alias("__row"), F.lit(None).cast(states.select(F.struct(state_time, *payload)).schema[0].dataType).alias("__state"))
-    right = states.select(key, F.col(state_time).alias("__t"), F.lit(0).alias("__probe"), F.lit(None).cast(probes.select(F.struct(*probes.columns)).schema[0].dataType).alias("__row"), F.struct(state_time, *payload).alias("__state"))
-    by = Window.partitionBy(key).orderBy("__t", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).withColumn("__last", F.last("__state", ignorenulls=True).over(by)).where("__probe = 1")
+    One union, sorted by key and bucket of time, states first at equal times; a bucket begins with the last state of those
+    before it, so a task sorts one bucket of a key."""
+    cut = lambda c: F.floor(F.col(c) / bucket).cast("long").alias("__b")
+    state = F.struct(state_time, *payload)
+    kinds = states.select(state).schema[0].dataType, probes.select(F.struct(*probes.columns)).schema[0].dataType
+    left = probes.select(key, cut(probe_time), F.col(probe_time).alias("__t"), F.lit(1).alias("__probe"), F.struct(*probes.columns).alias("__row"), F.lit(None).cast(kinds[0]).alias("__state"))
+    right = states.select(key, cut(state_time), F.col(state_time).alias("__t"), F.lit(0).alias("__probe"), F.lit(None).cast(kinds[1]).alias("__row"), state.alias("__state"))
+    both = left.unionByName(right)
+    per = both.groupBy(key, "__b").agg(F.max_by("__state", F.when(F.col("__state").isNotNull(), F.col("__t"))).alias("__state"))
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(key, "__b", F.lit(None).cast("long").alias("__t"), F.lit(-1).alias("__probe"), F.lit(None).cast(kinds[1]).alias("__row"), F.last("__state", ignorenulls=True).over(earlier).alias("__state"))
+    by = Window.partitionBy(key, "__b").orderBy(F.expr("__probe < 0").desc(), "__t", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.unionByName(carried.where("__state IS NOT NULL")).withColumn("__last", F.last("__state", ignorenulls=True).over(by)).where("__probe = 1")
     return filled.select("__row.*", *(F.col(f"__last.{c}").alias(c) for c in (state_time, *payload)))
 
 

@@ -13,10 +13,61 @@ from pyspark.sql import functions as F
 SILENCE_FLOOR, SILENCE_CEILING, SILENCE_GAPS, CLOSE_MULTIPLE = 900.0, 21600.0, 8.0, 2.0
 
 
+#: Microseconds of a bucket of time, in which a key's rows are sorted by one task.
+BUCKET_US = 86_400_000_000
+
+
+def _marked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Column, per: DataFrame, kind: str, bucket: int) -> DataFrame:
+    """``rows`` with __b and, first in each bucket of each key that has one, a row with __m true and __carry: what ``carried``
+    says of the key's buckets before.  Only one narrow row a bucket is ordered by key."""
+    marks = per.select(*keys, "__b", carried.alias("__carry"), F.lit(True).alias("__m")).where("__carry IS NOT NULL")
+    own = rows.withColumns({"__b": _bucket(order[0], bucket), "__carry": F.lit(None).cast(kind), "__m": F.lit(False)})
+    return own.unionByName(marks, allowMissingColumns=True)
+
+
+def _bucket(time: str, bucket: int) -> Column:
+    return F.floor(F.col(time) / bucket).cast("long")
+
+
+def lagged(rows: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str] = (), bucket: int = BUCKET_US) -> DataFrame:
+    """``rows`` with __before: ``order`` and ``payload`` of the key's row before, null for its first.
+
+    The same as a lag over the key, but a task sorts one bucket of one key, and a bucket's first row gets the last one of the
+    bucket before from a marker; ``order`` starts with the time that is cut into buckets."""
+    names = list(dict.fromkeys([*order, *payload]))
+    held = F.struct(*names)
+    kind = rows.select(held.alias("h")).schema[0].dataType.simpleString()
+    per = rows.groupBy(*keys, _bucket(order[0], bucket).alias("__b")).agg(F.max_by(held, F.struct(*order)).alias("__last"))
+    both = _marked(rows, keys, order, F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b")), per, kind, bucket)
+    by = Window.partitionBy(*keys, "__b").orderBy(F.desc("__m"), *order)
+    own = F.when(F.col("__m"), F.col("__carry")).otherwise(held)
+    return both.withColumn("__own", own).withColumn("__before", F.lag("__own").over(by)).where("NOT __m").drop("__b", "__m", "__carry", "__own")
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str], bucket: int = BUCKET_US) -> DataFrame:
+    """``rows`` with each column of ``sums`` replaced by its sum over the key's rows up to each, by buckets as in ``lagged``."""
+    per = rows.groupBy(*keys, _bucket(order[0], bucket).alias("__b")).agg(*(F.sum(c).alias(c) for c in sums))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    kind = "struct<" + ",".join(f"`{c}`:bigint" for c in sums) + ">"
+    carried = F.when(F.count(F.lit(1)).over(earlier) > 0, F.struct(*(F.sum(c).over(earlier).cast("long").alias(c) for c in sums)))
+    both = _marked(rows, keys, order, carried, per, kind, bucket)
+    by = Window.partitionBy(*keys, "__b").orderBy(F.desc("__m"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumns({c: F.coalesce(F.col("__carry")[c], F.col(c)) for c in sums})
+    return filled.withColumns({c: F.sum(c).over(by) for c in sums}).where("NOT __m").drop("__b", "__m", "__carry")
+
+
+def counted_at(rows: DataFrame, points: DataFrame, key: str, time_us: str, sums: Sequence[str], bucket: int = BUCKET_US) -> DataFrame:
+    """``points`` (key, at and other columns) with the sums of ``rows`` (key, time, ``sums``) of the key up to and at each point."""
+    told = rows.select(key, F.col(time_us).alias("at"), *sums, F.lit(0).alias("__point"))
+    asked = points.withColumns({c: F.lit(0).cast("long") for c in sums}).withColumn("__point", F.lit(1))
+    both = asked.unionByName(told, allowMissingColumns=True)
+    return running(both, [key], ["at", "__point"], sums, bucket).where("__point = 1").drop("__point")
+
+
 def gaps(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str) -> DataFrame:
     """Positive gaps in microseconds between consecutive rows of a key."""
-    by = Window.partitionBy(*keys).orderBy(time_us, tie)
-    return rows.select(*keys, (F.col(time_us) - F.lag(time_us).over(by)).alias("gap")).where("gap > 0")
+    seen = lagged(rows.select(*keys, time_us, tie), keys, [time_us, tie])
+    return seen.select(*keys, (F.col(time_us) - F.col("__before")[time_us]).alias("gap")).where("gap > 0")
 
 
 def silence_threshold(median_gap_s: Column, n_gaps: Column, n: Column) -> Column:
@@ -54,17 +105,17 @@ def grid_counts(rows: DataFrame, key: str, time_us: str, step_us: int, horizons:
 
 def sessions(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, gap_us: int) -> DataFrame:
     """Adds session: it rises when a key is silent for longer than the gap."""
-    by = Window.partitionBy(*keys).orderBy(time_us, tie)
-    opens = F.when(F.col(time_us) - F.lag(time_us).over(by) > gap_us, 1).otherwise(0)
-    return rows.withColumn("__opens", opens).withColumn("session", F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+    seen = lagged(rows, keys, [time_us, tie])
+    opens = F.when(F.col(time_us) - F.col("__before")[time_us] > gap_us, 1).otherwise(0).cast("long")
+    return running(seen.withColumn("session", opens).drop("__before"), keys, [time_us, tie], ["session"])
 
 
 def after_closure(rows: DataFrame, key: str, time_us: str, tie: str, silence_us: int, closes: Column) -> DataFrame:
     """The rows that follow a closed event, with outcome: ``reopened`` after silence alone, ``new`` where the row before the
     silence closed the event for good."""
-    by = Window.partitionBy(key).orderBy(time_us, tie)
-    seen = rows.select(key, time_us, tie, closes.alias("closes"))
-    seen = seen.select("*", (F.col(time_us) - F.lag(time_us).over(by)).alias("silence"), F.lag("closes").over(by).alias("closed"))
+    seen = lagged(rows.select(key, time_us, tie, closes.alias("closes")), [key], [time_us, tie], ["closes"])
+    before = F.col("__before")
+    seen = seen.select(key, time_us, tie, "closes", (F.col(time_us) - before[time_us]).alias("silence"), before["closes"].alias("closed"))
     return seen.where(F.col("silence") > silence_us).withColumn("outcome", F.when(F.col("closed"), "new").otherwise("reopened"))
 
 

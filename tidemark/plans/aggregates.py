@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text as tx
 from ..operators import measures as ms
+from ..operators import ordered as od
 from .registry import Tables, haversine_sql, query
 
 # fixed values: weight of each type's authority; the fixture's types stand for the ranks
@@ -89,8 +90,7 @@ def weighted_median(t: Tables) -> DataFrame:
 r AS (SELECT event_key, gap, row_number() OVER (PARTITION BY event_key ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY event_key) AS n FROM p)
 SELECT event_key, n AS gaps, greatest(300.0, gap / 1e6) AS half_life_s FROM r WHERE i = n // 2""", obs=True)
 def half_life(t: Tables) -> DataFrame:
-    by = Window.partitionBy("event_key").orderBy("us", "observation_id")
-    gaps = t.obs.select("event_key", (F.col("us") - F.lag("us").over(by)).alias("gap")).where("gap > 0")
+    gaps = od.gaps(t.obs, ["event_key"], "us", "observation_id")
     return ms.upper_median_of(gaps, ["event_key"], "gap").select("event_key", F.col("n").alias("gaps"), F.greatest(F.lit(300.0), F.col("median") / 1e6).alias("half_life_s"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, guards as gd, text as tx
-from ..operators import routing as ro, spatial as sp
+from ..operators import ordered as od, routing as ro, spatial as sp
 from .graphs import EDGES_SQL, edges, nodes, seed
 from .joins import PLACES_SQL, places
 from .registry import Tables, haversine_sql, query
@@ -111,8 +111,9 @@ def route_alternatives(t: Tables) -> DataFrame:
 m AS (SELECT source_id, lon0, greatest(0.5, {haversine_sql('lon0', 'lat0', 'lon', 'lat')} / CASE WHEN k % 2 = 0 OR k0 % 2 = 0 THEN 550.0 ELSE 350.0 END) AS minutes FROM s) SELECT source_id, round(coalesce(sum(minutes) FILTER (lon0 IS NOT NULL), 1.0), 1) AS minutes FROM m GROUP BY source_id""", obs=True)
 def travel_times(t: Tables) -> DataFrame:
     """Minutes along each source's reports in order; a source of one report counts as one minute."""
-    by = Window.partitionBy("source_id").orderBy("us", "observation_id")
-    s = t.obs.withColumns({f"{c}0": F.lag(c).over(by) for c in ("lon", "lat", "k")})
+    names = ("lon", "lat", "k")
+    s = od.lagged(t.obs.select("source_id", "us", "observation_id", *names), ["source_id"], ["us", "observation_id"], names)
+    s = s.withColumns({f"{c}0": F.col("__before")[c] for c in names})
     step = ro.step_minutes(geo.haversine_m(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat")), (F.col("k") % 2 == 0) | (F.col("k0") % 2 == 0))
     return s.groupBy("source_id").agg(F.round(F.coalesce(F.sum(F.when(F.col("lon0").isNotNull(), step)), F.lit(1.0)), 1).alias("minutes"))
 

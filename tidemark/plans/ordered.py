@@ -81,17 +81,23 @@ _PIT = """, p AS (SELECT observation_id, event_key, us, value, kind, k FROM obs)
 WINDOW w AS (PARTITION BY event_key ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", obs=True)
 def pit_features(t: Tables) -> DataFrame:
     """What was known of the event at each observation, nothing later."""
-    key = Window.partitionBy("event_key").orderBy("us")
-    w = key.rangeBetween(Window.unboundedPreceding, 0)
-    return t.obs.select("observation_id", F.count(F.lit(1)).over(w).alias("seen"), F.sum(F.round(F.col("value") * 100).cast("long")).over(w).alias("cents"), F.sum((F.col("kind") == "error").cast("long")).over(w).alias("errors"), F.count(F.lit(1)).over(key.rangeBetween(-86_400_000_000, 0)).alias("in_day"))
+    rows = t.obs.select("event_key", "us", F.lit(1).cast("long").alias("seen"), F.round(F.col("value") * 100).cast("long").alias("cents"), (F.col("kind") == "error").cast("long").alias("errors"))
+    at = F.explode(F.array(F.struct(F.lit(True).alias("now"), F.col("us").alias("at")), F.struct(F.lit(False).alias("now"), (F.col("us") - 86_400_000_001).alias("at"))))
+    points = t.obs.select("event_key", "observation_id", at.alias("p")).select("event_key", "observation_id", "p.now", "p.at")
+    c = od.counted_at(rows, points, "event_key", "us", ["seen", "cents", "errors"])
+    of = lambda name: F.max(F.when(F.col("now"), F.col(name)))
+    return c.groupBy("observation_id").agg(*(of(n).alias(n) for n in ("seen", "cents", "errors")), (of("seen") - F.max(F.when(~F.col("now"), F.col("seen")))).alias("in_day"))
 
 
 @query(_PIT + " SELECT observation_id, " + ", ".join(f"coalesce(max(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY event_key ORDER BY us RANGE BETWEEN 1 FOLLOWING AND {h * 60_000_000} FOLLOWING), 0) AS in_{h}" for h in (5, 15, 30, 60)) + " FROM p", obs=True)
 def pit_outcomes(t: Tables) -> DataFrame:
     """Whether a disruption follows within each horizon, strictly after the observation."""
-    key = Window.partitionBy("event_key").orderBy("us")
-    hit = (F.col("kind") == "error").cast("int")
-    return t.obs.select("observation_id", *(F.coalesce(F.max(hit).over(key.rangeBetween(1, h * 60_000_000)), F.lit(0)).alias(f"in_{h}") for h in (5, 15, 30, 60)))
+    horizons = (5, 15, 30, 60)
+    at = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), (F.col("us") + h * 60_000_000).alias("at")) for h in (0, *horizons))))
+    points = t.obs.select("event_key", "observation_id", at.alias("p")).select("event_key", "observation_id", "p.h", "p.at")
+    c = od.counted_at(t.obs.select("event_key", "us", (F.col("kind") == "error").cast("long").alias("hits")), points, "event_key", "us", ["hits"])
+    of = lambda h: F.max(F.when(F.col("h") == h, F.col("hits")))
+    return c.groupBy("observation_id").agg(*((of(h) > of(0)).cast("int").alias(f"in_{h}") for h in horizons))
 
 
 @query(""", e AS (SELECT source_id, min(us) AS a, max(us) AS b FROM obs GROUP BY source_id), g AS (SELECT source_id, a + i * 86400000000 AS at FROM e, range(0, 40) r(i) WHERE a + i * 86400000000 <= b)
