@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -82,3 +83,17 @@ def test_keep_one(docs, empty):
     want += Counter({None: sum(1 for f, least in parts.items() if least is None)})
     assert ids == want
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+
+
+def test_dense_balls_leave_stars(spark):
+    """All pairs of a dense ball become a star in the task that finds them; what is connected stays so."""
+    rng = random.Random(7)
+    ball = [(1 << i) | (1 << j) for i, j in itertools.combinations(range(30), 2)]  # any two differ in four bits or fewer
+    others = [rng.getrandbits(63) for _ in range(200)]
+    prints = spark.createDataFrame([(f,) for f in {0, *ball, *others, *(o ^ 5 for o in others[:50])}], "fp long")
+    found = simhash.links(prints).persist()
+    stars = simhash.forest(found.repartition(3))
+    assert found.count() > 10_000 and stars.count() < 3 * prints.count()
+    want = {r.node: r.root for r in simhash.components(found).collect()}
+    assert {r.node: r.root for r in simhash.components(stars).collect()} == want and len(want) > 450
+    assert simhash.forest(found.limit(0)).count() == 0

@@ -61,9 +61,9 @@ def test_without_broadcast(spark):
 
 def test_archives_are_warc_and_hold_each_payload_once(spark, tmp_path):
     path = str(tmp_path / "archive")
-    warc.write_archives(spark.createDataFrame(rows(), SCHEMA).repartition(2), path)
+    warc.write_archives(spark.createDataFrame(rows(), SCHEMA).repartition(2), path, "2024-01-31T12:00:00Z")
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(path).glob("*.gz")))
-    at, kinds, ids = 0, Counter(), set()
+    at, kinds, ids, refers = 0, Counter(), set(), set()
     while at < len(whole):  # cut by lengths alone
         head, _, _ = whole[at:].partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -71,8 +71,11 @@ def test_archives_are_warc_and_hold_each_payload_once(spark, tmp_path):
         assert head.startswith(b"WARC/1.1\r\n") and whole[end : end + 4] == b"\r\n\r\n"
         kinds[fields["WARC-Type"]] += 1
         ids.add(fields["WARC-Record-ID"])
+        assert fields["WARC-Date"] == "2024-01-31T12:00:00Z"
+        refers |= {fields["WARC-Refers-To-Target-URI"]} if fields["WARC-Type"] == "revisit" else set()
         at = end + 4
     assert sum(kinds.values()) == len(rows()) == len(ids) and kinds["revisit"] == sum(n for k, n in brute(rows()).items() if k[3] == "revisit")
+    assert refers == {"http://b/2", "http://tie", "u%20r%0Al%0D", "http://x", "urn:page:303"}
     assert whole.count(BIG.encode() + b"\r\n\r\n") == 4  # one of each of the four long payloads
     back = warc.read_archives(spark, path, with_payload=True).where("record_type = 'response'").collect()
     held = Counter((None if r.page_id is None else int(r.page_id), bytes(r.payload)) for r in back)

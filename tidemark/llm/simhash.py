@@ -70,6 +70,33 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, that connect what ``edges`` connect: each task leaves a star for each set that its own edges join.
+
+    A dense ball of m fingerprints has some m * m / 2 links; a task that met them hands on m - 1 at most, and holds no more
+    than its fingerprints."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]  # paths are halved
+            return x
+
+        for part in batches:
+            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        stars = [(top(x), x) for x in list(root) if root[x] != x]
+        for at in range(0, len(stars), 100_000):
+            piece = stars[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in piece], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of ``edges`` (a, b) the smallest node reachable.
 
@@ -105,7 +132,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = keep(with_fingerprint(docs))
     prints = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(prints.select("fp")))
+    roots = components(forest(links(prints.select("fp"))))
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("component"))
     named = keep(placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "n", "component", "component_id"))
     # rows of a hot fingerprint, such as that of all empty texts, stay where they are; the others meet theirs by key

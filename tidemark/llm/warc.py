@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,51 +63,57 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def _record(kind: str, record_id: Column, refers_to: Column | None, date: str, payload: Column | None) -> Column:
-    """The text of one record without its last line end, which the writer adds."""
+def _uri(url: Column, page: Column) -> Column:
+    return F.coalesce(F.when(url != "", url), F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null"))))
+
+
+def _record(kind: str, record_id: Column, refers_to: tuple[Column, Column] | None, date: str, payload: Column | None) -> Column:
+    """The text of one record without its last line end, which the writer adds; ``refers_to`` are the id and the URI of the
+    response that a revisit stands for."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
     page = F.col("page_id").cast("string")
     lines = [
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\n"),
         _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), record_id, F.lit(">"))),
         F.lit(f"WARC-Date: {date}\r\n"),
-        _line("WARC-Target-URI", F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(page, F.lit("null"))))),
+        _line("WARC-Target-URI", _uri(F.col("url"), F.col("page_id"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.lower(F.hex("sha1")))),
         _line("WARC-Page-ID", page),
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
     ]
     if refers_to is not None:
-        lines += [_line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), refers_to, F.lit(">"))), F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\n")]
+        lines += [_line("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), refers_to[0], F.lit(">"))), _line("WARC-Refers-To-Target-URI", refers_to[1]), F.lit(f"WARC-Refers-To-Date: {date}\r\nWARC-Profile: {REVISIT_PROFILE}\r\n")]
     block = F.octet_length(http) + (F.col("size") if payload is not None else F.lit(0))
     body = [http] if payload is None else [http, payload]
     return F.concat(*lines, _line("Content-Length", block.cast("string")), F.lit(CRLF), *body, F.lit(CRLF))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None:
     """Writes a record for every row of ``pages`` (page_id, url, html) to gzip archives under ``path``.
 
     * Of rows with equal payloads of LEAST_BYTES or more the one with the largest page_id is a response (ties: the largest
       url; of wholly equal rows any one), the others are revisits of it without a payload.  Shorter payloads are responses.
-    * A null html is an empty payload; a null url is written as ``urn:page:<page_id>``; a null page_id leaves its header
+    * A null html is an empty payload; a null or empty url is written as ``urn:page:<page_id>``; a null page_id leaves its header
       out and ranks below all others.  An empty table gives archives without records.  Other columns are not read.
     * Headers are fresh: the id of a response that others may refer to is made from its payload's SHA-256, all others are
-      random; ``date`` is every record's date.
+      random; ``date`` (UTC, as 2024-01-31T12:00:00Z; now if not given) is every record's date.
 
     Payloads are read once for the digests and once for writing.  They shuffle only where the table of shared payloads is
     too large to be broadcast; then the join by digest may split a hot digest.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers = keep(payload_headers(pages))
     shared = keep(shared_payloads(headers))
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
 
     # equal rows are counted, never gathered
-    members = keep(headers.join(shared, "sha256").groupBy("page_id", "url", "size", "sha1", "sha256", is_first.alias("is_first")).agg(F.count(F.lit(1)).alias("n")))
+    members = keep(headers.join(shared, "sha256").groupBy("page_id", "url", "size", "sha1", "sha256", "first", is_first.alias("is_first")).agg(F.count(F.lit(1)).alias("n")))
     copies = members.withColumn("copies", F.col("n") - F.col("is_first").cast("long")).where("copies > 0")
     copies = copies.select("*", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES_AT_ONCE})")).alias("piece"))
     if not members.where(F.col("n") > COPIES_AT_ONCE).isEmpty():
         copies = copies.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     again = copies.select("*", F.explode(F.expr(f"sequence(1L, least({COPIES_AT_ONCE}L, copies - piece * {COPIES_AT_ONCE}))")).alias("copy"))
-    revisits = again.select(_record("revisit", F.expr("uuid()"), _uuid_of(F.col("sha256")), date, None).alias("record"))
+    revisits = again.select(_record("revisit", F.expr("uuid()"), (_uuid_of(F.col("sha256")), _uri(F.col("first.url"), F.col("first.page_id"))), date, None).alias("record"))
 
     html = F.coalesce(F.col("html"), F.lit(""))
     bodies = pages.select("page_id", "url", html.alias("html")).select("*", F.octet_length("html").cast("long").alias("size"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha1"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("sha256"))
