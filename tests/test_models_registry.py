@@ -10,9 +10,11 @@ from tidemark.operators import delta, models as md, similarity as sim
 def test_promotion(spark):
     reg = spark.createDataFrame([("a", "impact", "champion", True, 1), ("b", "impact", "shadow", True, 1), ("c", "impact", "shadow", False, 1), ("d", "other", "champion", True, 1)], md.REGISTRY)
     modes = lambda df: {r.model_id: r["mode"] for r in df.collect()}
-    assert modes(md.promote(reg, "b", "champion")) == {"a": "challenger", "b": "champion", "c": "shadow", "d": "champion"}
-    assert modes(md.promote(reg, "c", "champion")) == modes(reg)  # untrained
-    assert [r.model_id for r in md.listing(reg).collect()] == ["a", "b", "c", "d"]
+    wanted = lambda *rows: spark.createDataFrame(rows, "model_id string, mode string")
+    assert modes(md.promote(reg, wanted(("b", "champion")))) == {"a": "challenger", "b": "champion", "c": "shadow", "d": "champion"}
+    assert modes(md.promote(reg, wanted(("c", "champion"), ("none", "champion")))) == modes(reg)  # untrained, unknown
+    assert modes(md.promote(reg, wanted(("b", "challenger"), ("d", "shadow")))) == {"a": "champion", "b": "challenger", "c": "shadow", "d": "shadow"}
+    assert {r.model_id: r.place for r in md.listing(reg).collect()} == {"a": 1, "b": 2, "c": 3, "d": 1}
     out = {r.model_id: (r.p, r.status) for r in md.outputs(reg, spark.createDataFrame([("a", 1, 0.5), ("c", 1, 0.9)], "model_id string, key int, p double")).collect()}
     assert out == {"a": (0.5, "ok"), "c": (None, "model_required")}
 
