@@ -103,6 +103,35 @@ def test_codes_of_few_and_of_no_vectors(spark):
     assert row.code is None and row.error is None and row.label_error is None
 
 
+def test_codes_stand_for_their_vectors(spark):
+    """A decoded vector lies as far from the original as the code's error says, and the codes stay with rows of any columns."""
+    table = hostile(16)
+    frame = spark.createDataFrame(table, SCHEMA).repartition(2)
+    rows, books = codes.encode(frame)
+    back = codes.decode(rows.withColumn("approximation", F.lit(1)), books).collect()
+    assert len(back) == rows.count() and {r.approximation is None for r in back if r.code is None} == {True}
+    told = Counter((r.vec_id, r.error, tuple(r.approximation)) for r in back if r.code is not None)
+    unseen = Counter()
+    for i, v, _ in table:
+        if good(v) and len(v) == 16:
+            whole = [math.floor(1024 * x) for x in v]
+            code, error = books.assign(np.array([whole]))
+            near = [x / 1024 for p in range(4) for x in books.entries[p][code[0][p]].tolist()]
+            assert square(whole, [1024 * x for x in near]) == error[0]
+            unseen[i, int(error[0]), tuple(near)] += 1
+    assert told == unseen
+    assert codes.decode(rows.limit(0), books).count() == 0
+
+
+def test_new_vectors_find_their_centroids(spark):
+    frame = spark.createDataFrame(hostile(64, 120), SCHEMA)
+    rows, centroids, inertia = clusters.fit(frame)
+    assert sorted(map(str, clusters.nearest_centroids(frame, centroids).collect())) == sorted(map(str, rows.collect()))
+    assert sum(inertia.values()) == rows.agg(F.sum("distance")).first()[0]
+    none = clusters.fit(frame.limit(0))
+    assert none.rows.count() == 0 and none.inertia == {} and clusters.nearest_centroids(frame.limit(0), centroids).count() == 0
+
+
 def test_components_beyond_the_range_take_no_part(spark):
     table = [(i, floats([i / 50, 0.1, -0.2, 0.3]), 0) for i in range(9)]
     got = codes.compress(spark.createDataFrame([*table, (99, [3e38, 0.0, 0.0, 0.0], 0)], SCHEMA)).collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +129,20 @@ def _totals(passed: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.cluster, r.place): int(r.s) for r in rows.collect()}
 
 
-def cluster(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every vector of DIMS components without a
-    null or a non-finite one.
+class Clustering(NamedTuple):
+    """Vectors with their clusters, a written table (vec_id, cluster, distance), the centroids, and each cluster's inertia."""
+
+    rows: DataFrame
+    centroids: Centroids
+    inertia: dict[int, int]
+
+
+def fit(embeddings: DataFrame, column: str = "embedding") -> Clustering:
+    """Clusters of every vector of DIMS components without a null or a non-finite one.
 
     * Repeated rows count each; equal ids are ordered by their vectors; a null vec_id hashes as the empty text.  Fewer
       vectors than CENTROIDS give as many centroids.  An empty table gives no rows; other columns are not read.
-    * A vector with a component too large for exact distances (``vectors.most``) takes no part and has nulls, but for
-      inertia.
+    * A vector with a component too large for exact distances (``vectors.most``) takes no part and has nulls.
     * Each round writes the vectors with their cluster, from which the next round scans, beside the sums of each task, and
       removes the round before; only centroids reach the driver and the broadcast.
     """
@@ -148,9 +155,22 @@ def cluster(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
         centroids = centroids.moved(_totals(passed))
         drop_kept(spark, path)
         vectors, path = passed.where("sums is null").select("vec_id", "v", "cluster"), new_path
-    passed = keep(_pass(vectors, centroids, True)) if len(centroids.rows) else _pass(vectors, centroids, True)
-    totals = _totals(passed) if len(centroids.rows) else {}
-    inertia = sum(s for (_, place), s in totals.items() if place)
-    told = spark.createDataFrame([(n, totals.get((n, 1)), centroids.sha256(n)) for n in range(len(centroids.rows))], "cluster int, cluster_inertia long, centroid_sha256 string")
-    rows = passed.where("sums is null").select("vec_id", "cluster", "distance")
-    return rows.join(F.broadcast(told), "cluster", "left").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(inertia).cast("long").alias("inertia"), "centroid_sha256")  # CENTROIDS rows
+    passed = keep(_pass(vectors, centroids, True))
+    drop_kept(spark, path)
+    totals = _totals(passed)
+    return Clustering(passed.where("sums is null").select("vec_id", "cluster", "distance"), centroids, {number: s for (number, place), s in totals.items() if place})
+
+
+def nearest_centroids(embeddings: DataFrame, centroids: Centroids, column: str = "embedding") -> DataFrame:
+    """(vec_id, cluster, distance) of vectors that were not there when the centroids were fitted; rows as in ``fit``."""
+    vectors = whole_vectors(embeddings, SCALE, ["vec_id"], column, DIMS).withColumn("cluster", F.lit(0))
+    return _pass(vectors, centroids, True).where("sums is null").select("vec_id", "cluster", "distance")
+
+
+def cluster(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
+    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every vector that ``fit`` takes; of one that
+    took no part only inertia is not null."""
+    rows, centroids, inertia = fit(embeddings, column)
+    told = embeddings.sparkSession.createDataFrame([(n, inertia.get(n), centroids.sha256(n)) for n in range(len(centroids.rows))], "cluster int, cluster_inertia long, centroid_sha256 string")
+    whole = F.lit(sum(inertia.values())).cast("long").alias("inertia")
+    return rows.join(F.broadcast(told), "cluster", "left").select("vec_id", "cluster", "distance", "cluster_inertia", whole, "centroid_sha256")  # CENTROIDS rows

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -124,16 +125,23 @@ def _sums(coded: DataFrame, books: Codebooks) -> dict[tuple[int, int], int]:
     return {(r.slot, r.place): int(r.s) for r in found.collect()}
 
 
-def compress(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, label, code, error, label_error, codebooks_sha256) of every vector without a null or non-finite component.
+class Compressed(NamedTuple):
+    """Codes of vectors, a written table (vec_id, label, code, error), and the codebooks that they refer to."""
+
+    rows: DataFrame
+    books: Codebooks
+
+
+def encode(embeddings: DataFrame, column: str = "embedding") -> Compressed:
+    """Codes of every vector without a null or non-finite component, and their codebooks.
 
     * Vectors are compared at one length: of those divisible by PARTS, the one that most vectors have (ties: the longer).
       Vectors of other lengths, and those with a component too large for exact distances (``vectors.most``), take no part;
-      their code and error are null, and label_error passes over them.
+      their code and error are null.
     * The codebooks start from the ENTRIES smallest vec_ids (a null one last; equal ids by their vectors, of equal rows
       each counts), fewer if there are fewer vectors.  An empty table gives no rows; other columns are not read.
     * Each round reads the table once and shuffles one block of sums a task; only codebooks reach driver and broadcast,
-      ENTRIES times the length in size.  Errors are added up by label before they meet the rows again.
+      ENTRIES times the length in size.
     """
     spark = embeddings.sparkSession
     vectors = keep(whole_vectors(embeddings, SCALE, ["vec_id", "label"], column))
@@ -157,6 +165,31 @@ def compress(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
 
     rows = coded.select("vec_id", "label", "v").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error long")
     left_out = vectors.where(~F.coalesce(fits, F.lit(False))).select("vec_id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
-    rows = keep(rows.unionByName(left_out))
+    return Compressed(keep(rows.unionByName(left_out)), books)
+
+
+def decode(rows: DataFrame, books: Codebooks) -> DataFrame:
+    """``rows`` (with the column code) with ``approximation``: the vector that each code stands for, null for a null code."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "approximation")
+    held = rows.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = held.value.entries
+        for part in chunks(batches, 64 + held.value.dims * 8):
+            codes = part.column(part.schema.get_field_index("code")).to_pylist()
+            known = [c for c in codes if c is not None]
+            index = np.frombuffer(bytes.fromhex("".join(known)), dtype=np.uint8).reshape(-1, PARTS)
+            whole = iter((np.concatenate([entries[p][index[:, p]] for p in range(PARTS)], axis=1) / SCALE).tolist() if len(known) else ())
+            told = pa.array([None if c is None else next(whole) for c in codes], type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, told], names=[*part.schema.names, "approximation"])
+
+    return rows.drop("approximation").mapInArrow(run, f"{kinds}, approximation array<double>")
+
+
+def compress(embeddings: DataFrame, column: str = "embedding") -> DataFrame:
+    """(vec_id, label, code, error, label_error, codebooks_sha256) of every vector that ``encode`` takes.
+
+    Errors are added up by label, nulls together, before they meet the rows again; label_error passes over null errors."""
+    rows, books = encode(embeddings, column)
     by_label = rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of_label")
     return rows.join(by_label, F.col("label").eqNullSafe(F.col("of_label"))).select("vec_id", "label", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
