@@ -76,35 +76,39 @@ def _rings(geometry: str | None) -> list[np.ndarray]:
     return []
 
 
-def _distance(px: float, py: float, rings: list[np.ndarray], closed: bool) -> float:
-    """Metres from a point to segments, zero inside a closed ring (even-odd rule)."""
-    if not rings:
-        return float("inf")
-    kx, best, inside = DEGREE_M * np.cos(np.radians(py)), np.inf, False
-    for ring in rings:
-        x, y = (ring[:, 0] - px) * kx, (ring[:, 1] - py) * DEGREE_M
-        if len(ring) == 1:
-            best = min(best, float(np.hypot(x[0], y[0])))
-            continue
-        dx, dy = np.diff(x), np.diff(y)
-        t = np.clip(-(x[:-1] * dx + y[:-1] * dy) / np.maximum(dx * dx + dy * dy, 1e-18), 0, 1)
-        best = min(best, float(np.hypot(x[:-1] + t * dx, y[:-1] + t * dy).min()))
-        if closed:
-            over = (y[:-1] > 0) != (y[1:] > 0)
-            cut = x[:-1][over] - y[:-1][over] * dx[over] / dy[over]
-            inside ^= bool(np.count_nonzero(cut > 0) % 2)
-    return 0.0 if inside else best
+#: Tests of points against segments at once.
+_AT_ONCE = 1 << 20
+
+
+def _distances(px: np.ndarray, py: np.ndarray, rings: list[np.ndarray], closed: bool) -> np.ndarray:
+    """Metres from points to all segments of one geometry, zero inside closed rings (even-odd rule)."""
+    if not rings or not len(px):
+        return np.full(len(px), np.inf)
+    ends = [(r[:1], r[:1]) if len(r) == 1 else (r[:-1], r[1:]) for r in rings]
+    start, end = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+    step = max(1, _AT_ONCE // len(start))
+    if len(px) > step:
+        return np.concatenate([_distances(px[at : at + step], py[at : at + step], rings, closed) for at in range(0, len(px), step)])
+    kx = (DEGREE_M * np.cos(np.radians(py)))[:, None]
+    x, y = (start[:, 0] - px[:, None]) * kx, (start[:, 1] - py[:, None]) * DEGREE_M
+    dx, dy = (end[:, 0] - start[:, 0]) * kx, ((end[:, 1] - start[:, 1]) * DEGREE_M)[None, :]
+    t = np.clip(-(x * dx + y * dy) / np.maximum(dx * dx + dy * dy, 1e-18), 0, 1)
+    best = np.hypot(x + t * dx, y + t * dy).min(axis=1)
+    if closed:
+        over = (y > 0) != (y + dy > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = x - y * dx / dy
+        best[(over & (cut > 0)).sum(axis=1) % 2 == 1] = 0.0
+    return best
 
 
 @F.pandas_udf(DoubleType())
 def distance_to_geometry_m(lon: pd.Series, lat: pd.Series, geometry: pd.Series) -> pd.Series:
-    """Metres from points to GeoJSON geometries; infinite for a missing geometry."""
-    seen: dict[str | None, tuple] = {}
-    out = []
-    for x, y, g in zip(lon, lat, geometry):
-        if g not in seen:
-            seen[g] = (_rings(g), bool(g) and "Polygon" in g)
-        out.append(_distance(x, y, *seen[g]))
+    """Metres from points to GeoJSON geometries; infinite for a missing geometry.  A batch's points of one geometry are tested
+    together against all its segments."""
+    out, x, y = np.full(len(lon), np.inf), lon.to_numpy(dtype=float), lat.to_numpy(dtype=float)
+    for shape, at in geometry.groupby(geometry, sort=False).indices.items():
+        out[at] = _distances(x[at], y[at], _rings(shape), "Polygon" in shape)
     return pd.Series(out, dtype=float)
 
 

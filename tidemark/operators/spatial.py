@@ -85,25 +85,6 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_
     return out
 
 
-def along(ways: DataFrame, points: DataFrame, way: str, point: str, radius_m: float) -> DataFrame:
-    """(way, point, dist_m): points (lon, lat) at most ``radius_m`` from the straight ways (lon1, lat1, lon2, lat2), in local metres.
-
-    A way is met through stations no more than a radius apart, which join the points by cells; the distance to the whole
-    segment then decides."""
-    length = geo.haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
-    steps = F.greatest(F.lit(1), F.ceil(length / radius_m)).cast("int")
-    stations = ways.withColumn("of", steps).withColumn("at", F.explode(F.sequence(F.lit(0), steps)))
-    share = F.col("at") / F.col("of")
-    stations = stations.select(way, "lon1", "lat1", "lon2", "lat2", (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * share).alias("lon"), (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share).alias("lat"))
-    near = within_distance(stations, points.select(point, "lon", "lat"), 1.25 * radius_m).dropDuplicates([way, point])
-    kx, ky = F.cos(F.radians("lat_r")) * geo.DEGREE_M, F.lit(geo.DEGREE_M)
-    ax, ay = (F.col("lon2") - F.col("lon1")) * kx, (F.col("lat2") - F.col("lat1")) * ky
-    px, py = (F.col("lon_r") - F.col("lon1")) * kx, (F.col("lat_r") - F.col("lat1")) * ky
-    whole = ax * ax + ay * ay
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(whole > 0, (px * ax + py * ay) / whole).otherwise(0.0)))
-    return near.withColumn("dist_m", F.sqrt(F.pow(px - s * ax, 2) + F.pow(py - s * ay, 2))).where(F.col("dist_m") <= radius_m).select(way, point, "dist_m")
-
-
 def candidates(observations: DataFrame, events: DataFrame, margin_us: int, radius_m: float) -> DataFrame:
     """Observation-event pairs near in time and place: time buckets of the margin and cells of the radius joined as one key.
 
