@@ -46,6 +46,28 @@ def point(lon: Column, lat: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull() & ~island, F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
+def _geometry(kind: str, coordinates: Column) -> Column:
+    return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+
+
+def line_string(points: Column) -> Column:
+    """GeoJSON of a line through an array of [lon, lat] arrays; null for fewer than two."""
+    return F.when(F.size(points) >= 2, _geometry("LineString", points))
+
+
+def polygon(rings: Column) -> Column:
+    """GeoJSON of a polygon from an array of rings, the outer one first; rings are closed if they are not."""
+    last = lambda ring: F.element_at(ring, -1)
+    closed = F.transform(rings, lambda ring: F.when(F.element_at(ring, 1) == last(ring), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1))))
+    return F.when(F.size(rings) >= 1, _geometry("Polygon", closed))
+
+
+def bbox_polygon(box: dict[str, Column]) -> Column:
+    """GeoJSON of a box (min_lon, min_lat, max_lon, max_lat)."""
+    at = lambda x, y: F.array(box[f"{x}_lon"], box[f"{y}_lat"])
+    return polygon(F.array(F.array(at("min", "min"), at("max", "min"), at("max", "max"), at("min", "max"))))
+
+
 def bbox_overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["min_lon"] <= b["max_lon"]) & (b["min_lon"] <= a["max_lon"]) & (a["min_lat"] <= b["max_lat"]) & (b["min_lat"] <= a["max_lat"])
 

@@ -25,3 +25,14 @@ def delay_minutes(severity: Column, blocked: Column, predicted: Column) -> Colum
     """Delay of a way from its worst impact, the number that block it (three are full breadth) and their likeliest forecast."""
     parts = (severity, F.least(F.lit(1.0), blocked / 3.0), predicted)
     return F.least(F.lit(MOST_DELAY_MIN), sum((p * w for p, w in zip(parts, DELAY_WEIGHTS)), F.lit(0.0)) * DELAY_MIN)
+
+
+def notification_reason(level: Column, official: Column, exposed: Column, new: Column, previous: Column, route: Column, impact: Column, status: Column) -> Column:
+    """The first reason to tell a user: official guidance for one who is ``exposed`` to it, a new event, a level above the
+    ``previous`` one, a route that is met, an impact or status that changed, else a change of place.  Null for a level of zero
+    without official guidance."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when((level == 0) & ~yes(official), F.lit(None).cast("string")).when(yes(official) & yes(exposed), "official_guidance").when(yes(new), "new_event").when(yes(level > previous), "escalation")
+        .when(yes(route), "route_change").when(yes(impact), "impact_change").when(yes(status), "status_change").otherwise("location_change")
+    )

@@ -67,6 +67,44 @@ def outline(geometry: str | None) -> tuple[np.ndarray, bool]:
     return (np.concatenate(edges) if edges else np.zeros((0, 4))), area
 
 
+def positions(geometry: str | None) -> tuple[np.ndarray, list[tuple[float, np.ndarray]]]:
+    """All positions of a GeoJSON geometry, and its rings with the sign of their area: 1 for outer ones, -1 for holes."""
+    edges, _ = outline(geometry)
+    if not len(edges):
+        return np.zeros((0, 2)), []
+    g = json.loads(geometry)
+    if g["type"] == "GeometryCollection":
+        parts = [positions(json.dumps(p)) for p in g["geometries"]]
+        return np.concatenate([p for p, _ in parts]), [r for _, rings in parts for r in rings]
+    flat = lambda c: [c[:2]] if c and not isinstance(c[0], list) else [p for part in c for p in flat(part)]
+    polygons = {"Polygon": [g["coordinates"]], "MultiPolygon": g["coordinates"]}.get(g["type"], [])
+    return np.array(flat(g["coordinates"]), dtype=float), [(1.0 if k == 0 else -1.0, np.array(ring, dtype=float)[:, :2]) for p in polygons for k, ring in enumerate(p)]
+
+
+def measures(shapes: DataFrame, key: str, geometry: str) -> DataFrame:
+    """(key, lon, lat, area_m2, min_lon, min_lat, max_lon, max_lat): mean of the positions, area without holes in the plane of the
+    mean latitude, and bounding box; nulls for a geometry that can't be used, no area for points and lines."""
+    names = ("lon", "lat", "area_m2", "min_lon", "min_lat", "max_lon", "max_lat")
+
+    def of(shape: str | None) -> tuple:
+        points, rings = positions(shape)
+        if not len(points):
+            return (None,) * len(names)
+        lon, lat = points.mean(axis=0)
+        area = 0.0
+        for sign, ring in rings:
+            x, y = (ring[:, 0] - ring[0, 0]) * DEGREE_M * math.cos(math.radians(lat)), (ring[:, 1] - ring[0, 1]) * DEGREE_M
+            area += sign * abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
+        return lon, lat, max(0.0, area), *points.min(axis=0), *points.max(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [of(shape) for shape in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(len(names)))], names=[key, *names])
+
+    return shapes.select(key, geometry).mapInArrow(run, f"`{key}` {shapes.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
 def inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Whether points lie in an area by the even-odd rule, in blocks of all edges."""
     out = np.zeros(len(points), dtype=bool)

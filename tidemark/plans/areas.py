@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import exposure as ex
 from ..operators import shapes as sh
 from .joins import PLACES_SQL, places
@@ -26,14 +27,14 @@ def _corners(lon: Column, lat: Column, share: float) -> Column:
 def areas(t: Tables) -> DataFrame:
     """(place_id, geometry): a polygon with a hole for each place."""
     rings = F.array(_corners(F.col("lon"), F.col("lat"), 1.0), _corners(F.col("lon"), F.col("lat"), HOLE))
-    return places(t).select("place_id", F.to_json(F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))).alias("geometry"))
+    return places(t).select("place_id", geo.polygon(rings).alias("geometry"))
 
 
 def ways(t: Tables) -> DataFrame:
     """(way_id, geometry, modes): the straight way from each place to the centre and how its user travels."""
     line = F.array(F.array("lon", "lat"), F.array(*map(F.lit, CENTRE)))
     modes = F.when(F.col("place_id") % 3 == 0, F.array(F.lit("drive"))).when(F.col("place_id") % 3 == 1, F.array(F.lit("transit"), F.lit("walk"))).otherwise(F.array().cast("array<string>"))
-    return places(t).select(F.col("place_id").alias("way_id"), F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))).alias("geometry"), modes.alias("modes"))
+    return places(t).select(F.col("place_id").alias("way_id"), geo.line_string(line).alias("geometry"), modes.alias("modes"))
 
 
 def impacts(t: Tables) -> DataFrame:
@@ -98,3 +99,13 @@ def nearest_area(t: Tables) -> DataFrame:
     """The nearest area of each impact within 5 km, 0 m for one inside; found by reaches that double."""
     near = sh.nearest_shapes(sh.cover(impacts(t), "impact_id", "geometry", STEP), "impact_id", sh.cover(areas(t), "place_id", "geometry", STEP), "place_id", STEP, 300.0, 5000.0)
     return near.select("impact_id", "place_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query(PLACES_SQL + f""" SELECT place_id, round(lon + {A} * (1 + {HOLE}) / 10, 7) AS lon, round(lat, 7) AS lat, round(2::DOUBLE * {A} * {B} * (1 - {HOLE} * {HOLE}) * 111320.0 * 111320.0 * cos(radians(lat)), 2) AS area_m2,
+ round(lon - {A}, 7) AS min_lon, round(lat - {B}, 7) AS min_lat, round(lon + {A}, 7) AS max_lon, round(lat + {B}, 7) AS max_lat, round(4::DOUBLE * {A} * {B} * 111320.0 * 111320.0 * cos(radians(lat - {B} / 5)), 2) AS box_m2 FROM places""", obs=True)
+def geometry_measures(t: Tables) -> DataFrame:
+    """Centre, area without its hole and box of each place's area, and the area of the box as a polygon."""
+    of = sh.measures(areas(t), "place_id", "geometry")
+    box = geo.bbox_polygon({n: F.col(n) for n in ("min_lon", "min_lat", "max_lon", "max_lat")})
+    boxes = sh.measures(of.select("place_id", box.alias("geometry")), "place_id", "geometry").select("place_id", F.round("area_m2", 2).alias("box_m2"))
+    return of.select("place_id", F.round("area_m2", 2).alias("area_m2"), *(F.round(c, 7).alias(c) for c in ("lon", "lat", "min_lon", "min_lat", "max_lon", "max_lat"))).join(boxes, "place_id")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import exposure as ex
 from ..operators import measures as ms
+from ..operators import ordered as od
 from ..sources import feeds
 from . import aggregates, reads
 from .registry import ORACLES, Tables, query
+from .scoring import F_SQL, features
 
 #: The registered statement of the quantities, as the first of others' expressions.
 _MAGNITUDES = ORACLES["magnitudes"].replace("SELECT event_key, quantity, round(CASE", ", m AS (SELECT event_key, quantity, round(CASE", 1) + ")"
@@ -82,3 +85,56 @@ def forecast_report(t: Tables) -> DataFrame:
     rows = d.join(t.labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
     r = ms.forecast_report(rows, "model_id", "p", "y", "lead")
     return r.select("model_id", "n", *(F.round(c, 6).alias(c) for c in ("brier", "ece", "precision", "recall", "f1", "false_alarm", "missed", "mae", "rmse")), F.round("lead", 1).alias("lead_min"))
+
+
+_LAST = ", n AS (SELECT max(us) AS now FROM obs)"
+
+
+@query(F_SQL + _LAST + """, w AS (SELECT event_key % 4 AS region, event_key, (now - last_us) / 1e6 < 21600 AS changed, CASE WHEN official THEN 4 WHEN crowd >= 400 THEN 3 WHEN crowd >= 200 THEN 2 ELSE 1 END AS severity, roads + routes AS impacts, authority, sources, (now - last_us) / 1e6 AS age FROM f, n)
+SELECT region, event_key, changed, severity, impacts, row_number() OVER (PARTITION BY region ORDER BY changed DESC, severity DESC, impacts DESC, authority DESC, sources DESC, age, event_key) AS place FROM w""", obs=True)
+def world_ranking(t: Tables) -> DataFrame:
+    """Events of each region, the most actionable first: what moved, how bad, how much is hit, how sure, how corroborated, how recent."""
+    now = t.obs.agg(F.max("us").alias("now"))  # one row
+    age = (F.col("now") - F.col("last_us")) / 1e6
+    severity = F.when(F.col("official"), 4).when(F.col("crowd") >= 400, 3).when(F.col("crowd") >= 200, 2).otherwise(1)
+    w = features(t).crossJoin(F.broadcast(now)).select((F.col("event_key") % 4).alias("region"), "event_key", (age < 21_600).alias("changed"), severity.alias("severity"), (F.col("roads") + F.col("routes")).alias("impacts"), "authority", "sources", age.alias("age"))
+    first = Window.partitionBy("region").orderBy(*(F.desc(c) for c in ("changed", "severity", "impacts", "authority", "sources")), "age", "event_key")
+    return w.select("region", "event_key", "changed", "severity", "impacts", F.row_number().over(first).cast("long").alias("place"))
+
+
+@query(F_SQL + """, g AS (SELECT event_key, [{'v': CASE WHEN reliability < 0.5 THEN 0.8 ELSE 0 END, 'g': 'event_geometry'}, {'v': CASE WHEN roads > 0 AND routes = 0 THEN 0.7 ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0.3 ELSE 0 END, 'g': 'road_status'},
+ {'v': CASE WHEN sources < 2 THEN 0.5 ELSE 0 END + 0.3 * least(3, roads % 4), 'g': 'crowd_size'}, {'v': CASE WHEN NOT official AND sources >= 2 THEN 0.2 ELSE 0 END, 'g': 'official_guidance'}] AS l FROM f), u AS (SELECT event_key, unnest(l) AS x FROM g)
+SELECT event_key, x.g AS gap, round(least(1.0, x.v), 4)::DOUBLE AS value, row_number() OVER (PARTITION BY event_key ORDER BY round(x.v, 6) DESC, x.g) AS rank FROM u WHERE x.v > 0""", obs=True)
+def information_gaps(t: Tables) -> DataFrame:
+    """What is not known of each event, by what knowing it is worth (fixed values: the worths)."""
+    when = lambda c, v: F.when(c, v).otherwise(0.0)
+    worth = {
+        "event_geometry": when(F.col("reliability") < 0.5, 0.8), "road_status": when((F.col("roads") > 0) & (F.col("routes") == 0), 0.7) + when(F.col("n") % 3 == 0, 0.3),
+        "crowd_size": when(F.col("sources") < 2, 0.5) + F.least(F.lit(3), F.col("roads") % 4) * 0.3, "official_guidance": when(~F.col("official") & (F.col("sources") >= 2), 0.2),
+    }
+    every = F.array(*(F.struct((-F.round(v, 6)).alias("v"), F.lit(g).alias("gap")) for g, v in worth.items()))
+    ranked = F.array_sort(F.filter(every, lambda x: x["v"] < 0))
+    rows = features(t).select("event_key", F.posexplode(ranked).alias("rank", "x"))
+    return rows.select("event_key", "x.gap", F.round(F.least(F.lit(1.0), -F.col("x.v")), 4).alias("value"), (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+@query(""", l AS (SELECT *, lag(k) OVER w AS before, row_number() OVER w = 1 AS new FROM obs WINDOW w AS (PARTITION BY source_id, event_key ORDER BY us, observation_id)),
+b AS (SELECT *, CASE WHEN k >= 72 THEN 4 WHEN k >= 48 THEN 3 WHEN k >= 26 THEN 2 WHEN k >= 2 THEN 1 ELSE 0 END AS level, CASE WHEN before >= 72 THEN 4 WHEN before >= 48 THEN 3 WHEN before >= 26 THEN 2 WHEN before >= 2 THEN 1 ELSE 0 END AS old, kind = 'error' AND value >= 400 AS official FROM l)
+SELECT observation_id, CASE WHEN level = 0 AND NOT official THEN NULL WHEN official AND k >= 20 THEN 'official_guidance' WHEN new THEN 'new_event' WHEN level > old THEN 'escalation' WHEN kind = 'view' AND k % 2 = 0 THEN 'route_change' WHEN kind = 'purchase' THEN 'impact_change' WHEN kind = 'signup' THEN 'status_change' ELSE 'location_change' END AS reason FROM b""", obs=True)
+def notification_reasons(t: Tables) -> DataFrame:
+    """Why a user would be told, the first reason that applies; nobody is told of an exposure of none without official guidance."""
+    level = lambda c: tx.ladder(c, [(72, "4"), (48, "3"), (26, "2"), (2, "1")], "0").cast("int")
+    seen = od.lagged(t.obs.select("source_id", "event_key", "us", "observation_id", "kind", "k", "value"), ["source_id", "event_key"], ["us", "observation_id"], ["k"])
+    official = (F.col("kind") == "error") & (F.col("value") >= 400)
+    reason = ex.notification_reason(
+        level(F.col("k")), official, F.col("k") >= 20, F.col("__before").isNull(), level(F.col("__before")["k"]), (F.col("kind") == "view") & (F.col("k") % 2 == 0), F.col("kind") == "purchase", F.col("kind") == "signup",
+    )
+    return seen.select("observation_id", reason.alias("reason"))
+
+
+@query(F_SQL + " SELECT event_key, round(0.3 * authority + 0.2 * least(1.0, sources / 3.0) + 0.2 * reliability + 0.3 * ((roads + 0.7 * routes + 0.35 * (n - roads - routes)) / n), 4)::DOUBLE AS confidence FROM f", obs=True)
+def exposure_confidence(t: Tables) -> DataFrame:
+    """How sure a user's exposure is: authority, corroboration, place and the truth of the impacts (fixed values: the weights)."""
+    truth = (F.col("roads") + F.col("routes") * 0.7 + (F.col("n") - F.col("roads") - F.col("routes")) * 0.35) / F.col("n")
+    blend = F.col("authority") * 0.3 + F.least(F.lit(1.0), F.col("sources") / 3.0) * 0.2 + F.col("reliability") * 0.2 + truth * 0.3
+    return features(t).select("event_key", F.round(blend, 4).alias("confidence"))
