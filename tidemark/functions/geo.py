@@ -50,6 +50,11 @@ def _geometry(kind: str, coordinates: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
 
 
+def point_json(lon: Column, lat: Column) -> Column:
+    """GeoJSON of a point; null without a coordinate."""
+    return F.when(lon.isNotNull() & lat.isNotNull(), _geometry("Point", F.array(lon, lat)))
+
+
 def line_string(points: Column) -> Column:
     """GeoJSON of a line through an array of [lon, lat] arrays; null for fewer than two."""
     return F.when(F.size(points) >= 2, _geometry("LineString", points))

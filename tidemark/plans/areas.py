@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import exposure as ex
 from ..operators import shapes as sh
+from ..operators.graph import kept
 from .joins import PLACES_SQL, places
 from .registry import Tables, query
 
@@ -42,7 +43,7 @@ def impacts(t: Tables) -> DataFrame:
     day = F.floor(F.col("us") / 86_400_000_000)
     first = t.obs.groupBy("event_key", day.alias("day")).agg(F.min_by(F.struct("lon", "lat"), F.struct("us", "observation_id")).alias("p"), F.max("k").alias("k"))
     domain = F.when(F.col("event_key") % 3 == 0, "transit").when(F.col("event_key") % 3 == 1, "road").otherwise("utility")
-    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("p.lon", "p.lat").alias("coordinates")))
+    point = geo.point_json(F.col("p.lon"), F.col("p.lat"))
     return first.select((F.col("event_key") * 100_000 + F.col("day")).alias("impact_id"), point.alias("geometry"), domain.alias("domain"), (F.floor(F.col("k") / 25) / 4.0).alias("severity"), ((F.col("event_key") % 10) / 10.0).alias("predicted"))
 
 
@@ -109,3 +110,27 @@ def geometry_measures(t: Tables) -> DataFrame:
     box = geo.bbox_polygon({n: F.col(n) for n in ("min_lon", "min_lat", "max_lon", "max_lat")})
     boxes = sh.measures(of.select("place_id", box.alias("geometry")), "place_id", "geometry").select("place_id", F.round("area_m2", 2).alias("box_m2"))
     return of.select("place_id", F.round("area_m2", 2).alias("area_m2"), *(F.round(c, 7).alias(c) for c in ("lon", "lat", "min_lon", "min_lat", "max_lon", "max_lat"))).join(boxes, "place_id")
+
+
+@query(PLACES_SQL + f""", {_ALONG}, rd AS (SELECT place_id, count(*) AS roads FROM (SELECT way_id, place_id FROM q GROUP BY ALL HAVING min(q) <= 1 AND max(q) FILTER (s IN (0, 1)) >= {HOLE}) GROUP BY place_id),
+c AS (SELECT DISTINCT lon, lat FROM obs), st AS (SELECT place_id, count(*) AS stops FROM (SELECT p.place_id, {_Q.format(lon='c.lon', lat='c.lat')} AS q FROM c, places p) WHERE q <= 1 AND q >= {HOLE} GROUP BY place_id),
+e AS (SELECT place_id, lon, lat, unnest([{{'a': 1, 'b': 0, 'c': 0, 'd': 1}}, {{'a': 0, 'b': 1, 'c': -1, 'd': 0}}, {{'a': -1, 'b': 0, 'c': 0, 'd': -1}}, {{'a': 0, 'b': -1, 'c': 1, 'd': 0}}]) AS c FROM places),
+r AS (SELECT place_id, lon, lat, lon + c.a * {A} * h AS x1, lat + c.b * {B} * h AS y1, lon + c.c * {A} * h AS x2, lat + c.d * {B} * h AS y2 FROM e, (VALUES (1.0), ({HOLE})) v(h)),
+k AS (SELECT f.place_id AS facility, r.place_id, cos(radians((y1 + y2 + 2 * f.lat) / 4)) * 111320.0 AS kx, x1, y1, x2, y2, f.lon, f.lat, {_Q.format(lon='f.lon', lat='f.lat').replace('p.', 'r.')} AS q FROM places f, r),
+v AS (SELECT *, (x2 - x1) * kx AS ax, (y2 - y1) * 111320.0 AS ay, (lon - x1) * kx AS px, (lat - y1) * 111320.0 AS py FROM k), z AS (SELECT *, greatest(0.0, least(1.0, (px * ax + py * ay) / (ax * ax + ay * ay))) AS s FROM v),
+n AS (SELECT facility, place_id, min(CASE WHEN q <= 1 AND q >= {HOLE} THEN 0.0 ELSE sqrt(power(px - s * ax, 2) + power(py - s * ay, 2)) END) AS d FROM z GROUP BY ALL), fc AS (SELECT place_id, count(*) AS facilities, round(min(d), 3) AS nearest_m FROM n WHERE d <= 300 GROUP BY place_id)
+SELECT place_id, coalesce(roads, 0) AS roads, coalesce(stops, 0) AS stops, coalesce(facilities, 0) AS facilities, nearest_m, round(least(1.0, 0.4 * least(1.0, coalesce(roads, 0) / 4.0) + 0.3 * least(1.0, coalesce(stops, 0) / 50.0) + 0.3 * least(1.0, coalesce(facilities, 0) / 3.0)), 6)::DOUBLE AS exposure
+ FROM places LEFT JOIN rd USING (place_id) LEFT JOIN st USING (place_id) LEFT JOIN fc USING (place_id)""", obs=True)
+def overlaps(t: Tables) -> DataFrame:
+    """What each area touches: roads that meet it, stops in it, facilities within 300 m of it, and their weighed exposure."""
+    cover = kept(sh.cover(areas(t), "place_id", "geometry", STEP))
+    roads = sh.meeting_shapes(sh.cover(ways(t), "way_id", "geometry", STEP), "way_id", cover, "place_id", STEP).groupBy("place_id").agg(F.count(F.lit(1)).alias("roads"))
+    at = t.obs.groupBy("lon", "lat").agg(F.min("observation_id").alias("stop"))
+    stops = sh.points_in(at, "stop", cover, "place_id", STEP).groupBy("place_id").agg(F.count(F.lit(1)).alias("stops"))
+    points = places(t).select(F.col("place_id").alias("facility"), geo.point_json(F.col("lon"), F.col("lat")).alias("geometry"))
+    near = sh.near_shapes(sh.cover(points, "facility", "geometry", STEP), "facility", cover, "place_id", STEP, 300.0)
+    facilities = near.groupBy("place_id").agg(F.count(F.lit(1)).alias("facilities"), F.round(F.min("dist_m"), 3).alias("nearest_m"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    every = places(t).select("place_id").join(roads, "place_id", "left").join(stops, "place_id", "left").join(facilities, "place_id", "left")
+    part = lambda c, most, share: F.least(F.lit(1.0), n(c) / most) * share
+    return every.select("place_id", *(n(c).alias(c) for c in ("roads", "stops", "facilities")), "nearest_m", F.round(F.least(F.lit(1.0), part("roads", 4.0, 0.4) + part("stops", 50.0, 0.3) + part("facilities", 3.0, 0.3)), 6).alias("exposure"))
