@@ -134,3 +134,18 @@ def overlaps(t: Tables) -> DataFrame:
     every = places(t).select("place_id").join(roads, "place_id", "left").join(stops, "place_id", "left").join(facilities, "place_id", "left")
     part = lambda c, most, share: F.least(F.lit(1.0), n(c) / most) * share
     return every.select("place_id", *(n(c).alias(c) for c in ("roads", "stops", "facilities")), "nearest_m", F.round(F.least(F.lit(1.0), part("roads", 4.0, 0.4) + part("stops", 50.0, 0.3) + part("facilities", 3.0, 0.3)), 6).alias("exposure"))
+
+
+@query(PLACES_SQL + _IMPACTS + f""", {_TO_WAY}, f AS (SELECT * FROM g WHERE d <= {BLOCKED_M} AND CASE place_id % 3 WHEN 0 THEN domain <> 'transit' ELSE TRUE END),
+t5 AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY severity DESC, impact_id) AS r FROM f), u AS (SELECT place_id, count(*) AS n, max(severity) AS top, max(predicted) AS p, count(*) FILTER (domain = 'utility') AS unsure FROM f GROUP BY place_id),
+shown AS (SELECT place_id, 'route' AS item, '' AS ref, round(least(0.99, 0.7 + 0.3 * p), 4)::DOUBLE AS priority FROM u UNION ALL SELECT place_id, 'impact', impact_id::VARCHAR, round(least(0.9, 0.35 + 0.5 * severity), 4)::DOUBLE FROM t5 WHERE r <= 5
+ UNION ALL SELECT place_id, 'forecast', '', round(least(0.8, 0.3 + 0.5 * p), 4)::DOUBLE FROM u WHERE p >= 0.3 UNION ALL SELECT place_id, 'evidence', n || ' impacts', 0.2 FROM u UNION ALL SELECT place_id, 'uncertainty', unsure || ' unconfirmed', 0.15 FROM u WHERE unsure > 0
+ UNION ALL SELECT place_id, 'quiet', '', 0.0 FROM places WHERE place_id NOT IN (SELECT place_id FROM u))
+SELECT place_id AS user_id, item, ref, priority, row_number() OVER (PARTITION BY place_id ORDER BY priority DESC, item, ref) AS rank FROM shown""", obs=True)
+def user_presentations(t: Tables) -> DataFrame:
+    """What every user is shown of the impacts on the own way, ranked: the route, its five worst impacts, the forecast, the
+    evidence, what is unsure; one quiet item for a user whom nothing concerns."""
+    found = impacts(t)
+    near = sh.near_shapes(sh.cover(ways(t), "way_id", "geometry", STEP), "way_id", sh.cover(found, "impact_id", "geometry", STEP), "impact_id", STEP, BLOCKED_M)
+    met = kept(near.join(found.drop("geometry"), "impact_id").join(ways(t).select("way_id", "modes"), "way_id").where(ex.mode_matches(F.col("domain"), F.col("modes"))).select("way_id", "impact_id", "domain", "severity", "predicted"))
+    return ex.presentations(places(t).select(F.col("place_id").alias("user_id")), met.withColumnRenamed("way_id", "user_id"))
