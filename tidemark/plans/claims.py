@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import claims as cl, graph as gr, ordered as od, spatial as sp
 from ..sources import feeds, readers as rd
 from .graphs import EDGES_SQL, edges, nodes, seed
-from .joins import PLACES_SQL, places
 from .registry import Tables, query
 
 #: The fixture's wording and types: the ledger's kinds as feeds, eight lines of text.
