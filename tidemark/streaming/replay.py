@@ -16,8 +16,9 @@ KEPT = 2000
 class TopicLog:
     """The last ``keep`` messages of each topic by (at, message), whatever order they came in.
 
-    The latest so many of two sets are the latest so many of both sets' latest, so a batch is merged into what is held: each
-    task leaves at most ``keep`` rows a topic before the shuffle.  A batch writes a whole new log, topics times ``keep`` rows;
+    The latest so many of two sets are the latest so many of both sets' latest, so a batch is merged into what is held.  A topic
+    is first cut by a hash of its messages into as many parts as there are shuffle partitions, each of which leaves its
+    latest, so a hot topic meets in one task with that many times ``keep`` rows at most.  A batch writes a whole new log, topics times ``keep`` rows;
     the newest committed one counts, so a batch that runs again changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str, rows: StructType, topic: str, at: str, message: str, keep: int = KEPT):
@@ -39,8 +40,12 @@ class TopicLog:
         staged = f"{self.root}/staged/batch={number}"
         batch.where(F.col(self.topic).isNotNull()).select(*columns).write.mode("overwrite").parquet(staged)
         both = self._log(last).unionByName(self.spark.read.schema(self.rows).parquet(staged))
-        newest = Window.partitionBy(self.topic).orderBy(F.col(self.at).desc_nulls_last(), F.col(self.message).desc_nulls_last())
-        merged = both.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= self.keep).select(*columns)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        both = both.withColumn("__part", F.pmod(F.xxhash64(self.message, self.at), F.lit(parts)))
+        for keys in ([self.topic, "__part"], [self.topic]):
+            newest = Window.partitionBy(*keys).orderBy(F.col(self.at).desc_nulls_last(), F.col(self.message).desc_nulls_last())
+            both = both.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= self.keep).drop("__r")
+        merged = both.select(*columns)
         merged.write.mode("overwrite").parquet(f"{self.root}/log/batch={number}")
         self.spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch={number}")
 
