@@ -6,6 +6,7 @@ into micro-batches; timers settle what no later row of the key settles, and drop
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -43,59 +44,106 @@ def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(held, columns=columns)
 
 
+class _Live:
+    """The events of a cell by id: [last_us, lon, lat, open, final], by place, and by when something is due for them."""
+
+    def __init__(self, events: dict[int, list], silence: int, margin: int, radius: float | None):
+        self.silence, self.margin, self.radius = silence, margin, radius
+        self.step = radius / 111320.0 * (1 + 1e-9) if radius else 0.0
+        self.events: dict[int, list] = {}
+        self.places: dict[tuple[int, int], set[int]] = {}
+        self.due: list[tuple[int, int]] = []
+        for event_id, e in events.items():
+            self.put(event_id, e)
+
+    def _column(self, x: float, band: int) -> int:
+        far = max(abs(band), abs(band + 1)) * self.step
+        return math.floor(x * math.cos(math.radians(far)) / self.step) if far < 89.9 else 0
+
+    def _place(self, x: float, y: float) -> tuple[int, int]:
+        if not self.step:
+            return 0, 0
+        band = math.floor(y / self.step)
+        return band, self._column(x, band)
+
+    def when(self, e: list) -> int:
+        """The last instant at which an event stays as it is."""
+        return e[0] + (self.silence if e[3] else self.margin)
+
+    def put(self, event_id: int, e: list) -> None:
+        self.events[event_id] = e
+        self.places.setdefault(self._place(e[1], e[2]), set()).add(event_id)
+        heapq.heappush(self.due, (self.when(e), event_id))
+
+    def near(self, x: float, y: float) -> Iterator[tuple[float, int]]:
+        """(distance, id) of the events within the radius; of all without one."""
+        if not self.step:
+            yield from ((0.0, event_id) for event_id in self.events)
+            return
+        band, across = math.floor(y / self.step), 111320.0 * math.cos(math.radians(y))
+        for row in (band - 1, band, band + 1):
+            column = self._column(x, row)
+            for c in range(column - 2, column + 3):  # columns of a row next to it may be a little narrower
+                for event_id in self.places.get((row, c), ()):
+                    e = self.events[event_id]
+                    d = math.hypot((x - e[1]) * across, (y - e[2]) * 111320.0)
+                    if d <= self.radius:
+                        yield d, event_id
+
+    def settle(self, at: int) -> Iterator[tuple]:
+        """Closes what has been silent by ``at`` and drops what is out of reach."""
+        while self.due and self.due[0][0] < at:
+            when, event_id = heapq.heappop(self.due)
+            e = self.events.get(event_id)
+            if e is None or self.when(e) != when:  # something came since
+                continue
+            if e[3]:
+                e[3] = False
+                heapq.heappush(self.due, (self.when(e), event_id))
+                yield None, event_id, "closed", when
+            else:
+                place = self._place(e[1], e[2])
+                self.places[place].discard(event_id)
+                if not self.places[place]:
+                    del self.places[place]
+                del self.events[event_id]
+
+
 class Resolver(StatefulProcessor):
     """Observations of a cell join the nearest event in reach of time and place, or open one under their own id.
 
     * An event closes ``silence_us`` after its last report.  A later report in reach reopens it, unless the report before the
       silence closed it for good; then a new event opens.
-    * An event is out of reach, and leaves the state, ``margin_us`` after its last report.
+    * An event is out of reach, and leaves the state, ``margin_us`` after its last report (no sooner than it closes).
+    * Events are found by place, and by when they close or leave, so a report looks at those around it alone.
     """
 
     COLUMNS = ["observation_id", "event_id", "outcome", "us"]
 
     def __init__(self, silence_us: int, margin_us: int, radius_m: float | None):
-        self.silence, self.margin, self.radius = silence_us, margin_us, radius_m
+        self.silence, self.margin, self.radius = silence_us, max(silence_us, margin_us), radius_m
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getMapState("events", "event_id long", "last_us long, lon double, lat double, open boolean, final boolean")
 
-    def _load(self) -> dict[int, list]:
-        return {k[0]: list(v) for k, v in self.events.iterator()}
+    def _load(self) -> _Live:
+        return _Live({k[0]: list(v) for k, v in self.events.iterator()}, self.silence, self.margin, self.radius)
 
-    def _settle(self, events: dict[int, list], at: int) -> Iterator[tuple]:
-        """Closes what has been silent by ``at`` and drops what is out of reach."""
-        for event_id in sorted(events, key=lambda e: (events[e][0], e)):
-            last, _, _, open_, _ = events[event_id]
-            if open_ and at - last > self.silence:
-                events[event_id][3] = False
-                yield None, event_id, "closed", last + self.silence
-            if at - last > self.margin:
-                del events[event_id]
-
-    def _distance(self, event: list, x: float, y: float) -> float:
-        if self.radius is None:
-            return 0.0
-        return math.hypot((x - event[1]) * 111320.0 * math.cos(math.radians(y)), (y - event[2]) * 111320.0)
-
-    def _steps(self, events: dict[int, list], rows: Iterator[tuple]) -> Iterator[tuple]:
+    def _steps(self, live: _Live, rows: Iterator[tuple]) -> Iterator[tuple]:
         for at, observation, x, y, final in rows:
             at, observation = int(at), int(observation)
-            yield from self._settle(events, at)
-            reach = []
-            for event_id, e in events.items():
-                d = self._distance(e, x, y)
-                if abs(at - e[0]) <= self.margin and (self.radius is None or d <= self.radius):
-                    reach.append((d, -e[0], event_id))
-            usable = [r for r in reach if events[r[2]][3] or not events[r[2]][4]]
+            yield from live.settle(at)
+            reach = [(d, -live.events[e][0], e) for d, e in live.near(x, y) if abs(at - live.events[e][0]) <= self.margin]
+            usable = [r for r in reach if live.events[r[2]][3] or not live.events[r[2]][4]]
             if usable:
                 event_id = min(usable)[2]
-                e = events[event_id]
+                e = live.events[event_id]
                 outcome = "linked" if e[3] else "reopened"
-                events[event_id] = [max(e[0], at), e[1], e[2], True, bool(final) if at >= e[0] else e[4]]
+                live.put(event_id, [max(e[0], at), e[1], e[2], True, bool(final) if at >= e[0] else e[4]])
             else:
                 event_id, outcome = observation, "new" if reach else "opened"
-                events[event_id] = [at, float(x), float(y), True, bool(final)]
+                live.put(event_id, [at, float(x), float(y), True, bool(final)])
             yield observation, event_id, outcome, at
 
     def _store(self, before: dict[int, tuple], events: dict[int, list]) -> None:
@@ -112,17 +160,17 @@ class Resolver(StatefulProcessor):
             self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = self._load()
-        before = {k: tuple(v) for k, v in events.items()}
+        live = self._load()
+        before = {k: tuple(v) for k, v in live.events.items()}
         order = ["us", "observation_id"]
-        yield from _frames(self._steps(events, _in_order(rows, order, [*order, "lon", "lat", "final"])), self.COLUMNS)
-        self._store(before, events)
+        yield from _frames(self._steps(live, _in_order(rows, order, [*order, "lon", "lat", "final"])), self.COLUMNS)
+        self._store(before, live.events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = self._load()
-        before = {k: tuple(v) for k, v in events.items()}
-        yield from _frames(self._settle(events, timerValues.getCurrentWatermarkInMs() * 1000), self.COLUMNS)
-        self._store(before, events)
+        live = self._load()
+        before = {k: tuple(v) for k, v in live.events.items()}
+        yield from _frames(live.settle(timerValues.getCurrentWatermarkInMs() * 1000), self.COLUMNS)
+        self._store(before, live.events)
 
     def close(self) -> None:
         pass
