@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered as od
 from tidemark.operators.graph import shared
 from tidemark.plans import catalogue
 
@@ -42,7 +43,7 @@ def checked(spark, copied, name):
     return [(t.columns[0], t.select(t.columns[0]).distinct().count()) for t in tables if "cx" in t.columns]
 
 
-@pytest.mark.parametrize("name", ["areas_cover", "areas_meet", "overlaps", "route_exposure", "user_presentations", "nearest_area"])
+@pytest.mark.parametrize("name", ["areas_cover", "areas_meet", "overlaps", "route_exposure", "nearest_area", "user_presentations"])
 def test_shapes_of_one_form_are_covered_once(spark, copied, name):
     covers = checked(spark, copied, name)
     places = spark.read.parquet(f"{copied}/supplier.parquet")
@@ -50,3 +51,14 @@ def test_shapes_of_one_form_are_covered_once(spark, copied, name):
     assert at * 12 == places.count()
     seen = [n for key, n in covers if key in ("place_id", "way_id", "facility")]
     assert seen and all(0 < n <= at for n in seen)
+
+
+def test_grid_is_not_joined_on_the_driver(spark, tmp_path):
+    spark.createDataFrame([(k, t) for k in range(5) for t in (0, 7, 100, 950, 5000)], "k long, us long").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")  # small as a file, unlike its grid
+    grid = od.grid_counts(rows, "k", "us", 10, {"soon": 5, "later": 25})
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    times = [0, 7, 100, 950, 5000]
+    want = [(k, at, sum(t <= at for t in times), *(sum(at < t <= at + h for t in times) for h in (5, 25))) for k in range(5) for at in range(0, 5001, 10)]
+    assert sorted(map(tuple, grid.collect())) == want

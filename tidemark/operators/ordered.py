@@ -84,23 +84,25 @@ def lifecycle(silence_s: Column, threshold_s: Column, n: Column, resolved: Colum
     )
 
 
-def grid_counts(rows: DataFrame, key: str, time_us: str, step_us: int, horizons: dict[str, int], bucket_us: int = 900_000_000) -> DataFrame:
+def grid_counts(rows: DataFrame, key: str, time_us: str, step_us: int, horizons: dict[str, int]) -> DataFrame:
     """(key, at, known, *horizons): a grid of ``step_us`` over each key's span, the rows up to each point and within each horizon after it.
 
-    Markers at a point and at its horizons are counted among the rows by running sums, within buckets of time and over
-    the buckets' totals, so no row meets another and a hot key's rows are spread over its buckets."""
+    A row tells only the points that it changes: the first one that knows it and those that have it ahead, a horizon's
+    length of them.  The points between have nothing ahead and know what the one before knows, so they are filled in
+    last, where they are, and the grid itself is neither sorted nor joined."""
     rows = rows.select(key, F.col(time_us).alias("__t")).where(F.col(key).isNotNull() & F.col("__t").isNotNull())
-    span = rows.groupBy(key).agg(F.min("__t").alias("a"), F.max("__t").alias("b"))
-    grid = span.select(key, F.explode(F.sequence("a", "b", F.lit(step_us))).alias("at"))
-    offsets = F.array(*(F.lit(h).cast("long") for h in (0, *horizons.values())))
-    marks = grid.select(key, "at", F.explode(offsets).alias("h")).select(key, (F.col("at") + F.col("h")).alias("__t"), "at", "h", F.lit(0).alias("n"))
-    both = marks.unionByName(rows.withColumn("n", F.lit(1)), allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket_us).cast("long"))
-    totals = both.groupBy(key, "__b").agg(F.sum("n").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("n").over(Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0))
-    counted = both.withColumn("c", inside).where("at IS NOT NULL").join(totals.select(key, "__b", before.alias("before")), [key, "__b"]).withColumn("c", F.col("c") + F.col("before"))
-    at = lambda h: F.max(F.when(F.col("h") == h, F.col("c")))
-    return counted.groupBy(key, "at").agg(at(0).alias("known"), *((at(h) - at(0)).alias(name) for name, h in horizons.items()))
+    span = rows.groupBy(key).agg(F.min("__t").alias("__a"), F.max("__t").alias("__z"))
+    # a merge: a table of keys that looks small in its file may not be so on the driver
+    told = rows.join(span.hint("merge"), key).withColumn("__last", F.expr(f"(__z - __a) div {step_us}"))
+    point = lambda back: f"greatest(0, (__t - __a - {back} + {step_us - 1}) div {step_us})"
+    told = told.withColumn("__known", F.expr(point(0))).withColumn("__i", F.explode(F.sequence(F.expr(point(max([0, *horizons.values()]))), F.col("__known"))))
+    ahead = lambda h: F.count_if((F.col("__i") < F.col("__known")) & (F.col("__t") <= F.col("__a") + F.col("__i") * step_us + h))
+    per = told.where("__i <= __last").groupBy(key, "__a", "__last", "__i").agg(F.count_if(F.col("__i") == F.col("__known")).alias("known"), *(ahead(h).alias(name) for name, h in horizons.items()))
+    by = Window.partitionBy(key).orderBy("__i")
+    known = F.sum("known").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    until = F.coalesce(F.lead("__i").over(by) - 1, F.col("__last"))
+    filled = per.select(key, "__a", "__i", known.alias("known"), *horizons, until.alias("__until")).withColumn("__j", F.explode(F.sequence("__i", "__until")))
+    return filled.select(key, (F.col("__a") + F.col("__j") * step_us).alias("at"), "known", *(F.when(F.col("__j") == F.col("__i"), F.col(name)).otherwise(0).alias(name) for name in horizons))
 
 
 def sessions(rows: DataFrame, keys: Sequence[str], time_us: str, tie: str, gap_us: int) -> DataFrame:
