@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered as od
+from tidemark.operators import ordered as od, similarity as sim
 from tidemark.operators.graph import shared
 from tidemark.plans import catalogue
 
@@ -62,3 +62,20 @@ def test_grid_is_not_joined_on_the_driver(spark, tmp_path):
     times = [0, 7, 100, 950, 5000]
     want = [(k, at, sum(t <= at for t in times), *(sum(at < t <= at + h for t in times) for h in (5, 25))) for k in range(5) for at in range(0, 5001, 10)]
     assert sorted(map(tuple, grid.collect())) == want
+
+
+def test_nearest_of_copies(spark, monkeypatch):
+    rows = [(i, [float(i % 11), float(i % 3)]) for i in range(120)] + [(500, None)]
+    lib = spark.createDataFrame(rows, "n long, e array<double>")
+    targets = lib.where("n % 5 = 0 AND e IS NOT NULL").select(F.col("n").alias("q"), F.col("e").alias("qe"))
+    monkeypatch.setattr(sim, "BLOCK_ROWS", 10)
+    weights = [1 / 3, 1 / 7]
+    got = sim.nearest(targets, lib, "q", "n", sim.weighted_l1(F.col("qe"), F.col("e"), weights), 4, digits=6, same=["e"])
+    want = set()
+    for q, qe in rows:
+        if q % 5 == 0 and qe:
+            near = sorted((round(sum(w * abs(a - b) for w, a, b in zip(weights, qe, e)), 6), n) for n, e in rows if e and n != q)
+            want |= {(q, n, d) for d, n in near[:4]}
+    assert {(r.q, r.n, r.dist) for r in got.collect()} == want
+    few = sim.nearest(targets.limit(1), lib.where("n IN (0, 500)"), "q", "n", sim.weighted_l1(F.col("qe"), F.col("e"), weights), 4)
+    assert [r.n for r in few.collect()] in ([500], [0, 500])  # a row without a distance comes last

@@ -136,7 +136,7 @@ def knn_l1(t: Tables) -> DataFrame:
     e = [F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(x) for x in every]
     v = t.embeddings.select("vec_id", "label", F.array(*e).alias("e"))
     targets = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("qe"))
-    out = sim.nearest(targets, v, "query", "vec_id", F.round(sim.weighted_l1(F.col("qe"), F.col("e"), _W), 9), 3)
+    out = sim.nearest(targets, v, "query", "vec_id", sim.weighted_l1(F.col("qe"), F.col("e"), _W), 3, digits=9, same=["e"])
     return out.select("query", "vec_id", "label", "dist")
 
 
