@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ordered as od, similarity as sim
 from tidemark.operators.graph import shared
 from tidemark.plans import catalogue
+from tidemark.sources import feeds
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -79,3 +80,12 @@ def test_nearest_of_copies(spark, monkeypatch):
     assert {(r.q, r.n, r.dist) for r in got.collect()} == want
     few = sim.nearest(targets.limit(1), lib.where("n IN (0, 500)"), "q", "n", sim.weighted_l1(F.col("qe"), F.col("e"), weights), 4)
     assert [r.n for r in few.collect()] in ([500], [0, 500])  # a row without a distance comes last
+
+
+def test_a_record_is_read_once(spark):
+    rows = spark.createDataFrame([('{"properties":{"AlertID":7,"x":-122.5,"y":47.5},"HeadlineDescription":"Road closed","StartTime":"2024-01-02T03:04:05Z","Route":"5"}',), ('{"id":"b","geometry":{"type":"LineString","coordinates":[[-122.25,47.25],[0,0]]}}',), ('{"id":"c","PointCoordinate":[47.75,-122.75]}',), ("{",), (None,)], "record string")
+    seen = feeds.observations(rows, "highway_alerts", F.lit("2024-02-15").cast("timestamp"))
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") <= 40 and "$.AlertID" not in plan  # paths into the geometry alone
+    got = sorted(((r.source_record_id or "", r.observation_type, r.place and tuple(r.place), r.payload.get("Route")) for r in seen.collect()), key=str)
+    assert got == sorted([("7", "road_closure", (-122.5, 47.5), "5"), ("b", "traffic_condition", (-122.25, 47.25), None), ("c", "traffic_condition", (-122.75, 47.75), None), ("", "traffic_condition", None, None), ("", "traffic_condition", None, None)], key=str)

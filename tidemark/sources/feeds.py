@@ -104,7 +104,8 @@ def read(spark, name: str, path: str) -> DataFrame:
 def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
     """Records of a feed as observations: stable id, type, headline, place, times, payload, provenance and quality."""
     feed = FEEDS[name]
-    get, is_json = rd.getter(rows), "record" in rows.columns
+    is_json = "record" in rows.columns
+    rows, get = rd.parsed(rows, [*feed.ids, *feed.headline, *feed.times, *feed.payload, *feed.observed, *rd.LATITUDES, *rd.LONGITUDES])
     first = lambda fields: F.coalesce(*(tx.clean(get(f)) for f in fields), F.lit(None).cast("string"))
     headline, at = tx.strip_html(first(feed.headline)), rd.when_of(get, feed.times)
     if feed.last_year is not None:

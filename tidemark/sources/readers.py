@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow.fs as pf
@@ -70,33 +70,37 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
 Getter = Callable[[str], Column]
 
 
-def getter(rows: DataFrame) -> Getter:
-    """Field access by name: a column of delimited rows, or a path into the JSON ``record`` (properties first)."""
-    if "record" in rows.columns:
-        record = F.col("record")
-        return lambda f: F.coalesce(F.get_json_object(record, f"$.properties.{f}"), F.get_json_object(record, f"$.{f}"))
-    names = {c.lower(): c for c in rows.columns}
-    return lambda f: F.col(f"`{names[f.lower()]}`").cast("string") if f.lower() in names else F.lit(None).cast("string")
+def parsed(rows: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, Getter]:
+    """``rows`` ready for access to ``fields`` by name, and the access: columns of delimited rows, or members of the JSON
+    ``record`` (properties first), which is read once however many there are."""
+    if "record" not in rows.columns:
+        names = {c.lower(): c for c in rows.columns}
+        return rows, lambda f: F.col(f"`{names[f.lower()]}`").cast("string") if f.lower() in names else F.lit(None).cast("string")
+    at = {f: k for k, f in enumerate(dict.fromkeys(fields))}
+    top = rows.select("*", F.json_tuple("record", *at, "properties", *SHAPES).alias(*(f"__top{k}" for k in at.values()), "__properties", *(f"__{s}" for s in SHAPES)))
+    both = top.select("*", F.json_tuple("__properties", *at).alias(*(f"__own{k}" for k in at.values())))
+    return both, lambda f: F.coalesce(f"__own{at[f]}", f"__top{at[f]}")
 
 
 # fixed values: spellings of the coordinates
 LATITUDES = ("dispatch_latitude", "latitude", "lat", "Latitude", "y", "stop_lat")
 LONGITUDES = ("dispatch_longitude", "longitude", "lon", "long", "Longitude", "x", "stop_lon")
+#: Members of a JSON record that hold its place in another form.
+SHAPES = ("geometry", "PointCoordinate")
 
 
 def location(get: Getter, has_json: bool) -> Column:
-    """A record's point: GeoJSON geometry, a [lat, lon] pair, or the first spelling of latitude and longitude."""
+    """A point of rows that were ``parsed``: GeoJSON geometry, a [lat, lon] pair, or the first spelling of latitude and longitude."""
     number = lambda c: c.try_cast("double")
     lat, lon = F.coalesce(*(number(get(f)) for f in LATITUDES)), F.coalesce(*(number(get(f)) for f in LONGITUDES))
     flat = geo.point(lon, lat)
     if not has_json:
         return flat
-    at = lambda p: number(F.get_json_object("record", p))
-    shape = F.get_json_object("record", "$.geometry.type")
-    first = F.when(shape == "Point", geo.point(at("$.geometry.coordinates[0]"), at("$.geometry.coordinates[1]"))).when(
-        shape.isin("LineString", "MultiPoint"), geo.point(at("$.geometry.coordinates[0][0]"), at("$.geometry.coordinates[0][1]"))
-    ).when(shape == "Polygon", geo.point(at("$.geometry.coordinates[0][0][0]"), at("$.geometry.coordinates[0][0][1]")))
-    return F.coalesce(first, geo.point(at("$.PointCoordinate[1]"), at("$.PointCoordinate[0]")), flat)
+    at = lambda p: number(F.get_json_object("__geometry", f"$.coordinates{p}"))
+    pair = lambda k: number(F.get_json_object("__PointCoordinate", f"$[{k}]"))
+    shape = F.get_json_object("__geometry", "$.type")
+    first = F.when(shape == "Point", geo.point(at("[0]"), at("[1]"))).when(shape.isin("LineString", "MultiPoint"), geo.point(at("[0][0]"), at("[0][1]"))).when(shape == "Polygon", geo.point(at("[0][0][0]"), at("[0][0][1]")))
+    return F.coalesce(F.when(F.col("__geometry").isNotNull(), first), F.when(F.col("__PointCoordinate").isNotNull(), geo.point(pair(1), pair(0))), flat)
 
 
 def in_region(point: Column, bounds: tuple[float, float, float, float]) -> Column:
