@@ -74,6 +74,21 @@ def test_resolver_by_brute_force(spark, tmp_path, radius):
         assert 0 < held < 60  # events out of reach and their timers are gone
 
 
+def test_cells_share_state_rows(spark, tmp_path, monkeypatch):
+    """Many cells, one without a name, with ids that a double can't hold: a group's cells stay apart in one row of the state."""
+    monkeypatch.setattr(tm, "GROUPS", 4)
+    rng, at, big, rows = random.Random(4), 1_700_000_000_000_000, 2**53 + 1, []
+    for i in range(400):
+        at += rng.choice([0, MIN, 4 * MIN])
+        rows.append((rng.choice([0, *range(big, big + 39)]), big + i, at, 0.0, 47.0, rng.random() < 0.3))
+    want = brute(rows, 60 * MIN, 300 * MIN, None)
+    given = [(r[0] or None, *r[1:]) for r in rows]
+    for pieces in (1, 2):
+        got, held = drained(spark, tmp_path / str(pieces), given, ROWS.replace("cell string", "cell long"), lambda s: tm.resolve(s, "cell", 60 * MIN, 300 * MIN, None, "1 second"), pieces)
+        assert sorted((r.cell or 0, *tuple(r)[1:4]) for r in got.where("observation_id IS NOT NULL").collect()) == want
+        assert {w[3] for w in want} == {"opened", "new", "linked", "reopened"} and 0 < held <= 5
+
+
 def test_resolver_rows_without_time_or_place(spark, tmp_path):
     at = 1_700_000_000_000_000
     rows = [("a", 1, at, 0.0, 47.0, False), ("a", 2, None, 0.0, 47.0, False), ("a", None, at, 0.0, 47.0, None), ("a", 3, at, None, 47.0, None), (None, 4, at, 0.0, 47.0, None), ("a", 1, at, 0.0, 47.0, False)]

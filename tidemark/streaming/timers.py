@@ -7,6 +7,7 @@ into micro-batches; timers settle what no later row of the key settles, and drop
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +15,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .ledger_stream import PIECE, _in_order
@@ -109,97 +111,97 @@ class _Live:
                 del self.events[event_id]
 
 
-class Resolver(StatefulProcessor):
+#: Groups of cells that share a state row, so that a call of Python serves many cells; cells without a name are group -1.
+GROUPS = 4096
+
+
+class Resolver:
     """Observations of a cell join the nearest event in reach of time and place, or open one under their own id.
 
     * An event closes ``silence_us`` after its last report.  A later report in reach reopens it, unless the report before the
       silence closed it for good; then a new event opens.
     * An event is out of reach, and leaves the state, ``margin_us`` after its last report (no sooner than it closes).
     * Events are found by place, and by when they close or leave, so a report looks at those around it alone.
+    * Cells share nothing but their group's state row and its timer, which is when the first event of the group is due: a call
+      for each cell, event and timer would cost far more than the work, where cells are many.
     """
 
-    COLUMNS = ["observation_id", "event_id", "outcome", "us"]
-
-    def __init__(self, silence_us: int, margin_us: int, radius_m: float | None):
-        self.silence, self.margin, self.radius = silence_us, max(silence_us, margin_us), radius_m
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getMapState("events", "event_id long", "last_us long, lon double, lat double, open boolean, final boolean")
-
-    def _load(self) -> _Live:
-        return _Live({k[0]: list(v) for k, v in self.events.iterator()}, self.silence, self.margin, self.radius)
-
-    def _steps(self, live: _Live, rows: Iterator[tuple]) -> Iterator[tuple]:
-        for at, observation, x, y, final in rows:
-            at, observation = int(at), int(observation)
-            yield from live.settle(at)
-            reach = [(d, -live.events[e][0], e) for d, e in live.near(x, y) if abs(at - live.events[e][0]) <= self.margin]
-            usable = [r for r in reach if live.events[r[2]][3] or not live.events[r[2]][4]]
-            if usable:
-                event_id = min(usable)[2]
-                e = live.events[event_id]
-                outcome = "linked" if e[3] else "reopened"
-                live.put(event_id, [max(e[0], at), e[1], e[2], True, bool(final) if at >= e[0] else e[4]])
-            else:
-                event_id, outcome = observation, "new" if reach else "opened"
-                live.put(event_id, [at, float(x), float(y), True, bool(final)])
-            yield observation, event_id, outcome, at
-
-    def _store(self, before: dict[int, tuple], events: dict[int, list]) -> None:
-        for event_id in before.keys() - events.keys():
-            self.events.removeKey((event_id,))
-        for event_id, e in events.items():
-            if before.get(event_id) != tuple(e):
-                self.events.updateValue((event_id,), tuple(e))
-        wanted = {(e[0] + (self.silence if e[3] else self.margin)) // 1000 + 1 for e in events.values()}
-        held = {t for t in self.handle.listTimers()}
-        for t in held - wanted:
-            self.handle.deleteTimer(t)
-        for t in wanted - held:
-            self.handle.registerTimer(t)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        live = self._load()
-        before = {k: tuple(v) for k, v in live.events.items()}
-        order = ["us", "observation_id"]
-        yield from _frames(self._steps(live, _in_order(rows, order, [*order, "lon", "lat", "final"])), self.COLUMNS)
-        self._store(before, live.events)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        live = self._load()
-        before = {k: tuple(v) for k, v in live.events.items()}
-        yield from _frames(live.settle(timerValues.getCurrentWatermarkInMs() * 1000), self.COLUMNS)
-        self._store(before, live.events)
-
-    def close(self) -> None:
-        pass
+    STATE = "cell array<{}>, event_id array<long>, last_us array<long>, lon array<double>, lat array<double>, open array<boolean>, final array<boolean>"
+
+    def __init__(self, cell: str, silence_us: int, margin_us: int, radius_m: float | None):
+        self.cell, self.silence, self.margin, self.radius = cell, silence_us, max(silence_us, margin_us), radius_m
+
+    def _load(self, group: int, state: GroupState) -> dict:
+        cells: dict = {}
+        for name, event_id, *e in zip(*state.get) if state.exists else ():
+            self._live(cells, group, name)[1].put(event_id, e)
+        return cells
+
+    def _live(self, cells: dict, group: int, name) -> tuple:
+        name = None if group < 0 else math.nan if name != name else name
+        if name not in cells:
+            cells[name] = _Live({}, self.silence, self.margin, self.radius)
+        return name, cells[name]
+
+    def _step(self, live: _Live, at: int, observation: int, x: float, y: float, final: bool) -> Iterator[tuple]:
+        yield from live.settle(at)
+        reach = [(d, -live.events[e][0], e) for d, e in live.near(x, y) if abs(at - live.events[e][0]) <= self.margin]
+        usable = [r for r in reach if live.events[r[2]][3] or not live.events[r[2]][4]]
+        if usable:
+            event_id = min(usable)[2]
+            e = live.events[event_id]
+            outcome = "linked" if e[3] else "reopened"
+            live.put(event_id, [max(e[0], at), e[1], e[2], True, bool(final) if at >= e[0] else e[4]])
+        else:
+            event_id, outcome = observation, "new" if reach else "opened"
+            live.put(event_id, [at, float(x), float(y), True, bool(final)])
+        yield observation, event_id, outcome, at
+
+    def _store(self, state: GroupState, cells: dict) -> None:
+        held = [(name, event_id, *e) for name, live in cells.items() for event_id, e in live.events.items()]
+        if not held:
+            state.remove()
+            return
+        state.update(tuple(map(list, zip(*held))))
+        state.setTimeoutTimestamp(max(1, min(live.when(e) for live in cells.values() for e in live.events.values()) // 1000))
+
+    def outcomes(self, group: int, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[tuple]:
+        """(cell, observation_id, event_id, outcome, us) of a group's rows, if it has any, and of what is due by the watermark."""
+        cells = self._load(group, state)
+        if not state.hasTimedOut:
+            order = ["us", "observation_id"]
+            for at, observation, x, y, final, name in _in_order(batches, order, [*order, "lon", "lat", "final", self.cell]):
+                name, live = self._live(cells, group, name)
+                for told in self._step(live, int(at), int(observation), x, y, final):
+                    yield name, *told
+        for name, live in cells.items():
+            for told in live.settle(max(0, state.getCurrentWatermarkMs()) * 1000):
+                yield name, *told
+        self._store(state, cells)
 
 
 def resolve(stream: DataFrame, cell: str, silence_us: int, margin_us: int, radius_m: float | None, delay: str) -> DataFrame:
     """(cell, observation_id, event_id, outcome, us) of a stream (cell, observation_id, us, lon, lat, final): what became of
     each observation (opened, new, linked, reopened), and a row for each closure, without an observation.
 
-    ``final`` marks reports that close their event for good.  Rows later than ``delay`` are dropped by the watermark.  A cell
-    is one key: choose cells so that their events within ``margin_us`` fit a task; rows of one micro-batch may spill.  A row
-    without a time, an id or, with a radius, a place has no outcome."""
+    ``final`` marks reports that close their event for good.  Rows later than ``delay`` are dropped by the watermark.  Cells
+    are dealt into ``GROUPS`` state rows: choose cells so that a group's events within ``margin_us`` fit a task; rows of one
+    micro-batch may spill.  A row without a time, an id or, with a radius, a place has no outcome."""
     kind = stream.schema[cell].dataType.simpleString()
     usable = F.col("us").isNotNull() & F.col("observation_id").isNotNull() & (F.lit(True) if radius_m is None else F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    rows = stream.where(usable).select(cell, "observation_id", "us", F.coalesce("lon", F.lit(0.0)).alias("lon"), F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("final", F.lit(False)).alias("final"), F.timestamp_micros("us").alias("at"))
-
-    class Keyed(Resolver):
-        """The resolver's rows with their cell."""
-
-        def handleInputRows(self, key, rows, timerValues):
-            for frame in super().handleInputRows(key, rows, timerValues):
-                yield frame.assign(**{cell: key[0]})[[cell, *self.COLUMNS]].astype({"observation_id": "Int64"})
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            for frame in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
-                yield frame.assign(**{cell: key[0]})[[cell, *self.COLUMNS]].astype({"observation_id": "Int64"})
-
-    return rows.withWatermark("at", delay).groupBy(cell).transformWithStateInPandas(
-        Keyed(silence_us, margin_us, radius_m), f"{cell} {kind}, observation_id long, event_id long, outcome string, us long", "Append", "EventTime"
+    group = F.when(F.col(cell).isNull(), -1).otherwise(F.pmod(F.xxhash64(cell), F.lit(GROUPS))).cast("int").alias("__group")
+    rows = stream.where(usable).select(group, cell, "observation_id", "us", F.coalesce("lon", F.lit(0.0)).alias("lon"), F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("final", F.lit(False)).alias("final"), F.timestamp_micros("us").alias("at"))
+    resolver = Resolver(cell, silence_us, margin_us, radius_m)
+    whole = "Int64" if kind in ("tinyint", "smallint", "int", "bigint") else object
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = resolver.outcomes(int(key[0]), batches, state)
+        while piece := list(itertools.islice(found, PIECE)):
+            names, observations, events, outcomes, times = zip(*piece)  # ids stay whole numbers beside those that are missing
+            yield pd.DataFrame({cell: pd.array(names, dtype=whole), "observation_id": pd.array(observations, dtype="Int64"), "event_id": events, "outcome": outcomes, "us": times})
+
+    return rows.withWatermark("at", delay).groupBy("__group").applyInPandasWithState(
+        step, f"{cell} {kind}, observation_id long, event_id long, outcome string, us long", Resolver.STATE.format(kind), "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
