@@ -54,6 +54,17 @@ def test_shapes_of_one_form_are_covered_once(spark, copied, name):
     assert seen and all(0 < n <= at for n in seen)
 
 
+def test_users_of_one_site_are_written_once(spark, copied):
+    root = Path(urlparse(shared(spark)).path)
+    before = set(root.iterdir())
+    checked(spark, copied, "incremental_users")
+    (live,) = (f for f in set(root.iterdir()) - before if f.name.startswith("live-"))
+    users = spark.read.parquet(f"{copied}/supplier.parquet").count()
+    for name in ("exposures", "priorities", "items", "alerts"):
+        written = spark.read.parquet(f"{live}/tables/{name}")
+        assert 0 < written.select("site").distinct().count() <= users / 12
+
+
 def test_grid_is_not_joined_on_the_driver(spark, tmp_path):
     spark.createDataFrame([(k, t) for k in range(5) for t in (0, 7, 100, 950, 5000)], "k long, us long").write.parquet(f"{tmp_path}/rows")
     rows = spark.read.parquet(f"{tmp_path}/rows")  # small as a file, unlike its grid

@@ -72,6 +72,16 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert look() == before
 
 
+def test_a_batch_is_rebuilt_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda k: seen.add(1) or k, "long").asNondeterministic()
+    m = inc.Maintained(spark, str(tmp_path / "a"), spark.createDataFrame([], SCHEMA).schema, "k", lambda rows: rebuild(rows.withColumn("k", counted("k"))), ["n", "top"], buckets=4)
+    m.apply(spark.createDataFrame([(1, 1, 5), (2, 2, 6)], SCHEMA), 0)
+    m.apply(spark.createDataFrame([(1, 3, 7)], SCHEMA), 1)
+    assert seen.value == 2 + 2
+    assert sorted(tuple(r)[:4] for r in m.table("deltas").collect()) == [(1, 2, "n", "1"), (1, 2, "top", "5")]
+
+
 def test_a_batch_that_failed_before_its_commit(spark, tmp_path):
     def fails(b):
         if armed:

@@ -182,7 +182,8 @@ class Maintained:
         written = self._write(changed, "states", number)
         text = lambda c: F.col(c).cast("string")
         pieces = F.array(*(F.when(~fresh & d, F.struct(F.lit(c).alias("field"), text(f"__old.{c}").alias("before"), text(c).alias("after"))) for c, d in differs.items()))
-        self._write(changed.select(self.key, "version", F.explode(F.array_compact(pieces)).alias("__d")).select(self.key, "version", "__d.*"), "deltas", number)
+        told = written.join(held, self.key, "left")  # what was written, so that nothing is rebuilt twice
+        self._write(told.select(self.key, "version", F.explode(F.array_compact(pieces)).alias("__d")).select(self.key, "version", "__d.*"), "deltas", number)
         seen = Batch(self, number, buckets, written.drop("batch", "bucket"))
         for name, _, make in self.sinks:
             self._write(make(seen), name, number)
