@@ -10,10 +10,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
 from tidemark.operators import ordered as od, similarity as sim
 from tidemark.operators.graph import shared
-from tidemark.plans import catalogue
-from tidemark.sources import feeds
+from tidemark.plans import catalogue, files
+from tidemark.sources import feeds, readers
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -100,3 +101,36 @@ def test_a_record_is_read_once(spark):
     assert plan.count("get_json_object") <= 40 and "$.AlertID" not in plan  # paths into the geometry alone
     got = sorted(((r.source_record_id or "", r.observation_type, r.place and tuple(r.place), r.payload.get("Route")) for r in seen.collect()), key=str)
     assert got == sorted([("7", "road_closure", (-122.5, 47.5), "5"), ("b", "traffic_condition", (-122.25, 47.25), None), ("c", "traffic_condition", (-122.75, 47.75), None), ("", "traffic_condition", None, None), ("", "traffic_condition", None, None)], key=str)
+
+
+def test_feeds_share_one_reading_of_the_ledger(spark, sf_dir, tmp_path):
+    with duckdb.connect() as con:  # ids that come twice, and rows without a time
+        con.sql(f"COPY (SELECT event_id // 2 AS event_id, CASE WHEN event_id % 7 > 0 THEN ts END AS ts, user_id, event_type, value, props FROM '{sf_dir}/events.parquet') TO '{tmp_path}/events.parquet'")
+        con.sql("SET TimeZone='UTC'")
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        got = QUERIES["feeds_projected"](spark, str(tmp_path))
+        want = con.sql(ORACLES["feeds_projected"]).project(", ".join(got.columns)).fetchall()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted(want, key=str) and all(0 < r[5] < r[4] for r in rows)
+    assert len(rows) == sum(1 + (name in files.WORDS) for name in feeds.FEEDS)
+
+
+def test_columns_say_what_a_json_record_says(spark):
+    row = {"id": " 7 ", "AlertID": "NA", "Description": "<b>Ramp</b> closed", "StartTime": "2024-01-02T03:04:05Z", "Route": "5", "latitude": "47.5", "LON": "-122.5"}
+    table = spark.createDataFrame([tuple(row.values())], list(row))
+    texts = table.select(F.to_json(F.struct(*row)).alias("record"))
+    shown = ("observation_id", "source_record_id", "observation_type", "headline", "event_time", "payload", "observed_at")
+    got = [feeds.observations(rows, "highway_alerts", F.lit("2024-02-15").cast("timestamp")).select(*shown).first() for rows in (table, texts)]
+    assert got[0] == got[1] and (got[0].source_record_id, got[0].observation_type) == ("7", "road_closure")
+    said = feeds.said("highway_alerts", readers.named({f: F.col(f) for f in row}), False)
+    assert table.select(said.record_id, said.kind, said.payload["Route"], said.place.lon, said.place.lat).first() == ("7", "road_closure", "5", -122.5, 47.5)
+
+
+def test_iso_times_are_read_as_by_their_form(spark):
+    texts = [f"2024-{x}" for x in ("01-02T03:04:05Z", "01-02T03:04:05.678Z", "02-30T03:04:05Z", "13-01T00:00:00Z", "01-02T24:00:00Z", "01-02T03:04:60Z", "01-02T03:04:05.6Z", "01-02T03:04Z", "01-02T03:04:05", "1-2T03:04:05Z", "01-02t03:04:05z", "01-02T03:04:05+02:00")]
+    texts += ["0000-01-01T00:00:00Z", "0001-01-01T00:00:00Z", "1582-10-10T00:00:00Z", "9999-12-31T23:59:59.999Z", "12024-01-02T03:04:05Z", " 2024-01-02T03:04:05Z ", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "said string")
+    form = F.try_to_timestamp(F.trim("said"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"))
+    got = rows.select(F.unix_micros(tx.feed_time(F.col("said"))), F.unix_micros(form)).collect()
+    assert all(a == b for a, b in got) and sum(a is not None for a, _ in got) == 10

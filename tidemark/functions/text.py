@@ -120,13 +120,18 @@ def quantity(text: Column) -> Column:
     return F.struct(value.alias("value"), F.when(unit != "", unit).alias("unit"), canonical[unit].alias("canonical"), (value * factor[unit]).alias("amount"))
 
 
+#: The ISO form that most feeds use, which a cast reads as the first of the forms below does, at less cost.
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{3})?Z$"
+
+
 def feed_time(value: Column) -> Column:
     """Epoch seconds or milliseconds, ``/Date(ms)/``, RFC 822 and ISO dialects as a UTC timestamp; null if none fits."""
+    iso = F.when(F.trim(value).rlike(ISO_TIME), F.trim(value).try_cast("timestamp"))
     text = F.regexp_replace(F.trim(value), "^[A-Z][a-z]{2}, ", "")
     digits = F.regexp_extract(text, r"^(?:/Date\()?(-?[0-9]{9,14})(?:[+-][0-9]{4})?(?:\)/)?$", 1).try_cast("long")
     epoch = F.when(F.abs(digits) > 100_000_000_000, F.timestamp_millis(digits)).when(digits.isNotNull(), F.timestamp_seconds(digits))
     forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyy-MM-dd", "yyyyMMdd", "d MMMM yyyy")
-    return F.coalesce(epoch, *(F.try_to_timestamp(text, F.lit(f)) for f in forms))
+    return F.coalesce(iso, epoch, *(F.try_to_timestamp(text, F.lit(f)) for f in forms))
 
 
 def deterministic_id(prefix: str, *parts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -101,11 +101,26 @@ def read(spark, name: str, path: str) -> DataFrame:
     return rd.delimited(spark, path, sep="\t" if shape in ("tsv", "headerless") else ",", header=shape != "headerless")
 
 
-def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
-    """Records of a feed as observations: stable id, type, headline, place, times, payload, provenance and quality."""
+class Said(NamedTuple):
+    """What a record of a feed says, as expressions over its row; ``payload`` maps names to values, null where there is none."""
+
+    record_id: Column
+    kind: Column
+    headline: Column
+    event_time: Column
+    known: Column
+    place: Column
+    payload: dict[str, Column]
+
+
+def fields(feed: Feed) -> list[str]:
+    """The input fields that a feed's specification names, and the spellings of coordinates."""
+    return [*feed.ids, *feed.headline, *feed.times, *feed.payload, *feed.observed, *rd.LATITUDES, *rd.LONGITUDES]
+
+
+def said(name: str, get: rd.Getter, is_json: bool) -> Said:
+    """A feed's specification over a row whose fields ``get`` reads."""
     feed = FEEDS[name]
-    is_json = "record" in rows.columns
-    rows, get = rd.parsed(rows, [*feed.ids, *feed.headline, *feed.times, *feed.payload, *feed.observed, *rd.LATITUDES, *rd.LONGITUDES])
     first = lambda fields: F.coalesce(*(tx.clean(get(f)) for f in fields), F.lit(None).cast("string"))
     headline, at = tx.strip_html(first(feed.headline)), rd.when_of(get, feed.times)
     if feed.last_year is not None:
@@ -115,11 +130,19 @@ def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
     body = F.concat_ws(" ", headline, *(get(f) for f in ("description",) if f in feed.payload or f in feed.headline))
     for other, words in reversed(feed.retype):
         kind = F.when(tx.has_word(body, words), other).otherwise(kind)
-    payload = F.map_filter(F.create_map(*(x for f in feed.payload for x in (F.lit(f), tx.clean(get(f))))), lambda _, v: v.isNotNull()) if feed.payload else F.create_map().cast("map<string,string>")
-    place = rd.location(get, is_json)
+    return Said(first(feed.ids), kind, headline, at, rd.when_of(get, feed.observed), rd.location(get, is_json), {f: tx.clean(get(f)) for f in feed.payload})
+
+
+def observations(rows: DataFrame, name: str, ingested_at=None) -> DataFrame:
+    """Records of a feed as observations: stable id, type, headline, place, times, payload, provenance and quality."""
+    feed = FEEDS[name]
+    is_json = "record" in rows.columns
+    rows, get = rd.parsed(rows, fields(feed))
+    s = said(name, get, is_json)
+    payload = F.map_filter(F.create_map(*(x for f, v in s.payload.items() for x in (F.lit(f), v))), lambda _, v: v.isNotNull()) if feed.payload else F.create_map().cast("map<string,string>")
     shown = rows.select(
-        F.lit(name).alias("source_id"), first(feed.ids).alias("source_record_id"), kind.alias("observation_type"), headline.alias("headline"), at.alias("event_time"), place.alias("place"), payload.alias("payload"),
-        F.lit(feed.authority).alias("authority"), F.lit(feed.domain).alias("domain"), rd.when_of(get, feed.observed).alias("__known"),
+        F.lit(name).alias("source_id"), s.record_id.alias("source_record_id"), s.kind.alias("observation_type"), s.headline.alias("headline"), s.event_time.alias("event_time"), s.place.alias("place"), payload.alias("payload"),
+        F.lit(feed.authority).alias("authority"), F.lit(feed.domain).alias("domain"), s.known.alias("__known"),
     )
     content = F.sha2(F.concat_ws("|", "headline", F.to_json("payload")), 256)
     now = ingested_at if ingested_at is not None else F.current_timestamp()

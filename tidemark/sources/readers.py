@@ -74,14 +74,19 @@ def parsed(rows: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, Getter]:
     """``rows`` ready for access to ``fields`` by name, and the access: columns of delimited rows, or members of the JSON
     ``record`` (properties first), which is read once however many there are."""
     if "record" not in rows.columns:
-        names = {c.lower(): c for c in rows.columns}
-        return rows, lambda f: F.col(f"`{names[f.lower()]}`").cast("string") if f.lower() in names else F.lit(None).cast("string")
+        return rows, named({c: F.col(f"`{c}`") for c in rows.columns})
     at = {f: k for k, f in enumerate(dict.fromkeys(fields))}
     top = rows.select("*", F.json_tuple("record", *at, "properties", *SHAPES).alias(*(f"__top{k}" for k in at.values()), "__properties", *(f"__{s}" for s in SHAPES)))
     both = top.select("*", F.json_tuple("__properties", *at).alias(*(f"__own{k}" for k in at.values())))
     return both, lambda f: F.coalesce(f"__own{at[f]}", f"__top{at[f]}")
 
 
+def named(columns: dict[str, Column]) -> Getter:
+    """Access to fields by name, letter case aside; null for what there is not."""
+    names = {c.lower(): column for c, column in columns.items()}
+    return lambda f: names[f.lower()].cast("string") if f.lower() in names else F.lit(None).cast("string")
+
+
 # fixed values: spellings of the coordinates
 LATITUDES = ("dispatch_latitude", "latitude", "lat", "Latitude", "y", "stop_lat")
 LONGITUDES = ("dispatch_longitude", "longitude", "lon", "long", "Longitude", "x", "stop_lon")
